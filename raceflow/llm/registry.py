@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from raceflow.llm import byte_bpe, curriculum, exact_dedup, language_id, licenses, line_quality
+from raceflow.llm import byte_bpe, curriculum, exact_dedup, html_extract, language_id, licenses, line_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_frequency": line_quality.op1_line_frequency,
         "op2_curriculum_mix": curriculum.op2_curriculum_mix,
+        "op3_html_blocks": html_extract.op3_html_blocks,
         "op5_byte_bpe": byte_bpe.op5_byte_bpe,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_license_digest": licenses.op9_license_digest,
