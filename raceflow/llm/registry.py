@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from raceflow.llm import byte_bpe, curriculum, exact_dedup, html_extract, language_id, licenses, line_quality
+from raceflow.llm import byte_bpe, curriculum, exact_dedup, html_extract, language_id, licenses, line_quality, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_curriculum_mix": curriculum.op2_curriculum_mix,
         "op3_html_blocks": html_extract.op3_html_blocks,
         "op5_byte_bpe": byte_bpe.op5_byte_bpe,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_license_digest": licenses.op9_license_digest,
         "op10_language_id": language_id.op10_language_id,
