@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from raceflow.llm import byte_bpe, curriculum, exact_dedup, line_quality
+from raceflow.llm import byte_bpe, curriculum, exact_dedup, jaccard_join, line_quality
 from raceflow.llm import common as C
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -23,6 +23,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicated(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates."""
+    return jaccard_join.representatives(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, as often as it takes them, in training order."""
     return curriculum.training_order(docs)
@@ -36,6 +41,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality),
     ("exact_dedup", exact),
+    ("near_dedup", near),
     ("mixing", mixing),
     ("bpe", encoding),
 ]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from raceflow.llm import byte_bpe, curriculum, exact_dedup, html_extract, language_id, licenses, line_quality, suffix_dedup
+from raceflow.llm import byte_bpe, curriculum, exact_dedup, html_extract, jaccard_join, language_id, licenses, line_quality, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_frequency": line_quality.op1_line_frequency,
         "op2_curriculum_mix": curriculum.op2_curriculum_mix,
         "op3_html_blocks": html_extract.op3_html_blocks,
+        "op4_signature_tree": jaccard_join.op4_signature_tree,
         "op5_byte_bpe": byte_bpe.op5_byte_bpe,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
