@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from raceflow.llm import byte_bpe, curriculum, exact_dedup, html_extract, jaccard_join, language_id, licenses, line_quality, suffix_dedup
+from raceflow.llm import byte_bpe, curriculum, exact_dedup, html_extract, jaccard_join, language_id, licenses, line_quality, pii, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_html_blocks": html_extract.op3_html_blocks,
         "op4_signature_tree": jaccard_join.op4_signature_tree,
         "op5_byte_bpe": byte_bpe.op5_byte_bpe,
+        "op6_disclosure": pii.op6_disclosure,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_license_digest": licenses.op9_license_digest,
