@@ -17,8 +17,9 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
-from itertools import chain
+from struct import pack
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 from raceflow.llm import common as C
 
 #: Pre-tokens whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 _MASK = (1 << 64) - 1
 
 
@@ -76,61 +77,100 @@ class PerfectHash:
 
 
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of a piece that isn't in the vocabulary, by merging its least-ranked neighbours until none is left."""
-    n = len(piece)
-    ends, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
+    """The ids of a piece that isn't in the vocabulary, by merging its least-ranked neighbours until none is left.
+
+    A part is known by its first byte: ends has its end (0 once it is merged into the one before), before the part in
+    front. The heap holds rank, first byte and end of what a merge would make, in one integer.
+    """
+    n, get = len(piece), ranks.get
+    bits = n.bit_length()
+    mask, high = (1 << bits) - 1, 2 * bits
+    ends, before = list(range(1, n + 1)), list(range(-1, n))
     heap = []
     for i in range(n - 1):
-        r = ranks.get(piece[i : i + 2])
+        r = get(piece[i : i + 2])
         if r is not None:
-            heap.append((r, i, i + 2))
+            heap.append(r << high | i << bits | i + 2)
     heapq.heapify(heap)
     pop, push = heapq.heappop, heapq.heappush
     while heap:
-        _, i, end = pop(heap)
-        j = after[i]
-        if ends[i] < 0 or j >= n or ends[j] != end or ends[i] != j:
+        x = pop(heap)
+        i, e = x >> bits & mask, x & mask
+        j = ends[i]
+        if not j or j >= n or ends[j] != e:
             continue  # one of the two has been merged meanwhile
-        ends[i], ends[j], k = end, -1, after[j]
-        after[i] = k
-        if k < n:
-            before[k] = i
-            r = ranks.get(piece[i : ends[k]])
+        ends[i], ends[j] = e, 0
+        if e < n:
+            before[e] = i
+            k = ends[e]
+            r = get(piece[i:k])
             if r is not None:
-                push(heap, (r, i, ends[k]))
-        h = before[i]
-        if h >= 0:
-            r = ranks.get(piece[h:end])
+                push(heap, r << high | i << bits | k)
+        if i:
+            h = before[i]
+            r = get(piece[h:e])
             if r is not None:
-                push(heap, (r, h, end))
+                push(heap, r << high | h << bits | e)
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i : ends[i]]])
-        i = after[i]
+        e = ends[i]
+        out.append(ranks[piece[i:e]])
+        i = e
     return out
 
 
 class Encoder(dict):
-    """Pre-token -> ids; a dict so that remembered pre-tokens are found without a call."""
+    """Pre-token -> its ids as bytes of int32; a dict so that remembered pre-tokens are found without a call.
+
+    Two generations of REMEMBERED pre-tokens are kept: when the young one is full, the old one goes.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
         super().__init__()
-        self.ranks, self.find = ranks, regex.compile(pattern).findall
+        self.ranks, self.find, self.old = ranks, regex.compile(pattern).findall, {}
         self.table = PerfectHash(list(ranks))
-        self.rank_of = [ranks[k] for k in self.table.slots]
-
-    def __missing__(self, token: str) -> list[int]:
+        self.rank_of = [pack("=i", ranks[k]) for k in self.table.slots]
+
+    def __missing__(self, token: str) -> bytes:
+        ids = self.old.get(token)
+        if ids is None:
+            piece = token.encode()
+            at = self.table.find(piece)
+            if at >= 0:
+                ids = self.rank_of[at]
+            else:
+                found = merged(piece, self.ranks)
+                ids = pack(f"={len(found)}i", *found)
         if len(self) >= REMEMBERED:
+            self.old = dict(self)
             self.clear()
-        piece = token.encode()
-        at = self.table.find(piece)
-        self[token] = ids = [self.rank_of[at]] if at >= 0 else merged(piece, self.ranks)
+        self[token] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.find(text))))
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, self.find(text))), np.int32)
+
+
+class Decoder:
+    """The bytes of ids, gathered from one flat array of the vocabulary's bytes."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+        for piece, i in ranks.items():
+            pieces[i] = piece
+        self.sizes = np.array(list(map(len, pieces)), np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(pieces), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        if not len(ids):
+            return b""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(ends[-1])
+        return self.flat[at].tobytes()
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -165,7 +205,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
         encoder = _workers.get(hash((path, pattern))) or _workers.setdefault(hash((path, pattern)), Encoder(ranks, pattern))
         for b in C.slices(batches, "text"):
             ids = [encoder.encode(x.decode("utf-8", "replace")) for x in C.texts(b.column("text"))]
-            cols = [b.column(c) for c in kept] + [pa.array(ids, type=field.type)]
+            offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            cols = [b.column(c) for c in kept] + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))]
             yield pa.RecordBatch.from_arrays(cols, schema=pa.schema([b.schema.field(c) for c in kept] + [field]))
 
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])
@@ -179,11 +220,11 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     field = pa.field("data", pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = {i: k for k, i in shared.value.items()}.__getitem__
+        table = Decoder(shared.value)
         for b in batches:
-            for s in range(0, b.num_rows, 500):
-                part = b.slice(s, 500)
-                data = [b"".join(map(piece, x)) if x else b"" for x in part.column("ids").to_pylist()]
+            for s in range(0, b.num_rows, 200):
+                part = b.slice(s, 200)
+                data = [b"" if x.values is None else table.decode(x.values.to_numpy()) for x in part.column("ids")]
                 cols = [part.column(c) for c in kept] + [pa.array(data, type=field.type)]
                 yield pa.RecordBatch.from_arrays(cols, schema=pa.schema([part.schema.field(c) for c in kept] + [field]))
 
