@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from raceflow.shipping import ship
+
 #: Bytes of text that a Python worker handles at a time (a longer single text is handled alone).
 SLICE_BYTES = 4 << 20
 #: Serialized bytes up to which a side may be broadcast after its size has been measured.
@@ -26,6 +28,7 @@ U64 = np.uint64
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -44,7 +44,9 @@ from pyspark.sql import functions as F
 from raceflow.llm import common as C
 
 WORDS = 5
-HEAVY, LEAST_HEAVY = 0.002, 50
+HEAVY, LEAST_HEAVY = 0.0002, 16
+#: Text that is counted for frequent shingles at a time, and the documents of it that must have one.
+COUNTED_BYTES, COUNTED_DOCS = 8 << 20, 3
 BLOCK = 8192
 LEAF, FAN = 16, 8
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -85,14 +87,14 @@ _SETS_DDL = "doc_id long, n long, id long, check long, bits binary, frequent arr
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[bytes, int] = {}
-    for b in C.slices(batches, "text"):
+    for b in C.slices(batches, "text", COUNTED_BYTES):
         sets = shingles(C.texts(b.column("text")), seen)
         keys = [set_key(s) for s in sets]
         distinct = {k: s for k, s in zip(keys, sets) if len(s)}
         frequent: list[list[dict]] = [[] for _ in sets]
         if distinct:
             tokens, counts = np.unique(np.concatenate([*distinct.values()]), return_counts=True)
-            often = counts >= max(3, HEAVY * len(distinct))
+            often = counts >= COUNTED_DOCS
             frequent[0] = [{"token": t, "docs": c} for t, c in zip(tokens[often].view(np.int64).tolist(), counts[often].tolist())]
         yield C.batch_of(_SETS, doc_id=b.column("doc_id"), n=[len(s) for s in sets], id=[k for k, _ in keys], check=[c for _, c in keys], bits=[bitmap(s) for s in sets], frequent=frequent)
 
@@ -416,7 +418,7 @@ def joined(docs: DataFrame) -> DataFrame:
         edges = C.written(edges.union(judged.where("linked").select("a", "b")), "links")
         refused = C.written(refused.union(judged.where("not linked").select("a", "b")), "refused")
         labels = components(edges)
-        thick *= 4
+        thick *= 256
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), "id")
     out = out.join(leaders.select(F.col("id").alias("i"), "node"), (F.col("id") == F.col("i")) & (F.col("n_shingles") > 0), "left")
     out = out.join(labels.select(F.col("node").alias("l"), "comp"), F.col("node") == F.col("l"), "left")
