@@ -12,6 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,23 +92,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
-def word_hashes(words: list[bytes], seen: dict[bytes, int], limit: int = 400_000) -> np.ndarray:
-    """A 64-bit hash of each word; `seen` is a bounded cache."""
-    import xxhash
-
-    if len(seen) > limit:
-        seen.clear()
-    digest = xxhash.xxh3_64_intdigest
-    out = [seen.get(w) for w in words]
-    if None in out:
-        for i, h in enumerate(out):
-            if h is None:
-                w = words[i]
-                h = seen.get(w)
-                if h is None:
-                    seen[w] = h = digest(w)
-                out[i] = h
-    return np.array(out, dtype=np.uint64)
+class WordHashes(dict):
+    """word -> 64-bit hash, remembered for a bounded number of words."""
+
+    def __init__(self, limit: int = 400_000):
+        super().__init__()
+        self.limit = limit
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -52,10 +52,10 @@ LEAF, FAN = 16, 8
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def shingles(data: list[bytes], seen: dict[bytes, int]) -> list[np.ndarray]:
+def shingles(data: list[bytes], seen: C.WordHashes) -> list[np.ndarray]:
     """The sorted shingle hashes of each text."""
     words = [x.translate(_LOWER).split() for x in data]
-    hashes = C.word_hashes([w for x in words for w in x], seen)
+    hashes = seen.of([w for x in words for w in x])
     out, at = [], 0
     for x in words:
         h = hashes[at : at + len(x)]
@@ -65,9 +65,9 @@ def shingles(data: list[bytes], seen: dict[bytes, int]) -> list[np.ndarray]:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Bits of the hashes in a width of 2 to 4 times the set, at least 64."""
+    """Bits of the hashes in a width (a power of two) of 1.25 to 2.5 times the set, at least 64."""
     width = 64
-    while width < 2 * len(s):
+    while 4 * width < 5 * len(s):
         width *= 2
     bits = np.zeros(width, np.uint8)
     bits[(s & C.U64(width - 1)).astype(np.int64)] = 1
@@ -86,7 +86,7 @@ _SETS_DDL = "doc_id long, n long, id long, check long, bits binary, frequent arr
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: dict[bytes, int] = {}
+    seen = C.WordHashes()
     for b in C.slices(batches, "text", COUNTED_BYTES):
         sets = shingles(C.texts(b.column("text")), seen)
         keys = [set_key(s) for s in sets]
@@ -110,7 +110,7 @@ def prefix(s: np.ndarray, heavy: np.ndarray) -> np.ndarray:
 
 def _prefixes(heavy: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
+        seen = C.WordHashes()
         for b in C.slices(batches, "text"):
             distinct = {set_key(s)[0]: s for s in shingles(C.texts(b.column("text")), seen) if len(s)}
             parts = [prefix(s, heavy) for s in distinct.values()]
@@ -240,23 +240,29 @@ def candidates(a: Tree, b: Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 yield x[ok], y[ok]
 
 
-def proposals(who: np.ndarray, n: np.ndarray, bits: list[bytes], part: np.ndarray, comp: np.ndarray, refused: set[tuple[int, int]], thick: int) -> list[tuple[int, int]]:
-    """Pairs of a group to verify: those that join its components, with up to `thick` for each set.
-
-    part: 0 or 1; if both occur, only pairs across are looked at.
-    """
-    where = {int(w): k for k, w in enumerate(who)}
-    _, label = np.unique(comp, return_inverse=True)
-    parent = list(range(int(label.max()) + 1))
-    count = np.zeros(len(who), np.int64)
-    out: list[tuple[int, int]] = []
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+def _few(n: list[int], bits: list[bytes]) -> Iterator[tuple[int, int]]:
+    """The pairs that a tree of one leaf leaves, for a group so small that Python's own integers are quicker."""
+    whole = [int.from_bytes(b, "little") for b in bits]
+    width = [8 * len(b) for b in bits]
+    extra = [k - w.bit_count() for k, w in zip(n, whole)]
+    for j in range(1, len(n)):
+        for i in range(j):
+            if 4 * n[i] < 3 * n[j] or 4 * n[j] < 3 * n[i]:
+                continue
+            x, y, w, v, e, f = whole[i], whole[j], width[i], width[j], extra[i], extra[j]
+            if w != v:  # fold the wider one
+                if w > v:
+                    x, w, y, v, e, f = y, v, x, w, f, e
+                while v > w:
+                    v //= 2
+                    y = (y >> v) | (y & ((1 << v) - 1))
+                f = (n[j] if width[j] > width[i] else n[i]) - y.bit_count()
+            if 7 * ((x & y).bit_count() + min(e, f)) >= 3 * (n[i] + n[j]):
+                yield i, j
+
+
+def _many(who: np.ndarray, n: np.ndarray, bits: list[bytes], part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes that the trees of a group leave; if it has two parts, only pairs across."""
     widths = np.array([len(x) for x in bits])
     trees: dict[tuple[int, int], Tree] = {}
     for w in np.unique(widths):
@@ -275,58 +281,98 @@ def proposals(who: np.ndarray, n: np.ndarray, bits: list[bytes], part: np.ndarra
                 x, y = a.who[x], b.who[y]
                 x, y = np.minimum(x, y), np.maximum(x, y)
                 order = np.lexsort((y, x))
-                for u, v in zip(x[order].tolist(), y[order].tolist()):
-                    i, j = where[u], where[v]
-                    if label[i] == label[j] or (u, v) in refused:
-                        continue
-                    s, t = root(label[i]), root(label[j])
-                    if s == t and (count[i] >= thick or count[j] >= thick):
-                        continue
-                    parent[max(s, t)] = min(s, t)
-                    count[i] += 1
-                    count[j] += 1
-                    out.append((u, v))
-    return out
+                yield x[order], y[order]
+
+
+def proposals(who: list[int], n: list[int], bits: list[bytes], part: list[int], comp: list[int], refused: set[tuple[int, int]], thick: int) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of a group to verify: those that join its components, with up to `thick` for each set; and whether any was left out.
+
+    part: 0 or 1; if both occur, only pairs across are looked at.
+    """
+    parent: dict[int, int] = {c: c for c in comp}
+    label, count = dict(zip(who, comp)), dict.fromkeys(who, 0)
+    out: list[tuple[int, int]] = []
+    left_out = False
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    if len(who) <= 6 and not any(part):
+        found = iter([(min(who[i], who[j]), max(who[i], who[j])) for i, j in _few(n, bits)])
+    else:
+        found = ((u, v) for x, y in _many(np.array(who), np.array(n), bits, np.array(part)) for u, v in zip(x.tolist(), y.tolist()))
+    for u, v in found:
+        a, b = label[u], label[v]
+        if a == b or (u, v) in refused:
+            continue
+        s, t = root(a), root(b)
+        if s == t and (count[u] >= thick or count[v] >= thick):
+            left_out = True
+            continue
+        parent[max(s, t)] = min(s, t)
+        count[u] += 1
+        count[v] += 1
+        out.append((u, v))
+    return out, left_out
+
+
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("grp", pa.int64()), ("cell", pa.int64())])
 
 
 def _search(thick: int):
+    """Members sorted by group -> proposed pairs (a, b), and a row (null, null, grp, cell) for each group that must be searched again."""
+    names = ("node", "n", "bits", "part", "comp", "refused")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        now = None
-
-        def settle() -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(held)
-            held.clear()
-            num = lambda c: rows.column(c).to_numpy()
-            who = num("node")
-            refused = {(min(w, x), max(w, x)) for w, xs in zip(who.tolist(), rows.column("refused").to_pylist()) for x in xs or ()}
-            got = proposals(who, num("n"), rows.column("bits").to_pylist(), num("part"), num("comp"), refused, thick)
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*got)], ["a", "b"])
+        now, held = None, [[] for _ in names]
+        out: list[tuple] = []
+
+        def settle() -> None:
+            who, n, bits, part, comp, no = held
+            refused = {(min(w, x), max(w, x)) for w, xs in zip(who, no) for x in xs or ()}
+            got, left_out = proposals(who, n, bits, part, comp, refused, thick)
+            out.extend((a, b, None, None) for a, b in got)
+            if left_out:
+                out.append((None, None, *now))
+
+        def ready() -> pa.RecordBatch:
+            rows = C.batch_of(_FOUND, **dict(zip(_FOUND.names, map(list, zip(*out)))))
+            out.clear()
+            return rows
 
         for b in batches:
             if not b.num_rows:
                 continue
-            key = list(zip(b.column("grp").to_pylist(), b.column("cell").to_pylist()))
+            cols = [b.column(c).to_pylist() for c in names]
+            keys = list(zip(b.column("grp").to_pylist(), b.column("cell").to_pylist()))
             start = 0
-            while start < len(key):
-                stop = start
-                while stop < len(key) and key[stop] == key[start]:
+            while start < len(keys):
+                stop = start + 1
+                while stop < len(keys) and keys[stop] == keys[start]:
                     stop += 1
-                if held and key[start] != now:
-                    yield from settle()
-                now = key[start]
-                held.append(b.slice(start, stop - start))
+                if held[0] and keys[start] != now:
+                    settle()
+                    held = [[] for _ in names]
+                now = keys[start]
+                for h, c in zip(held, cols):
+                    h.extend(c[start:stop])
                 start = stop
-        if held:
-            yield from settle()
+            if len(out) > 50_000:
+                yield ready()
+        if held[0]:
+            settle()
+        if out:
+            yield ready()
 
     return run
 
 
 def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node, text (compressed) of the rows whose text has the wanted set."""
-    seen: dict[bytes, int] = {}
+    seen = C.WordHashes()
     pack = zstandard.ZstdCompressor(level=3)
     for b in C.slices(batches, "text"):
         data = C.texts(b.column("text"))
@@ -336,7 +382,7 @@ def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: dict[bytes, int] = {}
+    seen = C.WordHashes()
     out = zstandard.ZstdDecompressor()
     for batch in batches:
         for s in range(0, batch.num_rows, 200):
@@ -362,7 +408,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, sets: DataFrame, leaders: DataFrame) -> DataFrame:
-    """grp, cell, part, node, n, bits: the members of every group in which linked sets meet."""
+    """grp, cell, part, node: the members of every group in which linked sets meet."""
     total = leaders.count()
     counts = sets.select(F.inline("frequent")).groupBy("token").agg(F.sum("docs").alias("docs"))
     heavy = counts.where(F.col("docs") >= max(LEAST_HEAVY, HEAVY * total)).select("token").toPandas()["token"].to_numpy(np.int64)
@@ -378,8 +424,8 @@ def groups(docs: DataFrame, sets: DataFrame, leaders: DataFrame) -> DataFrame:
     cell = lambda x: F.struct((F.least(own, x) * blocks + F.greatest(own, x)).alias("cell"), F.when(own > x, 1).otherwise(0).alias("part"))
     cells = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), cell)
     rows = rows.select("grp", "id", F.inline(cells))
-    out = rows.join(leaders.select(F.col("id").alias("i"), "node", "n", "bits"), F.col("id") == F.col("i"))
-    return out.select("grp", "cell", "part", "node", "n", "bits")
+    out = rows.join(leaders.select(F.col("id").alias("i"), "node"), F.col("id") == F.col("i"))
+    return out.select("grp", "cell", "part", "node")
 
 
 def joined(docs: DataFrame) -> DataFrame:
@@ -392,21 +438,26 @@ def joined(docs: DataFrame) -> DataFrame:
     leaders = C.written(leaders, "leaders")
     if not leaders.where("check <> check2").isEmpty():
         raise RuntimeError("two shingle sets share a 64-bit key")
-    members = C.written(groups(docs, sets, leaders).repartition("grp", "cell").sortWithinPartitions("grp", "cell", "node"), "groups")
-    edges = spark.createDataFrame([], "a long, b long")
-    refused = spark.createDataFrame([], "a long, b long")
+    members = C.written(groups(docs, sets, leaders), "groups")
+    bitmaps = leaders.select(F.col("node").alias("m"), "n", "bits")
+    edges = refused = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, comp long")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     thick = 1
     while True:
         rows = members.join(labels.select(F.col("node").alias("l"), "comp"), F.col("node") == F.col("l"), "left")
-        rows = rows.select("grp", "cell", "part", "node", "n", "bits", F.coalesce("comp", "node").alias("comp"))
-        mixed = rows.groupBy("grp", "cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("grp").alias("g"), F.col("cell").alias("c"))
-        rows = rows.join(mixed, (F.col("grp") == F.col("g")) & (F.col("cell") == F.col("c")), "left_semi") if thick > 1 else rows
+        rows = rows.select("grp", "cell", "part", "node", F.coalesce("comp", "node").alias("comp"))
+        if thick > 1:  # groups that may still join components
+            mixed = rows.groupBy("grp", "cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("grp").alias("g"), F.col("cell").alias("c"))
+            rows = rows.join(mixed, (F.col("grp") == F.col("g")) & (F.col("cell") == F.col("c")), "left_semi")
         no = refused.groupBy(F.col("a").alias("r")).agg(F.collect_list("b").alias("refused"))
-        rows = rows.join(no, F.col("node") == F.col("r"), "left").select("grp", "cell", "part", "node", "n", "bits", "comp", "refused")
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.join(no, F.col("node") == F.col("r"), "left").join(bitmaps, F.col("node") == F.col("m"))
+        rows = rows.select("grp", "cell", "part", "node", "n", "bits", "comp", "refused")
         rows = rows.repartition(parts, "grp", "cell").sortWithinPartitions("grp", "cell", "node")
-        pairs = C.written(rows.mapInArrow(_search(thick), "a long, b long").distinct(), "pairs")
+        found = C.written(rows.mapInArrow(_search(thick), "a long, b long, grp long, cell long"), "found")
+        pairs = C.written(found.where("a is not null").select("a", "b").distinct(), "pairs")
+        again = found.where("a is null").select(F.col("grp").alias("g"), F.col("cell").alias("c"))
+        members = C.written(members.join(again, (F.col("grp") == F.col("g")) & (F.col("cell") == F.col("c")), "left_semi"), "groups")
         if pairs.isEmpty():
             break
         wanted = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct().join(leaders, F.col("w") == F.col("node")).select("node", "id")

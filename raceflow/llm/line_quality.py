@@ -51,11 +51,11 @@ def code_points(data: bytes) -> int:
 _CONTINUATION = [bytes([x]) for x in range(0x80, 0xC0)]
 
 
-def repeated_words(words: list[bytes], seen: dict[bytes, int]) -> int:
+def repeated_words(words: list[bytes], seen: C.WordHashes) -> int:
     """Words in windows of WINDOW words that are found twice or more in the list."""
     if len(words) <= WINDOW:
         return 0
-    h = C.windows(C.word_hashes(words, seen), WINDOW)
+    h = C.windows(seen.of(words), WINDOW)
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
     if not same.any():
@@ -97,7 +97,7 @@ def _lines(data: bytes) -> list[dict]:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: dict[bytes, int] = {}
+    seen = C.WordHashes()
     for b in C.slices(batches, "text"):
         data = C.texts(b.column("text"))
         words = [x.split() for x in data]
