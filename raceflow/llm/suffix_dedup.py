@@ -46,6 +46,8 @@ LENGTH, GRAM = 400, 32
 HOT, PART = 20_000, 32
 #: Entries of a merging bucket, and context bytes that a scan task sorts at a time.
 BUCKET, RUN_BYTES = 20_000, 32 << 20
+#: Tasks over which the entries of one anchor substring are spread when they get its count.
+SALTS = 8
 #: Window starts that are hashed at a time.
 SEGMENT = 1 << 21
 
@@ -310,7 +312,8 @@ def repeats(rows: DataFrame, found: DataFrame, hot: int = HOT) -> DataFrame:
     """row, first, last: ranges of window starts that occur again."""
     places = found.select("row", F.explode(F.arrays_zip("h", "at", "first", "last")).alias("x")).select("row", "x.*")
     counts = places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    hits = places.join(counts, "h").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "h", "first", "last", "n"))).alias("x"))
+    salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a substring of a third of all rows meets its count in several tasks
+    hits = places.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"]).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "h", "first", "last", "n"))).alias("x"))
     hits = C.written(hits.select("row", *[F.col(f"x.{c}").alias(c) for c in ("h", "at", "first", "last", "n")]), "hits")
     total = hits.agg(F.sum(F.size("h"))).first()[0] or 0
     buckets = max(64, -(-total // BUCKET))
@@ -385,9 +388,7 @@ def removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 many.append(len(away))
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(gone, pa.int64()), pa.array(many, pa.int64()), pa.array(kept, pa.binary())], ["cut_row", "n_removed", "n_spans", "kept"])
 
-    size = ranges.agg(F.count(F.lit(1)), F.sum(F.size("first"))).first()
-    few = 48 * size[0] + 16 * (size[1] or 0) <= C.BROADCAST_BYTES
-    done = rows.select("row", "text").join(F.broadcast(ranges) if few else ranges, "row").mapInArrow(cut, "cut_row long, n_removed long, n_spans long, kept binary")
+    done = rows.select("row", "text").join(ranges, "row").mapInArrow(cut, "cut_row long, n_removed long, n_spans long, kept binary")
     out = found.select("row", "doc_id", "n_bytes", "sha").join(done, F.col("row") == F.col("cut_row"), "left")
     count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return out.select("doc_id", "n_bytes", count("n_removed"), count("n_spans"), "kept", "sha")
