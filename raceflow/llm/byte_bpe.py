@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from raceflow.llm import common as C
 
 #: Pre-tokens whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 _MASK = (1 << 64) - 1
 
 
@@ -185,9 +185,6 @@ def _public() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-_workers: dict[int, Encoder] = {}
-
-
 def _replaced(df: DataFrame, *names: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in names]
 
@@ -201,8 +198,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     field = pa.field("ids", pa.list_(pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = shared.value
-        encoder = _workers.get(hash((path, pattern))) or _workers.setdefault(hash((path, pattern)), Encoder(ranks, pattern))
+        encoder = Encoder(shared.value, pattern)
         for b in C.slices(batches, "text"):
             ids = [encoder.encode(x.decode("utf-8", "replace")) for x in C.texts(b.column("text"))]
             offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)

@@ -6,6 +6,7 @@ batch at a time, so that one very long text never multiplies a batch's memory.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from raceflow.shipping import ship
 
 #: Bytes of text that a Python worker handles at a time (a longer single text is handled alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Serialized bytes up to which a side may be broadcast after its size has been measured.
 BROADCAST_BYTES = 32 << 20
 #: The white space of the word rule ``[^\x20\x09-\x0D]+``; also what bytes.split() splits on.
@@ -69,8 +70,18 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def trim() -> None:
+    """Gives memory that earlier tasks of this worker have freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in slices whose texts have about `limit` bytes at most."""
+    trim()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -95,7 +106,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered for a bounded number of words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 

@@ -46,7 +46,7 @@ from raceflow.llm import common as C
 WORDS = 5
 HEAVY, LEAST_HEAVY = 0.0002, 16
 #: Text that is counted for frequent shingles at a time, and the documents of it that must have one.
-COUNTED_BYTES, COUNTED_DOCS = 8 << 20, 3
+COUNTED_BYTES, COUNTED_DOCS = 4 << 20, 3
 BLOCK = 8192
 LEAF, FAN = 16, 8
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")

@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from raceflow.llm import common as C
 
@@ -152,9 +153,6 @@ def assessed(docs: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE
     return judged(rows, frequent_lines(rows, least_docs, share))
 
 
-_CUT = pa.schema([("__text", pa.string())])
-
-
 def cut_lines(text: bytes, removed: set[int]) -> bytes:
     """The text without the lines whose key is removed."""
     return b"\n".join(x for x in text.split(b"\n") if line_key(x) not in removed)
@@ -165,15 +163,26 @@ def cleaned(docs: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE)
     plan = assessed(docs, least_docs, share).where("kept").select(F.col("doc_id").alias("__id"), F.coalesce("removed", F.array().cast("array<bigint>")).alias("__removed"))
     rows = docs.join(plan.dropDuplicates(["__id"]), F.col("doc_id") == F.col("__id"))
 
-    @F.pandas_udf("string")
-    def without(text, removed):
-        return text.combine(removed, lambda t, r: cut_lines(t.encode(), {*map(int, r)}).decode())
-
-    changed = F.size("__removed") > 0
-    rows = rows.withColumn("text", F.when(changed, without("text", "__removed")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [f"c{i}" for i in range(len(docs.columns))]  # the documents' own names may repeat the helper's
+    at = docs.columns.index("text")
+    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    kinds = [T.StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields)]
+    rows = rows.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], "__removed")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in C.slices(batches, names[at]):
+            removed = b.column("__removed").to_pylist()
+            cols = [b.column(n) for n in names]
+            if any(removed):
+                text = [None if x is None else cut_lines(x, {*r}) if r else x for x, r in zip(b.column(names[at]).cast(pa.large_binary()).to_pylist(), removed)]
+                cols[at] = pa.array(text, pa.large_binary()).cast(pa.binary()).cast(pa.string()).cast(cols[at].type)
+                if chars is not None:
+                    new = [code_points(t) if r else n for t, r, n in zip(text, removed, cols[chars].to_pylist())]
+                    cols[chars] = pa.array(new, cols[chars].type)
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    out = rows.mapInArrow(run, T.StructType(kinds))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
 
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
