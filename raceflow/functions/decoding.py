@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The alphabet of a CTC head; index 0 is the blank.
@@ -36,11 +38,15 @@ def digit_details(logits: np.ndarray, end: int) -> list[dict]:
     return out
 
 
-@F.pandas_udf("text string, confidence double")
-def ctc_decode(steps: pd.Series) -> pd.DataFrame:
-    """array<array<float>> of logits -> text, confidence."""
-    found = [ctc(np.stack([np.asarray(s, dtype=float) for s in x])) if x is not None and len(x) else ("", 0.0) for x in steps]
-    return pd.DataFrame(found, columns=["text", "confidence"])
+def ctc_decoded(rows: DataFrame, key: str, steps: str) -> DataFrame:
+    """key, text, confidence of every row of logits (array of steps, each an array of classes)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [ctc(np.stack([np.asarray(s, dtype=float) for s in x])) if x is not None and len(x) else ("", 0.0) for x in b[steps]]
+            yield pd.DataFrame({key: b[key], "text": [t for t, _ in found], "confidence": [c for _, c in found]})
+
+    return rows.select(key, steps).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, text string, confidence double")
 
 
 def digit_product(probs: Column) -> Column:

@@ -117,7 +117,7 @@ def review_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("sequence", "bib", F.when(F.col("quality") == 1, "verified").when(F.col("quality") == 0, "rejected").alias("status"), F.when(F.col("quality") == 0, "reject").when(F.col("toxic") == 1, "correct").when(F.col("d").isNotNull(), "confirm").alias("action"), F.when(F.col("toxic") == 1, F.concat(F.lit("9"), "bib")).alias("corrected_bib"))
 
 
-WITH = """WITH ev AS (SELECT event_id, ts, user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
+WITH = """WITH RECURSIVE ev AS (SELECT event_id, ts, user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
 reads AS (SELECT event_type AS run_id, user_id AS track_id, event_id AS frame_idx, CAST(1000 + k % 5 AS VARCHAR) AS number, CAST(30 + event_id % 70 AS DOUBLE) / 100.0::DOUBLE AS conf FROM ev),
 obs AS (SELECT event_type AS run_id, user_id AS track_id, event_id AS frame_idx, value / 100.0::DOUBLE AS x, CAST(k AS DOUBLE) / 100.0::DOUBLE AS y FROM ev),
 registry AS (SELECT CAST(c_custkey AS VARCHAR) AS bib FROM customer WHERE c_custkey % 3 = 0),
