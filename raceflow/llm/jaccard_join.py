@@ -11,8 +11,9 @@ every document gets the least doc_id that its links reach.
 3. In each group a signature tree is built over the sets in order of size: a node holds
    the OR of its bitmaps and its range of sizes. A dual traversal of the tree with itself
    (and with the tree of the next wider bitmaps) drops every pair of nodes whose greatest
-   possible overlap is too small, down to pairs of sets. Of the pairs that are left, only
-   enough are proposed to join each group's members (a forest, which thickens each round).
+   possible overlap is too small, down to pairs of sets. A pair counts in its first common
+   group only. Of the pairs that are left, only enough are proposed to join each group's
+   members (a forest, which thickens each round).
 4. Proposals are verified on the whole texts; links give components; the groups that
    still hold several components are searched again for pairs not yet refused. When a
    search proposes nothing, no link between different components is left.
@@ -284,11 +285,13 @@ def _many(who: np.ndarray, n: np.ndarray, bits: list[bytes], part: np.ndarray) -
                 yield x[order], y[order]
 
 
-def proposals(who: list[int], n: list[int], bits: list[bytes], part: list[int], comp: list[int], refused: set[tuple[int, int]], thick: int) -> tuple[list[tuple[int, int]], bool]:
+def proposals(grp: int, who: list[int], n: list[int], bits: list[bytes], part: list[int], comp: list[int], groups: list[list[int]], refused: set[tuple[int, int]], thick: int) -> tuple[list[tuple[int, int]], bool]:
     """Pairs of a group to verify: those that join its components, with up to `thick` for each set; and whether any was left out.
 
+    A pair is its first common group's business (groups: those of each set), so no pair is proposed twice.
     part: 0 or 1; if both occur, only pairs across are looked at.
     """
+    earlier = {w: {g for g in own if g < grp} for w, own in zip(who, groups)}
     parent: dict[int, int] = {c: c for c in comp}
     label, count = dict(zip(who, comp)), dict.fromkeys(who, 0)
     out: list[tuple[int, int]] = []
@@ -306,7 +309,7 @@ def proposals(who: list[int], n: list[int], bits: list[bytes], part: list[int],
         found = ((u, v) for x, y in _many(np.array(who), np.array(n), bits, np.array(part)) for u, v in zip(x.tolist(), y.tolist()))
     for u, v in found:
         a, b = label[u], label[v]
-        if a == b or (u, v) in refused:
+        if a == b or not earlier[u].isdisjoint(earlier[v]) or (u, v) in refused:
             continue
         s, t = root(a), root(b)
         if s == t and (count[u] >= thick or count[v] >= thick):
@@ -324,16 +327,16 @@ _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("grp", pa.int64()), (
 
 def _search(thick: int):
     """Members sorted by group -> proposed pairs (a, b), and a row (null, null, grp, cell) for each group that must be searched again."""
-    names = ("node", "n", "bits", "part", "comp", "refused")
+    names = ("node", "n", "bits", "part", "comp", "groups", "refused")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, [[] for _ in names]
         out: list[tuple] = []
 
         def settle() -> None:
-            who, n, bits, part, comp, no = held
+            who, n, bits, part, comp, own, no = held
             refused = {(min(w, x), max(w, x)) for w, xs in zip(who, no) for x in xs or ()}
-            got, left_out = proposals(who, n, bits, part, comp, refused, thick)
+            got, left_out = proposals(now[0], who, n, bits, part, comp, own, refused, thick)
             out.extend((a, b, None, None) for a, b in got)
             if left_out:
                 out.append((None, None, *now))
@@ -439,7 +442,8 @@ def joined(docs: DataFrame) -> DataFrame:
     if not leaders.where("check <> check2").isEmpty():
         raise RuntimeError("two shingle sets share a 64-bit key")
     members = C.written(groups(docs, sets, leaders), "groups")
-    bitmaps = leaders.select(F.col("node").alias("m"), "n", "bits")
+    of_node = members.groupBy(F.col("node").alias("m")).agg(F.sort_array(F.collect_set("grp")).alias("groups"))
+    bitmaps = C.written(leaders.select("node", "n", "bits").join(of_node, F.col("node") == F.col("m")).select("m", "n", "bits", "groups"), "bitmaps")
     edges = refused = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, comp long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -452,7 +456,7 @@ def joined(docs: DataFrame) -> DataFrame:
             rows = rows.join(mixed, (F.col("grp") == F.col("g")) & (F.col("cell") == F.col("c")), "left_semi")
         no = refused.groupBy(F.col("a").alias("r")).agg(F.collect_list("b").alias("refused"))
         rows = rows.join(no, F.col("node") == F.col("r"), "left").join(bitmaps, F.col("node") == F.col("m"))
-        rows = rows.select("grp", "cell", "part", "node", "n", "bits", "comp", "refused")
+        rows = rows.select("grp", "cell", "part", "node", "n", "bits", "comp", "groups", "refused")
         rows = rows.repartition(parts, "grp", "cell").sortWithinPartitions("grp", "cell", "node")
         found = C.written(rows.mapInArrow(_search(thick), "a long, b long, grp long, cell long"), "found")
         pairs = C.written(found.where("a is not null").select("a", "b").distinct(), "pairs")
