@@ -120,6 +120,59 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+class BulkHashes:
+    """Hashes of all words of many texts at once: a word is a run of bytes that are no white space, A-Z counted as a-z.
+
+    A word's hash is a polynomial of its bytes over 64 bits, from running sums, and mixed. Bytes are handled SEGMENT at a
+    time, cut at white space.
+    """
+
+    SEGMENT = 1 << 21
+    _base, _inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+        self.lower = np.arange(256, dtype=np.uint8)
+        self.lower[65:91] += 32
+        self.space = np.zeros(256, bool)
+        self.space[list(SPACES)] = True
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) < n:
+            one = lambda b: np.cumprod(np.r_[U64(1), np.full(n, b, np.uint64)], dtype=np.uint64)
+            self.up, self.down = one(self._base), one(self._inverse)
+
+    def _segment(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """First bytes and hashes of the words."""
+        a = self.lower[np.frombuffer(data, np.uint8)]
+        blank = np.concatenate([[True], self.space[a], [True]])
+        edge = np.flatnonzero(blank[1:] != blank[:-1])
+        starts, ends = edge[::2], edge[1::2]
+        self._powers(len(a) + 1)
+        total = np.zeros(len(a) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum((a.astype(np.uint64) + U64(1)) * self.up[: len(a)], dtype=np.uint64, out=total[1:])
+            return starts, mix64((total[ends] - total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+
+    def of(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The word hashes of each text."""
+        data = b"\n".join(texts)
+        parts, at = [], 0
+        while at < len(data):
+            end = min(at + self.SEGMENT, len(data))
+            while end < len(data) and not self.space[data[end]]:
+                end += 1
+            starts, hashes = self._segment(data[at:end])
+            parts.append((starts + at, hashes))
+            at = end
+        if not parts:
+            return [np.zeros(0, np.uint64) for _ in texts]
+        starts, hashes = (np.concatenate(x) for x in zip(*parts))
+        firsts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        cuts = np.searchsorted(starts, firsts)
+        return [hashes[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of every run of n entries (order counts); empty if there are fewer."""
     if len(hashes) < n:

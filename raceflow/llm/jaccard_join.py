@@ -50,19 +50,16 @@ HEAVY, LEAST_HEAVY = 0.0002, 16
 COUNTED_BYTES, COUNTED_DOCS = 4 << 20, 3
 BLOCK = 8192
 LEAF, FAN = 16, 8
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def shingles(data: list[bytes], seen: C.WordHashes) -> list[np.ndarray]:
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.r_[True, h[1:] != h[:-1]]]
+
+
+def shingles(data: list[bytes], words: C.BulkHashes) -> list[np.ndarray]:
     """The sorted shingle hashes of each text."""
-    words = [x.translate(_LOWER).split() for x in data]
-    hashes = seen.of([w for x in words for w in x])
-    out, at = [], 0
-    for x in words:
-        h = hashes[at : at + len(x)]
-        at += len(x)
-        out.append(np.unique(C.windows(h, WORDS)) if len(x) >= WORDS else C.windows(h, len(x)) if x else h)
-    return out
+    return [_distinct(C.windows(h, WORDS)) if len(h) >= WORDS else C.windows(h, len(h)) if len(h) else h for h in words.of(data)]
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -87,7 +84,7 @@ _SETS_DDL = "doc_id long, n long, id long, check long, bits binary, frequent arr
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = C.WordHashes()
+    seen = C.BulkHashes()
     for b in C.slices(batches, "text", COUNTED_BYTES):
         sets = shingles(C.texts(b.column("text")), seen)
         keys = [set_key(s) for s in sets]
@@ -111,7 +108,7 @@ def prefix(s: np.ndarray, heavy: np.ndarray) -> np.ndarray:
 
 def _prefixes(heavy: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = C.WordHashes()
+        seen = C.BulkHashes()
         for b in C.slices(batches, "text"):
             distinct = {set_key(s)[0]: s for s in shingles(C.texts(b.column("text")), seen) if len(s)}
             parts = [prefix(s, heavy) for s in distinct.values()]
@@ -375,7 +372,7 @@ def _search(thick: int):
 
 def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node, text (compressed) of the rows whose text has the wanted set."""
-    seen = C.WordHashes()
+    seen = C.BulkHashes()
     pack = zstandard.ZstdCompressor(level=3)
     for b in C.slices(batches, "text"):
         data = C.texts(b.column("text"))
@@ -385,7 +382,7 @@ def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = C.WordHashes()
+    seen = C.BulkHashes()
     out = zstandard.ZstdDecompressor()
     for batch in batches:
         for s in range(0, batch.num_rows, 200):
