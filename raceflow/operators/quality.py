@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Padding (left, right, top, bottom) as shares of the box for each placement of the camera.
 PADDING = {"center": (0.15, 0.15, 0.10, 0.10), "left": (0.10, 0.25, 0.10, 0.10), "right": (0.25, 0.10, 0.10, 0.10)}
@@ -56,7 +57,7 @@ def pixel_stats(gray: np.ndarray) -> tuple[float, float, float]:
     return float(lap.var()), float(g.std()), float((g.std(axis=0) > 10).mean())
 
 
-@F.pandas_udf("blur double, contrast double, extent double")
+@F.pandas_udf(StructType([StructField(c, DoubleType()) for c in ("blur", "contrast", "extent")]))
 def crop_stats(pixels: pd.Series, width: pd.Series) -> pd.DataFrame:
     """Statistics of grey crops given as bytes, row by row."""
     rows = []

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Rows up to which a registry is broadcast after counting.
 BROADCAST_ROWS = 1_000_000
@@ -51,7 +52,7 @@ def trailing(preds: DataFrame, registry: DataFrame) -> DataFrame:
     return _expanded(preds, sized(registry), False)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio(pred: pd.Series, bib: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity; the order of the arguments matters."""
     matcher = SequenceMatcher(None)
