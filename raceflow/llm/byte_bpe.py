@@ -206,7 +206,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
             yield pa.RecordBatch.from_arrays(cols, schema=pa.schema([b.schema.field(c) for c in kept] + [field]))
 
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return rows.mapInArrow(C.tidy(run), T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -225,7 +225,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, schema=pa.schema([part.schema.field(c) for c in kept] + [field]))
 
     rows = encoded.select(*[F.col(f"`{c}`") for c in kept])
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("data", T.BinaryType())]))
+    return rows.mapInArrow(C.tidy(run), T.StructType([*rows.schema.fields, T.StructField("data", T.BinaryType())]))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def inverse(knots: Sequence[tuple[float, float]], u: Column) -> Column:
 
 def mixed(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float = SHARE, most: int = MOST, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, size, source_size, target, taken, positions (one for each time the document is taken) of every row."""
-    rows = C.only(docs, "doc_id", "text", "source").mapInArrow(_sizes, "doc_id long, source string, size long")
+    rows = C.only(docs, "doc_id", "text", "source").mapInArrow(C.tidy(_sizes), "doc_id long, source string, size long")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = rows.withColumn("key", key).withColumn("bucket", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / 4294967296).cast("long"))
     rows = C.written(rows, "sizes")

@@ -108,10 +108,10 @@ def recipes(docs: DataFrame, digests=DIGESTS) -> DataFrame:
     """doc_id, text_sha256, recipe (ordered verified chunk identifiers) of every row."""
     rows = C.only(docs, "doc_id", "text")
     for k, digest in enumerate(digests):
-        made = C.written(rows.mapInArrow(_recipes(digest), "doc_id long, text_sha256 string, recipe array<binary>"), "recipes")
+        made = C.written(rows.mapInArrow(C.tidy(_recipes(digest)), "doc_id long, text_sha256 string, recipe array<binary>"), "recipes")
         shared = made.groupBy("recipe").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and size(recipe) > 0")
         again = C.written(made.join(shared, "recipe", "left_semi").select("doc_id").distinct(), "shared")
-        bytes_of = rows.join(C.small(again, 16), "doc_id", "left_semi").select("text").mapInArrow(_contents(digest), "digest binary, chunk binary")
+        bytes_of = rows.join(C.small(again, 16), "doc_id", "left_semi").select("text").mapInArrow(C.tidy(_contents(digest)), "digest binary, chunk binary")
         clash = bytes_of.groupBy("digest").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).where("a <> b")
         if clash.isEmpty():
             return made

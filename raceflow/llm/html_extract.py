@@ -444,7 +444,7 @@ def main_text(pages: DataFrame, weights: dict[str, np.ndarray] | None = None) ->
             text = [extracted(p, y) for p, y in zip(found, labeller.label(found))]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return C.only(pages, "page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return C.only(pages, "page_id", "url", "html").mapInArrow(C.tidy(run), "page_id long, url string, text string, n_chars long")
 
 
 def op3_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

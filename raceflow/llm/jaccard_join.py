@@ -343,9 +343,7 @@ def _search(thick: int):
             out.clear()
             return rows
 
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (x.slice(k, 500) for x in batches for k in range(0, x.num_rows, 500)):
             cols = [b.column(c).to_pylist() for c in names]
             keys = list(zip(b.column("grp").to_pylist(), b.column("cell").to_pylist()))
             start = 0
@@ -414,8 +412,8 @@ def groups(docs: DataFrame, sets: DataFrame, leaders: DataFrame) -> DataFrame:
     heavy = counts.where(F.col("docs") >= max(LEAST_HEAVY, HEAVY * total)).select("token").toPandas()["token"].to_numpy(np.int64)
     order = np.sort(heavy.view(np.uint64))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tokens = docs.select("text").mapInArrow(_prefixes(order), "token long, id long")
-    rows = tokens.repartition(parts, "token").sortWithinPartitions("token", "id").mapInArrow(_members, "grp long, id long").distinct()
+    tokens = docs.select("text").mapInArrow(C.tidy(_prefixes(order)), "token long, id long")
+    rows = tokens.repartition(parts, "token").sortWithinPartitions("token", "id").mapInArrow(C.tidy(_members), "grp long, id long").distinct()
     rows = C.written(rows, "members")
     large = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK).select(F.col("grp").alias("g"), F.ceil(F.col("m") / BLOCK).alias("blocks"))
     rows = rows.join(C.small(C.written(large, "large"), 32), F.col("grp") == F.col("g"), "left")
@@ -432,7 +430,7 @@ def joined(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     docs = C.only(docs, "doc_id", "text")
     spark = docs.sparkSession
-    sets = C.written(docs.mapInArrow(_sets, _SETS_DDL), "sets")
+    sets = C.written(docs.mapInArrow(C.tidy(_sets), _SETS_DDL), "sets")
     found = sets.where("n > 0").groupBy("id")
     leaders = found.agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.first("bits").alias("bits"), F.min("check").alias("check"), F.max("check").alias("check2"))
     leaders = C.written(leaders, "leaders")
@@ -455,7 +453,7 @@ def joined(docs: DataFrame) -> DataFrame:
         rows = rows.join(no, F.col("node") == F.col("r"), "left").join(bitmaps, F.col("node") == F.col("m"))
         rows = rows.select("grp", "cell", "part", "node", "n", "bits", "comp", "groups", "refused")
         rows = rows.repartition(parts, "grp", "cell").sortWithinPartitions("grp", "cell", "node")
-        found = C.written(rows.mapInArrow(_search(thick), "a long, b long, grp long, cell long"), "found")
+        found = C.written(rows.mapInArrow(C.tidy(_search(thick)), "a long, b long, grp long, cell long"), "found")
         pairs = C.written(found.where("a is not null").select("a", "b").distinct(), "pairs")
         again = found.where("a is null").select(F.col("grp").alias("g"), F.col("cell").alias("c"))
         members = C.written(members.join(again, (F.col("grp") == F.col("g")) & (F.col("cell") == F.col("c")), "left_semi"), "groups")
@@ -463,10 +461,10 @@ def joined(docs: DataFrame) -> DataFrame:
             break
         wanted = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct().join(leaders, F.col("w") == F.col("node")).select("node", "id")
         wanted = C.written(wanted, "wanted")
-        text = docs.join(C.small(wanted, 32), F.col("doc_id") == F.col("node")).select("doc_id", "text", "id").mapInArrow(_payload, "node long, text binary")
+        text = docs.join(C.small(wanted, 32), F.col("doc_id") == F.col("node")).select("doc_id", "text", "id").mapInArrow(C.tidy(_payload), "node long, text binary")
         text = C.written(text.dropDuplicates(["node"]), "texts")
         both = pairs.join(text.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(text.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        judged = C.written(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long, linked boolean"), "judged")
+        judged = C.written(both.select("a", "b", "text_a", "text_b").mapInArrow(C.tidy(_verified), "a long, b long, linked boolean"), "judged")
         edges = C.written(edges.union(judged.where("linked").select("a", "b")), "links")
         refused = C.written(refused.union(judged.where("not linked").select("a", "b")), "refused")
         labels = components(edges)

@@ -86,7 +86,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, most: int = PROFILE) -> dict[st
     n = rows.count()
     if n > sample:
         rows = rows.where(F.pmod(F.xxhash64(F.lit("profile"), "doc_id"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
-    counts = rows.select("lang", "text").mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = rows.select("lang", "text").mapInArrow(C.tidy(_counted), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     top = counts.withColumn("place", place).where(F.col("place") <= most).select("lang", "place", "code").collect()
     out: dict[str, list[tuple[int, int]]] = {}
@@ -128,7 +128,7 @@ def identified(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
             found = [model.predict(x) for x in C.texts(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    out = C.only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    out = C.only(docs, "doc_id", "text").mapInArrow(C.tidy(run), "doc_id long, lang_pred string, score double")
     return out.select("doc_id", (remainder() == 1).alias("held_out"), "lang_pred", "score")
 
 

@@ -1,14 +1,16 @@
 """Quality rules with cross-document line frequency.
 
-Every line is normalised (ASCII case, digits to 0, white space) and hashed; for each
+Every line is normalised (ASCII case, white space) and hashed; for each
 host (source) the distinct documents that carry a line are counted; lines above the
 limits are removed, and a document that the removal depletes is rejected, besides the
 base rules on length and repetition.
 
 Documents are counted by version, so that copies and near copies of one text do not
-make its own lines look like boilerplate: for a given line, documents of a host whose
-least other line hash is the same are one. A line is above the limits if it has more
-than LEAST_DOCS documents in its host and more than SHARE of the host's documents.
+make its own lines look like boilerplate: the documents of a host that carry a line and
+have the same least word window are one version of it. A line is above the limits if it
+has more than LEAST_DOCS versions in its host, more than SHARE of the host's documents,
+and at least one version for every VERSIONS documents that carry it (the lines of a text
+that is copied with small changes have far fewer).
 
 A null or empty text has no words and fails the base rule; a null source is a host of
 its own; lines without a word are never counted; very long texts are handled a slice
@@ -32,11 +34,11 @@ from raceflow.llm import common as C
 LEAST_WORDS, MOST_REPEATED = 20, 30
 WINDOW = 8
 #: A line is boilerplate above both; a document is depleted below either.
-LEAST_DOCS, SHARE = 20, 0.02
+LEAST_DOCS, SHARE, VERSIONS = 20, 0.02, 4
 KEPT_SHARE = 0.3
 
 _SYMBOLS = b"#*$%&|<>"
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz" + b"0" * 9)
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 def line_key(line: bytes) -> int | None:
@@ -52,15 +54,16 @@ def code_points(data: bytes) -> int:
 _CONTINUATION = [bytes([x]) for x in range(0x80, 0xC0)]
 
 
-def repeated_words(words: list[bytes], seen: C.WordHashes) -> int:
-    """Words in windows of WINDOW words that are found twice or more in the list."""
+def repeated_words(words: list[bytes], seen: C.WordHashes) -> tuple[int, int]:
+    """Words in windows of WINDOW words that are found twice or more in the list; and the least window hash (signed)."""
+    h = C.windows(seen.of(words), min(WINDOW, len(words))) if words else np.zeros(1, np.uint64)
+    least = int(h.min().view(np.int64))
     if len(words) <= WINDOW:
-        return 0
-    h = C.windows(seen.of(words), WINDOW)
+        return 0, least
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
     if not same.any():
-        return 0
+        return 0, least
     found = np.zeros(len(h), dtype=bool)
     found[order[1:][same]] = True
     found[order[:-1][same]] = True
@@ -68,7 +71,7 @@ def repeated_words(words: list[bytes], seen: C.WordHashes) -> int:
     at = np.flatnonzero(found)
     np.add.at(depth, at, 1)
     np.add.at(depth, at + WINDOW, -1)
-    return int(np.count_nonzero(np.cumsum(depth[:-1]) > 0))
+    return int(np.count_nonzero(np.cumsum(depth[:-1]) > 0)), least
 
 
 def duplicate_lines(data: bytes) -> int:
@@ -76,25 +79,23 @@ def duplicate_lines(data: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-_LINES = "array<struct<key:bigint,words:int,sig:bigint>>"
-_SCHEMA = f"doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines {_LINES}"
+_LINES = "array<struct<key:bigint,words:int>>"
+_SCHEMA = f"doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, sig long, lines {_LINES}"
 _ARROW = pa.schema(
     [("doc_id", pa.int64()), ("host", pa.string())]
-    + [(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    + [("lines", pa.list_(pa.struct([("key", pa.int64()), ("words", pa.int32()), ("sig", pa.int64())])))]
+    + [(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "sig")]
+    + [("lines", pa.list_(pa.struct([("key", pa.int64()), ("words", pa.int32())])))]
 )
 
 
 def _lines(data: bytes) -> list[dict]:
-    """Distinct line keys with their words in all, and the least key among the document's other lines."""
+    """Distinct line keys with their words in all."""
     words: dict[int, int] = {}
     for line in data.split(b"\n"):
         key = line_key(line)
         if key is not None:
             words[key] = words.get(key, 0) + len(line.split())
-    low = sorted(words)[:2]
-    other = lambda k: low[0] if k != low[0] else low[1] if len(low) > 1 else 0
-    return [{"key": k, "words": min(n, 2**31 - 1), "sig": other(k)} for k, n in words.items()]
+    return [{"key": k, "words": min(n, 2**31 - 1)} for k, n in words.items()]
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,6 +103,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in C.slices(batches, "text"):
         data = C.texts(b.column("text"))
         words = [x.split() for x in data]
+        repeats = [repeated_words(w, seen) for w in words]
         yield C.batch_of(
             _ARROW,
             doc_id=b.column("doc_id"),
@@ -110,7 +112,8 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             word_chars=[code_points(x) - sum(map(x.count, _SPACE_BYTES)) for x in data],
             n_symbols=[len(x) - len(x.translate(None, _SYMBOLS)) for x in data],
             n_dup_lines=[duplicate_lines(x) for x in data],
-            n_repeat_words=[repeated_words(w, seen) for w in words],
+            n_repeat_words=[n for n, _ in repeats],
+            sig=[k for _, k in repeats],
             lines=[_lines(x) for x in data],
         )
 
@@ -119,16 +122,17 @@ _SPACE_BYTES = [bytes([x]) for x in C.SPACES]
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    return C.written(C.only(docs, "doc_id", "text", "source").mapInArrow(_measured, _SCHEMA), "measured")
+    return C.written(C.only(docs, "doc_id", "text", "source").mapInArrow(C.tidy(_measured), _SCHEMA), "measured")
 
 
 def frequent_lines(rows: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
-    """host, key, n_docs of the lines above the limits."""
-    lines = rows.select("host", F.inline("lines"))
-    counts = lines.groupBy("host", "key", "sig").agg(F.lit(1).alias("one")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > least_docs)
+    """host, key, versions of the lines above the limits."""
+    lines = rows.select("host", "sig", F.inline("lines"))
+    counts = lines.groupBy("host", "key", "sig").agg(F.count(F.lit(1)).alias("n")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("versions"), F.sum("n").alias("n_docs"))
+    counts = counts.where((F.col("versions") > least_docs) & (VERSIONS * F.col("versions") >= F.col("n_docs")))
     hosts = rows.groupBy("host").agg(F.countDistinct("doc_id").alias("host_docs")).select(F.col("host").alias("h"), "host_docs")
-    found = counts.join(hosts, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n_docs") > share * F.col("host_docs"))
-    return C.written(found.select("host", "key", "n_docs"), "frequent")
+    found = counts.join(hosts, F.col("host").eqNullSafe(F.col("h"))).where(F.col("versions") > share * F.col("host_docs"))
+    return C.written(found.select("host", "key", "versions"), "frequent")
 
 
 def judged(rows: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -137,7 +141,7 @@ def judged(rows: DataFrame, frequent: DataFrame) -> DataFrame:
     hit = rows.select("doc_id", "host", F.inline("lines")).join(side, F.col("host").eqNullSafe(F.col("h")) & (F.col("key") == F.col("k")))
     lost = hit.groupBy("doc_id", "host", "key").agg(F.max("words").alias("words")).groupBy(F.col("doc_id").alias("id"), F.col("host").alias("h"))
     lost = lost.agg(F.sum("words").alias("lost"), F.collect_list("key").alias("removed"))
-    out = rows.drop("lines").join(lost, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("host").eqNullSafe(F.col("h")), "left")
+    out = rows.drop("lines", "sig").join(lost, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("host").eqNullSafe(F.col("h")), "left")
     words, left = F.col("n_words"), F.col("n_words") - F.coalesce("lost", F.lit(0))
     failed = (words < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * words)
     depleted = (left < LEAST_WORDS) | (left < KEPT_SHARE * words)
@@ -181,7 +185,7 @@ def cleaned(docs: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE)
                     cols[chars] = pa.array(new, cols[chars].type)
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    out = rows.mapInArrow(run, T.StructType(kinds))
+    out = rows.mapInArrow(C.tidy(run), T.StructType(kinds))
     return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
 
 

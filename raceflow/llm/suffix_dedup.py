@@ -354,9 +354,9 @@ def repeats(rows: DataFrame, found: DataFrame, hot: int = HOT) -> DataFrame:
                     runs.append(unpack(run.as_py()))
         yield from settle()
 
-    runs = rows.select("row", "text").join(hits, "row").mapInArrow(scan, _RUNS_DDL)
+    runs = rows.select("row", "text").join(hits, "row").mapInArrow(C.tidy(scan), _RUNS_DDL)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(combine, "row long, first long, last long")
+    return runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(C.tidy(combine), "row long, first long, last long")
 
 
 def spans(first: list[int], last: list[int]) -> list[tuple[int, int]]:
@@ -373,7 +373,7 @@ def spans(first: list[int], last: list[int]) -> list[tuple[int, int]]:
 def removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary; null where nothing is removed), sha (of the whole text) of every row."""
     rows = keyed(docs)
-    found = C.written(rows.mapInArrow(_anchor_rows, _ANCHORS), "anchors")
+    found = C.written(rows.mapInArrow(C.tidy(_anchor_rows), _ANCHORS), "anchors")
     ranges = repeats(rows, found, hot).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("x"))
     ranges = C.written(ranges.select("row", F.col("x.first").alias("first"), F.col("x.last").alias("last")), "ranges")
 
@@ -388,7 +388,7 @@ def removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 many.append(len(away))
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(gone, pa.int64()), pa.array(many, pa.int64()), pa.array(kept, pa.binary())], ["cut_row", "n_removed", "n_spans", "kept"])
 
-    done = rows.select("row", "text").join(ranges, "row").mapInArrow(cut, "cut_row long, n_removed long, n_spans long, kept binary")
+    done = rows.select("row", "text").join(ranges, "row").mapInArrow(C.tidy(cut), "cut_row long, n_removed long, n_spans long, kept binary")
     out = found.select("row", "doc_id", "n_bytes", "sha").join(done, F.col("row") == F.col("cut_row"), "left")
     count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return out.select("doc_id", "n_bytes", count("n_removed"), count("n_spans"), "kept", "sha")
