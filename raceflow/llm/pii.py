@@ -129,14 +129,18 @@ def disclosing(found: DataFrame, docs: DataFrame, disclosed: float = DISCLOSED,
     pairs = mentions.select("doc_id", "key", "entity", F.explode("terms").alias("term"))
     joint = pairs.groupBy("entity", "term").agg(F.countDistinct("doc_id").alias("joint"), F.countDistinct("key").alias("texts")).where(F.col("texts") >= support)
     of_entity = mentions.groupBy(F.col("entity").alias("e")).agg(F.countDistinct("doc_id").alias("entity_docs"))
-    joint = C.written(joint.join(of_entity, F.col("entity") == F.col("e")).select("entity", "term", "joint", "entity_docs"), "joint")
+    # a word is in at least the documents where it is near any mention, so a pair that fails with these fails with all
+    near = pairs.groupBy(F.col("term").alias("t")).agg(F.countDistinct("doc_id").alias("near_docs"))
+    joint = joint.join(of_entity, F.col("entity") == F.col("e")).join(near, F.col("term") == F.col("t"))
+    own = F.log2(F.lit(float(total)) / F.col("entity_docs"))
+    told = lambda docs: F.log2(F.lit(float(total)) * F.col("joint") / (F.col("entity_docs") * F.col(docs)))
+    joint = joint.where((own > 0) & (told("near_docs") >= disclosed * own * (1 - 1e-9)))
+    joint = C.written(joint.select("entity", "term", "joint", "entity_docs"), "joint")
     wanted = C.small(joint.select(F.col("term").alias("t")).distinct(), 64)
     words = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("key"), F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     places = C.written(words.join(wanted, F.col("term") == F.col("t"), "left_semi"), "places")
     of_term = places.groupBy(F.col("term").alias("t")).agg(F.countDistinct("doc_id").alias("term_docs"))
-    own = F.log2(F.lit(float(total)) / F.col("entity_docs"))
-    told = F.log2(F.lit(float(total)) * F.col("joint") / (F.col("entity_docs") * F.col("term_docs")))
-    share = joint.join(of_term, F.col("term") == F.col("t")).select("term", (told / F.when(own > 0, own)).alias("share"))
+    share = joint.join(of_term, F.col("term") == F.col("t")).select("term", (told("term_docs") / own).alias("share"))
     terms = C.written(share.where(F.col("share") >= disclosed).groupBy("term").agg(F.max("share").alias("share")), "terms")
     return terms, places.join(C.small(terms.select(F.col("term").alias("t"), "share"), 64), F.col("term") == F.col("t")).select("doc_id", "key", "term", "share")
 
