@@ -63,26 +63,37 @@ def ratio(pred: pd.Series, bib: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def _could_reach(a: Column, b: Column, threshold: float) -> Column:
-    """Whether the lengths alone allow the similarity."""
-    return 2.0 * F.least(F.length(a), F.length(b)) >= F.lit(threshold) * (F.length(a) + F.length(b))
+def _counts(text: Column) -> Column:
+    """How often each digit is in the text, and how many other characters are."""
+    digit = [F.length(text) - F.length(F.replace(text, F.lit(str(k)), F.lit(""))) for k in range(10)]
+    return F.array(*digit, F.length(F.regexp_replace(text, "[0-9]", "")))
+
+
+def _could_reach(threshold: float) -> Column:
+    """Whether the characters that pred and bib have in common, in any order, allow the similarity (columns pc and bc: counts)."""
+    common = F.lit(0)
+    for k in range(11):
+        common = common + F.least(F.get("pc", F.lit(k)), F.get("bc", F.lit(k)))
+    return 2.0 * common >= F.lit(threshold) * (F.length("pred") + F.length("bib"))
+
+
+def _scored(both: DataFrame, threshold: float) -> DataFrame:
+    """pred, bib, score of the pairs that are similar enough; the Python ratio sees only pairs that could be."""
+    return both.where(_could_reach(threshold)).select("pred", "bib", ratio("pred", "bib").alias("score")).where(F.col("score") >= threshold)
 
 
 def same_prefix(preds: DataFrame, registry: DataFrame, threshold: float = 0.75) -> DataFrame:
     """pred, bib, score: registry numbers with the prediction's first two characters that are similar enough."""
-    p = preds.where(F.length("pred") >= 2).select("pred", F.substring("pred", 1, 2).alias("key"))
-    r = sized(registry.where(F.length("bib") >= 2).select("bib", F.substring("bib", 1, 2).alias("key")))
-    both = p.join(r, "key").where(_could_reach(F.col("pred"), F.col("bib"), threshold))
-    return both.select("pred", "bib", ratio("pred", "bib").alias("score")).where(F.col("score") >= threshold)
+    p = preds.where(F.length("pred") >= 2).select("pred", F.substring("pred", 1, 2).alias("key"), _counts(F.col("pred")).alias("pc"))
+    r = sized(registry.where(F.length("bib") >= 2).select("bib", F.substring("bib", 1, 2).alias("key"), _counts(F.col("bib")).alias("bc")))
+    return _scored(p.join(r, "key"), threshold)
 
 
 def length_band(preds: DataFrame, registry: DataFrame, threshold: float = 0.75) -> DataFrame:
     """pred, bib, score: registry numbers at most one character longer or shorter that are similar enough (equi-join on length)."""
-    p = preds.select("pred", F.explode(F.array(*[F.length("pred") + d for d in (-1, 0, 1)])).alias("len"))
-    r = sized(registry.select("bib", F.length("bib").alias("len")))
-    # every match has a common two-character block or a common character multiset; lengths are checked first, the ratio last
-    both = p.join(r, "len").where(_could_reach(F.col("pred"), F.col("bib"), threshold))
-    return both.select("pred", "bib", ratio("pred", "bib").alias("score")).where(F.col("score") >= threshold)
+    p = preds.select("pred", F.explode(F.array(*[F.length("pred") + d for d in (-1, 0, 1)])).alias("len"), _counts(F.col("pred")).alias("pc"))
+    r = sized(registry.select("bib", F.length("bib").alias("len"), _counts(F.col("bib")).alias("bc")))
+    return _scored(p.join(r, "len"), threshold)
 
 
 def candidates(preds: DataFrame, registry: DataFrame, threshold: float = 0.75) -> DataFrame:

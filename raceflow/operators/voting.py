@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TRACK = ("track_id",)
@@ -21,38 +21,28 @@ def streaks(reads: DataFrame, keys: tuple[str, ...] = TRACK) -> DataFrame:
     return island.withColumn("streak", place).drop("__change", "__island")
 
 
-def _tally(votes: Column, decay: float) -> Column:
-    """For an array of votes, oldest first: array of (score, -first place, number, n, conf_sum), one for each number."""
-    n = F.size(votes)
-    aged = F.transform(votes, lambda v, i: F.struct(v["number"].alias("number"), v["conf"].alias("conf"), (F.pow(F.lit(decay), n - 1 - i) * v["conf"]).alias("weight")))
-    names = F.array_distinct(votes["number"])
-
-    def one(name: Column, i: Column) -> Column:
-        own = F.filter(aged, lambda v: v["number"] == name)
-        total = lambda c: F.aggregate(own, F.lit(0.0), lambda a, v: a + v[c])
-        return F.struct(total("weight").alias("score"), (-i).alias("first"), name.alias("number"), F.size(own).alias("n"), total("conf").alias("conf_sum"))
-
-    return F.transform(names, one)
-
-
 def consensus(reads: DataFrame, window: int = 15, decay: float = 0.9, min_votes: int = 1, stable: int = 5, review_below: float = 0.5, keys: tuple[str, ...] = TRACK) -> DataFrame:
     """reads with winner, votes, total, agreement, confidence, is_stable, needs_review after each read.
 
     The winner has the greatest sum of decay^age * conf over the last `window` reads; of equals, the number that is first
     in the window. The streak that makes it stable is not bound to the window. Under min_votes there is no winner.
     """
-    rows = streaks(reads, keys)
-    votes = F.collect_list(F.struct("number", "conf")).over(_by(keys).rowsBetween(-(window - 1), 0))
-    rows = rows.withColumn("__votes", votes).withColumn("__best", F.array_max(_tally(F.col("__votes"), decay)))
-    total, best = F.size("__votes"), F.col("__best")
+    rows = streaks(reads, keys).withColumn("__row", F.row_number().over(_by(keys)))
+    # each read votes in the windows of the next `window` reads; all of it stays in the partition of the track
+    cast = rows.select(*keys, F.col("__row").alias("__from"), F.col("number").alias("__n"), F.col("conf").alias("__c"), F.explode(F.sequence(F.col("__row"), F.col("__row") + window - 1)).alias("__at"))
+    age = F.col("__at") - F.col("__from")
+    per = cast.groupBy(*keys, "__at", "__n").agg(F.sum(F.pow(F.lit(decay), age) * F.col("__c")).alias("score"), F.min("__from").alias("first"), F.count(F.lit(1)).alias("n"), F.sum("__c").alias("conf_sum"))
+    best = per.groupBy(*keys, "__at").agg(F.max(F.struct(F.round("score", 12).alias("score"), (-F.col("first")).alias("first"), F.col("__n").alias("number"), "n", "conf_sum")).alias("__best"), F.sum("n").cast("int").alias("__total"))
+    rows = rows.join(best.withColumnRenamed("__at", "__row"), [*keys, "__row"])
+    total, best = F.col("__total"), F.col("__best")
     enough = total >= min_votes
     agreement = best["n"] / total
     confidence = 0.5 * agreement + 0.5 * best["conf_sum"] / best["n"]
     rows = rows.withColumn("winner", F.when(enough, best["number"]))
-    rows = rows.withColumn("votes", F.when(enough, best["n"]).otherwise(0)).withColumn("total", F.when(enough, total).otherwise(0))
+    rows = rows.withColumn("votes", F.when(enough, best["n"].cast("int")).otherwise(0)).withColumn("total", F.when(enough, total).otherwise(0))
     rows = rows.withColumn("agreement", F.when(enough, agreement).otherwise(0.0)).withColumn("confidence", F.when(enough, confidence).otherwise(0.0))
     rows = rows.withColumn("is_stable", enough & (F.col("number") == F.col("winner")) & (F.col("streak") >= stable))
-    return rows.withColumn("needs_review", ~enough | (F.col("confidence") < review_below)).drop("__votes", "__best")
+    return rows.withColumn("needs_review", ~enough | (F.col("confidence") < review_below)).drop("__row", "__best", "__total")
 
 
 def early(consensus_rows: DataFrame, agreement: float = 0.9, confidence: float = 0.85) -> DataFrame:
