@@ -22,7 +22,7 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
 def provider_photos(spark: SparkSession, path: str) -> DataFrame:
     """camera_tag, image_url, image_id, bibs: the last from a quoted cell with a number on each line."""
     rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    bibs = F.filter(F.transform(F.split(F.coalesce("associated_bibs", F.lit("")), "\n"), F.trim), lambda b: b != "")
+    bibs = F.filter(F.transform(F.split(F.coalesce("associated_bibs", F.lit("")), "\n"), lambda b: F.trim(b)), lambda b: b != "")
     return rows.select("camera_tag", "image_url", F.col("event_image_id").alias("image_id"), bibs.alias("bibs"))
 
 

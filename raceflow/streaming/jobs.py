@@ -51,8 +51,8 @@ class Detector:
         return True
 
 
-def crossings(obs: DataFrame, line: Line, hold: int = 3, debounce: int = 60, direction: str = "any", idle_ms: int = 3_600_000) -> DataFrame:
-    """track_id, frame_idx of every firing; obs: track_id, frame_idx, x, y. Frames not after a track's last are dropped; idle tracks are forgotten."""
+def crossings(obs: DataFrame, line: Line, hold: int = 3, debounce: int = 60, direction: str = "any", idle_ms: int | None = None) -> DataFrame:
+    """track_id, frame_idx of every firing; obs: track_id, frame_idx, x, y. Frames not after a track's last are dropped; tracks idle for idle_ms are forgotten, if it is given (not with availableNow)."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -67,11 +67,12 @@ def crossings(obs: DataFrame, line: Line, hold: int = 3, debounce: int = 60, dir
                 if d.check(row.x, row.y, seen, line, hold, debounce, direction):
                     out.append((key[0], seen))
         state.update((d.confirmed, d.waiting, d.held, -1 if d.last is None else d.last, seen))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         if out:
             yield pd.DataFrame(out, columns=["track_id", "frame_idx"])
 
-    return obs.groupBy("track_id").applyInPandasWithState(step, "track_id bigint, frame_idx bigint", "c int, w int, h int, last bigint, seen bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return obs.groupBy("track_id").applyInPandasWithState(step, "track_id bigint, frame_idx bigint", "c int, w int, h int, last bigint, seen bigint", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def deduplicated(emissions: DataFrame, debounce: int = 300, radius: float = 200.0) -> DataFrame:
