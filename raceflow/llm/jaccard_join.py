@@ -12,7 +12,7 @@ every document gets the least doc_id that its links reach.
    the OR of its bitmaps and its range of sizes. A dual traversal of the tree with itself
    (and with the tree of the next wider bitmaps) drops every pair of nodes whose greatest
    possible overlap is too small, down to pairs of sets. A pair counts in its first common
-   group only. Of the pairs that are left, only enough are proposed to join each group's
+   group (as far as the sets' first groups tell). Of the pairs that are left, only enough are proposed to join each group's
    members (a forest, which thickens each round).
 4. Proposals are verified on the whole texts; links give components; the groups that
    still hold several components are searched again for pairs not yet refused. When a
@@ -50,6 +50,8 @@ HEAVY, LEAST_HEAVY = 0.0002, 16
 COUNTED_BYTES, COUNTED_DOCS = 4 << 20, 3
 BLOCK = 8192
 LEAF, FAN = 16, 8
+#: Groups of a set, the first by name, that tell whether a pair has met before.
+FIRST = 8
 
 
 def _distinct(h: np.ndarray) -> np.ndarray:
@@ -63,9 +65,9 @@ def shingles(data: list[bytes], words: C.BulkHashes) -> list[np.ndarray]:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Bits of the hashes in a width (a power of two) of 1.25 to 2.5 times the set, at least 64."""
+    """Bits of the hashes in a width (a power of two) of 2 to 4 times the set, at least 64."""
     width = 64
-    while 4 * width < 5 * len(s):
+    while width < 2 * len(s):
         width *= 2
     bits = np.zeros(width, np.uint8)
     bits[(s & C.U64(width - 1)).astype(np.int64)] = 1
@@ -285,7 +287,8 @@ def _many(who: np.ndarray, n: np.ndarray, bits: list[bytes], part: np.ndarray) -
 def proposals(grp: int, who: list[int], n: list[int], bits: list[bytes], part: list[int], comp: list[int], groups: list[list[int]], refused: set[tuple[int, int]], thick: int) -> tuple[list[tuple[int, int]], bool]:
     """Pairs of a group to verify: those that join its components, with up to `thick` for each set; and whether any was left out.
 
-    A pair is its first common group's business (groups: those of each set), so no pair is proposed twice.
+    A pair is its first common group's business: groups has the first few of each set, and a pair with a common one
+    before this group is left to that. (Pairs whose first common group is beyond both lists can come up again.)
     part: 0 or 1; if both occur, only pairs across are looked at.
     """
     earlier = {w: {g for g in own if g < grp} for w, own in zip(who, groups)}
@@ -437,7 +440,7 @@ def joined(docs: DataFrame) -> DataFrame:
     if not leaders.where("check <> check2").isEmpty():
         raise RuntimeError("two shingle sets share a 64-bit key")
     members = C.written(groups(docs, sets, leaders), "groups")
-    of_node = members.groupBy(F.col("node").alias("m")).agg(F.sort_array(F.collect_set("grp")).alias("groups"))
+    of_node = members.groupBy(F.col("node").alias("m")).agg(F.slice(F.sort_array(F.collect_set("grp")), 1, FIRST).alias("groups"))
     bitmaps = C.written(leaders.select("node", "n", "bits").join(of_node, F.col("node") == F.col("m")).select("m", "n", "bits", "groups"), "bitmaps")
     edges = refused = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, comp long")
