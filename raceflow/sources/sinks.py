@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def _fixed(c: str, digits: int) -> Column:
-    return F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", F.col(c).cast("double"))).otherwise("").alias(c)
+    return F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", F.bround(F.col(c).cast("double"), digits))).otherwise("").alias(c)
 
 
 def detections_rows(rows: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def duck():
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    show = lambda x: "null" if x is None or x is pd.NaT or x != x else str(x) if isinstance(x, (bool, str)) or not hasattr(x, "__float__") else repr(float(x))
+    show = lambda x: "null" if x is None or x is pd.NA or x is pd.NaT or x != x else str(x) if isinstance(x, (bool, str)) or not hasattr(x, "__float__") else repr(float(x))
     return sorted(tuple(show(x) for x in r) for r in df.astype(object).itertuples(index=False))
 
 
