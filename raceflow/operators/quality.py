@@ -18,7 +18,7 @@ def padded(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height
     w, h = x2 - x1, y2 - y1
     a, b = F.greatest(F.lit(0), x1 - F.floor(w * F.lit(left))), F.greatest(F.lit(0), y1 - F.floor(h * F.lit(top)))
     c, d = F.least(width, x2 + F.floor(w * F.lit(right))), F.least(height, y2 + F.floor(h * F.lit(bottom)))
-    return F.when((c > a) & (d > b), F.struct(a.cast("long").alias("x1"), b.cast("long").alias("y1"), c.cast("long").alias("x2"), d.cast("long").alias("y2")))
+    return F.when((c > a) & (d > b), F.struct(*[v.cast("int").alias(n) for v, n in ((a, "x1"), (b, "y1"), (c, "x2"), (d, "y2"))]))
 
 
 def reason(w: Column, h: Column, blur: Column, contrast: Column, extent: Column, completeness: Column, min_w: int = 40, min_h: int = 15, aspect: tuple[float, float] = (1.0, 6.0), min_blur: float = 50.0, min_contrast: float = 20.0, min_extent: float = 0.5, min_complete: float = 0.3) -> Column:
@@ -48,26 +48,82 @@ def shrink(boxes: DataFrame, least: float = 0.7) -> DataFrame:
     return boxes.withColumn("fit", F.when(~F.col("visible"), 0.0).when(F.coalesce(smaller, F.lit(False)), 0.5).otherwise(1.0))
 
 
-def pixel_stats(gray: np.ndarray) -> tuple[float, float, float]:
-    """Variance of the Laplacian, standard deviation, and the share of columns that vary."""
+def pixel_stats(gray: np.ndarray) -> tuple[float, float]:
+    """Variance of the Laplacian (0 for less than 3 x 3) and standard deviation."""
     g = np.asarray(gray, dtype=float)
     if min(g.shape) < 3:
-        return 0.0, float(g.std()) if g.size else 0.0, 0.0
-    lap = g[:-2, 1:-1] + g[2:, 1:-1] + g[1:-1, :-2] + g[1:-1, 2:] - 4 * g[1:-1, 1:-1]
-    return float(lap.var()), float(g.std()), float((g.std(axis=0) > 10).mean())
-
-
-@F.pandas_udf(StructType([StructField(c, DoubleType()) for c in ("blur", "contrast", "extent")]))
+        return 0.0, float(g.std()) if g.size else 0.0
+    g2 = np.pad(g, 1, mode="reflect")
+    lap = g2[:-2, 1:-1] + g2[2:, 1:-1] + g2[1:-1, :-2] + g2[1:-1, 2:] - 4 * g
+    return float(lap.var()), float(g.std())
+
+
+#: Window and offset of the local threshold; shares of height and width that make a column or row content;
+#: weights of the five sub-scores (extent, margins, density, spread, height).
+LOCAL, OFFSET = 21, 10
+COLUMN_SHARE, ROW_SHARE = 0.15, 0.1
+SUBSCORES = (0.35, 0.2, 0.15, 0.2, 0.1)
+
+
+def dark_marks(gray: np.ndarray) -> np.ndarray:
+    """Pixels that are darker than the Gaussian mean of their surroundings by more than OFFSET."""
+    half = LOCAL // 2
+    sigma = 0.3 * ((LOCAL - 1) * 0.5 - 1) + 0.8
+    kernel = np.exp(-((np.arange(LOCAL) - half) ** 2) / (2 * sigma * sigma))
+    kernel /= kernel.sum()
+    out = np.asarray(gray, dtype=float)
+    for axis in (0, 1):
+        wide = np.pad(out, [(half, half) if k == axis else (0, 0) for k in (0, 1)], mode="edge")
+        out = np.lib.stride_tricks.sliding_window_view(wide, LOCAL, axis=axis) @ kernel
+    return np.asarray(gray, dtype=float) <= np.rint(out) - OFFSET
+
+
+def _margins(left: float, right: float) -> float:
+    if min(left, right) > 0.02:
+        return min(left, right) / max(left, right)
+    return 0.3 if min(left, right) < 0.02 else 0.5
+
+
+def _density(filled: float) -> float:
+    return filled / 0.3 if filled < 0.3 else 0.8 if filled > 0.85 else 1.0
+
+
+def completeness(gray: np.ndarray, least_extent: float = 0.5) -> tuple[float, float]:
+    """How complete the digits of a crop look (0 to 1), and the share of its width that they span; (.2, 0) if there is hardly anything."""
+    marks = dark_marks(gray)
+    h, w = marks.shape
+    column = marks.sum(axis=0) > COLUMN_SHARE * h
+    at = np.flatnonzero(column)
+    if len(at) < 3:
+        return 0.2, 0.0
+    first, last = int(at[0]), int(at[-1])
+    extent = (last - first + 1) / w
+    quarter = w // 4
+    spread = sum(bool(column[k * quarter : (k + 1) * quarter].any()) for k in range(4)) / 4
+    parts = [min(1.0, extent / least_extent), _margins(first / w, (w - last - 1) / w), _density(float(column[first : last + 1].mean())), spread]
+    rows = np.flatnonzero(marks.sum(axis=1) > ROW_SHARE * w)
+    if len(rows):  # without it the other weights count alone
+        parts.append(min(1.0, 2 * (rows[-1] - rows[0] + 1) / h))
+    weights = np.array(SUBSCORES[: len(parts)])
+    return float(np.dot(parts, weights) / weights.sum()), float(extent)
+
+
+STATS = ("blur", "contrast", "extent", "completeness")
+
+
+@F.pandas_udf(StructType([StructField(c, DoubleType()) for c in STATS]))
 def crop_stats(pixels: pd.Series, width: pd.Series) -> pd.DataFrame:
-    """Statistics of grey crops given as bytes, row by row."""
+    """blur, contrast, extent and completeness of grey crops given as bytes, row by row."""
     rows = []
     for p, w in zip(pixels, width):
-        if p is None or not w:
-            rows.append((0.0, 0.0, 0.0))
-        else:
-            g = np.frombuffer(p, np.uint8)
-            rows.append(pixel_stats(g[: len(g) // w * w].reshape(-1, w)))
-    return pd.DataFrame(rows, columns=["blur", "contrast", "extent"])
+        g = np.frombuffer(p, np.uint8) if p is not None and w else np.zeros(0, np.uint8)
+        if len(g) < max(w or 1, 1):
+            rows.append((0.0, 0.0, 0.0, 0.0))
+            continue
+        g = g[: len(g) // w * w].reshape(-1, w)
+        score, extent = completeness(g)
+        rows.append((*pixel_stats(g), extent, score))
+    return pd.DataFrame(rows, columns=STATS)
 
 
 def ocr_best(reads: DataFrame, key: str, bonus: float = 0.1) -> DataFrame:

@@ -82,7 +82,7 @@ def src_detections_csv(s, d):
     return out.dropna(subset=["frame", "track_id", "x1"])
 
 
-@query("SELECT gt, event, length(gt) AS digit_count FROM truth WHERE regexp_matches(gt, '^[0-9]{1,4}$') AND length(gt) <> 3")
+@query("SELECT gt, event, length(gt)::INT AS digit_count FROM truth WHERE regexp_matches(gt, '^[0-9]{1,4}$') AND length(gt) <> 3")
 def src_labels_tsv(s, d):
     rows = W.truth(s, d).select(F.when(F.length("gt") == 3, F.concat("gt", F.lit("x"))).otherwise(F.col("gt")).alias("gt"), "event")
     return readers.valid_labels(rows, "gt").select("gt", "event", F.length("gt").alias("digit_count"))
@@ -284,14 +284,14 @@ def win_first_last(s, d):
     return W.reads(s, d).select("track_id", "frame_idx", F.first("number").over(w).alias("first_number"), F.last("number").over(w).alias("last_number"))
 
 
-@query("SELECT number, frame_idx, track_id, sum(new) OVER (PARTITION BY number ORDER BY frame_idx) AS so_far FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY number, track_id ORDER BY frame_idx) = 1 THEN 1 ELSE 0 END AS new FROM reads)")
+@query("SELECT number, frame_idx, track_id, sum(new) OVER (PARTITION BY number ORDER BY frame_idx)::BIGINT AS so_far FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY number, track_id ORDER BY frame_idx) = 1 THEN 1 ELSE 0 END AS new FROM reads)")
 def win_cumdistinct(s, d):
     return V.cumulative_distinct(W.reads(s, d)).select("number", "frame_idx", "track_id", "so_far")
 
 
 @query(
     """WITH t(number, f) AS (SELECT number, min(frame_idx) FROM reads GROUP BY 1 UNION ALL SELECT t.number, (SELECT min(r.frame_idx) FROM reads r WHERE r.number = t.number AND r.frame_idx >= t.f + 10) FROM t WHERE t.f IS NOT NULL)
-    SELECT number, count(f) AS kept, sum(f) AS total FROM t GROUP BY 1"""
+    SELECT number, count(f) AS kept, sum(f)::BIGINT AS total FROM t GROUP BY 1"""
 )
 def win_minGap10(s, d):
     out = V.thinned(W.reads(s, d), "number", 10)
@@ -763,7 +763,7 @@ def st_manual(s, d):
     return W.emissions(s, d).select("bib", "frame_idx", F.lit("pose").alias("source")).unionByName(manual)
 
 
-@query("SELECT run_id, frame_idx, track_id, grp, rank() OVER (PARTITION BY run_id, grp ORDER BY frame_idx) AS position FROM (SELECT *, sum(new) OVER (PARTITION BY run_id ORDER BY frame_idx) AS grp FROM (SELECT *, CASE WHEN frame_idx - lag(frame_idx) OVER (PARTITION BY run_id ORDER BY frame_idx) <= 3 THEN 0 ELSE 1 END AS new FROM reads))")
+@query("SELECT run_id, frame_idx, track_id, grp, rank() OVER (PARTITION BY run_id, grp ORDER BY frame_idx) AS position FROM (SELECT *, sum(new) OVER (PARTITION BY run_id ORDER BY frame_idx)::BIGINT AS grp FROM (SELECT *, CASE WHEN frame_idx - lag(frame_idx) OVER (PARTITION BY run_id ORDER BY frame_idx) <= 3 THEN 0 ELSE 1 END AS new FROM reads))")
 def win_group_pos(s, d):
     out = R.place_in_group(W.reads(s, d), 3)
     return out.select("run_id", "frame_idx", "track_id", F.col("group").alias("grp"), F.col("position").cast("long").alias("position"))
@@ -846,7 +846,7 @@ def agg_dataset(s, d):
     return W.samples(s, d).groupBy("event").pivot("digit_count", [1, 2, 3]).agg(F.count(F.lit(1))).select("event", *[F.coalesce(F.col(str(k)), F.lit(0).cast("long")).alias(f"d{k}") for k in (1, 2, 3)])
 
 
-@query("SELECT min(n) AS least, max(n) AS most, sum(n) AS boxes, count(*) FILTER (area < 100) AS tiny FROM (SELECT image_id, count(*) AS n, max(w * h) AS area FROM ann GROUP BY 1)")
+@query("SELECT min(n) AS least, max(n) AS most, sum(n)::BIGINT AS boxes, count(*) FILTER (area < 100) AS tiny FROM (SELECT image_id, count(*) AS n, max(w * h) AS area FROM ann GROUP BY 1)")
 def agg_annot(s, d):
     per = W.annotations(s, d).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("w") * F.col("h")).alias("area"))
     return per.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("boxes"), F.count_if(F.col("area") < 100).alias("tiny"))
@@ -1000,3 +1000,128 @@ def ds_status(s, d):
 def ds_compare(s, d):
     n = F.length(F.coalesce("text", F.lit("")))
     return W.table(s, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(n >= 1000).alias("accepted"), F.count_if(n < 1000).alias("rejected"))
+
+
+# --- the rest of the inventory --------------------------------------------------------------------
+
+
+@query("SELECT 'run0' AS run_id, range AS frame_idx FROM range(1, 101)")
+def src_iter(s, d):
+    s.dataSource.register(readers.FrameSource)
+    return s.read.format("frames").option("frames", 100).load().select("run_id", "frame_idx")
+
+
+@query("SELECT count(*) AS frames, min(range) AS first_frame, max(range) AS last_frame FROM range(1, 61)")
+def src_memory(s, d):
+    rows = s.createDataFrame([(i,) for i in range(1, 61)], "frame_idx long")
+    return rows.agg(F.count(F.lit(1)).alias("frames"), F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"))
+
+
+@query("SELECT n_nationkey AS id, n_name AS token FROM nation")
+def src_tokenizer(s, d):
+    vocab = W.table(s, d, "nation").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("n_name", "n_nationkey")))).alias("j"))
+    return vocab.select(F.explode(F.from_json("j", "map<string,bigint>")).alias("token", "id")).select("id", "token")
+
+
+@query("SELECT gt, pred FROM truth WHERE regexp_matches(gt, '^[0-9]{1,4}$')")
+def flt_label(s, d):
+    return readers.valid_labels(W.truth(s, d), "gt").select("gt", "pred")
+
+
+@query()
+def flt_completeness(s, d):
+    """Completeness of crops: the first bytes of each document as 40 x 30 grey pixels."""
+    docs = W.table(s, d, "documents").select("doc_id", F.substring(F.coalesce("text", F.lit("")).cast("binary"), 1, 1200).alias("pixels"))
+    return docs.select("doc_id", Q.crop_stats("pixels", F.lit(40)).alias("s")).select("doc_id", *[F.round(f"s.{c}", 6).alias(c) for c in Q.STATS])
+
+
+@query("SELECT count(*) AS n FROM emissions")
+def snk_review_json(s, d):
+    one = sinks.json_array(W.emissions(s, d).select("bib", "frame_idx"), "frame_idx")
+    return one.select(F.size(F.from_json("json", "array<struct<bib:string,frame_idx:bigint>>")).cast("long").alias("n"))
+
+
+@query("SELECT CAST(track_id AS VARCHAR) AS track_id, CAST(min(frame_idx) AS VARCHAR) AS first_frame, CAST(count(*) AS VARCHAR) AS frames_seen, format('{:.1f}', min_by(y, frame_idx) * 100) AS first_chest_y FROM obs GROUP BY obs.track_id")
+def snk_person_tracks(s, d):
+    o = W.observations(s, d)
+    first, last = (lambda c: F.min_by(c, "frame_idx") * 100), (lambda c: F.max_by(c, "frame_idx") * 100)
+    per = o.groupBy("track_id").agg(F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"), F.count(F.lit(1)).alias("frames_seen"), first("x").alias("first_chest_x"), first("y").alias("first_chest_y"), last("x").alias("last_chest_x"), last("y").alias("last_chest_y"))
+    rows = sinks.track_rows(per.withColumn("crossed", F.lit(False)).withColumn("bib", F.lit(None).cast("string")))
+    return rows.select("track_id", "first_frame", "frames_seen", "first_chest_y")
+
+
+@query("SELECT sequence, CASE WHEN action = 'correct' THEN coalesce(corrected_bib, bib) ELSE bib END AS bib FROM items WHERE coalesce(action, '') <> 'reject'")
+def snk_export(s, d):
+    return J_review(s, d)
+
+
+@query("SELECT sequence, bib, coalesce(status, 'pending') AS status FROM items")
+def snk_review_csv(s, d):
+    return W.review_items(s, d).select("sequence", "bib", F.coalesce("status", F.lit("pending")).alias("status"))
+
+
+@query("SELECT sequence, bib AS label FROM items WHERE status = 'verified' AND regexp_matches(bib, '^[0-9]{1,4}$')")
+def snk_ocr_labels(s, d):
+    return readers.valid_labels(W.review_items(s, d).where("status = 'verified'"), "bib").select("sequence", F.col("bib").alias("label"))
+
+
+@query("SELECT sequence, bib FROM items WHERE action = 'reject' OR action = 'correct'")
+def snk_eval(s, d):
+    return W.review_items(s, d).where(F.col("action").isin("reject", "correct")).select("sequence", "bib")
+
+
+@query("SELECT run_id, count(*) AS frames, count(DISTINCT track_id) AS tracks, count(*) FILTER (conf < 0.5) AS unsure, round(avg(conf), 6) AS mean FROM reads GROUP BY 1")
+def snk_summary(s, d):
+    return W.reads(s, d).groupBy("run_id").agg(F.count(F.lit(1)).alias("frames"), F.countDistinct("track_id").alias("tracks"), F.count_if(F.col("conf") < 0.5).alias("unsure"), F.round(F.avg("conf"), 6).alias("mean"))
+
+
+@query("SELECT run_id, count(*) AS total, count(*) FILTER (number = '1000') AS cleaned, count(*) FILTER (conf < 0.35) AS rejected, count(*) FILTER (number = '1000')::DOUBLE / greatest(count(*), 1) AS cleaned_share FROM reads GROUP BY 1")
+def agg_ocr_stats(s, d):
+    cleaned = F.count_if(F.col("number") == "1000")
+    return W.reads(s, d).groupBy("run_id").agg(F.count(F.lit(1)).alias("total"), cleaned.alias("cleaned"), F.count_if(F.col("conf") < 0.35).alias("rejected"), (cleaned / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("cleaned_share"))
+
+
+@query("SELECT run_id, max_by(track_id, conf * 1000000 + track_id) AS best FROM reads GROUP BY 1")
+def agg_wifi(s, d):
+    return W.reads(s, d).groupBy("run_id").agg(F.max_by("track_id", F.col("conf") * 1000000 + F.col("track_id")).alias("best"))
+
+
+@query(f"WITH {_CROSS} SELECT track_id, frame_idx FROM tr")
+def st_line(s, d):
+    return X.transitions(W.observations(s, d), W.LINE, 3).select("track_id", "frame_idx")
+
+
+@query(f"WITH {_CROSS} SELECT track_id, frame_idx, 'bib_line' AS source FROM tr")
+def st_bibline(s, d):
+    return X.transitions(W.observations(s, d), W.LINE, 3).select("track_id", "frame_idx", F.lit("bib_line").alias("source"))
+
+
+@query("SELECT track_id, max_by(number, frame_idx) AS number, max(frame_idx) AS last_frame FROM reads GROUP BY 1 HAVING max(frame_idx) >= (SELECT max(frame_idx) FROM reads) - 300")
+def st_consensus_ttl(s, d):
+    """Consensus of the tracks that were updated within the memory of the last frame."""
+    r = W.reads(s, d)
+    end = r.agg(F.max("frame_idx").alias("end"))
+    last = r.groupBy("track_id").agg(F.max_by("number", "frame_idx").alias("number"), F.max("frame_idx").alias("last_frame"))
+    return last.join(F.broadcast(end)).where("last_frame >= end - 300").drop("end")
+
+
+@query("SELECT p.frame_idx, p.id, round((p.x1 + p.x2) / 2, 6) AS x FROM persons p")
+def fn_center(s, d):
+    return W.persons(s, d).select("frame_idx", "id", F.round(G.center(F.col("x1"), F.col("x2")), 6).alias("x"))
+
+
+@query("SELECT image_id, 'src_' || regexp_replace(file_name, '[.]jpg$', '') || '.jpg' AS name FROM images")
+def ds_copy(s, d):
+    stem = F.regexp_replace("file_name", r"[.]jpe?g$", "")
+    return W.images(s, d).select("image_id", F.concat(F.lit("src_"), stem, F.lit(".jpg")).alias("name"))
+
+
+@query("SELECT frame_idx AS f, n FROM (SELECT frame_idx, count(*) AS n FROM det GROUP BY 1) WHERE frame_idx % 300 = 0")
+def win_uniform(s, d):
+    """Frames at an even step with their detections."""
+    return W.detections(s, d).where("frame_idx % 300 = 0").groupBy(F.col("frame_idx").alias("f")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 500 = 0")
+def ds_samples(s, d):
+    return W.table(s, d, "orders").where("o_orderkey % 500 = 0").select("o_orderkey", "o_custkey")

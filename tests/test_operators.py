@@ -260,10 +260,19 @@ def test_greedy_recovery(spark):
 
 def test_quality_and_pixels(spark):
     flat = np.zeros((20, 40))
-    assert Q.pixel_stats(flat) == (0.0, 0.0, 0.0)
+    assert Q.pixel_stats(flat) == (0.0, 0.0) and Q.completeness(flat) == (0.2, 0.0)
     noisy = np.random.default_rng(0).integers(0, 255, (20, 40))
-    blur, contrast, extent = Q.pixel_stats(noisy)
-    assert blur > 50 and contrast > 20 and extent > 0.9
+    blur, contrast = Q.pixel_stats(noisy)
+    assert blur > 50 and contrast > 20
+    digits = np.full((60, 160), 200, np.uint8)
+    for k in range(4):
+        digits[10:50, 20 + 32 * k : 26 + 32 * k] = 20
+        digits[10:50, 34 + 32 * k : 40 + 32 * k] = 20
+    whole, extent = Q.completeness(digits)
+    half, _ = Q.completeness(np.hstack([digits[:, 90:], np.full((60, 90), 200, np.uint8)]))
+    assert whole > 0.9 > half and extent > 0.6
+    got = spark.createDataFrame([(digits.tobytes(), 160), (None, 5)], "p binary, w int").select(Q.crop_stats("p", "w").alias("s")).select("s.*").collect()
+    assert abs(got[0].completeness - whole) < 1e-9 and got[1].completeness == 0.0
     why = spark.range(1).select(Q.reason(*[F.lit(v) for v in (100, 40, 90.0, 30.0, 0.4, 0.9)]).alias("x")).first().x
     assert why == "partial_content"
 
