@@ -60,6 +60,7 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
 
 def only(docs: DataFrame, *cols: str) -> DataFrame:
     """The named columns alone: other columns, whatever their names, never meet the operator's own."""
+    ship(docs.sparkSession)
     return docs.select(*[F.col(f"`{c}`") for c in cols])
 
 
