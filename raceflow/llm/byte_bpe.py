@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from raceflow.llm import common as C
 
 #: Pre-tokens whose ids a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 _MASK = (1 << 64) - 1
 
 
@@ -193,7 +193,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     """docs and the column ids (array<int>) of their whole texts."""
     public = (path, pattern) if path and pattern else _public()
     path, pattern = path or public[0], pattern or public[1]
-    C.ship(docs.sparkSession)
+    C.prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
     kept = _replaced(docs, "ids")
     field = pa.field("ids", pa.list_(pa.int32()))

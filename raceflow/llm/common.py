@@ -7,6 +7,7 @@ batch at a time, so that one very long text never multiplies a batch's memory.
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,6 +23,8 @@ from raceflow.shipping import ship
 
 #: Bytes of text that a Python worker handles at a time (a longer single text is handled alone).
 SLICE_BYTES = 2 << 20
+#: Bytes of the Arrow batches that Spark exchanges with Python workers.
+BATCH_BYTES = 8 << 20
 #: Serialized bytes up to which a side may be broadcast after its size has been measured.
 BROADCAST_BYTES = 32 << 20
 #: The white space of the word rule ``[^\x20\x09-\x0D]+``; also what bytes.split() splits on.
@@ -31,7 +34,7 @@ U64 = np.uint64
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -58,9 +61,18 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def prepare(spark: SparkSession) -> None:
+    """Sends the package along, and keeps the Arrow batches of Python workers small."""
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.match(r"(\d+)b?$", spark.conf.get(key, "-1"))
+    if not now or not 0 < int(now[1]) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def only(docs: DataFrame, *cols: str) -> DataFrame:
     """The named columns alone: other columns, whatever their names, never meet the operator's own."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     return docs.select(*[F.col(f"`{c}`") for c in cols])
 
 
