@@ -65,7 +65,7 @@ def prepare(spark: SparkSession) -> None:
     """Sends the package along, and keeps the Arrow batches of Python workers small."""
     ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.match(r"(\d+)b?$", spark.conf.get(key, "-1"))
+    now = re.match(r"(\d+)b?$", spark.conf.get(key))
     if not now or not 0 < int(now[1]) <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
