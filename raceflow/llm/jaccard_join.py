@@ -394,18 +394,23 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp (least node that it reaches) of the nodes of edges (a, b), by label propagation with shortcuts."""
+    """node, comp (least node that it reaches) of the nodes of edges (a, b), by contraction.
+
+    Each round sends every node to its least neighbour (or itself), and on to that one's, and keeps the distinct edges
+    between the nodes that are left; the least node of a component is the one that stays.
+    """
     both = C.written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = C.written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), "labels")
-    while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("near"))
-        best = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        jump = labels.select(F.col("node").alias("via"), F.col("comp").alias("beyond"))
-        new = best.join(jump, F.col("comp") == F.col("via"), "left").select("node", "was", F.least("comp", F.coalesce("beyond", "comp")).alias("comp"))
-        new = C.written(new, "labels")
-        labels = new.select("node", "comp")
-        if new.where("comp <> was").isEmpty():
-            return labels
+    labels = both.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct()
+    while not both.isEmpty():
+        least = C.written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")), "least")
+        onward = least.select(F.col("a").alias("q"), F.col("p").alias("pp"))
+        to = C.written(least.join(onward, F.col("p") == F.col("q")).select(F.col("a").alias("old"), F.col("pp").alias("new")), "to")
+        labels = labels.join(to, F.col("comp") == F.col("old"), "left").select("node", F.coalesce("new", "comp").alias("comp"))
+        labels = C.written(labels, "labels")
+        left = both.join(to, F.col("a") == F.col("old")).select(F.col("new").alias("a"), "b")
+        left = left.join(to, F.col("b") == F.col("old")).select("a", F.col("new").alias("b"))
+        both = C.written(left.where("a <> b").distinct(), "edges")
+    return labels
 
 
 def groups(docs: DataFrame, sets: DataFrame, leaders: DataFrame) -> DataFrame:
