@@ -6,11 +6,12 @@ limits are removed, and a document that the removal depletes is rejected, beside
 base rules on length and repetition.
 
 Documents are counted by version, so that copies and near copies of one text do not
-make its own lines look like boilerplate: the documents of a host that carry a line and
-have the same least word window are one version of it. A line is above the limits if it
-has more than LEAST_DOCS versions in its host, more than SHARE of the host's documents,
-and at least one version for every VERSIONS documents that carry it (the lines of a text
-that is copied with small changes have far fewer).
+make its own lines look like boilerplate. Equal texts of a host are one document. What
+is a document's own are its lines that no other text of the host has; documents with the
+same least word window in their own lines are one version. Where these have fewer words
+than a window, the text is a copy with small changes, and the documents with the same
+least shared line are one version. A line is above the limits if it has more than
+LEAST_DOCS versions in its host and more than SHARE of the host's documents.
 
 A null or empty text has no words and fails the base rule; a null source is a host of
 its own; lines without a word are never counted; very long texts are handled a slice
@@ -34,7 +35,7 @@ from raceflow.llm import common as C
 LEAST_WORDS, MOST_REPEATED = 20, 30
 WINDOW = 8
 #: A line is boilerplate above both; a document is depleted below either.
-LEAST_DOCS, SHARE, VERSIONS = 20, 0.02, 4
+LEAST_DOCS, SHARE = 20, 0.02
 KEPT_SHARE = 0.3
 
 _SYMBOLS = b"#*$%&|<>"
@@ -54,16 +55,14 @@ def code_points(data: bytes) -> int:
 _CONTINUATION = [bytes([x]) for x in range(0x80, 0xC0)]
 
 
-def repeated_words(words: list[bytes], seen: C.WordHashes) -> tuple[int, int]:
-    """Words in windows of WINDOW words that are found twice or more in the list; and the least window hash (signed)."""
-    h = C.windows(seen.of(words), min(WINDOW, len(words))) if words else np.zeros(1, np.uint64)
-    least = int(h.min().view(np.int64))
+def repeated_words(words: list[bytes], h: np.ndarray) -> int:
+    """Words in windows of WINDOW words (their hashes are h) that are found twice or more in the list."""
     if len(words) <= WINDOW:
-        return 0, least
+        return 0
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
     if not same.any():
-        return 0, least
+        return 0
     found = np.zeros(len(h), dtype=bool)
     found[order[1:][same]] = True
     found[order[:-1][same]] = True
@@ -71,7 +70,7 @@ def repeated_words(words: list[bytes], seen: C.WordHashes) -> tuple[int, int]:
     at = np.flatnonzero(found)
     np.add.at(depth, at, 1)
     np.add.at(depth, at + WINDOW, -1)
-    return int(np.count_nonzero(np.cumsum(depth[:-1]) > 0)), least
+    return int(np.count_nonzero(np.cumsum(depth[:-1]) > 0))
 
 
 def duplicate_lines(data: bytes) -> int:
@@ -79,23 +78,35 @@ def duplicate_lines(data: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-_LINES = "array<struct<key:bigint,words:int>>"
+_LINES = "array<struct<key:bigint,words:int,least:bigint>>"
 _SCHEMA = f"doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, sig long, lines {_LINES}"
 _ARROW = pa.schema(
     [("doc_id", pa.int64()), ("host", pa.string())]
     + [(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "sig")]
-    + [("lines", pa.list_(pa.struct([("key", pa.int64()), ("words", pa.int32())])))]
+    + [("lines", pa.list_(pa.struct([("key", pa.int64()), ("words", pa.int32()), ("least", pa.int64())])))]
 )
 
 
-def _lines(data: bytes) -> list[dict]:
-    """Distinct line keys with their words in all."""
-    words: dict[int, int] = {}
+def _lines(data: bytes, h: np.ndarray) -> list[dict]:
+    """Distinct line keys with their words in all and the least of their windows (h has those of the whole text); a shorter line is its own window."""
+    keys, sizes = [], []
     for line in data.split(b"\n"):
         key = line_key(line)
         if key is not None:
-            words[key] = words.get(key, 0) + len(line.split())
-    return [{"key": k, "words": min(n, 2**31 - 1)} for k, n in words.items()]
+            keys.append(key)
+            sizes.append(len(line.split()))
+    n = np.array(sizes, dtype=np.int64)
+    starts, least = np.cumsum(n) - n, list(keys)
+    long = np.flatnonzero(n >= WINDOW)
+    if len(long):
+        spots = np.stack([starts[long], starts[long] + n[long] - WINDOW + 1], axis=1).ravel()
+        for i, x in zip(long.tolist(), np.minimum.reduceat(np.append(h, ~C.U64(0)), spots)[::2].view(np.int64).tolist()):
+            least[i] = x
+    out: dict[int, list[int]] = {}
+    for key, size, low in zip(keys, sizes, least):
+        old = out.setdefault(key, [0, low])
+        old[0], old[1] = old[0] + size, min(old[1], low)
+    return [{"key": k, "words": min(size, 2**31 - 1), "least": low} for k, (size, low) in out.items()]
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +114,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in C.slices(batches, "text"):
         data = C.texts(b.column("text"))
         words = [x.split() for x in data]
-        repeats = [repeated_words(w, seen) for w in words]
+        hashes = [C.windows(seen.of(w), WINDOW) for w in words]
         yield C.batch_of(
             _ARROW,
             doc_id=b.column("doc_id"),
@@ -112,9 +123,9 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             word_chars=[code_points(x) - sum(map(x.count, _SPACE_BYTES)) for x in data],
             n_symbols=[len(x) - len(x.translate(None, _SYMBOLS)) for x in data],
             n_dup_lines=[duplicate_lines(x) for x in data],
-            n_repeat_words=[n for n, _ in repeats],
-            sig=[k for _, k in repeats],
-            lines=[_lines(x) for x in data],
+            n_repeat_words=[repeated_words(w, h) for w, h in zip(words, hashes)],
+            sig=[int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(x)))) for x in data],
+            lines=[_lines(x, h) for x, h in zip(data, hashes)],
         )
 
 
@@ -127,12 +138,22 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def frequent_lines(rows: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
     """host, key, versions of the lines above the limits."""
-    lines = rows.select("host", "sig", F.inline("lines"))
-    counts = lines.groupBy("host", "key", "sig").agg(F.count(F.lit(1)).alias("n")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("versions"), F.sum("n").alias("n_docs"))
-    counts = counts.where((F.col("versions") > least_docs) & (VERSIONS * F.col("versions") >= F.col("n_docs")))
+    texts = rows.groupBy("host", "sig").agg(F.first("lines").alias("lines"))
+    lines = C.written(texts.select("host", "sig", F.inline("lines")), "lines")
+    counts = lines.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n_texts"))
     hosts = rows.groupBy("host").agg(F.countDistinct("doc_id").alias("host_docs")).select(F.col("host").alias("h"), "host_docs")
-    found = counts.join(hosts, F.col("host").eqNullSafe(F.col("h"))).where(F.col("versions") > share * F.col("host_docs"))
-    return C.written(found.select("host", "key", "versions"), "frequent")
+    counts = counts.where("n_texts > 1").join(F.broadcast(hosts), F.col("host").eqNullSafe(F.col("h")))
+    # versions are at most texts, so only these lines need their versions counted
+    counts = C.written(counts.select(F.col("host").alias("h"), F.col("key").alias("k"), "host_docs", ((F.col("n_texts") > least_docs) & (F.col("n_texts") > share * F.col("host_docs"))).alias("may")), "shared")
+    flagged = lines.join(C.small(counts, 64), F.col("host").eqNullSafe(F.col("h")) & (F.col("key") == F.col("k")), "left")
+    own = F.col("k").isNull()
+    enough = F.sum(F.when(own, F.col("words"))) >= WINDOW
+    version = F.when(enough, F.min(F.when(own, F.col("least")))).otherwise(F.min(F.when(~own, F.col("key"))))
+    held = F.collect_list(F.when(F.col("may"), F.struct("key", "host_docs")))
+    docs = flagged.groupBy("host", "sig").agg(F.coalesce(enough, F.lit(False)).alias("own"), version.alias("version"), held.alias("held"))
+    found = docs.where(F.size("held") > 0).select("host", "own", "version", F.inline("held")).groupBy("host", "key", "own", "version").agg(F.max("host_docs").alias("host_docs"))
+    found = found.groupBy("host", "key").agg(F.count(F.lit(1)).alias("versions"), F.max("host_docs").alias("host_docs"))
+    return C.written(found.where((F.col("versions") > least_docs) & (F.col("versions") > share * F.col("host_docs"))).select("host", "key", "versions"), "frequent")
 
 
 def judged(rows: DataFrame, frequent: DataFrame) -> DataFrame:

@@ -94,6 +94,26 @@ def test_boilerplate_lines(spark):
     assert set(left) == set(range(60)) | set(range(100, 700)) and "newsletter" not in left[5].text and left[5].text == own(5)
 
 
+@pytest.mark.parametrize("shared, own", [(300, 50), (450, 50), (200, 50), (120, 40), (60, 25)])
+def test_boilerplate_passages(spark, shared, own):
+    foot = lambda n: "\n".join(" ".join(f"b{j}c{k}" for k in range(10)) for j in range(n // 10))
+    words = lambda i: " ".join(f"u{i}v{k}" for k in range(own))
+    rows = [(i, words(i) + "\n" + foot(shared), "h") for i in range(1000)]
+    got = by_id(line_quality.assessed(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    assert all(got[i].n_removed_lines == shared // 10 and got[i].n_left_words == own for i in range(1000))
+
+
+def test_boilerplate_in_copies(spark):
+    words = lambda i, n: " ".join(f"u{i}v{k}" for k in range(n))
+    foot = "\nSubscribe to our newsletter today"
+    rows = [(i, words(i, 40) + foot, "h") for i in range(60)]
+    rows += [(100 + i, words(1000, 40) + foot, "h") for i in range(900)]  # copies of one text
+    rows += [(2000 + i, "\n".join(words(5000 + 10 * (i % 2) + j, 12) for j in range(8)) + "\n" + words(3000 + i, 12) + "\nFooter of a small host", "s") for i in range(30)]
+    got = by_id(line_quality.assessed(spark.createDataFrame(rows, "doc_id long, text string, source string"), 20, 0.02))
+    assert all(got[i].kept and got[i].n_removed_lines == 1 for i in [*range(60), *range(100, 1000)])
+    assert all(got[2000 + i].kept and got[2000 + i].n_removed_lines == 1 for i in range(30))  # two passages are shared by 15 documents each
+
+
 # --- curriculum ------------------------------------------------------------------------------------
 
 
