@@ -41,3 +41,9 @@ def test_entry_and_keys(spark):
 
     assert e.entry(spark).count() >= 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_yolo_of_all_images(spark, tmp_path):
+    rows = [(k, 1, 0.5, 0.25, 0.5) for k in (1, 1999, 2000, 70_000)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {r.image for r in catalog.queries()["snk_yolo"](spark, str(tmp_path)).collect()} == {1, 1999, 2000, 70_000}
