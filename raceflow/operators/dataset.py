@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from raceflow.operators.folds import folded
+
 
 def _shuffled(key: str, seed: int) -> Column:
     """A fixed pseudo-random order of a key."""
@@ -94,6 +96,19 @@ def evenly(rows: DataFrame, order: str, most: int) -> DataFrame:
     return placed.join(F.broadcast(picks), F.col("__n") == F.col("__at"), "left_semi").drop("__n")
 
 
+def spaced(frames: DataFrame, gap: int) -> DataFrame:
+    """frame_idx of the frames kept when each must be at least `gap` after the one kept before, from the first on; one ordered task."""
+
+    def step(last: list, row) -> list[tuple]:
+        if last and row.frame_idx - last[0] < gap:
+            return []
+        last[:] = [row.frame_idx]
+        return [(row.frame_idx,)]
+
+    one = frames.select(F.col("frame_idx").cast("bigint").alias("frame_idx")).where("frame_idx is not null").distinct().withColumn("all", F.lit(0))
+    return folded(one, ["all"], ["frame_idx"], list, step, "frame_idx long")
+
+
 def densest(frames: DataFrame, k: int) -> DataFrame:
     """frame_idx, n of the k frames with most rows; of equals the first."""
     return frames.groupBy("frame_idx").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "frame_idx").limit(k)

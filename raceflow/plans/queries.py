@@ -950,7 +950,7 @@ def set_files(s, d):
 @query("SELECT coalesce(u.f, t.f) AS frame_idx, CASE WHEN t.f IS NULL THEN 'uniform' WHEN u.f IS NULL THEN 'topk' ELSE 'both' END AS how FROM (SELECT DISTINCT frame_idx AS f FROM det WHERE frame_idx % 500 = 0) u FULL JOIN (SELECT frame_idx AS f FROM det GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 25) t ON u.f = t.f")
 def set_selection(s, d):
     det = W.detections(s, d)
-    return DS.selection(det.where("frame_idx % 500 = 0"), DS.densest(det, 25))
+    return DS.selection(DS.spaced(det, 500), DS.densest(det, 25))
 
 
 @query("SELECT DISTINCT track_id FROM reads WHERE track_id NOT IN (SELECT track_id FROM emissions)")
@@ -1118,10 +1118,13 @@ def ds_copy(s, d):
 
 @query("SELECT frame_idx AS f, n FROM (SELECT frame_idx, count(*) AS n FROM det GROUP BY 1) WHERE frame_idx % 300 = 0")
 def win_uniform(s, d):
-    """Frames at an even step with their detections."""
-    return W.detections(s, d).where("frame_idx % 300 = 0").groupBy(F.col("frame_idx").alias("f")).agg(F.count(F.lit(1)).alias("n"))
+    """Frames at least 300 after the one kept before, with their detections."""
+    det = W.detections(s, d)
+    return det.join(DS.spaced(det, 300), "frame_idx", "left_semi").groupBy(F.col("frame_idx").alias("f")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 500 = 0")
 def ds_samples(s, d):
-    return W.table(s, d, "orders").where("o_orderkey % 500 = 0").select("o_orderkey", "o_custkey")
+    """One order of 500, at even steps by place."""
+    o = W.table(s, d, "orders").select("o_orderkey", "o_custkey")
+    return DS.evenly(o, "o_orderkey", -(-o.count() // 500))

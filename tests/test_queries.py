@@ -47,3 +47,17 @@ def test_yolo_of_all_images(spark, tmp_path):
     rows = [(k, 1, 0.5, 0.25, 0.5) for k in (1, 1999, 2000, 70_000)]
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert {r.image for r in catalog.queries()["snk_yolo"](spark, str(tmp_path)).collect()} == {1, 1999, 2000, 70_000}
+
+
+def test_uniform_frames(spark, tmp_path):
+    frames = [1, 2, 299, 301, 350, 601, 700, 899, 1100, 1399, 1400]  # none at a multiple of 300 or 500
+    one = "CAST(1 AS BIGINT) AS l_partkey, CAST(1 AS BIGINT) AS l_suppkey, 1 AS l_linenumber, 1.0 AS l_quantity, 0.1 AS l_discount, 'A' AS l_returnflag"
+    spark.createDataFrame([(k,) for k in frames for _ in range(2)], "l_orderkey long").selectExpr("l_orderkey", *one.split(", ")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sorted(map(tuple, catalog.queries()["win_uniform"](spark, str(tmp_path)).collect())) == [(1, 2), (301, 2), (601, 2), (1100, 2), (1400, 2)]
+    how = {r.frame_idx: r.how for r in catalog.queries()["set_selection"](spark, str(tmp_path)).collect()}
+    assert set(how) == set(frames) and {f for f, h in how.items() if h == "both"} == {1, 601, 1399}
+
+
+def test_samples_at_even_steps(spark, tmp_path):
+    spark.createDataFrame([(7 * k + 1, k) for k in range(2000)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    assert sorted(r.o_custkey for r in catalog.queries()["ds_samples"](spark, str(tmp_path)).collect()) == [0, 500, 1000, 1500]
