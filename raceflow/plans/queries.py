@@ -603,10 +603,19 @@ _NEAR = """SELECT u.run_id, u.frame_idx AS sequence, s.number, min(abs(u.frame_i
 ON u.run_id = s.run_id AND abs(u.frame_idx - s.frame_idx) <= 60 AND sqrt(pow(u.x - s.x, 2) + pow(u.y - s.y, 2)) <= 1.0 WHERE u.frame_idx % 50 = 0 GROUP BY 1, 2, 3"""
 
 
+def _crossings(s, d):
+    """Crossings of the line with their runs, places, numbers, and whether the reading there was sure."""
+    o, r = W.observations(s, d), W.reads(s, d).select(F.col("frame_idx").alias("f"), F.col("track_id").alias("t"), "number", (F.col("conf") >= 0.5).alias("sure"))
+    at = X.crossings(o, W.LINE, 3, 1500).select(F.col("track_id").alias("i"), F.col("frame_idx").alias("c"))
+    rows = o.join(at, (F.col("track_id") == F.col("i")) & (F.col("frame_idx") == F.col("c"))).join(r, (F.col("track_id") == F.col("t")) & (F.col("frame_idx") == F.col("f")), "left")
+    return rows.select("run_id", F.col("frame_idx").alias("sequence"), "frame_idx", "x", "y", "number", F.coalesce("sure", F.lit(False)).alias("sure"))
+
+
 def _near(s, d):
-    o = W.observations(s, d)
-    seen = o.join(W.reads(s, d).select(F.col("frame_idx").alias("f"), "number"), F.col("frame_idx") == F.col("f")).select("run_id", "number", "frame_idx", "x", "y")
-    return R.near_in_time_and_space(o.where("frame_idx % 50 = 0").withColumn("sequence", F.col("frame_idx")).select("run_id", "sequence", "frame_idx", "x", "y"), seen, 60, 1.0)
+    """The sure readings near every crossing without one."""
+    o, sure = W.observations(s, d), W.reads(s, d).where("conf >= 0.5").select(F.col("frame_idx").alias("f"), F.col("track_id").alias("t"), "number")
+    seen = o.join(sure, (F.col("frame_idx") == F.col("f")) & (F.col("track_id") == F.col("t"))).select("run_id", "number", "frame_idx", "x", "y")
+    return R.near_in_time_and_space(_crossings(s, d).where("not sure").select("run_id", "sequence", "frame_idx", "x", "y"), seen, 60, 1.0)
 
 
 @query(f"SELECT run_id, sequence, number, round(score, 6) AS score FROM ({_NEAR})")
@@ -616,7 +625,7 @@ def join_postproc_candidates(s, d):
 
 @query()
 def join_postproc(s, d):
-    return R.resolved_later(_near(s, d))
+    return R.resolved_later(_near(s, d), W.registry(s, d), _crossings(s, d).where("sure").select("run_id", "number"))
 
 
 @query("SELECT a.bib, a.frame_idx, count(*) AS earlier FROM emissions a JOIN emissions b ON a.bib = b.bib AND b.frame_idx < a.frame_idx AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < 20 GROUP BY 1, 2")

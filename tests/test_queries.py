@@ -61,3 +61,24 @@ def test_uniform_frames(spark, tmp_path):
 def test_samples_at_even_steps(spark, tmp_path):
     spark.createDataFrame([(7 * k + 1, k) for k in range(2000)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     assert sorted(r.o_custkey for r in catalog.queries()["ds_samples"](spark, str(tmp_path)).collect()) == [0, 500, 1000, 1500]
+
+
+def test_postproc_of_crossings(spark, tmp_path):
+    """Run a: 1002 is free and registered, 1001 isn't registered; run b: 1002 is taken by a sure crossing."""
+    events = []  # confidence is (30 + event_id % 70) / 100
+
+    def crosses(run, track, first, k):  # the third row beyond the line is the crossing
+        events.extend((first + n, track, run, x, k) for n, x in enumerate((10.0, 10.0, 60.0, 60.0, 60.0)))
+
+    crosses("a", 1, 700, 4)  # unsure
+    events.append((726, 9, "a", 60.0, 2))
+    crosses("a", 2, 7_000, 4)  # unsure
+    events.append((7_026, 9, "a", 60.0, 1))
+    crosses("b", 3, 14_050, 2)  # sure
+    crosses("b", 4, 14_070, 4)  # unsure
+    rows = [(i, t, e, x, f'{{"k": {k}}}') for i, t, e, x, k in events]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(1002,), (999,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    near = {(r.sequence, r.number) for r in catalog.queries()["join_postproc_candidates"](spark, str(tmp_path)).collect()}
+    assert near == {(704, "1002"), (7_004, "1001"), (14_074, "1002")}
+    assert [tuple(r) for r in catalog.queries()["join_postproc"](spark, str(tmp_path)).collect()] == [("a", 704, "1002")]
