@@ -1039,8 +1039,10 @@ def flt_label(s, d):
 
 @query()
 def flt_completeness(s, d):
-    """Completeness of crops: the first bytes of each document as 40 x 30 grey pixels."""
-    docs = W.table(s, d, "documents").select("doc_id", F.substring(F.coalesce("text", F.lit("")).cast("binary"), 1, 1200).alias("pixels"))
+    """Completeness of crops: the bytes of each whole document as grey pixels, 40 wide, the last row filled up with spaces."""
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    pixels = F.rpad(text, (F.ceil(F.length(text) / 40) * 40).cast("int"), F.lit(" ").cast("binary"))
+    docs = W.table(s, d, "documents").select("doc_id", pixels.alias("pixels"))
     return docs.select("doc_id", Q.crop_stats("pixels", F.lit(40)).alias("s")).select("doc_id", *[F.round(f"s.{c}", 6).alias(c) for c in Q.STATS])
 
 

@@ -82,3 +82,10 @@ def test_postproc_of_crossings(spark, tmp_path):
     near = {(r.sequence, r.number) for r in catalog.queries()["join_postproc_candidates"](spark, str(tmp_path)).collect()}
     assert near == {(704, "1002"), (7_004, "1001"), (14_074, "1002")}
     assert [tuple(r) for r in catalog.queries()["join_postproc"](spark, str(tmp_path)).collect()] == [("a", 704, "1002")]
+
+
+def test_completeness_of_whole_texts(spark, tmp_path):
+    texts = ["\u00e4" * 600, "\u00e4" * 600 + "z A" * 500, "x" * 50, "x" * 50 + " " * 30, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: tuple(r)[1:] for r in catalog.queries()["flt_completeness"](spark, str(tmp_path)).collect()}
+    assert len(got) == 5 and got[0] != got[1] and got[2] == got[3] and got[2][1] > 0 and set(got[4]) == {0.0}
