@@ -13,7 +13,9 @@ repeat as they come; an empty table gives an empty result; other columns are ign
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +56,25 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
     ("Proprietary", "All rights reserved."),
 )
 
+#: Whole texts of usual licences, a file for each SPDX name.
+TEXTS = Path(__file__).with_name("license_texts")
+_TITLE, _END = re.compile(r"(?i)\A\s*(?:the )?[a-z0-9 -]{0,20}licen[cs]e(?: \(\w+\))?\s*\n"), re.compile(r"(?s)\A.*END OF TERMS AND CONDITIONS")
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """License and text of every whole licence; short ones without their title or list numbers too, long ones without their appendix too."""
+    out = []
+    for name, text in [*((p.stem, p.read_text("utf-8")) for p in sorted(TEXTS.glob("*.txt"))), *((k, t) for k, t in KNOWN if len(t) > 500)]:
+        bare = _TITLE.sub("", text) if len(text) < 4000 else text
+        kinds = {text, bare, *(m[0] for m in [_END.match(text)] if m)}
+        if name == "MIT":
+            kinds.add("The MIT License (MIT)\n" + bare)
+        if name.startswith("BSD"):
+            kinds |= {re.sub(r"(?m)^[1-3]\. ", "* ", t) for t in kinds}
+        out += [(name, t) for t in sorted(kinds)]
+    return out
+
+
 #: Equivalent spellings: (variant, kept form), applied in order to the lower-cased text.
 SPELLINGS: tuple[tuple[str, str], ...] = (
     ("licence", "license"),
@@ -71,7 +92,7 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
 #: Lines that name a holder, not terms.
 _COPYRIGHT = r"(?m)^[ \t]*(copyright[ \t]*(\(c\)|©|<|[0-9]|by )|\(c\)|©)[^\n]*$"
 _OTHER = r"[^a-z0-9À-ɏ]+"
-#: A line can only be a notice if it names a license or rights; longer ones are not looked up singly.
+#: A line can only be a notice if it names a license or rights; the given tables' SQL leaves out longer ones.
 _NOTICE, _NOTICE_CHARS = r"(?i)licen[sc]|rights", 400
 
 
@@ -89,9 +110,9 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def registry(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
-    """license_id, digest of the known texts, one row for each digest."""
-    rows = spark.createDataFrame([tuple(x) for x in known], "license_id string, text string")
+def registry(spark: SparkSession, known: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """license_id, digest of the known texts (KNOWN and whole_texts, if none are given), one row for each digest."""
+    rows = spark.createDataFrame([tuple(x) for x in ((*KNOWN, *whole_texts()) if known is None else known)], "license_id string, text string")
     return rows.select("license_id", digest(F.col("text")).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
@@ -99,7 +120,7 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, digest, license_id (of the whole text, or null), notices (sorted licences of single lines) of every row."""
     side = C.small(known, 96)
     rows = C.only(docs, "doc_id", "text").withColumn("digest", digest(F.col("text")))
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(_NOTICE) & (F.length(x) <= _NOTICE_CHARS))
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(_NOTICE))
     rows = rows.withColumn("digests", F.array_distinct(F.transform(lines, digest))).drop("text")
     found = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "digest", "digests")
     keys = F.concat(F.array(F.col("digest")), F.col("digests"))

@@ -467,6 +467,18 @@ def test_chunks_follow_content():
 # --- licences and languages ------------------------------------------------------------------------
 
 
+def test_whole_licenses(spark):
+    names = "Apache-2.0 GPL-2.0 GPL-3.0 LGPL-2.1 LGPL-3.0 BSD-2-Clause BSD-3-Clause ISC MPL-2.0 CC0-1.0".split()
+    rows = [(i, (licenses.TEXTS / f"{n}.txt").read_text().upper()) for i, n in enumerate(names)]
+    mit = next(t for k, t in licenses.KNOWN if k == "MIT" and len(t) > 500)
+    line = " ".join(mit[mit.index("Permission") :].split())
+    rows += [(100, "A text.\n" + line + "\nIts end."), (101, "* ".join(rows[5][1].split("1. ")).replace("2. ", "* "))]
+    rows += [(102, rows[0][1][: rows[0][1].index("APPENDIX:")])]
+    got = by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.registry(spark)))
+    assert [got[i].license_id for i in range(len(names))] == names and len(line) > 900
+    assert (got[100].license_id, got[100].notices, got[101].license_id, got[102].license_id) == (None, "MIT", "BSD-2-Clause", "Apache-2.0")
+
+
 def test_licenses(spark):
     mit = next(t for k, t in licenses.KNOWN if k == "MIT" and len(t) > 500)
     noisy = mit.replace("Copyright (c) <year> <copyright holders>", "Copyright (c) 2019 Someone, Inc.").upper().replace("\n", "  \r\n")
