@@ -1,8 +1,9 @@
 """Personal data: pattern spans and information-theoretic sanitisation.
 
 Base spans are found by patterns (email, ip, card, phone). Every distinct base value is
-a protected entity. Over the whole corpus, the words near an entity's mentions are
-counted against all documents that have those words: a word discloses an entity when its
+a protected entity. Over the whole corpus, the words (outside e-mail addresses) of the
+documents that mention an entity are counted against all documents that have those
+words: a word discloses an entity when its
 pointwise mutual information with the entity reaches DISCLOSED of the entity's own
 information, that is when seeing the word nearly tells the entity. Such words count only
 with SUPPORT different texts behind them. Their occurrences become spans of kind `term`,
@@ -32,8 +33,8 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: Characters on each side of a mention whose words are its context, and the least letters of a word.
-NEAR, LETTERS = 80, 3
+#: The least letters of a word.
+LETTERS = 3
 #: Share of an entity's information from which a word discloses it; different texts that must show it.
 DISCLOSED, SUPPORT = 0.9, 2
 
@@ -105,43 +106,36 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
 
 
-def _near(kind: str):
-    def near(s: Column) -> Column:
-        first = F.greatest(s["start"] - NEAR, F.lit(0))
-        before, after = F.substring(F.col("text"), first + 1, s["start"] - first), F.substring(F.col("text"), s["end"] + 1, F.lit(NEAR))
-        # words that the window's edge may have cut are left out
-        before = F.when(first > 0, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
-        after = F.when(F.length(after) == NEAR, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
-        return F.struct(F.concat(F.lit(f"{kind}:"), F.lower(s["body"])).alias("entity"), F.array_distinct(_terms(F.concat_ws(" ", before, after))).alias("terms"))
-
-    return near
-
-
 def _mentions() -> Column:
-    """entity and the words near it, of each base span of a row."""
-    return F.concat(*[F.transform(F.col(kind), _near(kind)) for kind in PATTERNS])
+    """The entities of a row's base spans."""
+    named = lambda kind: lambda s: F.concat(F.lit(f"{kind}:"), F.lower(s["body"]))
+    return F.array_distinct(F.concat(*[F.transform(F.col(kind), named(kind)) for kind in PATTERNS]))
 
 
 def disclosing(found: DataFrame, docs: DataFrame, disclosed: float = DISCLOSED, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
     """(term, share) of the disclosing words, share being PMI over the entity's information; and (doc_id, key, term) of where they occur."""
-    total = found.count()
-    mentions = found.where(F.size("mentions") > 0).select("doc_id", "key", F.inline("mentions"))
-    pairs = mentions.select("doc_id", "key", "entity", F.explode("terms").alias("term"))
-    joint = pairs.groupBy("entity", "term").agg(F.countDistinct("doc_id").alias("joint"), F.countDistinct("key").alias("texts")).where(F.col("texts") >= support)
-    of_entity = mentions.groupBy(F.col("entity").alias("e")).agg(F.countDistinct("doc_id").alias("entity_docs"))
-    # a word is in at least the documents where it is near any mention, so a pair that fails with these fails with all
-    near = pairs.groupBy(F.col("term").alias("t")).agg(F.countDistinct("doc_id").alias("near_docs"))
-    joint = joint.join(of_entity, F.col("entity") == F.col("e")).join(near, F.col("term") == F.col("t"))
-    own = F.log2(F.lit(float(total)) / F.col("entity_docs"))
-    told = lambda docs: F.log2(F.lit(float(total)) * F.col("joint") / (F.col("entity_docs") * F.col(docs)))
-    joint = joint.where((own > 0) & (told("near_docs") >= disclosed * own * (1 - 1e-9)))
-    joint = C.written(joint.select("entity", "term", "joint", "entity_docs"), "joint")
-    wanted = C.small(joint.select(F.col("term").alias("t")).distinct(), 64)
-    words = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("key"), F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    places = C.written(words.join(wanted, F.col("term") == F.col("t"), "left_semi"), "places")
-    of_term = places.groupBy(F.col("term").alias("t")).agg(F.countDistinct("doc_id").alias("term_docs"))
-    share = joint.join(of_term, F.col("term") == F.col("t")).select("term", (told("term_docs") / own).alias("share"))
-    terms = C.written(share.where(F.col("share") >= disclosed).groupBy("term").agg(F.max("share").alias("share")), "terms")
+    total = float(max(found.count(), 1))
+    mentions = found.where(F.size("mentions") > 0).select("doc_id", "key", F.explode("mentions").alias("entity"))
+    of_entity = mentions.groupBy(F.col("entity").alias("e")).agg(F.countDistinct("doc_id").alias("entity_docs"), F.countDistinct("key").alias("texts")).where((F.col("texts") >= support) & (F.col("entity_docs") < total))
+    held = C.written(mentions.join(C.small(of_entity, 96), F.col("entity") == F.col("e")).select("doc_id", "key", "entity", "entity_docs").distinct(), "held")
+    # no word of more documents can disclose an entity of so many, even if all its documents have the word
+    bound = lambda n: F.lit(total) * F.pow(n / F.lit(total), F.lit(disclosed)) * (1 + 1e-9)
+    largest = F.lit(float(held.agg(F.max("entity_docs")).first()[0] or 0))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    bearers = C.small(held.select(F.col("doc_id").alias("d"), F.col("key").alias("k")).distinct(), 48)
+    outside = F.when(F.contains("text", F.lit("@")), F.regexp_replace("text", F.lit(PATTERNS["email"]), F.lit(" "))).otherwise(F.col("text"))
+    own = texts.join(bearers, (F.col("doc_id") == F.col("d")) & (F.col("key") == F.col("k")), "left_semi").select("doc_id", "key", F.explode(F.array_distinct(_terms(outside))).alias("term"))
+    own = C.written(own, "own")
+    may = own.groupBy(F.col("term").alias("t")).agg(F.countDistinct("key").alias("texts"), F.countDistinct("doc_id").alias("docs")).where((F.col("texts") >= support) & (F.col("docs") <= bound(largest)))
+    may = C.small(C.written(may.select("t"), "may"), 64)
+    words = texts.select("doc_id", "key", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+    places = C.written(words.join(may, F.col("term") == F.col("t"), "left_semi"), "places")
+    of_term = C.written(places.groupBy(F.col("term").alias("t")).agg(F.countDistinct("doc_id").alias("term_docs")).where(F.col("term_docs") <= bound(largest)), "rare")
+    pairs = own.join(C.small(of_term, 72), F.col("term") == F.col("t")).select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "term", "term_docs")
+    pairs = held.join(pairs, (F.col("doc_id") == F.col("d")) & (F.col("key") == F.col("k")) & (F.col("term_docs") <= bound(F.col("entity_docs"))))
+    joint = pairs.groupBy("entity", "term").agg(F.countDistinct("doc_id").alias("joint"), F.countDistinct("key").alias("texts"), F.max("entity_docs").alias("entity_docs"), F.max("term_docs").alias("term_docs")).where(F.col("texts") >= support)
+    share = F.log2(F.lit(total) * F.col("joint") / (F.col("entity_docs") * F.col("term_docs"))) / F.log2(F.lit(total) / F.col("entity_docs"))
+    terms = C.written(joint.select("term", share.alias("share")).where(F.col("share") >= disclosed).groupBy("term").agg(F.max("share").alias("share")), "terms")
     return terms, places.join(C.small(terms.select(F.col("term").alias("t"), "share"), 64), F.col("term") == F.col("t")).select("doc_id", "key", "term", "share")
 
 

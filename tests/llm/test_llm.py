@@ -352,6 +352,16 @@ def test_pii_base(spark, docs, texts):
         assert {i: r.base for i, r in got.items()} == {i: listed(base_spans(t)) for i, t in want.items()}
 
 
+def test_pii_disclosure_far(spark):
+    fill = lambda i: " ".join("common plain usual words".split()[(i + k) % 4] for k in range(100))
+    rows = [(i, f"Dear Zorblax {fill(i)} write to secret.box@mail.org {fill(i + 1)}") for i in range(3)]
+    rows += [(3, f"Dear Zorblax at secret.box@mail.org {fill(3)}")]
+    rows += [(10 + i, fill(i) + f" write to box{i}@mail.org") for i in range(60)]
+    got = by_id(pii.found_spans(spark.createDataFrame(rows, "doc_id long, text string"), 0.9).select("doc_id", pii._listed("all").alias("all")))
+    assert all("term:5:12" in got[i]["all"] for i in range(4))
+    assert all("term" not in got[10 + i]["all"] for i in range(60)) and all(got[i]["all"].count("term") == 2 for i in range(3))
+
+
 def test_pii_disclosure(spark):
     filler = lambda i: " ".join(f"common{j}" for j in range(5)) + f" alpha{chr(97 + i % 20)} beta"
     rows = [(i, f"{filler(i)} write to Quentin Zappelmann at q.z@corp.example about it {filler(i + 3)}") for i in range(4)]
