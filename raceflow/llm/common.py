@@ -39,9 +39,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none (tests)."""
+    """The folder all executors share; a local one only where the session names none and all tasks run on this machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="raceflow-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -56,6 +58,60 @@ def written(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+ROW = "__row"
+
+
+def numbers(df: DataFrame, key: str = "doc_id") -> bool:
+    """Whether key is a number of its own for each row: no nulls, no repeats."""
+    n, ids = df.agg(F.count(F.lit(1)), F.countDistinct(F.col(f"`{key}`"))).first()
+    return n == ids
+
+
+class Rows:
+    """The rows of docs under names that clash with nothing (c0, c1, ...), with a key of their own in ROW.
+
+    The key is doc_id where that is unique and never null. Else the rows are written once with numbers of their own, so
+    that rows of one doc_id, or of none, are told apart.
+    """
+
+    def __init__(self, docs: DataFrame):
+        prepare(docs.sparkSession)
+        self.columns = docs.columns
+        self.names = [f"c{i}" for i in range(len(self.columns))]
+        rows = docs.toDF(*self.names)
+        self.unique = numbers(docs)
+        if self.unique:
+            self.df = rows.withColumn(ROW, F.col(self.name("doc_id")).cast("long"))
+        else:
+            self.df = written(rows.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+    def name(self, column: str) -> str:
+        return self.names[self.columns.index(column)]
+
+    def only(self, *columns: str) -> DataFrame:
+        """ROW and the named columns under their own names."""
+        return self.df.select(ROW, *[F.col(self.name(c)).alias(c) for c in columns])
+
+    def back(self, df: DataFrame, *more: str) -> DataFrame:
+        """df's document columns under the names they came with, and after them the columns `more`."""
+        return df.select(*[F.col(n).alias(c) for n, c in zip(self.names, self.columns)], *more)
+
+
+#: A group above both is spread: at least so many rows, and more than this share of all rows (so there are at most 1 / share of them).
+POPULAR_ROWS, POPULAR_SHARE = 1_000, 1e-5
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """rows joined to their group (one row for each value of `on`, `size` being its rows).
+
+    The large groups, at most 1 / POPULAR_SHARE of them, are broadcast, so their rows stay where they are; the rest are small
+    and are shuffled.
+    """
+    large = F.col(size) > max(POPULAR_ROWS, int(total * POPULAR_SHARE))
+    few = F.broadcast(groups.where(large))
+    return rows.join(few, on).unionByName(rows.join(few.select(*on), on, "left_anti").join(groups.where(~large), on))
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if its counted rows fit the limit, else as it is (a shuffled join)."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df

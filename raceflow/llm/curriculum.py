@@ -14,8 +14,9 @@ one task. The order in a source is by md5 of doc_id, so that reruns agree.
 A document is taken once for each pass (at most `most` passes) in which its middle
 word lies within the target. Null text has size 0 and is never taken; a null source
 is a source of its own, last in order; rows repeated with one doc_id are counted and
-placed one after the other (each row is taken by its own place); no words at all
-give targets 0; other columns are ignored.
+placed one after the other (each row is taken by its own place), and so are rows
+without a doc_id; no words at all give targets 0; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ BUCKETS = 4096
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in C.slices(batches, "text"):
         size = pa.array([len(x.split()) for x in C.texts(b.column("text"))], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), size], ["doc_id", "source", "size"])
+        yield pa.RecordBatch.from_arrays([b.column(C.ROW), b.column("doc_id"), b.column("source"), size], [C.ROW, "doc_id", "source", "size"])
 
 
 def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
@@ -93,9 +94,9 @@ def inverse(knots: Sequence[tuple[float, float]], u: Column) -> Column:
     return F.least(F.greatest(out, F.lit(knots[0][0])), F.lit(knots[-1][0]))
 
 
-def mixed(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float = SHARE, most: int = MOST, buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, size, source_size, target, taken, positions (one for each time the document is taken) of every row."""
-    rows = C.only(docs, "doc_id", "text", "source").mapInArrow(C.tidy(_sizes), "doc_id long, source string, size long")
+def _mixed(rows: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float = SHARE, most: int = MOST, buckets: int = BUCKETS) -> DataFrame:
+    """The key, doc_id, size, source_size, target, taken, positions of every row (key, doc_id, text, source)."""
+    rows = rows.mapInArrow(C.tidy(_sizes), f"{C.ROW} long, doc_id long, source string, size long")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = rows.withColumn("key", key).withColumn("bucket", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / 4294967296).cast("long"))
     rows = C.written(rows, "sizes")
@@ -105,7 +106,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float =
     up_to = Window.partitionBy("source").orderBy("bucket")
     starts = by_bucket.withColumn("bucket_start", F.sum("bucket_size").over(up_to) - F.col("bucket_size"))
     starts = starts.join(plan, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "bucket_start", "place", "source_size", "target")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", C.ROW).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("within", F.sum("size").over(inside) - F.col("size"))
     rows = rows.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     before, places = F.col("bucket_start") + F.col("within"), []
@@ -116,14 +117,28 @@ def mixed(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float =
             at = F.when(F.col("place") % len(schedules) == i, inverse(knots, u)) if at is None else at.when(F.col("place") % len(schedules) == i, inverse(knots, u))
         places.append(F.when((F.col("size") > 0) & (middle <= F.col("target")), at))
     rows = rows.withColumn("positions", F.filter(F.array(*places), lambda x: x.isNotNull()))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken"), "positions")
+    return rows.select(C.ROW, "doc_id", "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken"), "positions")
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, size, source_size, target, taken, positions (one for each time the document is taken) of every row."""
+    return _mixed(C.Rows(C.only(docs, "doc_id", "text", "source")).only("doc_id", "text", "source"), **options).drop(C.ROW)
+
+
+#: The column that training_order adds.
+POSITION = "position"
 
 
 def training_order(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs as training reads them: repeated for each time they are taken, sorted by position over ranges."""
-    plan = mixed(docs, **options).where("taken > 0").select(F.col("doc_id").alias("__id"), "positions").dropDuplicates(["__id"])
-    out = docs.join(plan, F.col("doc_id") == F.col("__id")).withColumn("__position", F.explode("positions"))
-    return out.orderBy("__position", "__id").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs as training reads them: repeated for each time they are taken, sorted by position over ranges.
+
+    The training position (0..1) follows the columns of docs as POSITION, so the order outlives a shuffle; a column of
+    docs that has this name already gives way to it.
+    """
+    keyed = C.Rows(docs)
+    plan = _mixed(keyed.only("doc_id", "text", "source"), **options).where("taken > 0").select(C.ROW, "positions")
+    out = keyed.df.join(plan, C.ROW).withColumn("__position", F.explode("positions")).orderBy("__position", C.ROW)
+    return keyed.back(out, "__position").select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != POSITION], F.col("__position").alias(POSITION))
 
 
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

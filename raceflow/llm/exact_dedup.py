@@ -8,9 +8,11 @@ before the shuffle) and every digest is verified to stand for one byte string; t
 ordered lists of verified identifiers then decide. Should two chunks ever share a
 digest, the recipes are made again with the next, wider digest.
 
-Null text counts as empty; empty texts are equal; a very long text is a long
-recipe; rows repeated with one doc_id count in group_size and share one decision;
-an empty table gives an empty result; other columns are ignored.
+Null text counts as empty; empty texts are equal; a very long text is a long recipe;
+rows repeated with one doc_id and one text count in group_size and share one decision;
+rows of one doc_id with other texts are told apart; a null doc_id is kept only where
+no row of the text has another; an empty table gives an empty result; other columns are
+ignored. A text of very many copies isn't one task: the few large groups are broadcast.
 """
 
 from __future__ import annotations
@@ -75,7 +77,7 @@ def chunks(data: bytes, powers: dict[str, np.ndarray] | None = None) -> list[byt
     return out
 
 
-_RECIPES = pa.schema([("doc_id", pa.int64()), ("text_sha256", pa.string()), ("recipe", pa.list_(pa.binary()))])
+_RECIPES = pa.schema([(C.ROW, pa.int64()), ("doc_id", pa.int64()), ("text_sha256", pa.string()), ("recipe", pa.list_(pa.binary()))])
 _CHUNKS = pa.schema([("digest", pa.binary()), ("chunk", pa.binary())])
 
 
@@ -86,6 +88,7 @@ def _recipes(digest: Callable[[bytes], bytes]):
             data = C.texts(b.column("text"))
             yield C.batch_of(
                 _RECIPES,
+                **{C.ROW: b.column(C.ROW)},
                 doc_id=b.column("doc_id"),
                 text_sha256=[hashlib.sha256(x).hexdigest() for x in data],
                 recipe=[[digest(c) for c in chunks(x, powers)] for x in data],
@@ -104,31 +107,39 @@ def _contents(digest: Callable[[bytes], bytes]):
     return run
 
 
-def recipes(docs: DataFrame, digests=DIGESTS) -> DataFrame:
-    """doc_id, text_sha256, recipe (ordered verified chunk identifiers) of every row."""
-    rows = C.only(docs, "doc_id", "text")
+def recipes(rows: DataFrame, digests=DIGESTS) -> DataFrame:
+    """The key, doc_id, text_sha256, recipe (ordered verified chunk identifiers) of every row (key, doc_id, text)."""
     for k, digest in enumerate(digests):
-        made = C.written(rows.mapInArrow(C.tidy(_recipes(digest)), "doc_id long, text_sha256 string, recipe array<binary>"), "recipes")
+        made = C.written(rows.mapInArrow(C.tidy(_recipes(digest)), f"{C.ROW} long, doc_id long, text_sha256 string, recipe array<binary>"), "recipes")
         shared = made.groupBy("recipe").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and size(recipe) > 0")
-        again = C.written(made.join(shared, "recipe", "left_semi").select("doc_id").distinct(), "shared")
-        bytes_of = rows.join(C.small(again, 16), "doc_id", "left_semi").select("text").mapInArrow(C.tidy(_contents(digest)), "digest binary, chunk binary")
+        total = made.count()
+        again = C.written(C.with_groups(made.where("size(recipe) > 0"), shared, ["recipe"], "n", total).select(C.ROW), "shared")
+        bytes_of = rows.join(C.small(again, 16), C.ROW, "left_semi").select("text").mapInArrow(C.tidy(_contents(digest)), "digest binary, chunk binary")
         clash = bytes_of.groupBy("digest").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).where("a <> b")
         if clash.isEmpty():
             return made
     raise RuntimeError(f"every one of {k + 1} digests had a verified collision")
 
 
+def _grouped(rows: DataFrame, digests=DIGESTS) -> DataFrame:
+    """The recipes with keep_id, keep_row (the one row that stays of each text) and group_size."""
+    made = recipes(rows, digests)
+    best = F.max(F.struct("doc_id", C.ROW))
+    heads = made.groupBy("recipe").agg(best["doc_id"].alias("keep_id"), best[C.ROW].alias("keep_row"), F.count(F.lit(1)).alias("group_size"))
+    return C.with_groups(made, C.written(heads, "heads"), ["recipe"], "group_size", made.count())
+
+
 def groups(docs: DataFrame, digests=DIGESTS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row; the largest doc_id of equal texts stays."""
-    made = recipes(docs, digests)
-    heads = made.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return made.join(heads, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    out = _grouped(C.Rows(C.only(docs, "doc_id", "text")).only("doc_id", "text"), digests)
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    gone = groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One row of docs for each text, with all its columns: of equal texts one with the largest doc_id."""
+    keyed = C.Rows(docs)
+    gone = _grouped(keyed.only("doc_id", "text")).where(F.col(C.ROW) != F.col("keep_row")).select(C.ROW)
+    return keyed.back(keyed.df.join(gone, C.ROW, "left_anti"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 Documents whose shingle sets have a Jaccard similarity of at least 3/4 are linked, and
 every document gets the least doc_id that its links reach.
 
-1. Documents with equal sets are one node (its least doc_id). A set's bitmap marks its
+1. Documents with equal sets are one node (its least row key, which is doc_id where that is unique). A set's bitmap marks its
    hashed shingles; its width grows with the set.
 2. Linked sets share a shingle of their prefixes (the first quarter, plus one, of each
    set in one global order; frequent shingles come last in it). Sets that share one are
@@ -26,9 +26,11 @@ blocks and each pair of blocks is searched by itself.
 
 Words are `[^\\x20\\x09-\\x0D]+` of the whole text with A-Z in lower case; a text of fewer
 than five words is one shingle. Null, empty and wordless texts have no set and only
-themselves as a component. Rows repeated with one doc_id give equal rows if their texts
-are equal. An empty table gives an empty result; other columns are ignored. Shingles are
-compared by 64-bit hashes, and nodes by 128 bits of their sets.
+themselves as a component. Rows repeated with one doc_id are told apart, and give equal
+rows if their texts are equal; rows without a doc_id are linked like any other, and
+component_id is null where no row that is reached has a doc_id. An empty table gives an
+empty result; other columns are ignored. Shingles are compared by 64-bit hashes, and nodes
+by 128 bits of their sets.
 """
 
 from __future__ import annotations
@@ -80,9 +82,9 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
 
 
 _SETS = pa.schema(
-    [("doc_id", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("check", pa.int64()), ("bits", pa.binary()), ("frequent", pa.list_(pa.struct([("token", pa.int64()), ("docs", pa.int32())])))]
+    [(C.ROW, pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("check", pa.int64()), ("bits", pa.binary()), ("frequent", pa.list_(pa.struct([("token", pa.int64()), ("docs", pa.int32())])))]
 )
-_SETS_DDL = "doc_id long, n long, id long, check long, bits binary, frequent array<struct<token:bigint,docs:int>>"
+_SETS_DDL = f"{C.ROW} long, doc_id long, n long, id long, check long, bits binary, frequent array<struct<token:bigint,docs:int>>"
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +98,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens, counts = np.unique(np.concatenate([*distinct.values()]), return_counts=True)
             often = counts >= COUNTED_DOCS
             frequent[0] = [{"token": t, "docs": c} for t, c in zip(tokens[often].view(np.int64).tolist(), counts[often].tolist())]
-        yield C.batch_of(_SETS, doc_id=b.column("doc_id"), n=[len(s) for s in sets], id=[k for k, _ in keys], check=[c for _, c in keys], bits=[bitmap(s) for s in sets], frequent=frequent)
+        yield C.batch_of(_SETS, **{C.ROW: b.column(C.ROW)}, doc_id=b.column("doc_id"), n=[len(s) for s in sets], id=[k for k, _ in keys], check=[c for _, c in keys], bits=[bitmap(s) for s in sets], frequent=frequent)
 
 
 def prefix(s: np.ndarray, heavy: np.ndarray) -> np.ndarray:
@@ -378,7 +380,7 @@ def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in C.slices(batches, "text"):
         data = C.texts(b.column("text"))
         ok = [i for i, (s, k) in enumerate(zip(shingles(data, seen), b.column("id").to_pylist())) if set_key(s)[0] == k]
-        node = b.column("doc_id").to_pylist()
+        node = b.column(C.ROW).to_pylist()
         yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in ok], pa.int64()), pa.array([pack.compress(data[i]) for i in ok], pa.binary())], ["node", "text"])
 
 
@@ -434,16 +436,14 @@ def groups(docs: DataFrame, sets: DataFrame, leaders: DataFrame) -> DataFrame:
     return out.select("grp", "cell", "part", "node")
 
 
-def joined(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
-    docs = C.only(docs, "doc_id", "text")
+def _joined(docs: DataFrame, unique: bool) -> DataFrame:
+    """The key, doc_id, n_shingles, comp (a key; least key of the rows it reaches), component_id of every row (key, doc_id, text)."""
     spark = docs.sparkSession
     sets = C.written(docs.mapInArrow(C.tidy(_sets), _SETS_DDL), "sets")
-    found = sets.where("n > 0").groupBy("id")
-    leaders = found.agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.first("bits").alias("bits"), F.min("check").alias("check"), F.max("check").alias("check2"))
+    # sets of one 64-bit id are told apart by 64 bits more; where groups go by id alone they get some members too many
+    found = sets.where("n > 0").groupBy("id", "check")
+    leaders = found.agg(F.min(C.ROW).alias("node"), F.min("n").alias("n"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("copies"))
     leaders = C.written(leaders, "leaders")
-    if not leaders.where("check <> check2").isEmpty():
-        raise RuntimeError("two shingle sets share a 64-bit key")
     members = C.written(groups(docs, sets, leaders), "groups")
     of_node = members.groupBy(F.col("node").alias("m")).agg(F.slice(F.sort_array(F.collect_set("grp")), 1, FIRST).alias("groups"))
     bitmaps = C.written(leaders.select("node", "n", "bits").join(of_node, F.col("node") == F.col("m")).select("m", "n", "bits", "groups"), "bitmaps")
@@ -469,7 +469,7 @@ def joined(docs: DataFrame) -> DataFrame:
             break
         wanted = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct().join(leaders, F.col("w") == F.col("node")).select("node", "id")
         wanted = C.written(wanted, "wanted")
-        text = docs.join(C.small(wanted, 32), F.col("doc_id") == F.col("node")).select("doc_id", "text", "id").mapInArrow(C.tidy(_payload), "node long, text binary")
+        text = docs.join(C.small(wanted, 32), F.col(C.ROW) == F.col("node")).select(C.ROW, "text", "id").mapInArrow(C.tidy(_payload), "node long, text binary")
         text = C.written(text.dropDuplicates(["node"]), "texts")
         both = pairs.join(text.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(text.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         judged = C.written(both.select("a", "b", "text_a", "text_b").mapInArrow(C.tidy(_verified), "a long, b long, linked boolean"), "judged")
@@ -477,16 +477,30 @@ def joined(docs: DataFrame) -> DataFrame:
         refused = C.written(refused.union(judged.where("not linked").select("a", "b")), "refused")
         labels = components(edges)
         thick *= 256
-    out = sets.select("doc_id", F.col("n").alias("n_shingles"), "id")
-    out = out.join(leaders.select(F.col("id").alias("i"), "node"), (F.col("id") == F.col("i")) & (F.col("n_shingles") > 0), "left")
-    out = out.join(labels.select(F.col("node").alias("l"), "comp"), F.col("node") == F.col("l"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("comp", "node", "doc_id").alias("component_id"))
+    found = leaders.select("id", "check", "copies", "node").join(labels.select(F.col("node").alias("l"), "comp"), F.col("node") == F.col("l"), "left")
+    found = C.written(found.select("id", "check", "copies", F.coalesce("comp", "node").alias("comp")), "comps")
+    out = sets.select(C.ROW, "doc_id", F.col("n").alias("n_shingles"), "id", "check")
+    alone = out.where("n_shingles = 0").select(C.ROW, "doc_id", "n_shingles", F.col(C.ROW).alias("comp"))
+    linked = C.with_groups(out.where("n_shingles > 0"), found, ["id", "check"], "copies", sets.count()).select(C.ROW, "doc_id", "n_shingles", "comp")
+    out = alone.unionByName(linked)
+    if unique:
+        return out.withColumn("component_id", F.col("comp"))
+    out = C.written(out, "comps")
+    ids = out.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    return C.with_groups(out, C.written(ids, "ids"), ["comp"], "rows", out.count()).select(C.ROW, "doc_id", "n_shingles", "comp", "component_id")
+
+
+def joined(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    keyed = C.Rows(C.only(docs, "doc_id", "text"))
+    return _joined(keyed.only("doc_id", "text"), keyed.unique).select("doc_id", "n_shingles", "component_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs of which each component keeps the one with the least doc_id, with all their columns."""
-    gone = joined(docs).where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """The rows of docs of which each component keeps one (the one with the least key, which is doc_id where that is unique), with all their columns."""
+    keyed = C.Rows(docs)
+    gone = _joined(keyed.only("doc_id", "text"), True).where(F.col("comp") != F.col(C.ROW)).select(C.ROW)
+    return keyed.back(keyed.df.join(gone, C.ROW, "left_anti"))
 
 
 def op4_signature_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_line_frequency": line_quality.ORACLE,
         "op2_curriculum_mix": curriculum.ORACLE,
         "op4_signature_tree": jaccard_join.ORACLE,
         "op8_exact_dedup": exact_dedup.ORACLE,
