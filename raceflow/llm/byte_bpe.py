@@ -229,11 +229,11 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return rows.mapInArrow(C.tidy(run), T.StructType([*rows.schema.fields, T.StructField("data", T.BinaryType())]))
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
+def digests(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, the columns `more`, n_tokens, ids_sha256, decoded_sha256 of every row."""
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    both = decode(encode(C.only(docs, "doc_id", "text")).select("doc_id", "ids"))
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("data"), 256).alias("decoded_sha256"))
+    both = decode(encode(C.only(docs, "doc_id", *more, "text")).drop("text"))
+    return both.select("doc_id", *more, F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("data"), 256).alias("decoded_sha256"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -49,10 +49,33 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Paths that were written and not yet discarded.
+_cuts: list[str] = []
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder, which cuts() lists until it is discarded."""
+    _cuts.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _cuts[-1]
+
+
+def discard(spark: SparkSession, made: Sequence[str]) -> None:
+    """Removes these paths of new_path(); only for callers whose results don't read them any more."""
+    for path in made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _cuts.remove(path)
+
+
+def cuts() -> tuple[str, ...]:
+    """The paths that were written so far and not yet discarded."""
+    return tuple(_cuts)
+
+
 def written(df: DataFrame, name: str = "cut") -> DataFrame:
     """df as Parquet in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
