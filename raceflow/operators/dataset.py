@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from raceflow.operators.folds import folded
+from raceflow.operators.ordering import placed
 
 
 def _shuffled(key: str, seed: int) -> Column:
@@ -40,6 +41,14 @@ def oversampled(samples: DataFrame, copies: dict[int, int] | None = None) -> Dat
     return samples.withColumn("copy", F.explode(F.sequence(F.lit(0), n)))
 
 
+def numbers(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
+    """id, digits, label: n synthetic labels of one to four digits, evenly by length; the same on any cluster."""
+    rows = spark.range(n).withColumn("digits", (F.col("id") % 4 + 1).cast("int"))
+    least = F.element_at(F.array(*[F.lit(10**k) for k in range(4)]), F.col("digits")).cast("long")
+    draw = F.conv(F.substring(_shuffled("id", seed), 1, 12), 16, 10).cast("long")
+    return rows.select("id", "digits", (least + draw % (9 * least)).cast("string").alias("label"))
+
+
 def char_accuracy(gt: Column, pred: Column) -> Column:
     longest = F.greatest(F.length(gt), F.length(pred))
     return F.when(longest > 0, 1.0 - F.levenshtein(gt, pred) / longest).otherwise(1.0)
@@ -81,6 +90,35 @@ def reconciled(annotated: DataFrame, files: DataFrame) -> DataFrame:
     return out.select(F.coalesce("name", "file").alias("name"), F.when(F.col("file").isNull(), "missing_file").when(F.col("name").isNull(), "unannotated").otherwise("both").alias("state"))
 
 
+def counted_readiness(images: DataFrame, annotations: DataFrame, files: DataFrame) -> DataFrame:
+    """One row: images, annotations, missing, issues, status, warnings. images: name; annotations: id, bbox; files: name."""
+    n = images.count()
+    boxes, issues = annotations.count(), bad_boxes(annotations).count()
+    missing = reconciled(images, files).where("state = 'missing_file'").count()
+    status, warnings = readiness(n, boxes, missing, issues)
+    return images.sparkSession.createDataFrame([(n, boxes, missing, issues, status, "; ".join(warnings))], "images long, annotations long, missing long, issues long, status string, warnings string")
+
+
+def gate_comparison(rows: DataFrame, key: str, accepted: Column) -> DataFrame:
+    """key, n, accepted, rejected, share: the rows with and without a gate, in one pass."""
+    ok = F.coalesce(accepted, F.lit(False))
+    out = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("rejected"))
+    return out.withColumn("share", F.col("accepted") / F.col("n"))
+
+
+def copies(files: DataFrame, prefix: str) -> DataFrame:
+    """files (file_name) and name: that of the copy, with the prefix of its dataset and .jpg for any spelling of it."""
+    stem = F.regexp_replace("file_name", r"(?i)[.]jpe?g$", "")
+    return files.withColumn("name", F.concat(F.lit(f"{prefix}_"), stem, F.lit(".jpg")))
+
+
+def parity(one: DataFrame, other: DataFrame) -> DataFrame:
+    """event, n, both_right, differ of two models on the same samples. one: key, event, gt, pred; other: key, alt."""
+    rows = one.join(other.select(F.col("key").alias("__k"), "alt"), F.col("key") == F.col("__k"))
+    both = (F.col("gt") == F.col("pred")) & (F.col("gt") == F.col("alt"))
+    return rows.groupBy("event").agg(F.count(F.lit(1)).alias("n"), F.count_if(both).alias("both_right"), F.count_if(F.col("pred") != F.col("alt")).alias("differ"))
+
+
 def readiness(images: int, annotations: int, missing: int, issues: int) -> tuple[str, list[str]]:
     warnings = [w for w, bad in (("few images", images < 500), ("less than one annotation an image", annotations < images), ("box issues", issues > 0)) if bad]
     return ("READY" if not missing else "NOT READY"), warnings
@@ -92,8 +130,7 @@ def evenly(rows: DataFrame, order: str, most: int) -> DataFrame:
     if n <= most:
         return rows
     picks = rows.sparkSession.range(most).select(F.floor(F.col("id") * n / most).alias("__at")).distinct()
-    placed = rows.withColumn("__n", F.row_number().over(Window.orderBy(order)) - 1)
-    return placed.join(F.broadcast(picks), F.col("__n") == F.col("__at"), "left_semi").drop("__n")
+    return placed(rows, "__n", order).join(F.broadcast(picks), F.col("__n") == F.col("__at"), "left_semi").drop("__n")
 
 
 def spaced(frames: DataFrame, gap: int) -> DataFrame:

@@ -89,6 +89,32 @@ def phantoms(reads: DataFrame, most: int = 5) -> DataFrame:
     return reads.groupBy("number").agg(F.countDistinct("track_id").alias("tracks")).where(F.col("tracks") > most)
 
 
+def strongest(rows: DataFrame, key: str, of: str, signal: str) -> DataFrame:
+    """key, of: the one with the strongest signal (the largest of equals)."""
+    return rows.groupBy(key).agg(F.max(F.struct(signal, of))[of].alias(of))
+
+
+def remembered(reads: DataFrame, memory: int, run: str = "run_id") -> DataFrame:
+    """run, track_id, number (the last), last_frame, live: of all time, and whether it is within `memory` frames of the run's end."""
+    last = reads.groupBy(run, "track_id").agg(F.max_by("number", "frame_idx").alias("number"), F.max("frame_idx").alias("last_frame"))
+    end = reads.groupBy(F.col(run).alias("__run")).agg(F.max("frame_idx").alias("__end"))
+    return last.join(end, F.col(run).eqNullSafe(F.col("__run"))).withColumn("live", F.col("last_frame") >= F.col("__end") - memory).drop("__run", "__end")
+
+
+def after_clear(reads: DataFrame, clears: DataFrame) -> DataFrame:
+    """The reads of each track after its last clearing; clears: track_id, frame_idx."""
+    last = clears.groupBy(F.col("track_id").alias("__t")).agg(F.max("frame_idx").alias("__f"))
+    out = reads.join(last, F.col("track_id") == F.col("__t"), "left")
+    return out.where(F.col("__f").isNull() | (F.col("frame_idx") > F.col("__f"))).drop("__t", "__f")
+
+
+def or_empty(tracks: DataFrame, results: DataFrame) -> DataFrame:
+    """A result for every track (track_id); a track without votes has no number, 0 votes, confidence 0 and needs review."""
+    r = results.select(F.col("track_id").alias("__t"), "number", "votes", "confidence", "needs_review")
+    fill = {"votes": F.coalesce("votes", F.lit(0).cast("long")), "confidence": F.coalesce("confidence", F.lit(0.0)), "needs_review": F.coalesce("needs_review", F.lit(True))}
+    return tracks.select("track_id").distinct().join(r, F.col("track_id") == F.col("__t"), "left").drop("__t").withColumns(fill)
+
+
 def thinned(rows: DataFrame, key: str, gap: int = 10) -> DataFrame:
     """key, frames: the frames kept when each must be at least `gap` after the one kept before."""
     frames = F.array_sort(F.collect_list("frame_idx"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from raceflow import shared
 from raceflow.functions import decoding
 from raceflow.functions import geometry as G
 from raceflow.functions import text as T
@@ -22,6 +24,7 @@ from raceflow.operators import tracking as TR
 from raceflow.operators import voting as V
 from raceflow.plans import views as W
 from raceflow.sources import readers, sinks
+from raceflow.streaming import buffers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,6 +44,13 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return put
 
 
+def _put(write: Callable[[str], None], s: SparkSession, name: str) -> str:
+    """Writes to a new path of the shared folder, which it returns."""
+    path = shared.path(s, name)
+    write(path)
+    return path
+
+
 # --- sources --------------------------------------------------------------------------------------
 
 
@@ -61,7 +71,8 @@ def src_bibrange(s, d):
 
 @query("SELECT DISTINCT trim(p_brand) AS bib FROM part WHERE trim(p_brand) <> ''")
 def src_bibset(s, d):
-    return W.table(s, d, "part").select(F.trim("p_brand").alias("bib")).where("bib <> ''").distinct()
+    lines = W.table(s, d, "part").select(F.explode(F.array(F.concat(F.lit("  "), "p_brand", F.lit("\t")), F.lit(" "))).alias("value"))
+    return readers.registry(s, _put(lines.write.text, s, "bibs"))
 
 
 @query(
@@ -75,11 +86,17 @@ def src_yolo(s, d):
     return a.select("image_id", "id", readers.yolo_line(line).alias("b")).where("b is not null").select("image_id", "id", F.col("b.cls").alias("cls"), F.col("b.xc").alias("xc"))
 
 
-@query("SELECT l_orderkey AS frame, l_partkey AS track_id, CAST(l_quantity AS INT) AS x1 FROM lineitem WHERE l_linenumber <> 3")
+@query("SELECT l_orderkey AS frame, l_partkey AS track_id, CAST(l_quantity AS INT) AS x1, l_discount::DOUBLE AS det_conf, l_returnflag = 'A' AS is_valid FROM lineitem WHERE l_linenumber <> 3")
 def src_detections_csv(s, d):
-    li = W.table(s, d, "lineitem").withColumn("q", F.when(F.col("l_linenumber") == 3, "x").otherwise(F.col("l_quantity").cast("int").cast("string")))
-    out = li.select(F.col("l_orderkey").cast("string").try_cast("bigint").alias("frame"), F.col("l_partkey").cast("string").try_cast("bigint").alias("track_id"), F.col("q").try_cast("int").alias("x1"))
-    return out.dropna(subset=["frame", "track_id", "x1"])
+    """A log of which every third line of an order has an unreadable box."""
+    li = W.table(s, d, "lineitem")
+    x1 = F.when(F.col("l_linenumber") == 3, "x").otherwise(F.col("l_quantity").cast("int").cast("string"))
+    own = {"frame": F.col("l_orderkey"), "track_id": F.col("l_partkey"), "x1": x1, "det_conf": F.col("l_discount"), "is_valid": F.col("l_returnflag") == "A"}
+    names = [x.split()[0] for x in readers.DETECTIONS.split(", ")]
+    rows = li.select(*[own.get(c, F.lit("7") if c[0] in "xy" else F.lit("")).cast("string").alias(c) for c in names])
+    path = shared.path(s, "log")
+    sinks.write_csv(rows, path)
+    return readers.detections_log(s, path).select("frame", "track_id", "x1", "det_conf", "is_valid")
 
 
 @query("SELECT gt, event, length(gt)::INT AS digit_count FROM truth WHERE regexp_matches(gt, '^[0-9]{1,4}$') AND length(gt) <> 3")
@@ -88,18 +105,31 @@ def src_labels_tsv(s, d):
     return readers.valid_labels(rows, "gt").select("gt", "event", F.length("gt").alias("digit_count"))
 
 
+def _coco(s, d):
+    """The views of images and annotations as COCO documents of 1000 image ids each, written and read."""
+    block = F.floor(F.col("image_id") / 1000).alias("block")
+    i = W.images(s, d).groupBy(block).agg(F.collect_list(F.struct(F.col("image_id").alias("id"), "file_name", "width", "height")).alias("images"))
+    box = F.array("x", "y", "w", "h").alias("bbox")
+    a = W.annotations(s, d).select(block, F.struct("id", "image_id", box, F.lit(1).alias("category_id")).alias("a")).groupBy("block").agg(F.collect_list("a").alias("annotations"))
+    doc = i.join(a, "block", "left").select("images", F.coalesce("annotations", F.array()).alias("annotations"), F.array(F.struct(F.lit(1).alias("id"), F.lit("bib").alias("name"))).alias("categories"))
+    return readers.coco(s, _put(doc.write.json, s, "coco"), lines=True)
+
+
 @query("SELECT image_id, file_name, count(*) AS n FROM images JOIN (SELECT image_id AS i FROM ann) a ON a.i = images.image_id GROUP BY ALL")
 def src_coco(s, d):
-    ann = W.annotations(s, d).groupBy("image_id").agg(F.collect_list(F.struct("id", "x")).alias("annotations"))
-    doc = W.images(s, d).join(ann, "image_id")
-    return doc.select("image_id", "file_name", F.explode("annotations").alias("a")).groupBy("image_id", "file_name").agg(F.count(F.lit(1)).alias("n"))
+    images, annotations, _ = _coco(s, d)
+    rows = images.select(F.col("id").alias("image_id"), "file_name").join(annotations.select("image_id"), "image_id")
+    return rows.groupBy("image_id", "file_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT source AS run, bool_or(quality = 1) AS has_review, count(*) AS files FROM (SELECT d.source, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) GROUP BY 1 ORDER BY 1 DESC")
+@query("SELECT source AS run, true AS has_crossings, bool_or(quality IS NOT NULL AND quality = 1) AS has_review, false AS has_video, count(*) + count(*) FILTER (quality = 1) AS files FROM (SELECT d.source, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) GROUP BY 1 ORDER BY 1 DESC")
 def src_runs(s, d):
+    """Folders of runs: a crossings file for each document, a review file where its quality is labelled 1."""
     lab = W.table(s, d, "labels").select(F.col("doc_id").alias("i"), "quality")
     rows = W.table(s, d, "documents").select("doc_id", "source").join(lab, F.col("doc_id") == F.col("i"), "left")
-    return rows.groupBy(F.col("source").alias("run")).agg(F.bool_or(F.col("quality") == 1).alias("has_review"), F.count(F.lit(1)).alias("files")).orderBy(F.desc("run"))
+    names = F.array(F.format_string("crossings_%d.csv", "doc_id"), F.when(F.col("quality") == 1, F.format_string("review_%d.json", "doc_id")))
+    inventory = rows.select("source", F.explode(F.filter(names, lambda x: x.isNotNull())).alias("name"))
+    return readers.runs_of(inventory.select(F.concat_ws("/", F.lit("runs"), "source", "name").alias("path")))
 
 
 @query(
@@ -155,12 +185,12 @@ def snk_tui(s, d):
     return sinks.feed(W.emissions(s, d).select(F.col("frame_idx").alias("sequence"), "bib"))
 
 
-@query("SELECT track_id, max_by(number, frame_idx) AS newest FROM reads GROUP BY track_id")
+@query("SELECT track_id, max_by(number, frame_idx) AS number, max(frame_idx) AS frame_idx FROM reads GROUP BY track_id")
 def snk_mjpeg(s, d):
-    return W.reads(s, d).groupBy("track_id").agg(F.max_by("number", "frame_idx").alias("newest"))
+    return sinks.newest(W.reads(s, d).select("track_id", "number", "frame_idx"), "track_id", "frame_idx")
 
 
-@query("SELECT image_id AS image, string_agg(l, chr(10) ORDER BY l) AS content FROM (SELECT image_id, format('0 {:.6f} {:.6f} {:.6f} {:.6f}', x, y, w, h) AS l FROM ann WHERE image_id < 2000) GROUP BY 1")
+@query("SELECT image_id AS image, string_agg(l, chr(10) ORDER BY l) AS content FROM (SELECT image_id, format('0 {:.6f} {:.6f} {:.6f} {:.6f}', x, y, w, h) AS l FROM ann) GROUP BY 1")
 def snk_yolo(s, d):
     a = W.annotations(s, d)
     return sinks.yolo_lines(a.select(F.col("image_id").alias("image"), F.lit(0).alias("cls"), F.col("x").alias("xc"), F.col("y").alias("yc"), "w", "h"))
@@ -599,8 +629,18 @@ def join_recovery_chain(s, d):
     return R.first_of(e.select("event"), R.contained(e, _located(s, d)))
 
 
-_NEAR = """SELECT u.run_id, u.frame_idx AS sequence, s.number, min(abs(u.frame_idx - s.frame_idx) + sqrt(pow(u.x - s.x, 2) + pow(u.y - s.y, 2))) AS score FROM obs u JOIN (SELECT o.run_id, r.number, o.frame_idx, o.x, o.y FROM obs o JOIN reads r USING (frame_idx)) s
-ON u.run_id = s.run_id AND abs(u.frame_idx - s.frame_idx) <= 60 AND sqrt(pow(u.x - s.x, 2) + pow(u.y - s.y, 2)) <= 1.0 WHERE u.frame_idx % 50 = 0 GROUP BY 1, 2, 3"""
+_CROSS = """e AS (SELECT track_id, frame_idx, last_value(CASE WHEN x = 0.3459 THEN NULL WHEN x < 0.3459 THEN 1 ELSE -1 END IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY frame_idx) AS side FROM obs),
+e1 AS (SELECT *, CASE WHEN side = lag(side) OVER (PARTITION BY track_id ORDER BY frame_idx) THEN 0 ELSE 1 END AS ch FROM e WHERE side IS NOT NULL),
+e2 AS (SELECT *, sum(ch) OVER (PARTITION BY track_id ORDER BY frame_idx) AS island FROM e1),
+e3 AS (SELECT *, row_number() OVER (PARTITION BY track_id, island ORDER BY frame_idx) AS held FROM e2),
+m AS (SELECT *, lag(side) OVER (PARTITION BY track_id ORDER BY frame_idx) AS side_from FROM e3 WHERE (island = 1 AND held = 1) OR (island > 1 AND held = 3)),
+tr AS (SELECT track_id, frame_idx, side_from, side AS side_to FROM m WHERE side_from <> side)"""
+_FIRE = "fire(track_id, f) AS (SELECT track_id, min(frame_idx) FROM tr GROUP BY 1 UNION ALL SELECT t.track_id, (SELECT min(r.frame_idx) FROM tr r WHERE r.track_id = t.track_id AND r.frame_idx >= t.f + 1500) FROM fire t WHERE t.f IS NOT NULL)"
+_NEAR = f"""WITH {_CROSS}, {_FIRE},
+u AS (SELECT o.* FROM obs o JOIN fire ON o.track_id = fire.track_id AND o.frame_idx = fire.f LEFT JOIN reads r ON r.track_id = o.track_id AND r.frame_idx = o.frame_idx WHERE NOT coalesce(r.conf >= 0.5, false)),
+seen AS (SELECT o.run_id, r.number, o.frame_idx, o.x, o.y FROM obs o JOIN reads r ON r.track_id = o.track_id AND r.frame_idx = o.frame_idx WHERE r.conf >= 0.5)
+SELECT u.run_id, u.frame_idx AS sequence, number, round(min(abs(u.frame_idx - s.frame_idx) + sqrt(pow(u.x - s.x, 2) + pow(u.y - s.y, 2))), 6) AS score FROM u JOIN seen s
+ON u.run_id = s.run_id AND abs(u.frame_idx - s.frame_idx) <= 60 AND sqrt(pow(u.x - s.x, 2) + pow(u.y - s.y, 2)) <= 1.0 GROUP BY 1, 2, 3"""
 
 
 def _crossings(s, d):
@@ -618,7 +658,7 @@ def _near(s, d):
     return R.near_in_time_and_space(_crossings(s, d).where("not sure").select("run_id", "sequence", "frame_idx", "x", "y"), seen, 60, 1.0)
 
 
-@query(f"SELECT run_id, sequence, number, round(score, 6) AS score FROM ({_NEAR})")
+@query(_NEAR)
 def join_postproc_candidates(s, d):
     return _near(s, d).select("run_id", "sequence", "number", F.round("score", 6).alias("score"))
 
@@ -657,8 +697,9 @@ def J_review(s, d):
 
 @query("SELECT i.image_id, count(a.id) AS n FROM images i LEFT JOIN ann a ON i.image_id = a.image_id AND a.w > 0 GROUP BY 1")
 def join_coco(s, d):
-    a = W.annotations(s, d).where("w > 0").select(F.col("image_id").alias("i"), "id")
-    return W.images(s, d).join(a, F.col("image_id") == F.col("i"), "left").groupBy("image_id").agg(F.count("id").alias("n"))
+    images, annotations, _ = _coco(s, d)
+    good = annotations.where(F.get("bbox", F.lit(2)) > 0).select(F.col("image_id").alias("i"), F.col("id").alias("annotation"))
+    return images.select(F.col("id").alias("image_id")).join(good, F.col("image_id") == F.col("i"), "left").groupBy("image_id").agg(F.count("annotation").alias("n"))
 
 
 @query("SELECT image_id, regexp_extract(file_name, '^(.*)[.]', 1) AS stem FROM images JOIN (SELECT DISTINCT image_id AS i FROM ann) ON 'img_' || i = regexp_extract(file_name, '^(.*)[.]', 1)")
@@ -670,14 +711,22 @@ def join_stem(s, d):
 
 @query("SELECT event, count(*) AS n, count(*) FILTER (gt = pred AND gt = alt) AS both_right, count(*) FILTER (pred <> alt) AS differ FROM (SELECT *, substr(pred, 1, 3) AS alt FROM truth) GROUP BY 1")
 def join_model_parity(s, d):
-    rows = W.truth(s, d).withColumn("alt", F.substring("pred", 1, 3))
-    return rows.groupBy("event").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("gt") == F.col("pred")) & (F.col("gt") == F.col("alt"))).alias("both_right"), F.count_if(F.col("pred") != F.col("alt")).alias("differ"))
+    o = W.table(s, d, "orders")
+    pred = F.col("o_custkey").cast("string")
+    one = o.select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("event"), (F.col("o_orderkey") % 1500).cast("string").alias("gt"), pred.alias("pred"))
+    return DS.parity(one, o.select(F.col("o_orderkey").alias("key"), F.substring(pred, 1, 3).alias("alt")))
 
 
-@query("SELECT p.id, coalesce(b.conf, 0.0::DOUBLE) AS conf FROM persons p LEFT JOIN (SELECT id + 1 AS i, CAST(id % 100 AS DOUBLE) / 100.0::DOUBLE AS conf FROM bibs WHERE id % 3 = 0) b ON b.i = p.id")
+@query(
+    """SELECT t.run_id, t.frame_idx, t.det_id, coalesce(b.conf, 0.0::DOUBLE) AS conf FROM (SELECT run_id, frame_idx, det_id, x1 + CASE WHEN det_id % 5 = 0 THEN 1 ELSE 0 END AS x1, y1, x1 + w AS x2, y1 + h AS y2 FROM det) t
+    LEFT JOIN (SELECT run_id, frame_idx, x1, y1, x1 + w AS x2, y1 + h AS y2, first(confidence ORDER BY det_id, confidence)::DOUBLE AS conf FROM det GROUP BY ALL) b
+    ON t.run_id = b.run_id AND t.frame_idx = b.frame_idx AND t.x1 = b.x1 AND t.y1 = b.y1 AND t.x2 = b.x2 AND t.y2 = b.y2"""
+)
 def join_detconf(s, d):
-    b = W.bibs(s, d).where("id % 3 = 0").select((F.col("id") + 1).alias("i"), ((F.col("id") % 100).cast("double") / 100.0).alias("conf"))
-    return W.persons(s, d).join(b, F.col("id") == F.col("i"), "left").select("id", F.coalesce("conf", F.lit(0.0)).alias("conf"))
+    """Tracks with the box of their detection; those of every fifth id coast, their boxes are stale by a pixel."""
+    det = W.detections(s, d)
+    tracks = det.select("run_id", "frame_idx", "det_id", (F.col("x1") + F.when(F.col("det_id") % 5 == 0, 1).otherwise(0)).alias("x1"), "y1", "x2", "y2")
+    return A.with_confidence(tracks, det).select("run_id", "frame_idx", "det_id", "conf")
 
 
 @query()
@@ -699,14 +748,6 @@ def join_seed(s, d):
 
 # --- crossings and dedup --------------------------------------------------------------------------
 
-_CROSS = """e AS (SELECT track_id, frame_idx, last_value(CASE WHEN x = 0.3459 THEN NULL WHEN x < 0.3459 THEN 1 ELSE -1 END IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY frame_idx) AS side FROM obs),
-e1 AS (SELECT *, CASE WHEN side = lag(side) OVER (PARTITION BY track_id ORDER BY frame_idx) THEN 0 ELSE 1 END AS ch FROM e WHERE side IS NOT NULL),
-e2 AS (SELECT *, sum(ch) OVER (PARTITION BY track_id ORDER BY frame_idx) AS island FROM e1),
-e3 AS (SELECT *, row_number() OVER (PARTITION BY track_id, island ORDER BY frame_idx) AS held FROM e2),
-m AS (SELECT *, lag(side) OVER (PARTITION BY track_id ORDER BY frame_idx) AS side_from FROM e3 WHERE (island = 1 AND held = 1) OR (island > 1 AND held = 3)),
-tr AS (SELECT track_id, frame_idx, side_from, side AS side_to FROM m WHERE side_from <> side)"""
-
-
 @query(f"WITH {_CROSS} SELECT track_id, frame_idx, CAST(side_from AS INT) AS side_from, CAST(side_to AS INT) AS side_to FROM tr")
 def cross_hysteresis(s, d):
     return X.transitions(W.observations(s, d), W.LINE, 3)
@@ -727,7 +768,7 @@ def win_direction(s, d):
 
 @query(f"WITH {_CROSS} SELECT track_id, min(frame_idx) AS frame_idx FROM tr GROUP BY 1")
 def st_once(s, d):
-    return X.transitions(W.observations(s, d), W.LINE, 3).groupBy("track_id").agg(F.min("frame_idx").alias("frame_idx"))
+    return X.once(X.transitions(W.observations(s, d), W.LINE, 3))
 
 
 @query(
@@ -753,23 +794,21 @@ def st_upsert(s, d):
     return R.latest(rows, ("run_id",)).select("run_id", "sequence", "bib")
 
 
-@query("SELECT frame_idx // 100 AS slot, count(*) AS n, count(DISTINCT track_id) AS tracks FROM reads GROUP BY 1")
+@query("SELECT run_id, CAST(ceil(frame_idx / 300.0) * 300 AS BIGINT) AS frame_idx, count(*) AS rows, count(DISTINCT track_id) AS tracks FROM reads WHERE frame_idx % 3 = 0 GROUP BY 1, 2")
 def st_progress(s, d):
-    return W.reads(s, d).groupBy(F.floor(F.col("frame_idx") / 100).alias("slot")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("track_id").alias("tracks"))
+    """Reports every 100 frames where every third is processed: at multiples of 300."""
+    return X.progress(W.reads(s, d), 100, 3)
 
 
-@query("SELECT track_id, run_id AS kind, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY run_id, track_id ORDER BY frame_idx) AS session FROM (SELECT *, CASE WHEN frame_idx - lag(frame_idx) OVER (PARTITION BY run_id, track_id ORDER BY frame_idx) <= 300 THEN 0 ELSE 1 END AS new FROM reads)) GROUP BY track_id, run_id, session")
+@query("SELECT track_id, run_id, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY run_id, track_id ORDER BY frame_idx) AS session FROM (SELECT *, CASE WHEN frame_idx - lag(frame_idx) OVER (PARTITION BY run_id, track_id ORDER BY frame_idx) <= 300 THEN 0 ELSE 1 END AS new FROM reads)) GROUP BY track_id, run_id, session")
 def st_track_session(s, d):
-    w = Window.partitionBy("run_id", "track_id").orderBy("frame_idx")
-    new = F.when(F.col("frame_idx") - F.lag("frame_idx").over(w) <= 300, 0).otherwise(1)
-    rows = W.reads(s, d).withColumn("new", new).withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("track_id", F.col("run_id").alias("kind"), "session").agg(F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"), F.count(F.lit(1)).alias("n")).drop("session")
+    return TR.sessions(W.reads(s, d), 300)
 
 
-@query("SELECT bib, frame_idx, 'pose' AS source FROM emissions UNION ALL SELECT 'MANUAL' AS bib, -1::BIGINT AS frame_idx, 'manual' AS source")
+@query("SELECT frame_idx AS sequence, bib, conf, 'pose' AS source FROM emissions UNION ALL SELECT -1::BIGINT, bib, 1.0::DOUBLE, 'manual' FROM registry")
 def st_manual(s, d):
-    manual = s.createDataFrame([("MANUAL", -1, "manual")], "bib string, frame_idx bigint, source string")
-    return W.emissions(s, d).select("bib", "frame_idx", F.lit("pose").alias("source")).unionByName(manual)
+    feed = W.emissions(s, d).select(F.col("frame_idx").alias("sequence"), "bib", "conf", F.lit("pose").alias("source"))
+    return X.with_manual(feed, W.registry(s, d))
 
 
 @query("SELECT run_id, frame_idx, track_id, grp, rank() OVER (PARTITION BY run_id, grp ORDER BY frame_idx) AS position FROM (SELECT *, sum(new) OVER (PARTITION BY run_id ORDER BY frame_idx)::BIGINT AS grp FROM (SELECT *, CASE WHEN frame_idx - lag(frame_idx) OVER (PARTITION BY run_id ORDER BY frame_idx) <= 3 THEN 0 ELSE 1 END AS new FROM reads))")
@@ -956,7 +995,7 @@ def set_files(s, d):
     return DS.reconciled(a, W.table(s, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").cast("string").alias("name")))
 
 
-@query("SELECT coalesce(u.f, t.f) AS frame_idx, CASE WHEN t.f IS NULL THEN 'uniform' WHEN u.f IS NULL THEN 'topk' ELSE 'both' END AS how FROM (SELECT DISTINCT frame_idx AS f FROM det WHERE frame_idx % 500 = 0) u FULL JOIN (SELECT frame_idx AS f FROM det GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 25) t ON u.f = t.f")
+@query("WITH k(f) AS (SELECT min(frame_idx) FROM det UNION ALL SELECT (SELECT min(e.frame_idx) FROM det e WHERE e.frame_idx >= k.f + 500) FROM k WHERE k.f IS NOT NULL) SELECT coalesce(u.f, t.f) AS frame_idx, CASE WHEN t.f IS NULL THEN 'uniform' WHEN u.f IS NULL THEN 'topk' ELSE 'both' END AS how FROM (SELECT f FROM k WHERE f IS NOT NULL) u FULL JOIN (SELECT frame_idx AS f FROM det GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 25) t ON u.f = t.f")
 def set_selection(s, d):
     det = W.detections(s, d)
     return DS.selection(DS.spaced(det, 500), DS.densest(det, 25))
@@ -985,12 +1024,10 @@ def smp_oversample(s, d):
     return DS.oversampled(W.samples(s, d)).select("doc_id", "copy")
 
 
-@query()
+@query("SELECT id, CAST(id % 4 + 1 AS INT) AS digits, CAST(CAST(pow(10, id % 4) AS BIGINT) + CAST('0x' || substr(md5('7#' || id), 1, 12) AS BIGINT) % (9 * CAST(pow(10, id % 4) AS BIGINT)) AS VARCHAR) AS label FROM (SELECT range AS id FROM range(2000))")
 def gen_numbers(s, d):
     """Synthetic labels of one to four digits, evenly by length, from a seed."""
-    n = s.range(2000).withColumn("digits", (F.col("id") % 4 + 1).cast("int"))
-    value = F.floor(F.rand(7) * (F.pow(F.lit(10.0), F.col("digits")) - F.pow(F.lit(10.0), F.col("digits") - 1)) + F.pow(F.lit(10.0), F.col("digits") - 1))
-    return n.select("id", "digits", value.cast("long").cast("string").alias("label"))
+    return DS.numbers(s, 2000, 7)
 
 
 @query("SELECT id, status FROM (SELECT 'review_' || sequence AS id, status FROM items) WHERE id NOT IN (SELECT 'review_' || sequence FROM items WHERE status IS NOT NULL)")
@@ -999,16 +1036,21 @@ def rq_ops(s, d):
     return RV.resolved(items, items.where("status is not null"))
 
 
-@query("SELECT CASE WHEN (SELECT count(*) FROM documents WHERE text IS NULL) = 0 THEN 'READY' ELSE 'NOT READY' END AS status, (SELECT count(*) FROM documents) AS images")
+@query(
+    """SELECT images, annotations, missing, issues, CASE WHEN missing = 0 THEN 'READY' ELSE 'NOT READY' END AS status,
+    concat_ws('; ', CASE WHEN images < 500 THEN 'few images' END, CASE WHEN annotations < images THEN 'less than one annotation an image' END, CASE WHEN issues > 0 THEN 'box issues' END) AS warnings
+    FROM (SELECT (SELECT count(*) FROM images) AS images, (SELECT count(*) FROM ann) AS annotations, (SELECT count(*) FROM images WHERE image_id NOT IN (SELECT l_orderkey FROM lineitem)) AS missing, (SELECT count(*) FROM ann WHERE w <= 0 OR h <= 0) AS issues)"""
+)
 def ds_status(s, d):
-    docs = W.table(s, d, "documents").agg(F.count(F.lit(1)).alias("images"), F.count_if(F.col("text").isNull()).alias("missing"))
-    return docs.select(F.when(F.col("missing") == 0, "READY").otherwise("NOT READY").alias("status"), "images")
+    """Whether the images have their files (orders that have line items) and sound boxes."""
+    name = lambda c: F.col(c).cast("string").alias("name")
+    boxes = W.annotations(s, d).select("id", F.array("x", "y", "w", "h").alias("bbox"))
+    return DS.counted_readiness(W.images(s, d).select(name("image_id")), boxes, W.table(s, d, "lineitem").select(name("l_orderkey")))
 
 
-@query("SELECT lang, count(*) AS n, count(*) FILTER (length(coalesce(text, '')) >= 1000) AS accepted, count(*) FILTER (length(coalesce(text, '')) < 1000) AS rejected FROM documents GROUP BY 1")
+@query("SELECT lang, count(*) AS n, count(*) FILTER (length(coalesce(text, '')) >= 1000) AS accepted, count(*) FILTER (length(coalesce(text, '')) < 1000) AS rejected, count(*) FILTER (length(coalesce(text, '')) >= 1000)::DOUBLE / count(*) AS share FROM documents GROUP BY 1")
 def ds_compare(s, d):
-    n = F.length(F.coalesce("text", F.lit("")))
-    return W.table(s, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(n >= 1000).alias("accepted"), F.count_if(n < 1000).alias("rejected"))
+    return DS.gate_comparison(W.table(s, d, "documents"), "lang", F.length(F.coalesce("text", F.lit(""))) >= 1000)
 
 
 # --- the rest of the inventory --------------------------------------------------------------------
@@ -1020,16 +1062,19 @@ def src_iter(s, d):
     return s.read.format("frames").option("frames", 100).load().select("run_id", "frame_idx")
 
 
-@query("SELECT count(*) AS frames, min(range) AS first_frame, max(range) AS last_frame FROM range(1, 61)")
+@query("SELECT 'run0' AS run_id, row_number() OVER (ORDER BY r_regionkey) AS frame_idx, 5::INT AS width, 2::INT AS height, upper(hex(substr(r_name || '          ', 1, 10))) AS pixels FROM region")
 def src_memory(s, d):
-    rows = s.createDataFrame([(i,) for i in range(1, 61)], "frame_idx long")
-    return rows.agg(F.count(F.lit(1)).alias("frames"), F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"))
+    """Frames of 5 x 2 pixels from the five names of regions."""
+    names = [r.r_name for r in W.table(s, d, "region").orderBy("r_regionkey").collect()]
+    frames = readers.memory(s, (np.frombuffer(x.encode().ljust(10)[:10], np.uint8).reshape(2, 5) for x in names))
+    return frames.select("run_id", "frame_idx", "width", "height", F.hex("payload").alias("pixels"))
 
 
-@query("SELECT n_nationkey AS id, n_name AS token FROM nation")
+@query("SELECT n_nationkey::BIGINT AS id, n_name AS token FROM nation")
 def src_tokenizer(s, d):
-    vocab = W.table(s, d, "nation").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("n_name", "n_nationkey")))).alias("j"))
-    return vocab.select(F.explode(F.from_json("j", "map<string,bigint>")).alias("token", "id")).select("id", "token")
+    """A vocabulary file of the 25 nations."""
+    one = W.table(s, d, "nation").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("n_name", "n_nationkey")))).alias("value"))
+    return readers.vocabulary(s, _put(one.coalesce(1).write.text, s, "vocabulary")).select("id", "token")
 
 
 @query("SELECT gt, pred FROM truth WHERE regexp_matches(gt, '^[0-9]{1,4}$')")
@@ -1046,10 +1091,12 @@ def flt_completeness(s, d):
     return docs.select("doc_id", Q.crop_stats("pixels", F.lit(40)).alias("s")).select("doc_id", *[F.round(f"s.{c}", 6).alias(c) for c in Q.STATS])
 
 
-@query("SELECT count(*) AS n FROM emissions")
+@query("SELECT 'review_' || (row_number() OVER (ORDER BY frame_idx, bib) + greatest((SELECT count(*) FROM emissions) - 100, 0)) AS id, bib, frame_idx AS frame_number FROM (SELECT * FROM emissions ORDER BY frame_idx DESC, bib DESC LIMIT 100)")
 def snk_review_json(s, d):
-    one = sinks.json_array(W.emissions(s, d).select("bib", "frame_idx"), "frame_idx")
-    return one.select(F.size(F.from_json("json", "array<struct<bib:string,frame_idx:bigint>>")).cast("long").alias("n"))
+    """The review queue (100 items) as one JSON array, written and read."""
+    queue = RV.queue(W.emissions(s, d).select("bib", F.col("frame_idx").alias("frame_number")))
+    one = sinks.json_array(queue.select("id", "bib", "frame_number"), "frame_number").select("json")
+    return readers.results_json(s, _put(one.coalesce(1).write.text, s, "review")).select("id", "bib", "frame_number")
 
 
 @query("SELECT CAST(track_id AS VARCHAR) AS track_id, CAST(min(frame_idx) AS VARCHAR) AS first_frame, CAST(count(*) AS VARCHAR) AS frames_seen, format('{:.1f}', min_by(y, frame_idx) * 100) AS first_chest_y FROM obs GROUP BY obs.track_id")
@@ -1063,12 +1110,17 @@ def snk_person_tracks(s, d):
 
 @query("SELECT sequence, CASE WHEN action = 'correct' THEN coalesce(corrected_bib, bib) ELSE bib END AS bib FROM items WHERE coalesce(action, '') <> 'reject'")
 def snk_export(s, d):
-    return J_review(s, d)
+    """The corrected crossings as CSV, written and read."""
+    path = shared.path(s, "export")
+    sinks.write_csv(J_review(s, d), path)
+    return s.read.csv(path, header=True, schema="sequence bigint, bib string")
 
 
 @query("SELECT sequence, bib, coalesce(status, 'pending') AS status FROM items")
 def snk_review_csv(s, d):
-    return W.review_items(s, d).select("sequence", "bib", F.coalesce("status", F.lit("pending")).alias("status"))
+    path = shared.path(s, "review")
+    sinks.write_csv(sinks.review_rows(W.review_items(s, d)), path)
+    return s.read.csv(path, header=True, schema="sequence bigint, bib string, status string")
 
 
 @query("SELECT sequence, bib AS label FROM items WHERE status = 'verified' AND regexp_matches(bib, '^[0-9]{1,4}$')")
@@ -1076,14 +1128,17 @@ def snk_ocr_labels(s, d):
     return readers.valid_labels(W.review_items(s, d).where("status = 'verified'"), "bib").select("sequence", F.col("bib").alias("label"))
 
 
-@query("SELECT sequence, bib FROM items WHERE action = 'reject' OR action = 'correct'")
+@query("SELECT event, gt, pred, CASE WHEN length(pred) < length(gt) THEN 'truncation' WHEN length(pred) > length(gt) THEN 'extra' ELSE 'confusion' END AS kind FROM truth WHERE pred <> gt")
 def snk_eval(s, d):
-    return W.review_items(s, d).where(F.col("action").isin("reject", "correct")).select("sequence", "bib")
+    """The wrong predictions as CSV, written and read."""
+    path = shared.path(s, "errors")
+    sinks.write_csv(sinks.error_rows(W.truth(s, d)), path)
+    return s.read.csv(path, header=True, schema="event string, gt string, pred string, kind string")
 
 
-@query("SELECT run_id, count(*) AS frames, count(DISTINCT track_id) AS tracks, count(*) FILTER (conf < 0.5) AS unsure, round(avg(conf), 6) AS mean FROM reads GROUP BY 1")
+@query("SELECT run_id, format('{}: {} reads, {} tracks, {} unsure', run_id, count(*), count(DISTINCT track_id), count(*) FILTER (conf < 0.5)) AS line FROM reads GROUP BY 1")
 def snk_summary(s, d):
-    return W.reads(s, d).groupBy("run_id").agg(F.count(F.lit(1)).alias("frames"), F.countDistinct("track_id").alias("tracks"), F.count_if(F.col("conf") < 0.5).alias("unsure"), F.round(F.avg("conf"), 6).alias("mean"))
+    return sinks.summary_lines(W.reads(s, d))
 
 
 @query("SELECT run_id, count(*) AS total, count(*) FILTER (number = '1000') AS cleaned, count(*) FILTER (conf < 0.35) AS rejected, count(*) FILTER (number = '1000')::DOUBLE / greatest(count(*), 1) AS cleaned_share FROM reads GROUP BY 1")
@@ -1092,9 +1147,9 @@ def agg_ocr_stats(s, d):
     return W.reads(s, d).groupBy("run_id").agg(F.count(F.lit(1)).alias("total"), cleaned.alias("cleaned"), F.count_if(F.col("conf") < 0.35).alias("rejected"), (cleaned / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("cleaned_share"))
 
 
-@query("SELECT run_id, max_by(track_id, conf * 1000000 + track_id) AS best FROM reads GROUP BY 1")
+@query("SELECT run_id, first(track_id ORDER BY conf DESC, track_id DESC) AS track_id FROM reads GROUP BY 1")
 def agg_wifi(s, d):
-    return W.reads(s, d).groupBy("run_id").agg(F.max_by("track_id", F.col("conf") * 1000000 + F.col("track_id")).alias("best"))
+    return V.strongest(W.reads(s, d), "run_id", "track_id", "conf")
 
 
 @query(f"WITH {_CROSS} SELECT track_id, frame_idx FROM tr")
@@ -1102,18 +1157,18 @@ def st_line(s, d):
     return X.transitions(W.observations(s, d), W.LINE, 3).select("track_id", "frame_idx")
 
 
-@query(f"WITH {_CROSS} SELECT track_id, frame_idx, 'bib_line' AS source FROM tr")
+@query(
+    f"""WITH {_CROSS}, fire(track_id, f) AS (SELECT track_id, min(frame_idx) FROM tr GROUP BY 1 UNION ALL SELECT t.track_id, (SELECT min(r.frame_idx) FROM tr r WHERE r.track_id = t.track_id AND r.frame_idx >= t.f + 1500) FROM fire t WHERE t.f IS NOT NULL)
+    SELECT track_id, f AS frame_idx, NULL::DOUBLE AS chest_x, NULL::DOUBLE AS chest_y, 'bib_line' AS source FROM fire WHERE f IS NOT NULL"""
+)
 def st_bibline(s, d):
-    return X.transitions(W.observations(s, d), W.LINE, 3).select("track_id", "frame_idx", F.lit("bib_line").alias("source"))
+    return X.bib_line(W.observations(s, d), W.LINE, 3, 1500).select("track_id", "frame_idx", "chest_x", "chest_y", "source")
 
 
-@query("SELECT track_id, max_by(number, frame_idx) AS number, max(frame_idx) AS last_frame FROM reads GROUP BY 1 HAVING max(frame_idx) >= (SELECT max(frame_idx) FROM reads) - 300")
+@query("SELECT run_id, track_id, max_by(number, frame_idx) AS number, max(frame_idx) AS last_frame, max(frame_idx) >= any_value(run_end) - 300 AS live FROM (SELECT *, max(frame_idx) OVER (PARTITION BY run_id) AS run_end FROM reads) GROUP BY 1, 2")
 def st_consensus_ttl(s, d):
-    """Consensus of the tracks that were updated within the memory of the last frame."""
-    r = W.reads(s, d)
-    end = r.agg(F.max("frame_idx").alias("end"))
-    last = r.groupBy("track_id").agg(F.max_by("number", "frame_idx").alias("number"), F.max("frame_idx").alias("last_frame"))
-    return last.join(F.broadcast(end)).where("last_frame >= end - 300").drop("end")
+    """The last number of every track, and whether it is still remembered at the end of its run."""
+    return V.remembered(W.reads(s, d), 300)
 
 
 @query("SELECT p.frame_idx, p.id, round((p.x1 + p.x2) / 2, 6) AS x FROM persons p")
@@ -1123,19 +1178,80 @@ def fn_center(s, d):
 
 @query("SELECT image_id, 'src_' || regexp_replace(file_name, '[.]jpg$', '') || '.jpg' AS name FROM images")
 def ds_copy(s, d):
-    stem = F.regexp_replace("file_name", r"[.]jpe?g$", "")
-    return W.images(s, d).select("image_id", F.concat(F.lit("src_"), stem, F.lit(".jpg")).alias("name"))
+    return DS.copies(W.images(s, d), "src").select("image_id", "name")
 
 
-@query("SELECT frame_idx AS f, n FROM (SELECT frame_idx, count(*) AS n FROM det GROUP BY 1) WHERE frame_idx % 300 = 0")
+@query("WITH k(f) AS (SELECT min(frame_idx) FROM det UNION ALL SELECT (SELECT min(e.frame_idx) FROM det e WHERE e.frame_idx >= k.f + 300) FROM k WHERE k.f IS NOT NULL) SELECT k.f, count(*) AS n FROM k JOIN det ON det.frame_idx = k.f GROUP BY 1")
 def win_uniform(s, d):
     """Frames at least 300 after the one kept before, with their detections."""
     det = W.detections(s, d)
     return det.join(DS.spaced(det, 300), "frame_idx", "left_semi").groupBy(F.col("frame_idx").alias("f")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 500 = 0")
+@query("SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS p, count(*) OVER () AS n FROM orders) WHERE p IN (SELECT CAST(floor(i * m.n / ceil(m.n / 500.0)) AS BIGINT) FROM (SELECT count(*) AS n FROM orders) m, (SELECT unnest(range(100000)) AS i) WHERE i < ceil(m.n / 500.0))")
 def ds_samples(s, d):
     """One order of 500, at even steps by place."""
     o = W.table(s, d, "orders").select("o_orderkey", "o_custkey")
     return DS.evenly(o, "o_orderkey", -(-o.count() // 500))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS image_id, '1,2,' || doc_id AS bibs FROM documents")
+def src_provider_csv(s, d):
+    """Photos with their numbers in one quoted cell of several lines, written and read."""
+    i = F.col("doc_id").cast("string")
+    rows = W.table(s, d, "documents").select(F.col("source").alias("camera_tag"), F.concat(F.lit("http://host/"), i).alias("image_url"), i.alias("event_image_id"), F.concat(F.lit("1\n 2 \n\n"), i).alias("associated_bibs"))
+    path = _put(lambda p: rows.write.csv(p, header=True, escape='"'), s, "photos")
+    return readers.provider_photos(s, path).select("image_id", F.array_join("bibs", ",").alias("bibs"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS image_id, event_id AS frame, value AS score FROM events")
+def src_results_json(s, d):
+    """Results of runs as JSON lines, written and read."""
+    rows = W.events(s, d).select(F.col("user_id").cast("string").alias("image_id"), F.col("event_id").alias("frame"), F.col("value").alias("score"))
+    return readers.results_json(s, _put(rows.write.json, s, "results"), lines=True).select("image_id", "frame", "score")
+
+
+@query("SELECT 'region=' || n_regionkey AS folder, CAST(sum(length(n_name) + 1) AS BIGINT) AS bytes FROM nation GROUP BY 1")
+def src_image_dir(s, d):
+    """The sizes of all files below a folder, by the folder they are in."""
+    rows = W.table(s, d, "nation").select(F.col("n_regionkey").alias("region"), F.col("n_name").alias("value"))
+    found = readers.files(s, _put(rows.write.partitionBy("region").text, s, "files"), "*.txt")
+    return found.groupBy(F.element_at(F.split("path", "/"), -2).alias("folder")).agg(F.sum("length").alias("bytes"))
+
+
+@query("SELECT event_type AS video, CAST(event_id AS VARCHAR) AS frame, format('{:.3f}', event_id / 32.0) AS time_sec, format('{}_{:06d}.jpg', event_type, event_id) AS file FROM events")
+def snk_manifest(s, d):
+    """The manifest of extracted frames as CSV, written and read."""
+    frames = W.events(s, d).select(F.col("event_type").alias("video"), F.col("event_id").alias("frame_idx"))
+    path = shared.path(s, "manifest")
+    sinks.write_csv(sinks.manifest_rows(frames, 32.0), path)
+    return s.read.csv(path, header=True, schema="video string, frame string, time_sec string, file string")
+
+
+@query(
+    """SELECT run_id, seq, CASE WHEN next IS NULL THEN 'left' WHEN next THEN 'lost' ELSE 'taken' END AS outcome
+    FROM (SELECT run_id, frame_idx AS seq, put, lead(put) OVER (PARTITION BY run_id ORDER BY frame_idx) AS next FROM (SELECT run_id, frame_idx, number <> '1000' AS put FROM reads)) WHERE put"""
+)
+def st_backpressure(s, d):
+    """A slot that the newest frame overwrites: taken if the consumer comes before the next frame."""
+    rows = W.reads(s, d).select("run_id", F.col("frame_idx").alias("seq"), (F.col("number") != "1000").alias("put"))
+    return buffers.outcomes(rows, policy="newest")
+
+
+@query(
+    """WITH t AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY frame_idx) AS place, frame_idx AS seq, number <> '1000' AS put FROM reads),
+    f(run_id, place, held) AS (SELECT DISTINCT run_id, 0::BIGINT, 0::BIGINT FROM reads UNION ALL SELECT t.run_id, t.place, CASE WHEN t.put THEN least(f.held + 1, 8) ELSE greatest(f.held - 1, 0) END FROM f JOIN t ON t.run_id = f.run_id AND t.place = f.place + 1)
+    SELECT t.run_id, t.seq FROM t JOIN f ON f.run_id = t.run_id AND f.place = t.place - 1 WHERE t.put AND f.held = 8"""
+)
+def snk_ws(s, d):
+    """What a full push queue of eight turns away."""
+    rows = W.reads(s, d).select("run_id", F.col("frame_idx").alias("seq"), (F.col("number") != "1000").alias("put"))
+    return buffers.outcomes(rows, 8, "drop_new").where("outcome = 'lost'").select("run_id", "seq")
+
+
+@query("SELECT track_id, count(n) AS votes, count(n) = 0 AS needs_review FROM (SELECT t.track_id, r.frame_idx AS n FROM (SELECT DISTINCT track_id FROM reads) t LEFT JOIN (SELECT track_id, frame_idx FROM reads WHERE frame_idx > coalesce((SELECT max(e.frame_idx) FROM emissions e WHERE e.track_id = reads.track_id), -1)) r ON r.track_id = t.track_id) GROUP BY 1")
+def st_clear(s, d):
+    """Votes of every track since it was cleared by its last emission; none is the empty result."""
+    r = W.reads(s, d)
+    left = V.after_clear(r, W.emissions(s, d)).groupBy("track_id").agg(F.max("number").alias("number"), F.count(F.lit(1)).alias("votes"), F.avg("conf").alias("confidence"), F.lit(False).alias("needs_review"))
+    return V.or_empty(r, left).select("track_id", "votes", "needs_review")

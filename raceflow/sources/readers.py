@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
@@ -16,7 +19,7 @@ DETECTIONS = (
 
 def registry(spark: SparkSession, path: str) -> DataFrame:
     """One bib a line; blanks and repeats go."""
-    return spark.read.text(path).select(F.trim("value").alias("bib")).where("bib <> ''").distinct()
+    return spark.read.text(path).select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("bib")).where("bib <> ''").distinct()
 
 
 def provider_photos(spark: SparkSession, path: str) -> DataFrame:
@@ -44,9 +47,9 @@ def detections_log(spark: SparkSession, path: str) -> DataFrame:
     return out.dropna(subset=["frame", "track_id", "x1", "y1", "x2", "y2"])
 
 
-def coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """images, annotations, categories of a COCO file; a missing part is an error."""
-    doc = spark.read.json(path, multiLine=True)
+def coco(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """images, annotations, categories of COCO files (with `lines`, one document a line); a missing part is an error."""
+    doc = spark.read.json(path, multiLine=not lines)
     missing = {"images", "annotations", "categories"} - set(doc.columns)
     if missing:
         raise ValueError(f"not a COCO file, without {', '.join(sorted(missing))}")
@@ -69,8 +72,28 @@ def yolo_labels(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("b is not null").select("file", "b.*")
 
 
-def results_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path, multiLine=True)
+def vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """token, id of a vocabulary file (one JSON object of token: id); an empty one is an error."""
+    out = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,bigint>")).alias("token", "id"))
+    if out.isEmpty():
+        raise ValueError("no vocabulary")
+    return out
+
+
+def memory(spark: SparkSession, frames: Iterable[np.ndarray], run: str = "run0") -> DataFrame:
+    """run_id, frame_idx (from 1), payload, width, height of frames held in memory; all have the size of the first."""
+    rows, size = [], None
+    for i, f in enumerate(frames, 1):
+        size = size or f.shape[:2]
+        if f.shape[:2] != size:
+            raise ValueError(f"frame {i} has another size")
+        rows.append((run, i, f.tobytes(), size[1], size[0]))
+    return spark.createDataFrame(rows, FrameSource(None).schema())
+
+
+def results_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The rows of a JSON array (with `lines`, of one object a line)."""
+    return spark.read.json(path, multiLine=not lines)
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -79,11 +102,16 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def runs(spark: SparkSession, path: str) -> DataFrame:
-    """run, has_crossings, has_review, has_video of every run folder, newest name first."""
+    """run, has_crossings, has_review, has_video, files of every run folder, newest name first."""
+    return runs_of(files(spark, path))
+
+
+def runs_of(inventory: DataFrame) -> DataFrame:
+    """The run folders of an inventory of files (path)."""
     name = F.element_at(F.split("path", "/"), -1)
-    rows = files(spark, path).select(F.element_at(F.split("path", "/"), -2).alias("run"), name.alias("name"))
+    rows = inventory.select(F.element_at(F.split("path", "/"), -2).alias("run"), name.alias("name"))
     has = lambda p: F.bool_or(F.col("name").rlike(p))
-    return rows.groupBy("run").agg(has("^crossings.*csv$").alias("has_crossings"), has("^review.*json$").alias("has_review"), has("mp4$").alias("has_video")).orderBy(F.desc("run"))
+    return rows.groupBy("run").agg(has("^crossings.*csv$").alias("has_crossings"), has("^review.*json$").alias("has_review"), has("mp4$").alias("has_video"), F.count(F.lit(1)).alias("files")).orderBy(F.desc("run"))
 
 
 def manifest_state(manifest: DataFrame, content: DataFrame) -> DataFrame:

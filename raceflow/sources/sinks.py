@@ -102,18 +102,52 @@ def feed(events: DataFrame, keep: int = 50) -> DataFrame:
     return events.orderBy(F.desc("sequence")).limit(keep)
 
 
+def newest(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The newest row of each key: a slot that later rows overwrite."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("x")).select(key, "x.*")
+
+
+def review_rows(items: DataFrame) -> DataFrame:
+    """The text columns of a review file: sequence, bib, status (pending if none)."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    return items.select(text("sequence"), text("bib"), F.coalesce("status", F.lit("pending")).alias("status"))
+
+
+def error_rows(truth: DataFrame) -> DataFrame:
+    """event, gt, pred, kind of the wrong predictions."""
+    from raceflow.operators.dataset import error_class
+
+    return truth.select("event", "gt", "pred", error_class(F.col("gt"), F.col("pred")).alias("kind")).where("kind <> 'correct'")
+
+
+def manifest_rows(frames: DataFrame, fps: float) -> DataFrame:
+    """The text columns of an extraction manifest: video, frame, time_sec, file."""
+    name = F.format_string("%s_%06d.jpg", F.col("video"), F.col("frame_idx"))
+    return frames.select("video", F.col("frame_idx").cast("string").alias("frame"), F.format_string("%.3f", F.bround(F.col("frame_idx") / fps, 3)).alias("time_sec"), name.alias("file"))
+
+
+def summary_lines(reads: DataFrame, sure: float = 0.5) -> DataFrame:
+    """run_id, line: a line of text for each run with its reads, tracks, and reads below `sure`."""
+    per = reads.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("track_id").alias("tracks"), F.count_if(F.col("conf") < sure).alias("unsure"))
+    return per.select("run_id", F.format_string("%s: %d reads, %d tracks, %d unsure", "run_id", "n", "tracks", "unsure").alias("line"))
+
+
 def fan_out(*callbacks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that calls each callback; one that fails doesn't stop the others."""
+    """A foreachBatch function that calls each callback; one that fails doesn't stop the others, but the batch fails after them and comes again."""
 
     def each(batch: DataFrame, epoch: int) -> None:
+        failed: list[Exception] = []
         batch.persist()
         try:
             for f in callbacks:
                 try:
                     f(batch, epoch)
                 except Exception as e:  # noqa: BLE001
-                    print(f"a callback failed in batch {epoch}: {e}")
+                    failed.append(e)
         finally:
             batch.unpersist()
+        if failed:
+            raise ExceptionGroup(f"{len(failed)} of {len(callbacks)} callbacks failed in batch {epoch}", failed)
 
     return each

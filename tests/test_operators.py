@@ -297,3 +297,61 @@ def test_splits(spark):
     n = {(r.event, r.split): r["count"] for r in DS.stratified_split(rows, "id").groupBy("event", "split").count().collect()}
     assert n == {("a", "test"): 10, ("a", "val"): 10, ("a", "train"): 80, ("b", "train"): 5}
     assert DS.readiness(10, 5, 0, 0) == ("READY", ["few images", "less than one annotation an image"])
+
+
+# --- buffers, clearing, places ---------------------------------------------------------------------
+
+
+def test_buffers(spark):
+    from raceflow.streaming import buffers
+
+    rng = np.random.default_rng(3)
+    puts = rng.random(400) < 0.6
+    df = spark.createDataFrame([("r", i, bool(p)) for i, p in enumerate(puts)], "run_id string, seq long, put boolean")
+    for policy, size in (("drop_new", 7), ("drop_old", 2), ("newest", 5)):
+        held, want = [], {}
+        for i, p in enumerate(puts):
+            if not p:
+                if held:
+                    want[held.pop(0)] = "taken"
+            elif len(held) < (1 if policy == "newest" else size):
+                held.append(i)
+            elif policy == "drop_new":
+                want[i] = "lost"
+            else:
+                want[held.pop(0)] = "lost"
+                held.append(i)
+        want |= dict.fromkeys(held, "left")
+        assert {r.seq: r.outcome for r in buffers.outcomes(df, size, policy).collect()} == want
+    with pytest.raises(ValueError):
+        buffers.Buffer(1, "other")
+
+
+def test_places_over_ranges(spark):
+    from raceflow.operators import ordering
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k")).repartition(7)
+    rows = ordering.placed(df, "place", "k").orderBy("k").collect()
+    assert [r.place for r in rows] == list(range(1000))
+
+
+def test_failed_callback_fails_the_batch(spark):
+    from raceflow.sources import sinks
+
+    seen = []
+
+    def bad(batch, epoch):
+        raise ValueError("no")
+
+    with pytest.raises(ExceptionGroup):
+        sinks.fan_out(bad, lambda b, e: seen.append(b.count()))(spark.range(3), 0)
+    assert seen == [3]
+
+
+def test_frames_in_memory(spark):
+    from raceflow.sources import readers
+
+    rows = readers.memory(spark, (np.full((2, 3), i, np.uint8) for i in range(4))).collect()
+    assert [(r.frame_idx, r.width, r.height, bytes(r.payload)) for r in rows] == [(i + 1, 3, 2, bytes([i] * 6)) for i in range(4)]
+    with pytest.raises(ValueError):
+        readers.memory(spark, [np.zeros((2, 3), np.uint8), np.zeros((3, 3), np.uint8)])
