@@ -1,29 +1,33 @@
 """Removal of repeated byte strings by a distributed merge sort of anchored suffixes.
 
-A string of LENGTH bytes that occurs twice has, in each of its occurrences, the same
+A string of SHORT bytes that occurs twice has, in each of its occurrences, the same
 anchor: the place of the least hash among its GRAM-byte substrings (leftmost of
-equals). So only suffixes that begin at anchors need to be sorted, about one in 185,
+equals). So only suffixes that begin at anchors need to be sorted, about one in 113,
 and of these only the ones whose anchor substring occurs again.
 
 An entry is an anchor with its right context, its left context and the range of
 window starts (as distances d from the anchor, to the left) that it stands for. Scan
 tasks sort their entries and write them as front-coded runs: the length of the prefix
-that an entry shares with the one before, and the rest. Entries that are equal in all
-contexts are settled there and travel once. Each merging task combines the runs of
-its buckets with a loser tree whose nodes keep the prefix that a candidate shares with
-the last winner; candidates are compared beyond that only. The merged order and its
-shared prefixes give, for every d, the classes of entries with equal right context;
-entries of a class with equal left context are windows that occur again.
-
-An anchor substring with more than HOT entries is split by ranges of d: windows that
-are equal at some d of a range share a core of bytes around the anchor, and the hash
-of that core takes the anchor substring's place in the bucket. So a passage found in a
-third of all documents isn't one task.
+that an entry shares with the one before, and the rest. Entries of different texts that
+are equal in all contexts are settled there and travel once. Each merging task combines
+the runs of its buckets with a loser tree whose nodes keep the prefix that a candidate
+shares with the last winner; candidates are compared beyond that only. The merged order
+and its shared prefixes give, for every d, the classes of entries with equal right
+context; entries of a class with equal left context are windows that occur again: windows
+of LENGTH bytes, which are removed, and windows of SHORT bytes that another text has,
+which are reported as passages (about 50 words are 300 bytes, less than LENGTH).
+
+An anchor substring with more than HOT entries isn't sorted in one task. Its entries
+(equal ones settled by the scan tasks) are cut into parts of PART window starts; windows
+of a part share a core around the anchor, and cores are counted with partial sums, so
+unlike surroundings go. The windows of the parts that are left are counted by 128-bit
+hashes the same way, and what is frequent is broadcast back. So no task holds the documents
+that have one passage.
 
 Null text counts as empty; texts under LENGTH bytes lose nothing; very long texts are
 hashed in overlapping segments; repeated strings within one text count and overlap;
-rows repeated with one doc_id are separate texts; an empty table gives an empty
-result; other columns are ignored.
+rows repeated with one doc_id, or without one, are separate texts; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,13 +45,12 @@ from pyspark.sql import functions as F
 
 from raceflow.llm import common as C
 
-LENGTH, GRAM = 400, 32
-#: Entries of an anchor substring beyond which it is split, and the window starts of a part.
+#: Bytes of the strings that are removed, of those that make a passage, and of an anchor substring.
+LENGTH, SHORT, GRAM = 400, 256, 32
+#: Entries of an anchor substring beyond which they aren't sorted in one task, and the window starts of a part.
 HOT, PART = 20_000, 32
 #: Entries of a merging bucket, and context bytes that a scan task sorts at a time.
 BUCKET, RUN_BYTES = 20_000, 32 << 20
-#: Tasks over which the entries of one anchor substring are spread when they get its count.
-SALTS = 8
 #: Window starts that are hashed at a time.
 SEGMENT = 1 << 21
 
@@ -77,13 +80,13 @@ class Hasher:
 def anchors(data: bytes, hasher: Hasher) -> tuple[np.ndarray, ...]:
     """hash, place, first and last window start of every anchor of a text."""
     every = np.frombuffer(data, np.uint8)
-    starts = len(data) - LENGTH + 1
+    starts = len(data) - SHORT + 1
     found: list[tuple[np.ndarray, ...]] = []
     for s in range(0, max(starts, 0), SEGMENT):
         count = min(SEGMENT, starts - s)
-        h = hasher(every[s : s + count - 1 + LENGTH])
+        h = hasher(every[s : s + count - 1 + SHORT])
         low = (h & ~C.U64((1 << 24) - 1)) | np.arange(len(h), dtype=np.uint64)
-        width, need = 1, LENGTH - GRAM + 1
+        width, need = 1, SHORT - GRAM + 1
         while width < need:  # least of each window, by doubling
             step = min(width, need - width)
             low = np.minimum(low[: len(low) - step], low[step:])
@@ -127,8 +130,9 @@ def shared(a: bytes, b: bytes, known: int = 0) -> int:
     return known
 
 
-# An entry: (key and right context, left context nearest byte first, row, place, least d, greatest d, settled)
-Entry = tuple[bytes, bytes, int, int, int, int, int]
+# An entry: (key and right context, left context nearest byte first, row, place, least d, greatest d, settled, more). Settled:
+# a scan task has dropped an equal entry of another row. More: the places of equal entries of the same row.
+Entry = tuple[bytes, bytes, int, int, int, int, int, list[int]]
 
 
 def pack(entries: list[Entry]) -> bytes:
@@ -143,8 +147,9 @@ def pack(entries: list[Entry]) -> bytes:
         rest.append(e[0][p:])
         left_rest.append(e[1][q:])
         before = e
-    rows, nums = np.array([e[2] for e in entries], np.int64), np.array([e[3:] for e in entries], np.int64).astype(np.int32)
-    body = b"".join([lcps.tobytes(), left.tobytes(), rows.tobytes(), nums.tobytes(), *rest, *left_rest])
+    rows, nums = np.array([e[2] for e in entries], np.int64), np.array([(*e[3:7], len(e[7])) for e in entries], np.int64).astype(np.int32)
+    more = np.array([x for e in entries for x in e[7]], np.int32)
+    body = b"".join([lcps.tobytes(), left.tobytes(), rows.tobytes(), nums.tobytes(), more.tobytes(), *rest, *left_rest])
     return struct.pack("<I", n) + zstandard.ZstdCompressor(level=1).compress(body)
 
 
@@ -155,14 +160,16 @@ def unpack(blob: bytes) -> tuple[list[Entry], list[int]]:
     lcps = np.frombuffer(body, np.int32, 2 * n).reshape(2, n)
     left = np.frombuffer(body, np.int32, 2 * n, 8 * n).reshape(2, n)
     rows = np.frombuffer(body, np.int64, n, 16 * n).tolist()
-    nums = np.frombuffer(body, np.int32, 4 * n, 24 * n).reshape(n, 4).tolist()
-    at = 40 * n
+    nums = np.frombuffer(body, np.int32, 5 * n, 24 * n).reshape(n, 5)
+    ends = np.cumsum(nums[:, 4]).tolist()
+    more = np.frombuffer(body, np.int32, ends[-1] if n else 0, 44 * n).tolist()
+    at = 44 * n + 4 * len(more)
     at2 = at + int(lcps[1].sum())
     out, a, b = [], b"", b""
-    for p, k, q, l, row, num in zip(*lcps.tolist(), *left.tolist(), rows, nums):
+    for p, k, q, l, row, num, end in zip(*lcps.tolist(), *left.tolist(), rows, nums.tolist(), ends):
         a, b = a[:p] + body[at : at + k], b[:q] + body[at2 : at2 + l]
         at, at2 = at + k, at2 + l
-        out.append((a, b, row, *num))
+        out.append((a, b, row, *num[:4], more[end - num[4] : end]))
     return out, lcps[0].tolist()
 
 
@@ -229,11 +236,25 @@ def merged(runs: list[tuple[list[Entry], list[int]]]) -> tuple[list[Entry], list
     return out, lcps
 
 
-def repeated(entries: list[Entry], lcps: list[int]) -> list[tuple[int, int, int]]:
-    """(row, first, last window start) of the windows of sorted entries that occur again among them."""
+def _classes(keys: np.ndarray, rows: np.ndarray, settled: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each key: whether it occurs again, and whether it does in another row."""
+    order = np.argsort(keys, kind="stable")
+    k, r, done, own = keys[order], rows[order], settled[order], more[order]
+    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    sizes = np.diff(np.r_[first, len(k)])
+    other = (np.minimum.reduceat(r, first) != np.maximum.reduceat(r, first)) | (np.maximum.reduceat(done, first) > 0)
+    out = np.zeros((2, len(keys)), bool)
+    out[:, order] = np.repeat([other | (sizes > 1) | np.maximum.reduceat(own, first), other], sizes, axis=1)
+    return out[0], out[1]
+
+
+def repeated(entries: list[Entry], lcps: list[int]) -> list[tuple[int, int, int, int]]:
+    """(row, first, last window start, kind) of the windows of sorted entries that occur again among them; kind 0: LENGTH bytes, 1: SHORT bytes in another row."""
     n = len(entries)
     lcp = np.array(lcps, np.int64) - 8
-    place, low, high, settled = np.array([e[3:] for e in entries], np.int64).T
+    right = np.array([len(e[0]) for e in entries], np.int64) - 8
+    row, place, low, high, settled = np.array([e[2:7] for e in entries], np.int64).T
+    more = np.array([bool(e[7]) for e in entries])
     most = int(high.max())
     left = np.zeros((most, n), np.uint8)
     lengths = np.array([len(e[1]) for e in entries])
@@ -241,96 +262,182 @@ def repeated(entries: list[Entry], lcps: list[int]) -> list[tuple[int, int, int]
     if len(flat):
         who = np.repeat(np.arange(n), lengths)
         left[np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths), who] = flat
-    again = np.zeros((most + 2, n), bool)  # one empty row after the last
+    again = np.zeros((2, most + 2, n), bool)  # one empty row after the last
     h = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for d in range(most + 1):
             if d:
                 h = C.mix64(h * C.U64(_P) + left[d - 1].astype(np.uint64) + C.U64(1))
-            act = np.flatnonzero((low <= d) & (d <= high))
-            if not len(act):
-                continue
-            classes = np.cumsum(lcp < LENGTH - d)[act]
-            keys = C.mix64(h[act] + classes.astype(np.uint64) * C.U64(_INV))
-            order = np.argsort(keys)
-            same = np.flatnonzero(keys[order][1:] == keys[order][:-1])
-            again[d, act[order[same]]] = True
-            again[d, act[order[same + 1]]] = True
-            again[d, act[settled[act] == 1]] = True
-    edges = np.diff(np.concatenate([np.zeros((1, n), bool), again]).astype(np.int8), axis=0).T
-    who, begin = np.nonzero(edges == 1)
-    _, end = np.nonzero(edges == -1)
-    return [(entries[i][2], int(place[i] - e + 1), int(place[i] - b)) for i, b, e in zip(who.tolist(), begin.tolist(), end.tolist())]
-
-
-def _entries(hot: int, row: int, data: bytes, hs, ats, firsts, lasts, counts) -> Iterator[Entry]:
-    for h, at, first, last, n in zip(hs, ats, firsts, lasts, counts):
-        low, high, key = at - last, at - first, struct.pack(">q", h)
-        if n <= hot:
-            yield key + data[at : at + LENGTH - low], data[first:at][::-1], row, at, low, high, 0
-            continue
-        for part in range(low // PART, high // PART + 1):
-            d1, d2 = max(low, part * PART), min(high, part * PART + PART - 1)
-            core = data[at - part * PART : at + LENGTH - (part * PART + PART - 1)]  # in every window of the part
-            key = xxhash.xxh3_64_digest(struct.pack("<qi", h, part) + core)
-            yield key + data[at : at + LENGTH - d1], data[at - d2 : at][::-1], row, at, d1, d2, 0
-
-
-_RUNS = pa.schema([("bucket", pa.int64()), ("run", pa.binary()), ("row", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
-_RUNS_DDL = "bucket long, run binary, row long, first long, last long"
+            here = (low <= d) & (d <= high)
+            for kind, (length, has) in enumerate(((LENGTH, here & (right >= LENGTH - d)), (SHORT, here))):
+                act = np.flatnonzero(has)
+                if len(act):
+                    classes = np.cumsum(lcp < length - d)[act]
+                    again[kind, d, act] = _classes(C.mix64(h[act] + classes.astype(np.uint64) * C.U64(_INV)), row[act], settled[act], more[act])[kind]
+    out = []
+    for kind in (0, 1):
+        edges = np.diff(np.concatenate([np.zeros((1, n), bool), again[kind]]).astype(np.int8), axis=0).T
+        who, begin = np.nonzero(edges == 1)
+        _, end = np.nonzero(edges == -1)
+        out += [(entries[i][2], at - e + 1, at - b, kind) for i, b, e in zip(who.tolist(), begin.tolist(), end.tolist()) for at in (entries[i][3], *entries[i][7])]
+    return out
+
+
+def _entries(row: int, data: bytes, hs, ats, firsts, lasts) -> Iterator[Entry]:
+    for h, at, first, last in zip(hs, ats, firsts, lasts):
+        yield struct.pack(">q", h) + data[at : at + LENGTH - (at - last)], data[first:at][::-1], row, at, at - last, at - first, 0, []
+
+
+def _settle(entries: list[Entry], gather: bool = True) -> tuple[list[Entry], list[tuple[int, int, int, int]]]:
+    """The entries in order, but equal ones of different rows (and, to gather, of one row) once; and the ranges (row, first, last, kind) that this settles."""
+    entries.sort()
+    kept, found = [], []
+    for e in entries:
+        last = kept[-1] if kept else None
+        if last is None or last[0] != e[0] or last[1] != e[1] or last[4:6] != e[4:6] or (last[2] == e[2] and not gather):
+            kept.append(e)
+        elif last[2] == e[2]:
+            last[7].append(e[3])
+        else:
+            kept[-1] = (*last[:6], 1, last[7])
+            found += _ranges(e)
+    return kept, found
+
+
+def _ranges(e: Entry) -> list[tuple[int, int, int, int]]:
+    """All windows of an entry, by kind."""
+    first, last = e[3] - e[5], e[3] - e[4]
+    whole = min(last, e[3] + len(e[0]) - 8 - LENGTH)
+    return [(e[2], first, last, 1)] + ([(e[2], first, whole, 0)] if whole >= first else [])
+
+
+_FOUND = pa.schema([("row", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("kind", pa.int64())])
+_FOUND_DDL = "row long, first long, last long, kind long"
+_RUNS = pa.schema([("bucket", pa.int64()), ("run", pa.binary()), *_FOUND])
+_RUNS_DDL = f"bucket long, run binary, {_FOUND_DDL}"
+
+
+def _columns(rows: list[tuple], names: list[str], before: int = 0) -> dict[str, list]:
+    return {name: [*[None] * before, *(x[k] for x in rows)] for k, name in enumerate(names)}
 
 
 def sorted_runs(entries: list[Entry], buckets: int) -> pa.RecordBatch:
     """One front-coded run for each bucket, and the windows that equal entries settle."""
-    entries.sort()
-    kept, settled = [], []
-    for e in entries:
-        if kept and kept[-1][0] == e[0] and kept[-1][1] == e[1] and kept[-1][4:6] == e[4:6]:
-            kept[-1] = (*kept[-1][:6], 1)
-            settled.append((e[2], e[3] - e[5], e[3] - e[4]))
-        else:
-            kept.append(e)
+    kept, found = _settle(entries)
     by: dict[int, list[Entry]] = {}
     for e in kept:
         by.setdefault(int.from_bytes(e[0][:8], "big") % buckets, []).append(e)
-    cols = {"bucket": [*by, *(r % buckets for r, _, _ in settled)], "run": [*map(pack, by.values()), *[None] * len(settled)]}
-    for k, name in enumerate(("row", "first", "last")):
-        cols[name] = [*[None] * len(by), *(x[k] for x in settled)]
-    return C.batch_of(_RUNS, **cols)
+    return C.batch_of(_RUNS, bucket=[*by, *(x[0] % buckets for x in found)], run=[*map(pack, by.values()), *[None] * len(found)], **_columns(found, _FOUND.names, len(by)))
+
+
+def _held(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[list[Entry]]:
+    """The entries of rows (row, text packed, h, at, first, last), up to `limit` bytes of context at a time."""
+    unpacked = zstandard.ZstdDecompressor()
+    held, size = [], 0
+    for b in batches:
+        cols = [b.column(c) for c in ("row", "text", "h", "at", "first", "last")]
+        for i in range(b.num_rows):
+            row, text, *marks = (c[i].as_py() for c in cols)
+            for e in _entries(row, unpacked.decompress(text), *marks):
+                held.append(e)
+                size += len(e[0]) + len(e[1])
+                if size > limit:
+                    yield held
+                    held, size = [], 0
+    if held:
+        yield held
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, text (compressed, as it is shuffled)."""
+    pack = zstandard.ZstdCompressor(level=3)
+    for b in C.slices(batches, "text"):
+        yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([pack.compress(x) for x in C.texts(b.column("text"))], pa.binary())], ["row", "text"])
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    return rows.select("row", "text").mapInArrow(C.tidy(_packed), "row long, text binary")
+
+
+_HOT = pa.schema([("row", pa.int64()), ("at", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("settled", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("kind", pa.int64())])
+_HOT_DDL = "row long, at long, low long, high long, left binary, right binary, settled long, first long, last long, kind long"
+
+
+def _hot_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries that are left (kind null), and the ranges that equal ones settle."""
+    for entries in _held(RUN_BYTES, batches):
+        kept, found = _settle(entries, gather=False)
+        found += [x for e in kept if e[6] for x in _ranges(e)]
+        ours = {"row": [e[2] for e in kept] + [x[0] for x in found], "at": [e[3] for e in kept], "low": [e[4] for e in kept], "high": [e[5] for e in kept], "left": [e[1] for e in kept], "right": [e[0][8:] for e in kept], "settled": [e[6] for e in kept]}
+        cols = {c: x + [None] * (len(kept) + len(found) - len(x)) for c, x in ours.items()}
+        yield C.batch_of(_HOT, **cols, **_columns([x[1:] for x in found], ["first", "last", "kind"], len(kept)))
+
+
+def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, at, low, part, core: the hash of the bytes that every window of a part of an entry has."""
+    names = ["row", "at", "low", "part", "core"]
+    for b in batches:
+        out = []
+        for row, at, low, high, left, right in zip(*(b.column(c).to_pylist() for c in _HOT.names[:6])):
+            for part in range(low // PART, high // PART + 1):
+                core = left[: part * PART][::-1] + right[: SHORT - part * PART - PART + 1]
+                out.append((row, at, low, part, xxhash.xxh3_128_digest(struct.pack("<i", part) + core)))
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, [pa.int64()] * 4 + [pa.binary()])], names)
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, first (window start), kind, settled, hash of every window of the entries' parts."""
+    names = ["row", "first", "kind", "settled", "hash"]
+    for b in (x.slice(k, 200) for x in batches for k in range(0, x.num_rows, 200)):
+        out = []
+        for row, at, low, high, left, right, settled, parts in zip(*(b.column(c).to_pylist() for c in (*_HOT.names[:7], "parts"))):
+            text = left[::-1] + right
+            for part in parts:
+                for d in range(max(low, part * PART), min(high, part * PART + PART - 1) + 1):
+                    start = len(left) - d
+                    for kind, length in ((0, LENGTH), (1, SHORT)):
+                        if start + length <= len(text):
+                            out.append((row, at - d, kind, settled, xxhash.xxh3_128_digest(text[start : start + length])))
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, [pa.int64()] * 4 + [pa.binary()])], names)
+
+
+def _hot_repeats(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """row, first, last, kind of the windows of very frequent anchors that occur again, by partial counts of hashes."""
+    found = C.written(packed(rows).join(hits, "row").mapInArrow(C.tidy(_hot_scan), _HOT_DDL), "hot")
+    entries = found.where("kind is null").select(*_HOT.names[:7])
+    cores = C.written(entries.mapInArrow(C.tidy(_cores), "row long, at long, low long, part long, core binary"), "cores")
+    again = C.written(cores.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "again")
+    live = C.with_groups(cores, again, ["core"], "n", cores.count()).groupBy("row", "at", "low").agg(F.collect_list("part").alias("parts"))
+    windows = C.written(entries.join(live, ["row", "at", "low"]).mapInArrow(C.tidy(_windows), "row long, first long, kind long, settled long, hash binary"), "windows")
+    counts = windows.groupBy("kind", "hash").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("lo"), F.max("row").alias("hi"), F.max("settled").alias("settled"))
+    counts = C.written(counts.where("n > 1 and (kind = 0 or lo < hi or settled = 1)").select("kind", "hash", "n"), "counts")
+    hit = C.with_groups(windows, counts, ["kind", "hash"], "n", windows.count())
+    return found.where("kind is not null").select(*_FOUND.names).unionByName(hit.select("row", "first", F.col("first").alias("last"), "kind"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """row, doc_id, text: row is doc_id where that is unique, else a number of its own for each row."""
-    rows = C.only(docs, "doc_id", "text")
-    n, ids = rows.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
-    if n == ids:
-        return rows.withColumn("row", F.col("doc_id"))
-    return C.written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    return C.Rows(C.only(docs, "doc_id", "text")).only("doc_id", "text").withColumnRenamed(C.ROW, "row")
 
 
 def repeats(rows: DataFrame, found: DataFrame, hot: int = HOT) -> DataFrame:
-    """row, first, last: ranges of window starts that occur again."""
+    """row, first, last, kind: ranges of window starts that occur again."""
     places = found.select("row", F.explode(F.arrays_zip("h", "at", "first", "last")).alias("x")).select("row", "x.*")
-    counts = places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a substring of a third of all rows meets its count in several tasks
-    hits = places.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"]).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "h", "first", "last", "n"))).alias("x"))
+    counts = C.written(places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
+    total, most = (x or 0 for x in counts.agg(F.sum("n"), F.max("n")).first())
+    hits = C.with_groups(places, counts, ["h"], "n", total).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "h", "first", "last", "n"))).alias("x"))
     hits = C.written(hits.select("row", *[F.col(f"x.{c}").alias(c) for c in ("h", "at", "first", "last", "n")]), "hits")
-    total = hits.agg(F.sum(F.size("h"))).first()[0] or 0
+
+    def of(wanted) -> DataFrame:
+        """The rows that have anchors whose count is wanted, with those."""
+        one = hits.select("row", F.filter(F.arrays_zip("h", "at", "first", "last", "n"), lambda x: wanted(x["n"])).alias("x")).where("size(x) > 0")
+        return one.select("row", *[F.col(f"x.{c}").alias(c) for c in ("h", "at", "first", "last")])
+
     buckets = max(64, -(-total // BUCKET))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in C.slices(batches, "text"):
-            cols = [b.column(c).to_pylist() for c in ("row", "h", "at", "first", "last", "n")]
-            for data, row, *marks in zip(C.texts(b.column("text")), *cols):
-                for e in _entries(hot, row, data, *marks):
-                    held.append(e)
-                    size += len(e[0]) + len(e[1])
-                    if size > RUN_BYTES:
-                        yield sorted_runs(held, buckets)
-                        held, size = [], 0
-        if held:
-            yield sorted_runs(held, buckets)
+        for entries in _held(RUN_BYTES, batches):
+            yield sorted_runs(entries, buckets)
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, runs = None, []
@@ -340,12 +447,12 @@ def repeats(rows: DataFrame, found: DataFrame, hot: int = HOT) -> DataFrame:
                 got = repeated(*merged(runs))
                 runs.clear()
                 if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*got)], ["row", "first", "last"])
+                    yield C.batch_of(_FOUND, **_columns(got, _FOUND.names))
 
         for b in batches:
             direct = b.filter(pa.compute.is_valid(b.column("row")))
             if direct.num_rows:
-                yield direct.select(["row", "first", "last"])
+                yield direct.select(_FOUND.names)
             for bucket, run in zip(b.column("bucket").to_pylist(), b.column("run")):
                 if bucket != now:
                     yield from settle()
@@ -354,46 +461,60 @@ def repeats(rows: DataFrame, found: DataFrame, hot: int = HOT) -> DataFrame:
                     runs.append(unpack(run.as_py()))
         yield from settle()
 
-    runs = rows.select("row", "text").join(hits, "row").mapInArrow(C.tidy(scan), _RUNS_DDL)
+    runs = packed(rows).join(of(lambda n: n <= hot) if most > hot else hits.drop("n"), "row").mapInArrow(C.tidy(scan), _RUNS_DDL)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(C.tidy(combine), "row long, first long, last long")
+    out = runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(C.tidy(combine), _FOUND_DDL)
+    return out.unionByName(_hot_repeats(rows, of(lambda n: n > hot))) if most > hot else out
 
 
-def spans(first: list[int], last: list[int]) -> list[tuple[int, int]]:
+def spans(first: list[int], last: list[int], length: int = LENGTH) -> list[tuple[int, int]]:
     """Maximal runs [start, end) of bytes covered by the windows of the ranges."""
     out: list[list[int]] = []
     for a, b in sorted(zip(first, last)):
         if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b + LENGTH)
+            out[-1][1] = max(out[-1][1], b + length)
         else:
-            out.append([a, b + LENGTH])
+            out.append([a, b + length])
     return [(a, b) for a, b in out]
 
 
+_CUT = pa.schema([("cut_row", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+
+
 def removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary; null where nothing is removed), sha (of the whole text) of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept (binary; null where nothing is removed), sha (of the whole text), n_passages, n_passage_bytes of every row.
+
+    Passages are the maximal runs of bytes covered by strings of SHORT bytes that are in another text too.
+    """
     rows = keyed(docs)
     found = C.written(rows.mapInArrow(C.tidy(_anchor_rows), _ANCHORS), "anchors")
-    ranges = repeats(rows, found, hot).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("x"))
-    ranges = C.written(ranges.select("row", F.col("x.first").alias("first"), F.col("x.last").alias("last")), "ranges")
+    ranges = repeats(rows, found, hot).groupBy("row", "kind").agg(F.collect_list(F.struct("first", "last")).alias("x"))
+    ranges = C.written(ranges.select("row", "kind", F.col("x.first").alias("first"), F.col("x.last").alias("last")), "ranges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in C.slices(batches, "text"):
+        unpacked = zstandard.ZstdDecompressor()
+        for b in (x.slice(k, 100) for x in batches for k in range(0, x.num_rows, 100)):
             kept, gone, many = [], [], []
-            for data, first, last in zip(C.texts(b.column("text")), b.column("first").to_pylist(), b.column("last").to_pylist()):
-                away = spans(first, last)
+            for text, first, last in zip(b.column("text").to_pylist(), b.column("first").to_pylist(), b.column("last").to_pylist()):
+                data, away = unpacked.decompress(text), spans(first, last)
                 ends = [0, *(x for s in away for x in s), len(data)]
                 kept.append(b"".join(data[ends[i] : ends[i + 1]] for i in range(0, len(ends), 2)))
                 gone.append(len(data) - len(kept[-1]))
                 many.append(len(away))
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(gone, pa.int64()), pa.array(many, pa.int64()), pa.array(kept, pa.binary())], ["cut_row", "n_removed", "n_spans", "kept"])
+            yield C.batch_of(_CUT, cut_row=b.column("row"), n_removed=gone, n_spans=many, kept=kept)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [spans(first, last, SHORT) for first, last in zip(b.column("first").to_pylist(), b.column("last").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(map(len, each), pa.int64()), pa.array([sum(y - x for x, y in a) for a in each], pa.int64())], ["passage_row", "n_passages", "n_passage_bytes"])
 
-    done = rows.select("row", "text").join(ranges, "row").mapInArrow(C.tidy(cut), "cut_row long, n_removed long, n_spans long, kept binary")
-    out = found.select("row", "doc_id", "n_bytes", "sha").join(done, F.col("row") == F.col("cut_row"), "left")
-    count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return out.select("doc_id", "n_bytes", count("n_removed"), count("n_spans"), "kept", "sha")
+    done = packed(rows).join(ranges.where("kind = 0"), "row").select("row", "text", "first", "last").mapInArrow(C.tidy(cut), "cut_row long, n_removed long, n_spans long, kept binary")
+    passages = ranges.where("kind = 1").select("row", "first", "last").mapInArrow(C.tidy(count), "passage_row long, n_passages long, n_passage_bytes long")
+    out = found.select("row", "doc_id", "n_bytes", "sha").join(done, F.col("row") == F.col("cut_row"), "left").join(passages, F.col("row") == F.col("passage_row"), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return out.select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), "kept", "sha", zero("n_passages"), zero("n_passage_bytes"))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = removed(C.read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.coalesce(F.sha2("kept", 256), "sha").alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.coalesce(F.sha2("kept", 256), "sha").alias("kept_sha256"), "n_passages", "n_passage_bytes")

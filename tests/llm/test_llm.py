@@ -391,23 +391,30 @@ def test_pii_disclosure(spark):
 # --- repeated strings ------------------------------------------------------------------------------
 
 
-def brute_repeats(texts, length=400):
+def brute_repeats(texts, length=400, short=256):
     count = Counter(hash(t[p : p + length]) for t in texts.values() for p in range(len(t) - length + 1))
+    owners = defaultdict(set)
+    for d, t in texts.items():
+        for p in range(len(t) - short + 1):
+            owners[hash(t[p : p + short])].add(d)
+    runs = lambda marks: sum(1 for i, g in enumerate(marks) if g and (i == 0 or not marks[i - 1]))
     out = {}
     for d, t in texts.items():
-        gone = bytearray(len(t))
+        gone, known = bytearray(len(t)), bytearray(len(t))
         for p in range(len(t) - length + 1):
             if count[hash(t[p : p + length])] > 1:
                 gone[p : p + length] = b"\1" * length
+        for p in range(len(t) - short + 1):
+            if len(owners[hash(t[p : p + short])]) > 1:
+                known[p : p + short] = b"\1" * short
         kept = bytes(c for c, g in zip(t, gone) if not g)
-        runs = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
-        out[d] = (len(t), sum(gone), runs, hashlib.sha256(kept).hexdigest())
+        out[d] = (len(t), sum(gone), runs(gone), hashlib.sha256(kept).hexdigest(), runs(known), sum(known))
     return out
 
 
 def removed(df, **options):
-    out = suffix_dedup.removed(df, **options).select("doc_id", "n_bytes", "n_removed", "n_spans", F.coalesce(F.sha2("kept", 256), "sha").alias("h"))
-    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.h) for r in out.collect()}
+    out = suffix_dedup.removed(df, **options).select("doc_id", "n_bytes", "n_removed", "n_spans", F.coalesce(F.sha2("kept", 256), "sha").alias("h"), "n_passages", "n_passage_bytes")
+    return {r.doc_id: tuple(r)[1:] for r in out.collect()}
 
 
 def planted():
@@ -417,6 +424,8 @@ def planted():
     p = [words(90) for _ in range(3)]
     rows = {i: words(int(rng.integers(20, 200))) for i in range(30)}
     rows |= {100 + i: f"{words(40)} {p[i % 3]} {words(30)} {p[(i + 1) % 3]}" for i in range(20)}
+    rows |= {300 + i: f"{words(30)} {p[0][:300]} {words(30)}" for i in range(3)}  # shorter than what is removed
+    rows |= {400: rows[0], 401: rows[101], 402: f"{p[1][:280]} {words(9)} {p[1][:280]}", 403: words(150) + " " + words(1) * 90}
     rows |= {200: "ab" * 900, 201: "ab" * 700, 202: p[0][:399], 203: p[0][:400], 204: "", 205: words(50) + "é🏁" * 150 + words(50), 206: "é🏁" * 150}
     return rows
 
@@ -428,16 +437,28 @@ def test_suffix_dedup(spark, hot):
     assert removed(df, hot=hot) == brute_repeats({k: t.encode() for k, t in rows.items()})
 
 
+def test_passage_in_very_many_texts(spark):
+    """One passage in a third of all texts, in unlike surroundings: no task has all of its entries."""
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    passage = words(90)
+    rows = {i: f"{words(20)} {passage} {words(20)}" if i % 3 == 0 else words(60) for i in range(600)}
+    rows |= {600 + i: rows[1] for i in range(50)}
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    want = brute_repeats({k: t.encode() for k, t in rows.items()})
+    assert removed(df, hot=20) == want and removed(df) == want
+
+
 def test_suffix_dedup_documents(docs, texts):
     assert removed(docs) == brute_repeats({k: t.encode() for k, t in texts.items()})
 
 
 def test_loser_tree():
     rng = np.random.default_rng(9)
-    entries = [(bytes(rng.integers(97, 99, int(rng.integers(8, 40)), dtype=np.uint8)), b"", i, 0, 0, 0, 0) for i in range(500)]
+    entries = [(bytes(rng.integers(97, 99, int(rng.integers(8, 40)), dtype=np.uint8)), b"", i, 0, 0, 0, 0, [i, 7][: i % 3]) for i in range(500)]
     runs = [suffix_dedup.unpack(suffix_dedup.pack(sorted(entries[k::7]))) for k in range(7)]
     got, lcps = suffix_dedup.merged(runs)
-    assert [e[0] for e in got] == sorted(e[0] for e in entries)
+    assert [e[0] for e in got] == sorted(e[0] for e in entries) and sorted(got) == sorted(entries)
     assert all(lcps[i] == suffix_dedup.shared(got[i - 1][0], got[i][0]) for i in range(1, len(got)))
 
 
