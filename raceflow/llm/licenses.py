@@ -13,6 +13,7 @@ repeat as they come; an empty table gives an empty result; other columns are ign
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Sequence
 from pathlib import Path
@@ -70,7 +71,7 @@ def whole_texts() -> list[tuple[str, str]]:
         if name == "MIT":
             kinds.add("The MIT License (MIT)\n" + bare)
         if name.startswith("BSD"):
-            kinds |= {re.sub(r"(?m)^[1-3]\. ", "* ", t) for t in kinds}
+            kinds |= {re.sub(r"(?m)^[1-4]\. ", "* ", t) for t in kinds}
         out += [(name, t) for t in sorted(kinds)]
     return out
 
@@ -92,8 +93,8 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
 #: Lines that name a holder, not terms.
 _COPYRIGHT = r"(?m)^[ \t]*(copyright[ \t]*(\(c\)|©|<|[0-9]|by )|\(c\)|©)[^\n]*$"
 _OTHER = r"[^a-z0-9À-ɏ]+"
-#: A line can only be a notice if it names a license or rights; the given tables' SQL leaves out longer ones.
-_NOTICE, _NOTICE_CHARS = r"(?i)licen[sc]|rights", 400
+#: A line can only be a notice if it names a license or rights.
+_NOTICE = r"(?i)licen[sc]|rights"
 
 
 def canonical(text: Column) -> Column:
@@ -136,18 +137,32 @@ def op9_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(C.read(spark, sf_dir, "documents"), registry(spark))
 
 
+def plain_digest(text: str) -> str:
+    """The digest of a known text in plain Python, for the SQL: line by line and letter by letter instead of by the patterns above."""
+    lines = []
+    for line in text.lower().replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+        word = line.lstrip(" \t")
+        after = word[9:].lstrip(" \t")
+        holder = word.startswith(("(c)", "©")) or (word.startswith("copyright") and (after.startswith(("(c)", "©", "<", "by ")) or after[:1].isdigit()))
+        lines.append("" if holder else line)
+    out = "\n".join(lines)
+    for variant, kept in SPELLINGS:
+        out = out.replace(variant, kept)
+    keep = lambda c: c in "abcdefghijklmnopqrstuvwxyz0123456789" or "À" <= c <= "ɏ"
+    return hashlib.sha256(" ".join("".join(c if keep(c) else " " for c in out).split()).encode()).hexdigest()
+
+
 def _canonical_sql(x: str) -> str:
-    x = rf"regexp_replace(regexp_replace(lower(coalesce({x}, '')), '\r\n?', chr(10), 'g'), '{_COPYRIGHT}', '', 'g')"
+    x = f"regexp_replace(regexp_replace(lower(coalesce({x}, '')), '\\r\\n?', chr(10), 'g'), '(?m)^[ \\t]*(copyright[ \\t]*(\\(c\\)|©|<|[0-9]|by )|\\(c\\)|©)[^\\n]*$', '', 'g')"
     for variant, kept in SPELLINGS:
         x = f"replace({x}, '{variant}', '{kept}')"
-    return f"trim(regexp_replace({x}, '{_OTHER}', ' ', 'g'))"
+    return f"trim(regexp_replace({x}, '[^a-z0-9À-ɏ]+', ' ', 'g'))"
 
 
-_VALUES = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in KNOWN)
+_VALUES = ", ".join(f"('{k}', '{plain_digest(t)}')" for k, t in (*KNOWN, *whole_texts()))
 ORACLE = f"""
-WITH known AS (SELECT sha256({_canonical_sql("t.body")}) AS digest, min(t.name) AS license_id FROM (VALUES {_VALUES}) t(name, body) GROUP BY 1),
-d AS (SELECT doc_id, sha256({_canonical_sql("text")}) AS digest,
-  list_filter(str_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_NOTICE}') AND length(x) <= {_NOTICE_CHARS}) AS lines FROM documents),
+WITH known AS (SELECT t.digest, min(t.name) AS license_id FROM (VALUES {_VALUES}) t(name, digest) GROUP BY 1),
+d AS (SELECT doc_id, sha256({_canonical_sql("text")}) AS digest, list_filter(str_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '(?i)licen[sc]|rights')) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line FROM d),
 n AS (SELECT l.doc_id, string_agg(DISTINCT k.license_id, ',' ORDER BY k.license_id) AS notices
   FROM l JOIN known k ON sha256({_canonical_sql("l.line")}) = k.digest GROUP BY 1)

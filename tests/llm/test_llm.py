@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import html.parser
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -181,6 +182,55 @@ def test_html_main_text(spark):
     assert right >= 0.98 * len(got)
 
 
+class Plain(html.parser.HTMLParser):
+    """The article's blocks by the standard library's parser: text runs between block elements, inside article."""
+
+    BLOCKS = set("p h1 h2 h3 h4 h5 h6 li ul ol div section article header footer nav aside table tr td th blockquote pre figure figcaption form main body html dl dt dd hr".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.raw, self.now, self.out = 0, 0, [], []
+
+    def cut(self):
+        text = " ".join("".join(self.now).split(" "))
+        text = re.sub(r"[ \t\n\f\r]+", " ", text).strip()
+        if text:
+            self.out.append((self.open > 0, text))
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        self.raw += tag in ("script", "style", "title")
+        if tag in self.BLOCKS:
+            self.cut()
+        elif tag == "br":
+            self.now.append("\n")
+        self.open += tag == "article"
+
+    def handle_endtag(self, tag):
+        self.raw -= tag in ("script", "style", "title")
+        if tag in self.BLOCKS:
+            self.cut()
+        self.open -= tag == "article"
+
+    def handle_data(self, data):
+        if not self.raw:
+            self.now.append(data)
+
+
+def test_html_against_another_parser(spark):
+    """The extracted text of every page equals the article's blocks as the standard library's parser finds them."""
+    pages = C.read(spark, SF, "pages")
+    got = {r.page_id: r.text for r in html_extract.main_text(pages).collect()}
+    wrong = []
+    for p in pages.collect():
+        plain = Plain()
+        plain.feed(p.html or "")
+        plain.cut()
+        if got[p.page_id] != "\n".join(t for inside, t in plain.out if inside):
+            wrong.append(p.page_id)
+    assert not wrong
+
+
 def test_html_held_out_templates():
     rng = np.random.default_rng(12345)
     test = [html_extract.labelled(rng) for _ in range(200)]
@@ -360,6 +410,65 @@ def test_pii_base(spark, docs, texts):
         assert {i: r.base for i, r in got.items()} == {i: listed(base_spans(t)) for i, t in want.items()}
 
 
+def brute_terms(rows, disclosed, support):
+    """Spans of disclosing words by counting every pair of an entity and a word over all documents."""
+    words = lambda t: {w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)}
+    total, holders, having = len(rows), defaultdict(list), Counter()
+    for k, (_, t) in enumerate(rows):
+        t = t or ""
+        having.update(words(t))
+        for e in {f"{n}:{t[a:b].lower()}" for a, _, n, b in base_spans(t)}:
+            holders[e].append(k)
+    terms = set()
+    for e, docs in holders.items():
+        if len({rows[k][1] for k in docs}) < support or len(docs) >= total:
+            continue
+        joint, texts = Counter(), defaultdict(set)
+        for k in docs:
+            for w in words(re.sub(PATTERNS["email"], " ", rows[k][1])):
+                joint[w] += 1
+                texts[w].add(rows[k][1])
+        for w, n in joint.items():
+            share = np.log2(total * n / (len(docs) * having[w])) / np.log2(total / len(docs))
+            if len(texts[w]) >= support and share >= disclosed - 1e-12:
+                terms.add(w)
+    out = []
+    for i, t in rows:
+        base = base_spans(t or "")
+        found = [(m.start(), 4, "term", m.end()) for m in re.finditer(r"[^\W\d_]+", t or "") if m[0].lower() in terms]
+        out.append((i, listed(sorted(base + [f for f in found if not any(a < f[3] and f[0] < b for a, _, _, b in base)]))))
+    return out, terms
+
+
+def test_pii_terms_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(120)]
+    people = [(f"p{k}x@mail.example.org", [f"Name{'abcdefghij'[k]}son", f"place{'abcdefghij'[k]}ville"]) for k in range(8)] + [("10.0.0.7", ["Serverroom"])]
+    rows = []
+    for i in range(400):
+        text = list(rng.choice(vocabulary, int(rng.integers(5, 40))))
+        for value, near in people:
+            if rng.random() < 0.03:
+                text += [value, *near]
+            elif rng.random() < 0.003:
+                text += near[:1]
+        rng.shuffle(text)
+        rows.append((None if i % 50 == 0 else i % 390, " ".join(text)))
+    rows += rows[5:25] + [(900, None), (901, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for disclosed, support in ((0.9, 2), (0.6, 3)):
+        want, terms = brute_terms(rows, disclosed, support)
+        got = pii.found_spans(df, disclosed, support).select("doc_id", pii._listed("all").alias("all")).collect()
+        assert len(terms) >= 5 and Counter(map(tuple, got)) == Counter(want)
+
+
+def test_pii_many_matches(spark):
+    """More matches than are summed one after the other, at the edges of the parts."""
+    rows = [(n, "x " + " ".join(f"é{k}@b.c 1.2.3.{k % 256}" for k in range(n))) for n in (1, 63, 64, 65, 128, 129, 1000)]
+    got = by_id(pii.found_spans(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii._listed("base").alias("base")))
+    assert {i: r.base for i, r in got.items()} == {i: listed(base_spans(t)) for i, t in rows}
+
+
 def test_pii_disclosure_far(spark):
     fill = lambda i: " ".join("common plain usual words".split()[(i + k) % 4] for k in range(100))
     rows = [(i, f"Dear Zorblax {fill(i)} write to secret.box@mail.org {fill(i + 1)}") for i in range(3)]
@@ -508,12 +617,15 @@ def test_chunks_follow_content():
 
 def test_whole_licenses(spark):
     names = "Apache-2.0 GPL-2.0 GPL-3.0 LGPL-2.1 LGPL-3.0 BSD-2-Clause BSD-3-Clause ISC MPL-2.0 CC0-1.0".split()
+    names += sorted({p.stem for p in licenses.TEXTS.glob("*.txt")} - set(names))
+    assert len({*names, *(k for k, t in licenses.KNOWN if len(t) > 500)}) >= 30
     rows = [(i, (licenses.TEXTS / f"{n}.txt").read_text().upper()) for i, n in enumerate(names)]
     mit = next(t for k, t in licenses.KNOWN if k == "MIT" and len(t) > 500)
     line = " ".join(mit[mit.index("Permission") :].split())
     rows += [(100, "A text.\n" + line + "\nIts end."), (101, "* ".join(rows[5][1].split("1. ")).replace("2. ", "* "))]
     rows += [(102, rows[0][1][: rows[0][1].index("APPENDIX:")])]
     got = by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.registry(spark)))
+    assert {i: got[i].digest for i, _ in rows} == {i: licenses.plain_digest(t) for i, t in rows}
     assert [got[i].license_id for i in range(len(names))] == names and len(line) > 900
     assert (got[100].license_id, got[100].notices, got[101].license_id, got[102].license_id) == (None, "MIT", "BSD-2-Clause", "Apache-2.0")
 
@@ -534,6 +646,42 @@ def test_language_held_out(spark):
     assert all((zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
 
 
+def brute_ranks(text, most):
+    """The most frequent letter n-grams of 1 to 3 (word ends as one mark), by count, then code point."""
+    words = re.sub(r"[\W\d_]+", " ", "".join(c if c.isalpha() else " " for c in text)).split()
+    low = lambda c: c.lower() if len(c.lower()) == 1 else c
+    count = Counter()
+    marked = "\0" + "\0".join("".join(map(low, w)) for w in words) + "\0"
+    for n in (1, 2, 3):
+        for i in range(len(marked) - n + 1):
+            g = marked[i : i + n]
+            if g != "\0" and not (n == 3 and g[1] == "\0") and words:
+                count[g] += 1
+    code = lambda g: (len(g) == 2) << 63 | sum(ord(c) << 21 * (len(g) - 1 - k) for k, c in enumerate(g))
+    return [code(g) for g, _ in sorted(count.items(), key=lambda x: (-x[1], code(x[0])))[:most]]
+
+
+def test_language_against_brute_force(spark, docs, texts):
+    """Ranks, out-of-place distance and prediction of every document, in plain Python from the profiles' definition."""
+    most = language_id.PROFILE
+    langs = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    totals = defaultdict(Counter)
+    for i, t in texts.items():
+        assert language_id.ranked(t.encode(), most).tolist() == brute_ranks(t, most)
+        if zlib.crc32(str(i).encode()) % 3 != 1 and langs[i] is not None:
+            totals[langs[i]].update(language_id.grams(t.encode()).tolist())
+    profiles = {x: {g: k for k, (g, _) in enumerate(sorted(c.items(), key=lambda p: (-p[1], np.int64(np.uint64(p[0])))) [:most])} for x, c in sorted(totals.items())}
+    got = by_id(language_id.identified(docs, language_id.learn(docs)))
+    for i, t in texts.items():
+        own = brute_ranks(t, most)
+        if not own:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        far = {x: sum(abs(p[g] - k) if g in p else most for k, g in enumerate(own)) for x, p in profiles.items()}
+        best, rest = sorted(far.values())[:2]
+        assert got[i].lang_pred == min(far, key=far.get) and got[i].score == pytest.approx((rest - best) / rest if rest else 0.0)
+
+
 def test_language_distance():
     profiles = {"x": language_id.ranked(b"aaa bbb ccc"), "y": language_id.ranked(b"zzz yyy xxx")}
     m = language_id.Model(profiles)
