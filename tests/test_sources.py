@@ -133,3 +133,54 @@ def test_run_end_to_end(spark):
         if mode == "line":
             assert got[0].frame_idx == next(f for f in frames if at(f) + 30 > 960) + 2 and abs(got[0].time_sec - (got[0].frame_idx - 1) / 30) < 1e-9
     assert out.consensus.first().number == "1234" and out.detections.count() <= 40
+
+
+def _scene(spark, runs):
+    """Tables of runs; a run is a list of (row, text, plate seen from frame, until) of persons who cross the line one below the other."""
+    box = "x1 double, y1 double, x2 double, y2 double"
+    dets, reads, people = [], [], []
+    for run, persons in runs.items():
+        for row, text, first, until in persons:
+            for f in range(1, 41):
+                x, y = 700.0 + 12 * f, 150.0 + 260 * row
+                people.append((run, f, x - 40, y - 80, x + 100, y + 120, x + 30, y + 20))
+                if text and first <= f <= until:
+                    dets.append((run, f, x, y, x + 60, y + 40, 0.9))
+                    reads.append((run, f, x, y, x + 60, y + 40, text, 0.9))
+    return (
+        spark.createDataFrame(dets, f"run_id string, frame_idx long, {box}, confidence double"),
+        spark.createDataFrame(reads, f"run_id string, frame_idx long, {box}, raw string, conf double"),
+        spark.createDataFrame(people, f"run_id string, frame_idx long, {box}, cx double, cy double"),
+    )
+
+
+def test_runs_dont_mix(spark):
+    """A run alone and beside others gives the same crossings; numbers of one run never reach another's persons."""
+    runs = {"a": [(0, "1234", 1, 40), (2, "5678", 1, 40)], "b": [(0, None, 0, 0), (2, "1234", 1, 40)], "c": [(0, "5678", 1, 40)]}
+    reg = spark.createDataFrame([("1234",), ("5678",)], "bib string")
+    both = pipeline.run(*_scene(spark, runs), reg, Config(debounce_time=0.1)).crossings.collect()
+    got = {run: sorted((r.sequence, r.frame_idx, r.bib, r.source) for r in both if r.run_id == run) for run in runs}
+    assert {b for _, _, b, _ in got["a"]} == {"1234", "5678"} and [b for _, _, b, _ in got["c"]] == ["5678"]
+    assert "5678" not in {b for _, _, b, _ in got["b"]}
+    alone = pipeline.run(*_scene(spark, {"b": runs["b"]}), reg, Config(debounce_time=0.1)).crossings.collect()
+    assert sorted((r.sequence, r.frame_idx, r.bib, r.source) for r in alone) == got["b"]
+
+
+def test_later_levels_and_postproc(spark):
+    """A plate seen early only is found again; gates and digit swaps act before voting; the surest reading counts."""
+    reg = spark.createDataFrame([("1234",), ("5678",)], "bib string")
+    dets, reads, people = _scene(spark, {"r": [(0, "1234", 1, 8)]})
+    assert [r.bib for r in pipeline.run(dets, reads, people, reg, Config(debounce_time=0.1)).crossings.collect()] == ["1234"]
+    blocked = reads.withColumn("gate", F.lit("blurry"))
+    assert [(r.bib, r.confidence) for r in pipeline.run(dets, blocked, people, reg, Config(debounce_time=0.1)).crossings.collect()] == [("UNKNOWN", 0.0)]
+    digit = lambda d, p, r: F.struct(F.lit(d).alias("digit"), F.lit(p).alias("prob"), F.lit(r).alias("ru_digit"), F.lit(0.3).alias("ru_prob"))
+    swap = reads.withColumn("raw", F.lit("1934")).withColumn("digits", F.array(digit("1", 0.9, "7"), digit("9", 0.5, "2"), digit("3", 0.9, "8"), digit("4", 0.9, "1")))
+    out = pipeline.run(dets, swap, people, reg, Config(debounce_time=0.1))
+    assert [r.bib for r in out.crossings.collect()] == ["1234"] and out.detections.select("is_valid").distinct().collect()[0][0]
+
+
+def test_resolved_afterwards(spark):
+    events = spark.createDataFrame([("r", 1, 100, "UNKNOWN", 0.0, 0.0, "pose"), ("r", 2, 110, "7", 5.0, 5.0, "pose"), ("s", 1, 100, "UNKNOWN", 0.0, 0.0, "pose")], "run_id string, sequence long, frame_idx long, bib string, x double, y double, source string")
+    sure = spark.createDataFrame([("r", 104, "8", 3.0, 4.0), ("r", 101, "7", 0.0, 0.0), ("s", 2000, "9", 0.0, 0.0)], "run_id string, frame_idx long, number string, bx double, by double")
+    got = {(r.run_id, r.sequence): (r.bib, r.source) for r in pipeline.resolved(events, sure, None, Config()).collect()}
+    assert got == {("r", 1): ("8", "postproc"), ("r", 2): ("7", "pose"), ("s", 1): ("UNKNOWN", "pose")}
