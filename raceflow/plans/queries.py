@@ -489,7 +489,10 @@ def fn_hash(s, d):
     return W.table(s, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
 
 
-@query()
+@query(
+    """SELECT d.doc_id, first(r ORDER BY length(r) DESC, i) AS digits FROM documents d LEFT JOIN (SELECT doc_id, unnest(runs) AS r, generate_subscripts(runs, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS runs FROM documents)) x
+    ON x.doc_id = d.doc_id AND length(r) <= 4 GROUP BY 1"""
+)
 def sel_longest(s, d):
     docs = W.table(s, d, "documents")
     return docs.select("doc_id", T.longest_run(F.coalesce("text", F.lit(""))).alias("digits"))
@@ -783,7 +786,16 @@ def st_zone(s, d):
     return X.zone(rows).select("track_id", "frame_idx", "bib")
 
 
-@query()
+@query(
+    """WITH e AS (SELECT *, row_number() OVER (PARTITION BY bib ORDER BY frame_idx, track_id) AS n FROM emissions),
+    f(bib, n, frame_idx, conf, track_id, emitted, fired, times, tracks, places) AS (
+      SELECT DISTINCT bib, 0::BIGINT, NULL::BIGINT, NULL::DOUBLE, NULL::BIGINT, false, NULL::BIGINT, 0, []::BIGINT[], []::DOUBLE[][] FROM emissions
+      UNION ALL SELECT bib, n, frame_idx, conf, track_id, ok, CASE WHEN ok THEN frame_idx ELSE fired END, times + ok::INT, CASE WHEN ok THEN list_append(tracks, track_id) ELSE tracks END, CASE WHEN ok THEN list_append(places, [x, y]) ELSE places END
+      FROM (SELECT e.bib, e.n, e.frame_idx, e.conf, e.track_id, e.x, e.y, f.fired, f.times, f.tracks, f.places,
+        NOT list_contains(f.tracks, e.track_id) AND len(list_filter(f.places, lambda p: sqrt((e.x - p[1]) * (e.x - p[1]) + (e.y - p[2]) * (e.y - p[2])) < 5.0)) = 0 AND (f.fired IS NULL OR e.frame_idx - f.fired >= 300)
+        AND f.times < 5 AND e.conf >= CASE f.times WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 0.7::DOUBLE ELSE 0.9::DOUBLE END AS ok FROM f JOIN e ON e.bib = f.bib AND e.n = f.n + 1))
+    SELECT bib, frame_idx, conf, track_id, emitted FROM f WHERE n > 0"""
+)
 def st_dedup(s, d):
     return D.deduplicated(W.emissions(s, d), 300, 5.0).select("bib", "frame_idx", "conf", "track_id", "emitted")
 
