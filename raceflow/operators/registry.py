@@ -89,11 +89,51 @@ def same_prefix(preds: DataFrame, registry: DataFrame, threshold: float = 0.75)
     return _scored(p.join(r, "key"), threshold)
 
 
+#: Characters that a text may lose to make its keys; texts that must lose more meet by length.
+MOST_LOST = 3
+
+
+def _shorter(texts: Column) -> Column:
+    """The distinct texts that the given ones become by losing one character."""
+    one = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+    return F.array_distinct(F.flatten(F.transform(F.filter(texts, lambda s: s != ""), one)))
+
+
+def _keys(text: str, own: str, other: str, threshold: float) -> DataFrame | Column:
+    """Keys (own and other length, left to right, and what is left) that a text has for partners that are `d` characters longer, for d of -1, 0, 1.
+
+    The ratio is 2 * matches / (both lengths), and the matches are a subsequence of both texts. So similar texts become one
+    text when each loses all but the least number of matches.
+    """
+    x = F.col(text)
+    lost = [F.array(x)]
+    for _ in range(MOST_LOST):
+        lost.append(_shorter(lost[-1]))
+    sets = []
+    for d in (-1, 0, 1):
+        n, m = F.length(x), F.length(x) + d
+        least = F.ceil(F.lit(threshold) * (n + m) / 2 - 1e-9).cast("int")
+        some = F.array().cast("array<string>")
+        for k, texts in enumerate(lost):
+            some = F.when(n - least == k, texts).otherwise(some)
+        many = F.when(n - least > MOST_LOST, F.array(F.lit("#"))).otherwise(some)
+        keys = F.transform(F.when((m < 1) | (least > F.least(n, m)), F.array().cast("array<string>")).otherwise(many), lambda s: F.struct(n.alias(own), m.alias(other), s.alias("left")))  # noqa: B023
+        sets.append(keys)
+    return F.flatten(F.array(*sets))
+
+
 def length_band(preds: DataFrame, registry: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """pred, bib, score: registry numbers at most one character longer or shorter that are similar enough (equi-join on length)."""
-    p = preds.select("pred", F.explode(F.array(*[F.length("pred") + d for d in (-1, 0, 1)])).alias("len"), _counts(F.col("pred")).alias("pc"))
-    r = sized(registry.select("bib", F.length("bib").alias("len"), _counts(F.col("bib")).alias("bc")))
-    return _scored(p.join(r, "len"), threshold)
+    """pred, bib, score: registry numbers at most one character longer or shorter that are similar enough.
+
+    An equi-join on what both texts have left when they lose the characters that may differ.
+    """
+    p = preds.where(F.length("pred") > 0).select("pred", F.explode(_keys("pred", "a", "b", threshold)).alias("k")).select("pred", "k.*")
+    r = registry.where(F.length("bib") > 0).select("bib", F.explode(_keys("bib", "b", "a", threshold)).alias("k")).select("bib", "k.*")
+    # a pair of lengths of which one side has too many characters to lose meets by these lengths alone
+    long = lambda n, m: F.greatest(F.col(n), F.col(m)) - F.ceil(F.lit(threshold) * (F.col(n) + F.col(m)) / 2 - 1e-9) > MOST_LOST
+    p, r = (t.withColumn("left", F.when(long("a", "b"), "#").otherwise(F.col("left"))).distinct() for t in (p, r))
+    both = p.join(sized(r), ["a", "b", "left"]).select("pred", "bib").distinct()
+    return _scored(both.withColumn("pc", _counts(F.col("pred"))).withColumn("bc", _counts(F.col("bib"))), threshold)
 
 
 def candidates(preds: DataFrame, registry: DataFrame, threshold: float = 0.75) -> DataFrame:

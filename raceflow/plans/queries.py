@@ -523,7 +523,7 @@ def join_prefix(s, d):
 
 @query()
 def join_lenband(s, d):
-    return REG.length_band(W.predictions(s, d).where("length(pred) <= 2"), W.registry(s, d))
+    return REG.length_band(W.predictions(s, d), W.registry(s, d))
 
 
 @query()
@@ -532,13 +532,13 @@ def join_fuzzy(s, d):
 
 
 @query(
-    """SELECT k AS read_id, CASE WHEN n IN (SELECT bib FROM registry) THEN n ELSE coalesce(CASE WHEN '9' || substr(n, 2) IN (SELECT bib FROM registry) THEN '9' || substr(n, 2) END, CASE WHEN substr(n, 1, 1) || '8' || substr(n, 3) IN (SELECT bib FROM registry) THEN substr(n, 1, 1) || '8' || substr(n, 3) END, n) END AS corrected
-    FROM (SELECT o_custkey AS k, CAST(o_custkey AS VARCHAR) AS n FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey >= 100))"""
+    """SELECT k AS read_id, CASE WHEN n IN (SELECT bib FROM registry) THEN n ELSE coalesce(CASE WHEN length(n) >= 3 AND '9' || substr(n, 2) IN (SELECT bib FROM registry) THEN '9' || substr(n, 2) END, CASE WHEN length(n) >= 3 AND substr(n, 1, 1) || '8' || substr(n, 3) IN (SELECT bib FROM registry) THEN substr(n, 1, 1) || '8' || substr(n, 3) END, n) END AS corrected
+    FROM (SELECT o_custkey AS k, CAST(o_custkey AS VARCHAR) AS n FROM (SELECT DISTINCT o_custkey FROM orders))"""
 )
 def fn_digit_swap(s, d):
     n = F.col("pred")
     digit = lambda x, i: F.struct(x.alias("digit"), F.lit(0.5).alias("prob"), F.when(i == 0, "9").when(i == 1, "8").otherwise("0").alias("ru_digit"), F.when(i < 2, 0.2).otherwise(0.0).alias("ru_prob"))
-    rows = W.predictions(s, d).where("cast(pred as int) >= 100").select(n.cast("long").alias("read_id"), n.alias("number"), F.transform(F.filter(F.split(n, ""), lambda c: c != ""), digit).alias("digits"))
+    rows = W.predictions(s, d).select(n.cast("long").alias("read_id"), n.alias("number"), F.transform(F.filter(F.split(n, ""), lambda c: c != ""), digit).alias("digits"))
     return REG.digit_swap(rows, W.registry(s, d)).select("read_id", "corrected")
 
 
@@ -735,7 +735,7 @@ def join_detconf(s, d):
 @query()
 def join_assign(s, d):
     """Tracks over a moving window of detections in every run."""
-    det = W.detections(s, d).where("confidence >= 0.7").select("run_id", "frame_idx", "x1", "y1", "x2", "y2")
+    det = W.detections(s, d).select("run_id", "frame_idx", "x1", "y1", "x2", "y2")
     return TR.tracked(det, 30, 100.0).select("run_id", "frame_idx", "track_id", "cx", "cy", "matched")
 
 

@@ -355,3 +355,17 @@ def test_frames_in_memory(spark):
     assert [(r.frame_idx, r.width, r.height, bytes(r.payload)) for r in rows] == [(i + 1, 3, 2, bytes([i] * 6)) for i in range(4)]
     with pytest.raises(ValueError):
         readers.memory(spark, [np.zeros((2, 3), np.uint8), np.zeros((3, 3), np.uint8)])
+
+
+def test_length_band_against_all_pairs(spark):
+    from difflib import SequenceMatcher
+
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(rng.choice(list("0123"), n))
+    texts = sorted({word(int(n)) for n in rng.integers(1, 9, 300)} | {word(int(n)) for n in rng.integers(11, 24, 40)})
+    near = [t[:k] + t[k + 1 :] for t in texts for k in (len(t) // 2,)] + [t + "1" for t in texts]
+    preds, bibs = sorted({*texts[::2], *near[::3], ""}), texts
+    for threshold in (0.75, 0.6):
+        want = {(a, b) for a in preds for b in bibs if a and abs(len(a) - len(b)) <= 1 and SequenceMatcher(None, a, b).ratio() >= threshold}
+        got = REG.length_band(spark.createDataFrame([(x,) for x in preds], "pred string"), spark.createDataFrame([(x,) for x in bibs], "bib string"), threshold)
+        assert {(r.pred, r.bib) for r in got.collect()} == want and len(want) > 100
