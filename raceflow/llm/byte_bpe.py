@@ -15,6 +15,7 @@ size is fixed by the file.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterator
 from struct import pack
@@ -229,11 +230,34 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return rows.mapInArrow(C.tidy(run), T.StructType([*rows.schema.fields, T.StructField("data", T.BinaryType())]))
 
 
-def digests(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, the columns `more`, n_tokens, ids_sha256, decoded_sha256 of every row."""
-    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    both = decode(encode(C.only(docs, "doc_id", *more, "text")).drop("text"))
-    return both.select("doc_id", *more, F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("data"), 256).alias("decoded_sha256"))
+def _sha256(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
+
+
+def digests(docs: DataFrame, *more: str, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """doc_id, the columns `more`, n_tokens, ids_sha256 (of the decimal ids joined by a space), decoded_sha256 of every row.
+
+    The ids and the bytes that they decode to are what encode() and decode() return; they are digested where they are made.
+    """
+    public = (path, pattern) if path and pattern else _public()
+    path, pattern = path or public[0], pattern or public[1]
+    rows = C.only(docs, "doc_id", *more, "text")
+    shared = rows.sparkSession.sparkContext.broadcast(load_ranks(path))
+    kept = ["doc_id", *more]
+    fields = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, table = Encoder(shared.value, pattern), Decoder(shared.value)
+        for b in C.slices(batches, "text"):
+            found = []
+            for text in C.texts(b.column("text")):
+                ids = encoder.encode(text.decode("utf-8", "replace"))
+                found.append((len(ids), _sha256(" ".join(map(str, ids.tolist())).encode()), _sha256(table.decode(ids))))
+            cols = [pa.array(x, f.type) for x, f in zip(zip(*found), fields)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *cols], schema=pa.schema([b.schema.field(c) for c in kept] + fields))
+
+    kinds = [f for f in rows.schema.fields if f.name in kept]
+    return rows.mapInArrow(C.tidy(run), T.StructType([*kinds, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import ctypes
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -19,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from raceflow import shared
 from raceflow.shipping import ship
 
 #: Bytes of text that a Python worker handles at a time (a longer single text is handled alone).
@@ -38,24 +37,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none and all tasks run on this machine (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="raceflow-shared-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
 #: Paths that were written and not yet discarded.
 _cuts: list[str] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder, which cuts() lists until it is discarded."""
-    _cuts.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    _cuts.append(shared.path(spark, name))
     return _cuts[-1]
 
 

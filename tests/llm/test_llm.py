@@ -365,6 +365,15 @@ def test_bpe(docs, edge, texts):
             assert got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
 
 
+def test_bpe_round_trip(docs, texts):
+    """The ids and bytes of encode() and decode() are those that the query digests."""
+    both = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "text")))
+    want = by_id(byte_bpe.digests(docs))
+    for r in both.collect():
+        assert bytes(r.data) == texts[r.doc_id].encode() and len(r.ids) == want[r.doc_id].n_tokens
+        assert hashlib.sha256(" ".join(map(str, r.ids)).encode()).hexdigest() == want[r.doc_id].ids_sha256
+
+
 def test_bpe_pieces():
     ranks, enc = tokenizer()
     table = byte_bpe.PerfectHash(list(ranks))
