@@ -236,16 +236,15 @@ def merged(runs: list[tuple[list[Entry], list[int]]]) -> tuple[list[Entry], list
     return out, lcps
 
 
-def _classes(keys: np.ndarray, rows: np.ndarray, settled: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each key: whether it occurs again, and whether it does in another row."""
-    order = np.argsort(keys, kind="stable")
-    k, r, done, own = keys[order], rows[order], settled[order], more[order]
+def _in_other_rows(keys: np.ndarray, rows: np.ndarray, settled: np.ndarray) -> np.ndarray:
+    """Of each key: whether another row has it."""
+    order = np.argsort(keys)
+    k, r, done = keys[order], rows[order], settled[order]
     first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-    sizes = np.diff(np.r_[first, len(k)])
     other = (np.minimum.reduceat(r, first) != np.maximum.reduceat(r, first)) | (np.maximum.reduceat(done, first) > 0)
-    out = np.zeros((2, len(keys)), bool)
-    out[:, order] = np.repeat([other | (sizes > 1) | np.maximum.reduceat(own, first), other], sizes, axis=1)
-    return out[0], out[1]
+    out = np.zeros(len(keys), bool)
+    out[order] = np.repeat(other, np.diff(np.r_[first, len(k)]))
+    return out
 
 
 def repeated(entries: list[Entry], lcps: list[int]) -> list[tuple[int, int, int, int]]:
@@ -268,12 +267,25 @@ def repeated(entries: list[Entry], lcps: list[int]) -> list[tuple[int, int, int,
         for d in range(most + 1):
             if d:
                 h = C.mix64(h * C.U64(_P) + left[d - 1].astype(np.uint64) + C.U64(1))
-            here = (low <= d) & (d <= high)
-            for kind, (length, has) in enumerate(((LENGTH, here & (right >= LENGTH - d)), (SHORT, here))):
-                act = np.flatnonzero(has)
-                if len(act):
-                    classes = np.cumsum(lcp < length - d)[act]
-                    again[kind, d, act] = _classes(C.mix64(h[act] + classes.astype(np.uint64) * C.U64(_INV)), row[act], settled[act], more[act])[kind]
+            here = np.flatnonzero((low <= d) & (d <= high))
+            for kind, length in ((0, LENGTH), (1, SHORT)):
+                act = here[right[here] >= LENGTH - d] if kind == 0 else here
+                if not len(act):
+                    continue
+                keys = C.mix64(h[act] + np.cumsum(lcp < length - d)[act].astype(np.uint64) * C.U64(_INV))
+                order = np.argsort(keys)
+                sorted_keys = keys[order]
+                same = np.flatnonzero(sorted_keys[1:] == sorted_keys[:-1])
+                one, two = act[order[same]], act[order[same + 1]]
+                again[kind, d, act[(settled[act] == 1) | (more[act] if kind == 0 else False)]] = True
+                if kind == 1 and len(same):
+                    differ = row[one] != row[two]
+                    if not differ.all():  # a row has it more than once
+                        some = np.isin(keys, sorted_keys[same[~differ]])
+                        again[kind, d, act[some]] |= _in_other_rows(keys[some], row[act[some]], settled[act[some]])
+                    one, two = one[differ], two[differ]
+                again[kind, d, one] = True
+                again[kind, d, two] = True
     out = []
     for kind in (0, 1):
         edges = np.diff(np.concatenate([np.zeros((1, n), bool), again[kind]]).astype(np.int8), axis=0).T
@@ -350,7 +362,7 @@ def _held(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[list[Entry]
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """row, text (compressed, as it is shuffled)."""
-    pack = zstandard.ZstdCompressor(level=3)
+    pack = zstandard.ZstdCompressor(level=1)
     for b in C.slices(batches, "text"):
         yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([pack.compress(x) for x in C.texts(b.column("text"))], pa.binary())], ["row", "text"])
 
