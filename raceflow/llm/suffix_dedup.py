@@ -236,17 +236,6 @@ def merged(runs: list[tuple[list[Entry], list[int]]]) -> tuple[list[Entry], list
     return out, lcps
 
 
-def _in_other_rows(keys: np.ndarray, rows: np.ndarray, settled: np.ndarray) -> np.ndarray:
-    """Of each key: whether another row has it."""
-    order = np.argsort(keys)
-    k, r, done = keys[order], rows[order], settled[order]
-    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-    other = (np.minimum.reduceat(r, first) != np.maximum.reduceat(r, first)) | (np.maximum.reduceat(done, first) > 0)
-    out = np.zeros(len(keys), bool)
-    out[order] = np.repeat(other, np.diff(np.r_[first, len(k)]))
-    return out
-
-
 def repeated(entries: list[Entry], lcps: list[int]) -> list[tuple[int, int, int, int]]:
     """(row, first, last window start, kind) of the windows of sorted entries that occur again among them; kind 0: LENGTH bytes, 1: SHORT bytes in another row."""
     n = len(entries)
@@ -280,9 +269,11 @@ def repeated(entries: list[Entry], lcps: list[int]) -> list[tuple[int, int, int,
                 again[kind, d, act[(settled[act] == 1) | (more[act] if kind == 0 else False)]] = True
                 if kind == 1 and len(same):
                     differ = row[one] != row[two]
-                    if not differ.all():  # a row has it more than once
-                        some = np.isin(keys, sorted_keys[same[~differ]])
-                        again[kind, d, act[some]] |= _in_other_rows(keys[some], row[act[some]], settled[act[some]])
+                    if not differ.all():  # a row has some window more than once: whole classes
+                        who = act[order]
+                        first = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]])
+                        other = (np.minimum.reduceat(row[who], first) != np.maximum.reduceat(row[who], first)) | (np.maximum.reduceat(settled[who], first) > 0)
+                        again[kind, d, who[np.repeat(other, np.diff(np.r_[first, len(who)]))]] = True
                     one, two = one[differ], two[differ]
                 again[kind, d, one] = True
                 again[kind, d, two] = True
