@@ -150,7 +150,7 @@ def pack(entries: list[Entry]) -> bytes:
     rows, nums = np.array([e[2] for e in entries], np.int64), np.array([(*e[3:7], len(e[7])) for e in entries], np.int64).astype(np.int32)
     more = np.array([x for e in entries for x in e[7]], np.int32)
     body = b"".join([lcps.tobytes(), left.tobytes(), rows.tobytes(), nums.tobytes(), more.tobytes(), *rest, *left_rest])
-    return struct.pack("<I", n) + zstandard.ZstdCompressor(level=1).compress(body)
+    return struct.pack("<I", n) + zstandard.ZstdCompressor(level=3).compress(body)
 
 
 def unpack(blob: bytes) -> tuple[list[Entry], list[int]]:
@@ -353,7 +353,7 @@ def _held(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[list[Entry]
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """row, text (compressed, as it is shuffled)."""
-    pack = zstandard.ZstdCompressor(level=1)
+    pack = zstandard.ZstdCompressor(level=3)
     for b in C.slices(batches, "text"):
         yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([pack.compress(x) for x in C.texts(b.column("text"))], pa.binary())], ["row", "text"])
 
@@ -481,11 +481,11 @@ def spans(first: list[int], last: list[int], length: int = LENGTH) -> list[tuple
     return [(a, b) for a, b in out]
 
 
-_CUT = pa.schema([("cut_row", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+_CUT = pa.schema([("cut_row", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha", pa.string())])
 
 
 def removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary; null where nothing is removed), sha (of the whole text), n_passages, n_passage_bytes of every row.
+    """doc_id, n_bytes, n_removed, n_spans, kept (binary; null where nothing is removed), kept_sha (of what is kept), sha (of the whole text), n_passages, n_passage_bytes of every row.
 
     Passages are the maximal runs of bytes covered by strings of SHORT bytes that are in another text too.
     """
@@ -504,20 +504,20 @@ def removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 kept.append(b"".join(data[ends[i] : ends[i + 1]] for i in range(0, len(ends), 2)))
                 gone.append(len(data) - len(kept[-1]))
                 many.append(len(away))
-            yield C.batch_of(_CUT, cut_row=b.column("row"), n_removed=gone, n_spans=many, kept=kept)
+            yield C.batch_of(_CUT, cut_row=b.column("row"), n_removed=gone, n_spans=many, kept=kept, kept_sha=[hashlib.sha256(x).hexdigest() for x in kept])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             each = [spans(first, last, SHORT) for first, last in zip(b.column("first").to_pylist(), b.column("last").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(map(len, each), pa.int64()), pa.array([sum(y - x for x, y in a) for a in each], pa.int64())], ["passage_row", "n_passages", "n_passage_bytes"])
 
-    done = packed(rows).join(ranges.where("kind = 0"), "row").select("row", "text", "first", "last").mapInArrow(C.tidy(cut), "cut_row long, n_removed long, n_spans long, kept binary")
+    done = packed(rows).join(ranges.where("kind = 0"), "row").select("row", "text", "first", "last").mapInArrow(C.tidy(cut), "cut_row long, n_removed long, n_spans long, kept binary, kept_sha string")
     passages = ranges.where("kind = 1").select("row", "first", "last").mapInArrow(C.tidy(count), "passage_row long, n_passages long, n_passage_bytes long")
     out = found.select("row", "doc_id", "n_bytes", "sha").join(done, F.col("row") == F.col("cut_row"), "left").join(passages, F.col("row") == F.col("passage_row"), "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return out.select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), "kept", "sha", zero("n_passages"), zero("n_passage_bytes"))
+    return out.select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), "kept", F.coalesce("kept_sha", "sha").alias("kept_sha"), "sha", zero("n_passages"), zero("n_passage_bytes"))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = removed(C.read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.coalesce(F.sha2("kept", 256), "sha").alias("kept_sha256"), "n_passages", "n_passage_bytes")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept_sha").alias("kept_sha256"), "n_passages", "n_passage_bytes")

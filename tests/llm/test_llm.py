@@ -531,8 +531,10 @@ def brute_repeats(texts, length=400, short=256):
 
 
 def removed(df, **options):
-    out = suffix_dedup.removed(df, **options).select("doc_id", "n_bytes", "n_removed", "n_spans", F.coalesce(F.sha2("kept", 256), "sha").alias("h"), "n_passages", "n_passage_bytes")
-    return {r.doc_id: tuple(r)[1:] for r in out.collect()}
+    out = suffix_dedup.removed(df, **options).select("doc_id", "n_bytes", "n_removed", "n_spans", F.coalesce(F.sha2("kept", 256), "sha").alias("h"), "n_passages", "n_passage_bytes", "kept_sha")
+    rows = out.collect()
+    assert all(r.h == r.kept_sha for r in rows)
+    return {r.doc_id: tuple(r)[1:7] for r in rows}
 
 
 def planted():
