@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from raceflow.llm import common as C
 
 #: Pre-tokens whose ids a worker remembers.
-REMEMBERED = 100_000
+REMEMBERED = 250_000
 _MASK = (1 << 64) - 1
 
 
