@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from raceflow.llm import byte_bpe, curriculum, exact_dedup, html_extract, jaccard_join, language_id, licenses, line_quality, pii, suffix_dedup
+from raceflow.llm import byte_bpe, curriculum, exact_dedup, html_extract, jaccard_join, language_id, licenses, line_quality, periodic_runs, pii, prefix_trie, suffix_dedup, weighted_sampling
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_license_digest": licenses.op9_license_digest,
         "op10_language_id": language_id.op10_language_id,
+        "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+        "op12_weighted_sampling": weighted_sampling.op12_weighted_sampling,
+        "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
 
 
@@ -31,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_signature_tree": jaccard_join.ORACLE,
         "op8_exact_dedup": exact_dedup.ORACLE,
         "op9_license_digest": licenses.ORACLE,
+        "op13_prefix_trie": prefix_trie.ORACLE,
     }
