@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from raceflow.llm import common as C
 
 #: Samples of a fingerprint and hex digits of each.
-SAMPLES, DIGITS = 48, 4
+SAMPLES, DIGITS = 64, 4
 
 _STEP = 0x9E3779B97F4A7C15
 
@@ -125,12 +125,13 @@ def compared(docs: DataFrame) -> DataFrame:
     both = texts.join(given, C.ROW).select(C.ROW, "text", edited.alias("edited"))
     versions = F.explode(F.array(F.struct(F.lit(0).alias("version"), F.col("text")), F.struct(F.lit(1).alias("version"), F.col("edited").alias("text")))).alias("x")
     found = sampled(both.select(C.ROW, versions).select(C.ROW, "x.version", "x.text"), C.ROW, "version")
-    found = found.groupBy(C.ROW).agg(*[F.coalesce(F.max(F.when(F.col("version") == v, F.col("fingerprint"))), F.lit("")).alias(c) for v, c in enumerate(("fingerprint", "edited_fingerprint"))])
-    found = C.written(found, "fingerprints")
-    out = links.select(C.ROW, "doc_id", F.col("n").alias("n_chars"), "next").join(both.select(C.ROW, F.sha2("edited", 256).alias("edited_sha256")), C.ROW).join(found, C.ROW, "left")
-    out = out.join(found.select(F.col(C.ROW).alias("next"), F.col("fingerprint").alias("next_fingerprint")), "next", "left").fillna("", ["fingerprint", "edited_fingerprint", "next_fingerprint"])
-    mine = F.col("fingerprint")
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(mine, F.col("edited_fingerprint")).alias("near_edited"), likeness(mine, F.col("next_fingerprint")).alias("near_next"))
+    found = found.groupBy(C.ROW).agg(*[F.max(F.when(F.col("version") == v, F.col("fingerprint"))).alias(c) for v, c in enumerate(("fingerprint", "edited_fingerprint"))])
+    # one plan, so that texts are shuffled once for the digests and the words
+    out = both.select(C.ROW, F.sha2("edited", 256).alias("edited_sha256")).join(found, C.ROW, "left").fillna("", ["fingerprint", "edited_fingerprint"])
+    out = C.written(out.join(links.select(C.ROW, "doc_id", F.col("n").alias("n_chars"), "next"), C.ROW), "fingerprints")
+    out = out.join(out.select(F.col(C.ROW).alias("next"), F.col("fingerprint").alias("next_fingerprint")), "next")
+    near = {c: likeness(F.col("fingerprint"), F.col(x)).alias(c) for c, x in (("near_edited", "edited_fingerprint"), ("near_next", "next_fingerprint"))}
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near.values())
 
 
 def op12_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
