@@ -34,7 +34,10 @@ WEIGHTS = Path(__file__).with_name("html_weights.npz")
 PATH_DIM, WORD_DIM, SIZES, UNITS = 256, 32, 6, 16
 
 #: Elements whose content is no text of the page.
-RAW = ("script", "style", "template", "noscript", "iframe", "svg", "object", "head", "title")
+RAW = ("script", "style", "template", "noscript", "iframe", "svg", "object", "title")
+#: What a head may hold: elements with content of their own (below RAW otherwise), and tags without. Anything else begins the body, also without </head>.
+HEAD = ("title", "script", "style", "noscript", "template")
+HEAD_TAGS = ("base", "basefont", "bgsound", "link", "meta", "head")
 #: Elements that stand inside a line of text.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split()
@@ -48,6 +51,7 @@ _WALLS = frozenset("table ul ol dl div section article aside nav header footer m
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    rf"|<(?P<head>head)\b[^>]*>(?:\s|<!--.*?(?:-->|\Z)|<(?P<held>{'|'.join(HEAD)})\b[^>]*>.*?(?:</(?P=held)\s*>|\Z)|<(?:{'|'.join(HEAD_TAGS)})\b[^>]*>)*(?:</head\s*>)?"
     rf"|<(?P<raw>{'|'.join(RAW)})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*)[^>]*+>"
@@ -115,8 +119,8 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         name = m["name"] or m["name2"]
         if not name:
-            if m["raw"]:
-                flush() if m["raw"].lower() not in INLINE else None
+            if m["head"] or m["raw"]:
+                flush()
             continue
         name = name.lower()
         if m["end"] or m["end2"]:
