@@ -62,14 +62,30 @@ TEXTS = Path(__file__).with_name("license_texts")
 _TITLE, _END = re.compile(r"(?i)\A\s*(?:the )?[a-z0-9 -]{0,20}licen[cs]e(?: \(\w+\))?\s*\n"), re.compile(r"(?s)\A.*END OF TERMS AND CONDITIONS")
 
 
+#: Usual titles of short licences besides the one that the text comes with.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "MIT-0": ("MIT No Attribution", "MIT-0"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License", "FreeBSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License", "Modified BSD License", "Revised BSD License", "BSD License"),
+    "BSD-4-Clause": ("BSD 4-Clause License", "The 4-Clause BSD License", "Original BSD License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License"),
+    "BSL-1.0": ("Boost Software License - Version 1.0 - August 17th, 2003", "Boost Software License 1.0"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+    "NCSA": ("University of Illinois/NCSA Open Source License", "NCSA License"),
+    "PostgreSQL": ("PostgreSQL License", "The PostgreSQL License"),
+    "X11": ("X11 License", "The X11 License"),
+}
+
+
 def whole_texts() -> list[tuple[str, str]]:
     """License and text of every whole licence; short ones without their title or list numbers too, long ones without their appendix too."""
     out = []
     for name, text in [*((p.stem, p.read_text("utf-8")) for p in sorted(TEXTS.glob("*.txt"))), *((k, t) for k, t in KNOWN if len(t) > 500)]:
         bare = _TITLE.sub("", text) if len(text) < 4000 else text
         kinds = {text, bare, *(m[0] for m in [_END.match(text)] if m)}
-        if name == "MIT":
-            kinds.add("The MIT License (MIT)\n" + bare)
+        kinds |= {f"{title}\n{bare}" for title in TITLES.get(name, ())}
         if name.startswith("BSD"):
             kinds |= {re.sub(r"(?m)^[1-4]\. ", "* ", t) for t in kinds}
         out += [(name, t) for t in sorted(kinds)]
@@ -90,8 +106,8 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
     ("https://", "http://"),
 )
 
-#: Lines that name a holder, not terms.
-_COPYRIGHT = r"(?m)^[ \t]*(copyright[ \t]*(\(c\)|©|<|[0-9]|by )|\(c\)|©)[^\n]*$"
+#: Lines that name a holder or reserve rights, not terms: with (c) or ©, a place for a name, a name after "by", or a year.
+_COPYRIGHT = r"(?m)^[ \t]*(copyright[ \t]*(\(c\)|©|<|[0-9]|by )|\(c\)|©|copyright[ \t:,][^\n]*(19|20)[0-9][0-9])[^\n]*$|^[ \t]*all rights reserved[ \t.]*$"
 _OTHER = r"[^a-z0-9À-ɏ]+"
 #: A line can only be a notice if it names a license or rights.
 _NOTICE = r"(?i)licen[sc]|rights"
@@ -143,7 +159,10 @@ def plain_digest(text: str) -> str:
     for line in text.lower().replace("\r\n", "\n").replace("\r", "\n").split("\n"):
         word = line.lstrip(" \t")
         after = word[9:].lstrip(" \t")
-        holder = word.startswith(("(c)", "©")) or (word.startswith("copyright") and (after.startswith(("(c)", "©", "<", "by ")) or after[:1].isdigit()))
+        digits = "0123456789"
+        year = any(word[i : i + 2] in ("19", "20") and word[i + 2 : i + 3] in digits and word[i + 3 : i + 4] in digits and len(word) >= i + 4 for i in range(10, len(word)))
+        holder = word.startswith(("(c)", "©")) or (word.startswith("copyright") and (after.startswith(("(c)", "©", "<", "by ")) or after[:1] in tuple(digits) or word[9:10] in (" ", "\t", ":", ",") and year))
+        holder = holder or (word.startswith("all rights reserved") and not word[19:].strip(" \t."))
         lines.append("" if holder else line)
     out = "\n".join(lines)
     for variant, kept in SPELLINGS:
@@ -153,7 +172,7 @@ def plain_digest(text: str) -> str:
 
 
 def _canonical_sql(x: str) -> str:
-    x = f"regexp_replace(regexp_replace(lower(coalesce({x}, '')), '\\r\\n?', chr(10), 'g'), '(?m)^[ \\t]*(copyright[ \\t]*(\\(c\\)|©|<|[0-9]|by )|\\(c\\)|©)[^\\n]*$', '', 'g')"
+    x = f"regexp_replace(regexp_replace(lower(coalesce({x}, '')), '\\r\\n?', chr(10), 'g'), '(?m)^[ \\t]*(copyright[ \\t]*(\\(c\\)|©|<|[0-9]|by )|\\(c\\)|©|copyright[ \\t:,][^\\n]*(19|20)[0-9][0-9])[^\\n]*$|^[ \\t]*all rights reserved[ \\t.]*$', '', 'g')"
     for variant, kept in SPELLINGS:
         x = f"replace({x}, '{variant}', '{kept}')"
     return f"trim(regexp_replace({x}, '[^a-z0-9À-ɏ]+', ' ', 'g'))"
