@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import bisect
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from raceflow.operators.folds import folded
 from raceflow.operators.ordering import placed
+from raceflow.operators.spacing import kept
 
 
 def _shuffled(key: str, seed: int) -> Column:
@@ -125,25 +126,18 @@ def readiness(images: int, annotations: int, missing: int, issues: int) -> tuple
 
 
 def evenly(rows: DataFrame, order: str, most: int) -> DataFrame:
-    """At most `most` rows at even steps: those at int(i * n / most)."""
+    """At most `most` rows at even steps: those at int(i * n / most), known by their place alone."""
     n = rows.count()
     if n <= most:
         return rows
-    picks = rows.sparkSession.range(most).select(F.floor(F.col("id") * n / most).alias("__at")).distinct()
-    return placed(rows, "__n", order).join(F.broadcast(picks), F.col("__n") == F.col("__at"), "left_semi").drop("__n")
+    at = F.col("__n")
+    step = F.ceil(at * most / n)  # the least i with int(i * n / most) >= place
+    return placed(rows, "__n", order).where((step < most) & (F.floor(step * n / most) == at)).drop("__n")
 
 
 def spaced(frames: DataFrame, gap: int) -> DataFrame:
-    """frame_idx of the frames kept when each must be at least `gap` after the one kept before, from the first on; one ordered task."""
-
-    def step(last: list, row) -> list[tuple]:
-        if last and row.frame_idx - last[0] < gap:
-            return []
-        last[:] = [row.frame_idx]
-        return [(row.frame_idx,)]
-
-    one = frames.select(F.col("frame_idx").cast("bigint").alias("frame_idx")).where("frame_idx is not null").distinct().withColumn("all", F.lit(0))
-    return folded(one, ["all"], ["frame_idx"], list, step, "frame_idx long")
+    """frame_idx of the frames kept when each must be at least `gap` after the one kept before, from the first on."""
+    return kept(frames.select("frame_idx"), gap)
 
 
 def densest(frames: DataFrame, k: int) -> DataFrame:
@@ -185,16 +179,21 @@ def funnel(truth: DataFrame, reads: DataFrame, crossed: DataFrame) -> DataFrame:
 def order_accuracy(orders: DataFrame) -> DataFrame:
     """event, lcs: longest common subsequence of true and emitted order over the longer one.
 
-    orders: event, bib, true_place, out_place (null if missing). Bibs are unique in an event, so it is a longest increasing run.
+    orders: event, bib, true_place, out_place (null if missing). Bibs are unique in an event, so it is a longest increasing
+    run, of which a fold over the true order holds only the piles; rows of one true place go by their place in the output.
     """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        both = pdf.dropna(subset=["true_place", "out_place"]).sort_values("true_place")["out_place"].to_numpy()
-        tails: list[float] = []
-        for x in both:
-            i = int(np.searchsorted(tails, x))
-            tails[i : i + 1] = [x]
-        longest = max(pdf["true_place"].notna().sum(), pdf["out_place"].notna().sum(), 1)
-        return pd.DataFrame({"event": [pdf["event"].iloc[0]], "lcs": [len(tails) / longest]})
-
-    return orders.groupBy("event").applyInPandas(one, "event string, lcs double")
+    def step(state: list, row) -> list[tuple]:
+        if not state:
+            state.extend((row.event, []))
+        piles = state[1]
+        i = bisect.bisect_left(piles, row.out_place)
+        piles[i : i + 1] = [row.out_place]
+        return []
+
+    rows = orders.select("event", F.col("true_place").cast("double").alias("true_place"), F.col("out_place").cast("double").alias("out_place"))
+    both = rows.where("true_place is not null and out_place is not null")
+    runs = folded(both, ["event"], ["true_place", "out_place"], list, step, "event string, long bigint", lambda s: [(s[0], len(s[1]))])
+    whole = rows.groupBy("event").agg(F.greatest(F.count("true_place"), F.count("out_place"), F.lit(1)).alias("whole"))
+    out = whole.join(runs.withColumnRenamed("event", "__e"), F.col("event").eqNullSafe(F.col("__e")), "left")
+    return out.select("event", (F.coalesce("long", F.lit(0)) / F.col("whole")).alias("lcs"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from raceflow.operators.spacing import kept
+
 TRACK = ("track_id",)
 
 
@@ -84,9 +86,9 @@ def cumulative_distinct(reads: DataFrame, key: str = "number", of: str = "track_
     return reads.withColumn("__new", new).withColumn("so_far", F.sum("__new").over(up)).drop("__new")
 
 
-def phantoms(reads: DataFrame, most: int = 5) -> DataFrame:
-    """number, tracks of the numbers seen on more than `most` tracks."""
-    return reads.groupBy("number").agg(F.countDistinct("track_id").alias("tracks")).where(F.col("tracks") > most)
+def phantoms(reads: DataFrame, most: int = 5, run: tuple[str, ...] = ()) -> DataFrame:
+    """run.., number, tracks of the numbers seen on more than `most` tracks (with run columns, of one run)."""
+    return reads.where("number is not null").groupBy(*run, "number").agg(F.countDistinct("track_id").alias("tracks")).where(F.col("tracks") > most)
 
 
 def strongest(rows: DataFrame, key: str, of: str, signal: str) -> DataFrame:
@@ -116,7 +118,5 @@ def or_empty(tracks: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def thinned(rows: DataFrame, key: str, gap: int = 10) -> DataFrame:
-    """key, frames: the frames kept when each must be at least `gap` after the one kept before."""
-    frames = F.array_sort(F.collect_list("frame_idx"))
-    keep = F.aggregate(frames, F.array().cast("array<bigint>"), lambda a, f: F.when((F.size(a) == 0) | (f - F.element_at(a, -1) >= gap), F.concat(a, F.array(f.cast("bigint")))).otherwise(a))
-    return rows.groupBy(key).agg(keep.alias("frames"))
+    """key, frame_idx: the frames kept when each must be at least `gap` after the one of its key kept before."""
+    return kept(rows, gap, (key,))

@@ -16,6 +16,7 @@ from raceflow.operators import association as A
 from raceflow.operators import crossing as X
 from raceflow.operators import dataset as DS
 from raceflow.operators import dedup as D
+from raceflow.operators import kalman as K
 from raceflow.operators import quality as Q
 from raceflow.operators import recovery as R
 from raceflow.operators import registry as REG
@@ -25,6 +26,7 @@ from raceflow.operators import voting as V
 from raceflow.plans import views as W
 from raceflow.sources import readers, sinks
 from raceflow.streaming import buffers
+from raceflow.streaming import state as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -324,8 +326,7 @@ def win_cumdistinct(s, d):
     SELECT number, count(f) AS kept, sum(f)::BIGINT AS total FROM t GROUP BY 1"""
 )
 def win_minGap10(s, d):
-    out = V.thinned(W.reads(s, d), "number", 10)
-    return out.select("number", F.size("frames").cast("long").alias("kept"), F.aggregate("frames", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    return V.thinned(W.reads(s, d), "number", 10).groupBy("number").agg(F.count(F.lit(1)).alias("kept"), F.sum("frame_idx").alias("total"))
 
 
 @query("SELECT run_id, frame_idx, track_id, row_number() OVER (PARTITION BY run_id ORDER BY frame_idx, track_id) AS sequence FROM reads")
@@ -666,11 +667,42 @@ def join_postproc_candidates(s, d):
     return _near(s, d).select("run_id", "sequence", "number", F.round("score", 6).alias("score"))
 
 
-@query()
+def _greedy(near: str) -> str:
+    """SQL of events (run_id, sequence) that take, one after the other, their best number (score, number) that is free; near: SQL of the candidates with valid."""
+    return f"""{near},
+e AS (SELECT run_id, sequence, row_number() OVER (PARTITION BY run_id ORDER BY sequence) AS n, list({{'number': number, 'valid': valid}} ORDER BY score, number) AS c FROM near GROUP BY run_id, sequence),
+f(run_id, n, sequence, used, number) AS (SELECT DISTINCT run_id, 0::BIGINT, NULL::BIGINT, []::VARCHAR[], NULL::VARCHAR FROM e
+  UNION ALL SELECT run_id, n, sequence, CASE WHEN pick.valid THEN list_append(used, pick.number) ELSE used END, CASE WHEN pick.valid THEN pick.number END
+  FROM (SELECT e.run_id, e.n, e.sequence, f.used, list_filter(e.c, lambda x: NOT list_contains(f.used, x.number))[1] AS pick FROM f JOIN e ON e.run_id = f.run_id AND e.n = f.n + 1))
+SELECT run_id, sequence, number FROM f WHERE number IS NOT NULL"""
+
+
+@query(
+    _greedy(
+        _NEAR.rpartition("\nSELECT u.run_id")[0]
+        + """, sure AS (SELECT DISTINCT o.run_id, r.number FROM obs o JOIN fire ON o.track_id = fire.track_id AND o.frame_idx = fire.f JOIN reads r ON r.track_id = o.track_id AND r.frame_idx = o.frame_idx WHERE r.conf >= 0.5),
+near AS (SELECT *, number IN (SELECT bib FROM registry) AS valid FROM (SELECT u.run_id, u.frame_idx AS sequence, number, min(abs(u.frame_idx - s.frame_idx) + sqrt(pow(u.x - s.x, 2) + pow(u.y - s.y, 2))) AS score FROM u JOIN seen s
+ON u.run_id = s.run_id AND abs(u.frame_idx - s.frame_idx) <= 60 AND sqrt(pow(u.x - s.x, 2) + pow(u.y - s.y, 2)) <= 1.0 GROUP BY 1, 2, 3) WHERE (run_id, number) NOT IN (SELECT (run_id, number) FROM sure))"""
+    )
+)
 def join_postproc(s, d):
     return R.resolved_later(_near(s, d), W.registry(s, d), _crossings(s, d).where("sure").select("run_id", "number"))
 
 
+@query(
+    _greedy(
+        """WITH u AS (SELECT run_id, frame_idx, x, y FROM sight WHERE conf < 0.4), seen AS (SELECT run_id, number, frame_idx, x, y FROM sight WHERE conf >= 0.8),
+near AS (SELECT *, number IN (SELECT bib FROM registry) AS valid FROM (SELECT u.run_id, u.frame_idx AS sequence, number, min(abs(u.frame_idx - s.frame_idx) + sqrt(pow(u.x - s.x, 2) + pow(u.y - s.y, 2))) AS score FROM u JOIN seen s
+ON u.run_id = s.run_id AND abs(u.frame_idx - s.frame_idx) <= 90 AND sqrt(pow(u.x - s.x, 2) + pow(u.y - s.y, 2)) <= 120.0 GROUP BY 1, 2, 3))"""
+    )
+)
+def join_postproc_sightings(s, d):
+    """Every unsure read takes the nearest sure and registered number of its run that no earlier one has taken."""
+    r = W.sightings(s, d)
+    unsure = r.where("conf < 0.4").select("run_id", F.col("frame_idx").alias("sequence"), "frame_idx", "x", "y")
+    return R.resolved_later(R.near_in_time_and_space(unsure, r.where("conf >= 0.8"), 90, 120.0), W.registry(s, d))
+
+
 @query("SELECT a.bib, a.frame_idx, count(*) AS earlier FROM emissions a JOIN emissions b ON a.bib = b.bib AND b.frame_idx < a.frame_idx AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < 20 GROUP BY 1, 2")
 def join_proximity(s, d):
     return D.near_earlier(W.emissions(s, d), 20.0)
@@ -732,6 +764,18 @@ def join_detconf(s, d):
     return A.with_confidence(tracks, det).select("run_id", "frame_idx", "det_id", "conf")
 
 
+@query("SELECT p.frame_idx, p.id AS person, b.id AS bib FROM persons p JOIN bibs b ON p.frame_idx = b.frame_idx WHERE (b.cx BETWEEN p.x1 AND p.x2 AND b.cy BETWEEN p.y1 AND p.y2) OR NOT (b.x2 < p.x1 OR b.x1 > p.x2 OR b.y2 < p.y1 OR b.y1 > p.y2) OR sqrt((p.cx - b.cx) * (p.cx - b.cx) + (p.cy - b.cy) * (p.cy - b.cy)) < 60.0")
+def join_person_near(s, d):
+    """Persons and numbers of a frame that touch or are near, found by grid cells."""
+    return A.near_pairs(W.persons(s, d), W.bibs(s, d), 60.0).select("frame_idx", "person", "bib")
+
+
+@query()
+def join_bytetrack(s, d):
+    """Tracks by predicted boxes and two rounds of matching over all detections."""
+    return K.tracked(W.detections(s, d), 30).select("run_id", "frame_idx", "track_id", "x1", "y1", "x2", "y2")
+
+
 @query()
 def join_assign(s, d):
     """Tracks over a moving window of detections in every run."""
@@ -931,7 +975,13 @@ def agg_scorecard(s, d):
     return DS.scorecard(W.emissions(s, d).select("bib"), t, W.reads(s, d).select(F.col("number").alias("bib"))).select("tp", "fp", "duplicates", "crossings", "unknown", "truth")
 
 
-@query()
+@query(
+    """WITH t AS (SELECT event, CAST(gt AS DOUBLE) AS a, CAST(pred AS DOUBLE) AS b FROM truth), o AS (SELECT *, row_number() OVER (PARTITION BY event ORDER BY a, b) AS n FROM t WHERE a IS NOT NULL AND b IS NOT NULL),
+    p(event, n, piles) AS (SELECT DISTINCT event, 0::BIGINT, []::DOUBLE[] FROM t
+      UNION ALL SELECT event, n, list_concat(list_append(piles[1:i], b), piles[i + 2:]) FROM (SELECT o.event, o.n, o.b, p.piles, len(list_filter(p.piles, lambda x: x < o.b)) AS i FROM p JOIN o ON o.event = p.event AND o.n = p.n + 1)),
+    l AS (SELECT event, max(len(piles)) AS k FROM p GROUP BY 1)
+    SELECT t.event, round(any_value(k)::DOUBLE / greatest(count(a), count(b), 1), 6) AS lcs FROM t JOIN l ON l.event = t.event GROUP BY 1"""
+)
 def agg_order(s, d):
     t = W.truth(s, d).select("event", F.col("gt").alias("bib"), F.col("gt").cast("long").alias("true_place"), F.col("pred").cast("long").alias("out_place"))
     return DS.order_accuracy(t).select("event", F.round("lcs", 6).alias("lcs"))
@@ -1267,3 +1317,51 @@ def st_clear(s, d):
     r = W.reads(s, d)
     left = V.after_clear(r, W.emissions(s, d)).groupBy("track_id").agg(F.max("number").alias("number"), F.count(F.lit(1)).alias("votes"), F.avg("conf").alias("confidence"), F.lit(False).alias("needs_review"))
     return V.or_empty(r, left).select("track_id", "votes", "needs_review")
+
+
+# --- streams with state of their own --------------------------------------------------------------
+
+
+@query()
+def st_tracker(s, d):
+    """The centroid tracker as a stream of all events as detections, slice by slice of time."""
+    o = W.events(s, d)
+    x, y = F.col("value"), F.col("k").cast("double")
+    det = o.select(F.col("event_type").alias("run_id"), F.col("event_id").alias("frame_idx"), (x - 20).alias("x1"), (y - 10).alias("y1"), (x + 20).alias("x2"), (y + 10).alias("y2"))
+    return ST.replayed(ST.slices(det, 3), lambda r: ST.tracked(ST.timed(r, "0 seconds", 1.0), 30, 60.0, 1.0), TR.TRACKED)[0].select("run_id", "frame_idx", "track_id", "matched")
+
+
+_LIFE = """WITH g AS (SELECT track_id, frame_idx, CASE WHEN frame_idx % 3 = 0 THEN number END AS bib, CASE WHEN frame_idx - lag(frame_idx) OVER (PARTITION BY track_id ORDER BY frame_idx) <= 300 THEN 0 ELSE 1 END AS fresh FROM reads),
+l AS (SELECT *, sum(fresh) OVER (PARTITION BY track_id ORDER BY frame_idx) AS life FROM g), z AS (SELECT *, row_number() OVER (PARTITION BY track_id, life ORDER BY frame_idx) AS n FROM l),
+k AS (SELECT track_id, life, min(CASE WHEN n >= 5 AND bib IS NOT NULL THEN frame_idx END) AS known, max(frame_idx) AS last, count(*) AS n FROM z GROUP BY 1, 2)
+SELECT k.track_id, coalesce(k.known, k.last + 301) AS frame_idx, coalesce(z.bib, 'UNKNOWN') AS bib FROM k LEFT JOIN z ON z.track_id = k.track_id AND z.frame_idx = k.known
+WHERE k.known IS NOT NULL OR (k.n >= 5 AND k.last + 300 < (SELECT max(frame_idx) FROM reads))"""
+
+
+@query(_LIFE)
+def st_zone_stream(s, d):
+    """Zone mode as a stream: timers emit and forget a track 300 frames after its last read; each life of a track is a track."""
+    w = Window.partitionBy("track_id").orderBy("frame_idx")
+    fresh = F.when(F.col("frame_idx") - F.lag("frame_idx").over(w) <= 300, 0).otherwise(1)
+    r = W.reads(s, d).withColumn("fresh", fresh).withColumn("life", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = r.select("track_id", "life", "frame_idx", F.when(F.col("frame_idx") % 3 == 0, F.col("number")).alias("bib"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    out, _ = ST.replayed(ST.slices(rows, 3), lambda b: ST.zone(ST.timed(b, "0 seconds", 1.0), 5, 300, 1.0, ("track_id", "life")), "track_id bigint, life bigint, frame_idx bigint, bib string, x double, y double")
+    return out.select("track_id", "frame_idx", "bib")
+
+
+@query()
+def st_assoc(s, d):
+    """The association as a stream of persons and read numbers."""
+    p = W.persons(s, d).withColumns({"kind": F.lit("person"), "number": F.lit(None).cast("string"), "level": F.lit(None).cast("string")})
+    b = W.bibs(s, d).join(W.readings(s, d).select(F.col("bib").alias("b"), "number", "level"), F.col("id") == F.col("b")).drop("b").withColumn("kind", F.lit("bib"))
+    rows = p.unionByName(b).withColumn("run_id", F.lit("run0"))
+    out, _ = ST.replayed(ST.slices(rows, 3), lambda r: ST.associated(ST.timed(r, "0 seconds", 1.0), 150.0, fps=1.0), "run_id string, frame_idx bigint, person bigint, number string, confidence double")
+    return out.select("frame_idx", "person", "number", F.round("confidence", 6).alias("confidence"))
+
+
+@query("SELECT run_id, track_id, max_by(number, frame_idx) AS number, max(frame_idx) AS last_frame, max(frame_idx) >= (SELECT max(frame_idx) FROM reads) - 300 AS live FROM reads GROUP BY 1, 2")
+def st_consensus_ttl_stream(s, d):
+    """What a stream of all reads leaves in its log of every track, with those still in its state after the last read."""
+    rows = W.reads(s, d).select("run_id", "track_id", "frame_idx", "number")
+    out, _ = ST.replayed(ST.slices(rows, 3), lambda r: ST.remembered(ST.timed(r, "0 seconds", 1.0), 300, 1.0), "run_id string, track_id bigint, number string, last_frame bigint, live boolean")
+    return ST.all_time(out)

@@ -29,6 +29,15 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run_id, track_id, frame_idx, number, conf, x, y: reads of many numbers, with their places."""
+    number = (F.lit(1) + (F.col("k") * 37 + F.col("user_id")) % 140).cast("string")
+    return events(spark, sf_dir).select(
+        F.col("event_type").alias("run_id"), F.col("user_id").alias("track_id"), F.col("event_id").alias("frame_idx"), number.alias("number"),
+        ((F.lit(30) + F.col("event_id") % 70).cast("double") / 100.0).alias("conf"), F.col("value").alias("x"), F.col("k").cast("double").alias("y"),
+    )
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """run_id, track_id, frame_idx, x, y."""
     return events(spark, sf_dir).select(F.col("event_type").alias("run_id"), F.col("user_id").alias("track_id"), F.col("event_id").alias("frame_idx"), (F.col("value") / 100.0).alias("x"), (F.col("k").cast("double") / 100.0).alias("y"))
@@ -119,6 +128,7 @@ def review_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WITH = """WITH RECURSIVE ev AS (SELECT event_id, ts, user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
 reads AS (SELECT event_type AS run_id, user_id AS track_id, event_id AS frame_idx, CAST(1000 + k % 5 AS VARCHAR) AS number, CAST(30 + event_id % 70 AS DOUBLE) / 100.0::DOUBLE AS conf FROM ev),
+sight AS (SELECT event_type AS run_id, user_id AS track_id, event_id AS frame_idx, CAST(1 + (k * 37 + user_id) % 140 AS VARCHAR) AS number, CAST(30 + event_id % 70 AS DOUBLE) / 100.0::DOUBLE AS conf, value AS x, CAST(k AS DOUBLE) AS y FROM ev),
 obs AS (SELECT event_type AS run_id, user_id AS track_id, event_id AS frame_idx, value / 100.0::DOUBLE AS x, CAST(k AS DOUBLE) / 100.0::DOUBLE AS y FROM ev),
 registry AS (SELECT CAST(c_custkey AS VARCHAR) AS bib FROM customer WHERE c_custkey % 3 = 0),
 preds AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS pred FROM orders),
