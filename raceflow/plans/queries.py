@@ -670,11 +670,11 @@ def join_postproc_candidates(s, d):
 def _greedy(near: str) -> str:
     """SQL of events (run_id, sequence) that take, one after the other, their best number (score, number) that is free; near: SQL of the candidates with valid."""
     return f"""{near},
-e AS (SELECT run_id, sequence, row_number() OVER (PARTITION BY run_id ORDER BY sequence) AS n, list({{'number': number, 'valid': valid}} ORDER BY score, number) AS c FROM near GROUP BY run_id, sequence),
-f(run_id, n, sequence, used, number) AS (SELECT DISTINCT run_id, 0::BIGINT, NULL::BIGINT, []::VARCHAR[], NULL::VARCHAR FROM e
+listed AS (SELECT run_id, sequence, row_number() OVER (PARTITION BY run_id ORDER BY sequence) AS n, list({{'number': number, 'valid': valid}} ORDER BY score, number) AS c FROM near GROUP BY run_id, sequence),
+gone(run_id, n, sequence, used, number) AS (SELECT DISTINCT run_id, 0::BIGINT, NULL::BIGINT, []::VARCHAR[], NULL::VARCHAR FROM listed
   UNION ALL SELECT run_id, n, sequence, CASE WHEN pick.valid THEN list_append(used, pick.number) ELSE used END, CASE WHEN pick.valid THEN pick.number END
-  FROM (SELECT e.run_id, e.n, e.sequence, f.used, list_filter(e.c, lambda x: NOT list_contains(f.used, x.number))[1] AS pick FROM f JOIN e ON e.run_id = f.run_id AND e.n = f.n + 1))
-SELECT run_id, sequence, number FROM f WHERE number IS NOT NULL"""
+  FROM (SELECT a.run_id, a.n, a.sequence, g.used, list_filter(a.c, lambda x: NOT list_contains(g.used, x.number))[1] AS pick FROM gone g JOIN listed a ON a.run_id = g.run_id AND a.n = g.n + 1))
+SELECT run_id, sequence, number FROM gone WHERE number IS NOT NULL"""
 
 
 @query(
@@ -772,8 +772,10 @@ def join_person_near(s, d):
 
 @query()
 def join_bytetrack(s, d):
-    """Tracks by predicted boxes and two rounds of matching over all detections."""
-    return K.tracked(W.detections(s, d), 30).select("run_id", "frame_idx", "track_id", "x1", "y1", "x2", "y2")
+    """Tracks by predicted boxes and two rounds of matching: all detections, each in a box as large as the one who carries it."""
+    det = W.detections(s, d)
+    wide = {c: F.col(c) + by for c, by in (("x1", -200), ("y1", -250), ("x2", 200), ("y2", 350))}
+    return K.tracked(det.withColumns(wide), 30).select("run_id", "frame_idx", "track_id", "x1", "y1", "x2", "y2")
 
 
 @query()

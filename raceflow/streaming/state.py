@@ -36,15 +36,19 @@ def _plain(x):
     return None if x is None or x != x else x.item() if hasattr(x, "item") else x
 
 
+#: Frames whose held rows are one entry of the state.
+BLOCK = 64
+
+
 class Held(StatefulProcessor):
-    """Holds a key's rows and takes them in order of frame; `take` is given all rows of a frame."""
+    """Holds a key's rows and takes them in order of frame; `take` is given all rows of a frame, `value` is the machine's state."""
 
     def __init__(self, columns: list[str], names: list[str], fps: float):
         self.columns, self.names, self.fps = columns, names, fps
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "frame long", "rows string")
+        self.held = handle.getMapState("held", "block long", "rows string")
         self.late = handle.getValueState("late", "n long")
         self.machine = handle.getValueState("machine", "json string")
 
@@ -54,32 +58,55 @@ class Held(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         passed, late = timerValues.getCurrentWatermarkInMs(), 0
+        new: dict[int, dict[str, list]] = {}
         for part in rows:
-            for frame, own in part.groupby("frame_idx"):
-                frame = int(frame)
-                if self.at(frame) <= passed:
-                    late += len(own)
-                    continue
-                before = json.loads(self.held.getValue((frame,))[0]) if self.held.containsKey((frame,)) else []
-                more = [[_plain(x) for x in r] for r in own[self.columns].itertuples(index=False)]
-                self.held.updateValue((frame,), (json.dumps(before + more),))
-                self.handle.registerTimer(self.at(frame))
+            for frame, *row in part[["frame_idx", *self.columns]].itertuples(index=False):
+                if self.at(int(frame)) <= passed:
+                    late += 1
+                else:
+                    new.setdefault(int(frame) // BLOCK, {}).setdefault(str(int(frame)), []).append([_plain(x) for x in row])
+        for block, own in new.items():
+            if self.held.containsKey((block,)):
+                for frame, before in json.loads(self.held.getValue((block,))[0]).items():
+                    own[frame] = before + own.get(frame, [])
+            self.held.updateValue((block,), (json.dumps(own),))
+        if new:
+            self.handle.registerTimer(self.at(min(int(f) for own in new.values() for f in own)))
         if late:
             self.late.update(((self.late.get()[0] if self.late.exists() else 0) + late,))
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        upto = timerValues.getCurrentWatermarkInMs()  # all that is due now; timers of the same time then find nothing
-        ready = sorted((k[0], json.loads(v[0])) for k, v in self.held.iterator() if self.at(k[0]) <= upto)
-        out = []
-        for frame, rows in ready:
-            self.held.removeKey((frame,))
-            out.extend(self.passed(key, self.at(frame)))
-            out.extend(self.take(key, frame, rows))
+        upto, out, left = timerValues.getCurrentWatermarkInMs(), [], []  # all that is due now; other timers that are due find nothing
+        self.load()
+        for (block,), (text,) in sorted(self.held.iterator()):
+            own = {int(f): rows for f, rows in json.loads(text).items()}
+            rest = {f: rows for f, rows in own.items() if self.at(f) > upto}
+            for frame in sorted(own.keys() - rest.keys()):
+                out.extend(self.passed(key, self.at(frame)))
+                out.extend(self.take(key, frame, own[frame]))
+            left += rest
+            if not rest:
+                self.held.removeKey((block,))
+            elif len(rest) < len(own):
+                self.held.updateValue((block,), (json.dumps(rest),))
         out.extend(self.passed(key, upto))
+        self.save()
+        for frame in (min(left, default=None), self.due()):
+            if frame is not None and self.at(frame) > upto:
+                self.handle.registerTimer(self.at(frame))
         if out:
             yield pd.DataFrame(out, columns=self.names)
 
+    def load(self) -> None:
+        self.value = json.loads(self.machine.get()[0]) if self.machine.exists() else None
+
+    def save(self) -> None:
+        if self.value is not None:
+            self.machine.update((json.dumps(self.value),))
+        elif self.machine.exists():
+            self.machine.clear()
+
     def take(self, key: tuple, frame: int, rows: list[list]) -> list[tuple]:
         raise NotImplementedError
 
@@ -87,11 +114,9 @@ class Held(StatefulProcessor):
         """What is due by this time, as no row has come."""
         return []
 
-    def load(self, default):
-        return json.loads(self.machine.get()[0]) if self.machine.exists() else default
-
-    def store(self, value) -> None:
-        self.machine.update((json.dumps(value),))
+    def due(self) -> int | None:
+        """The frame by which passed() wants to be asked."""
+        return None
 
 
 def _run(rows: DataFrame, keys: list[str], make, columns: list[str], schema: str, fps: float) -> DataFrame:
@@ -109,13 +134,19 @@ class _Tracks(Held):
 
     gone, far, given = 30, 100.0, False
 
+    def load(self):
+        super().load()
+        tracks, number = self.value or ([], 0)
+        self.tracker = Tracker(self.gone, self.far)
+        self.tracker.next, self.tracker.tracks = number, {i: [tuple(p), tuple(b), n] for i, p, b, n in tracks}
+
+    def save(self):
+        self.value = [(i, *t) for i, t in self.tracker.tracks.items()], self.tracker.next
+        super().save()
+
     def take(self, key, frame, rows):
-        ids, number = self.load(([], 0))
-        tracker = Tracker(self.gone, self.far)
-        tracker.next, tracker.tracks = number, {i: [tuple(p), tuple(b), n] for i, p, b, n in ids}
         seen = sorted(tuple(r) for r in rows if r[0] is not None)
-        found = tracker.update([r[:4] for r in seen], [r[4:] for r in seen] if self.given else None)
-        self.store(([(i, *t) for i, t in tracker.tracks.items()], tracker.next))
+        found = self.tracker.update([r[:4] for r in seen], [r[4:] for r in seen] if self.given else None)
         return [(key[0], frame, i, p[0], p[1], *b, m) for i, (p, b, m) in sorted(found.items())]
 
 
@@ -138,23 +169,24 @@ class _Zone(Held):
     ready, gone = 5, 20
 
     def take(self, key, frame, rows):
-        n, done, *_ = self.load((0, False, 0, None, None))
-        out = []
+        n, done, out = *(self.value or (0, False))[:2], []
         for bib, x, y in rows:
             n += 1
             if not done and n >= self.ready and bib is not None:
                 out, done = [(*key, frame, bib, x, y)], True
-        self.store((n, done, frame, x, y))
-        self.handle.registerTimer(self.at(frame + self.gone + 1))
+        self.value = n, done, frame, x, y
         return out
 
+    def due(self):
+        return self.value and self.value[2] + self.gone + 1
+
     def passed(self, key, upto):
-        n, done, frame, x, y = self.load((0, True, 0, None, None))
-        if self.machine.exists() and self.at(frame + self.gone + 1) <= upto:  # the track is over
-            self.machine.clear()
-            if not done and n >= self.ready:
-                return [(*key, frame + self.gone + 1, "UNKNOWN", x, y)]
-        return []
+        if not self.value or self.at(self.due()) > upto:
+            return []
+        n, done, _, x, y = self.value  # the track is over
+        out = [] if done or n < self.ready else [(*key, self.due(), "UNKNOWN", x, y)]
+        self.value = None
+        return out
 
 
 def zone(seen: DataFrame, ready: int = 5, gone: int = 20, fps: float = 30.0, keys: tuple[str, ...] = ("track_id",)) -> DataFrame:
@@ -183,28 +215,33 @@ class _Votes(Held):
         super().init(handle)
         self.people = handle.getMapState("people", "person long", "json string")
 
-    def take(self, key, frame, rows):
-        ledger, before = Ledger(*self.options), {}
-        for (person,), (text,) in self.people.iterator():
-            before[person] = text
-        for person in sorted(before):
-            votes, seen, place = json.loads(before[person])
-            ledger.seen[person], ledger.places[person] = seen, tuple(place)
+    def load(self):
+        self.value, self.ledger = None, Ledger(*self.options)
+        self.before = {person: text for (person,), (text,) in self.people.iterator()}
+        for person in sorted(self.before):
+            votes, seen, place = json.loads(self.before[person])
+            self.ledger.seen[person], self.ledger.places[person] = seen, tuple(place)
             if votes is not None:
-                ledger.votes[person] = votes
+                self.ledger.votes[person] = votes
+
+    def save(self):
+        """Only entries that have changed are written."""
+        own = self.ledger
+        now = {p: json.dumps((own.votes.get(p), own.seen[p], own.places[p])) for p in own.seen}
+        for person in self.before.keys() - now.keys():
+            self.people.removeKey((person,))
+        for person, text in now.items():
+            if self.before.get(person) != text:
+                self.people.updateValue((person,), (text,))
+
+    def take(self, key, frame, rows):
         side = lambda kind: {int(r[1]): ((r[2], r[3]), tuple(r[4:8])) for r in sorted((r for r in rows if r[0] == kind), key=lambda r: r[1])}
         people = side("person")
         if not people:
             return []
-        ledger.update(people, side("bib"), {int(r[1]): (r[8], r[9]) for r in rows if r[0] == "bib" and r[8] is not None}, frame)
-        ledger.cleanup(frame)
-        now = {p: json.dumps((ledger.votes.get(p), ledger.seen[p], ledger.places[p])) for p in ledger.seen}
-        for person in before.keys() - now.keys():
-            self.people.removeKey((person,))
-        for person, text in now.items():
-            if before.get(person) != text:
-                self.people.updateValue((person,), (text,))
-        return [(key[0], frame, p, *ledger.number(p)) for p in people]
+        self.ledger.update(people, side("bib"), {int(r[1]): (r[8], r[9]) for r in rows if r[0] == "bib" and r[8] is not None}, frame)
+        self.ledger.cleanup(frame)
+        return [(key[0], frame, p, *self.ledger.number(p)) for p in people]
 
 
 def associated(seen: DataFrame, far: float = 350.0, memory: int = 900, typical: int | None = None, min_votes: float = 2.0, fraction: float = 0.4, fps: float = 30.0) -> DataFrame:
@@ -229,17 +266,17 @@ class _Last(Held):
     memory = 300
 
     def take(self, key, frame, rows):
-        number = sorted((r[0] for r in rows), key=lambda x: (x is not None, x))[-1]
-        self.store((number, frame))
-        self.handle.registerTimer(self.at(frame + self.memory + 1))
-        return [(*key, number, frame, True)]
+        self.value = sorted((r[0] for r in rows), key=lambda x: (x is not None, x))[-1], frame
+        return [(*key, *self.value, True)]
+
+    def due(self):
+        return self.value and self.value[1] + self.memory + 1
 
     def passed(self, key, upto):
-        number, frame = self.load((None, 0))
-        if self.machine.exists() and self.at(frame + self.memory + 1) <= upto:
-            self.machine.clear()
-            return [(*key, number, frame, False)]
-        return []
+        if not self.value or self.at(self.due()) > upto:
+            return []
+        out, self.value = [(*key, *self.value, False)], None
+        return out
 
 
 def remembered(reads: DataFrame, memory: int, fps: float = 30.0) -> DataFrame:
