@@ -314,40 +314,48 @@ def _ranges(e: Entry) -> list[tuple[int, int, int, int]]:
     return [(e[2], first, last, 1)] + ([(e[2], first, whole, 0)] if whole >= first else [])
 
 
-_FOUND = pa.schema([("row", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("kind", pa.int64())])
-_FOUND_DDL = "row long, first long, last long, kind long"
-_RUNS = pa.schema([("bucket", pa.int64()), ("run", pa.binary()), *_FOUND])
-_RUNS_DDL = f"bucket long, run binary, {_FOUND_DDL}"
+_HOT = pa.schema([("row", pa.int64()), ("at", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("settled", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("kind", pa.int64())])
+_HOT_DDL = "row long, at long, low long, high long, left binary, right binary, settled long, first long, last long, kind long"
+_RUNS = pa.schema([("bucket", pa.int64()), ("run", pa.binary()), *_HOT])
+_RUNS_DDL = f"bucket long, run binary, {_HOT_DDL}"
 
 
-def _columns(rows: list[tuple], names: list[str], before: int = 0) -> dict[str, list]:
-    return {name: [*[None] * before, *(x[k] for x in rows)] for k, name in enumerate(names)}
+def _batch(schema: pa.Schema, **cols: list) -> pa.RecordBatch:
+    """A batch of these columns, all others null."""
+    n = len(next(iter(cols.values())))
+    return C.batch_of(schema, **{x: cols.get(x, [None] * n) for x in schema.names})
 
 
-def sorted_runs(entries: list[Entry], buckets: int) -> pa.RecordBatch:
-    """One front-coded run for each bucket, and the windows that equal entries settle."""
+def sorted_runs(entries: list[Entry], hot: list[Entry], buckets: int) -> Iterator[pa.RecordBatch]:
+    """One front-coded run for each bucket, the windows that equal entries settle, and very frequent entries as they are, dealt to all buckets."""
     kept, found = _settle(entries)
     by: dict[int, list[Entry]] = {}
     for e in kept:
         by.setdefault(int.from_bytes(e[0][:8], "big") % buckets, []).append(e)
-    return C.batch_of(_RUNS, bucket=[*by, *(x[0] % buckets for x in found)], run=[*map(pack, by.values()), *[None] * len(found)], **_columns(found, _FOUND.names, len(by)))
+    yield _batch(_RUNS, bucket=list(by), run=[*map(pack, by.values())])
+    kept, more = _settle(hot, gather=False)
+    found += more + [x for e in kept if e[6] for x in _ranges(e)]
+    names = ("row", "first", "last", "kind")
+    yield _batch(_RUNS, bucket=[x[0] % buckets for x in found], **{c: [x[k] for x in found] for k, c in enumerate(names)})
+    plain = {"row": [e[2] for e in kept], "at": [e[3] for e in kept], "low": [e[4] for e in kept], "high": [e[5] for e in kept], "left": [e[1] for e in kept], "right": [e[0][8:] for e in kept], "settled": [e[6] for e in kept]}
+    yield _batch(_RUNS, bucket=[(e[2] + e[3]) % buckets for e in kept], **plain)
 
 
-def _held(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[list[Entry]]:
-    """The entries of rows (row, text packed, h, at, first, last), up to `limit` bytes of context at a time."""
+def _held(limit: int, hot: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[Entry], list[Entry]]]:
+    """The entries of rows (row, text packed, h, at, first, last, n), and those of anchor substrings with more than `hot`, up to `limit` bytes of context at a time."""
     unpacked = zstandard.ZstdDecompressor()
-    held, size = [], 0
+    held, size = ([], []), 0
     for b in batches:
-        cols = [b.column(c) for c in ("row", "text", "h", "at", "first", "last")]
+        cols = [b.column(c) for c in ("row", "text", "h", "at", "first", "last", "n")]
         for i in range(b.num_rows):
-            row, text, *marks = (c[i].as_py() for c in cols)
-            for e in _entries(row, unpacked.decompress(text), *marks):
-                held.append(e)
+            row, text, *marks, counts = (c[i].as_py() for c in cols)
+            for n, e in zip(counts, _entries(row, unpacked.decompress(text), *marks)):
+                held[n > hot].append(e)
                 size += len(e[0]) + len(e[1])
                 if size > limit:
                     yield held
-                    held, size = [], 0
-    if held:
+                    held, size = ([], []), 0
+    if size:
         yield held
 
 
@@ -362,20 +370,6 @@ def packed(rows: DataFrame) -> DataFrame:
     return rows.select("row", "text").mapInArrow(C.tidy(_packed), "row long, text binary")
 
 
-_HOT = pa.schema([("row", pa.int64()), ("at", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("settled", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("kind", pa.int64())])
-_HOT_DDL = "row long, at long, low long, high long, left binary, right binary, settled long, first long, last long, kind long"
-
-
-def _hot_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries that are left (kind null), and the ranges that equal ones settle."""
-    for entries in _held(RUN_BYTES, batches):
-        kept, found = _settle(entries, gather=False)
-        found += [x for e in kept if e[6] for x in _ranges(e)]
-        ours = {"row": [e[2] for e in kept] + [x[0] for x in found], "at": [e[3] for e in kept], "low": [e[4] for e in kept], "high": [e[5] for e in kept], "left": [e[1] for e in kept], "right": [e[0][8:] for e in kept], "settled": [e[6] for e in kept]}
-        cols = {c: x + [None] * (len(kept) + len(found) - len(x)) for c, x in ours.items()}
-        yield C.batch_of(_HOT, **cols, **_columns([x[1:] for x in found], ["first", "last", "kind"], len(kept)))
-
-
 def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """row, at, low, part, core: the hash of the bytes that every window of a part of an entry has."""
     names = ["row", "at", "low", "part", "core"]
@@ -404,18 +398,15 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, [pa.int64()] * 4 + [pa.binary()])], names)
 
 
-def _hot_repeats(rows: DataFrame, hits: DataFrame) -> DataFrame:
-    """row, first, last, kind of the windows of very frequent anchors that occur again, by partial counts of hashes."""
-    found = C.written(packed(rows).join(hits, "row").mapInArrow(C.tidy(_hot_scan), _HOT_DDL), "hot")
-    entries = found.where("kind is null").select(*_HOT.names[:7])
+def _hot_repeats(entries: DataFrame) -> DataFrame:
+    """row, first, last, kind of the windows of very frequent anchors (row, at, low, high, left, right, settled) that occur again, by partial counts of hashes."""
     cores = C.written(entries.mapInArrow(C.tidy(_cores), "row long, at long, low long, part long, core binary"), "cores")
     again = C.written(cores.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "again")
     live = C.with_groups(cores, again, ["core"], "n", cores.count()).groupBy("row", "at", "low").agg(F.collect_list("part").alias("parts"))
     windows = C.written(entries.join(live, ["row", "at", "low"]).mapInArrow(C.tidy(_windows), "row long, first long, kind long, settled long, hash binary"), "windows")
     counts = windows.groupBy("kind", "hash").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("lo"), F.max("row").alias("hi"), F.max("settled").alias("settled"))
     counts = C.written(counts.where("n > 1 and (kind = 0 or lo < hi or settled = 1)").select("kind", "hash", "n"), "counts")
-    hit = C.with_groups(windows, counts, ["kind", "hash"], "n", windows.count())
-    return found.where("kind is not null").select(*_FOUND.names).unionByName(hit.select("row", "first", F.col("first").alias("last"), "kind"))
+    return C.with_groups(windows, counts, ["kind", "hash"], "n", windows.count()).select("row", "first", F.col("first").alias("last"), "kind")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -431,16 +422,11 @@ def repeats(rows: DataFrame, found: DataFrame, hot: int = HOT) -> DataFrame:
     hits = C.with_groups(places, counts, ["h"], "n", total).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "h", "first", "last", "n"))).alias("x"))
     hits = C.written(hits.select("row", *[F.col(f"x.{c}").alias(c) for c in ("h", "at", "first", "last", "n")]), "hits")
 
-    def of(wanted) -> DataFrame:
-        """The rows that have anchors whose count is wanted, with those."""
-        one = hits.select("row", F.filter(F.arrays_zip("h", "at", "first", "last", "n"), lambda x: wanted(x["n"])).alias("x")).where("size(x) > 0")
-        return one.select("row", *[F.col(f"x.{c}").alias(c) for c in ("h", "at", "first", "last")])
-
     buckets = max(64, -(-total // BUCKET))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for entries in _held(RUN_BYTES, batches):
-            yield sorted_runs(entries, buckets)
+        for entries, frequent in _held(RUN_BYTES, hot, batches):
+            yield from sorted_runs(entries, frequent, buckets)
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, runs = None, []
@@ -450,12 +436,12 @@ def repeats(rows: DataFrame, found: DataFrame, hot: int = HOT) -> DataFrame:
                 got = repeated(*merged(runs))
                 runs.clear()
                 if got:
-                    yield C.batch_of(_FOUND, **_columns(got, _FOUND.names))
+                    yield _batch(_HOT, **{c: [x[k] for x in got] for k, c in enumerate(("row", "first", "last", "kind"))})
 
         for b in batches:
             direct = b.filter(pa.compute.is_valid(b.column("row")))
             if direct.num_rows:
-                yield direct.select(_FOUND.names)
+                yield direct.select(_HOT.names)
             for bucket, run in zip(b.column("bucket").to_pylist(), b.column("run")):
                 if bucket != now:
                     yield from settle()
@@ -464,10 +450,13 @@ def repeats(rows: DataFrame, found: DataFrame, hot: int = HOT) -> DataFrame:
                     runs.append(unpack(run.as_py()))
         yield from settle()
 
-    runs = packed(rows).join(of(lambda n: n <= hot) if most > hot else hits.drop("n"), "row").mapInArrow(C.tidy(scan), _RUNS_DDL)
+    runs = packed(rows).join(hits, "row").mapInArrow(C.tidy(scan), _RUNS_DDL)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(C.tidy(combine), _FOUND_DDL)
-    return out.unionByName(_hot_repeats(rows, of(lambda n: n > hot))) if most > hot else out
+    out = runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(C.tidy(combine), _HOT_DDL)
+    if most <= hot:
+        return out.select("row", "first", "last", "kind")
+    out = C.written(out, "merged")  # read twice: what is found, and the frequent entries
+    return out.where("kind is not null").select("row", "first", "last", "kind").unionByName(_hot_repeats(out.where("kind is null").select(*_HOT.names[:7])))
 
 
 def spans(first: list[int], last: list[int], length: int = LENGTH) -> list[tuple[int, int]]:
