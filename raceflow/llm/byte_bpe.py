@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 
 from raceflow.llm import common as C
 
-#: Pre-tokens whose ids a worker remembers.
-REMEMBERED = 250_000
+#: Bytes of the pre-tokens, with their ids, that a worker remembers in each of two generations, and what one takes besides its characters and ids.
+REMEMBERED, ENTRY = 64 << 20, 200
 _MASK = (1 << 64) - 1
 
 
@@ -77,36 +77,46 @@ class PerfectHash:
         return at if self.slots[at] == key else -1
 
 
-def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+def paired(ranks: dict[bytes, int]) -> list[int]:
+    """The rank of each pair of bytes (first byte * 256 + second), or -1."""
+    return [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
+
+
+def merged(piece: bytes, ranks: dict[bytes, int], pairs: list[int] | None = None) -> list[int]:
     """The ids of a piece that isn't in the vocabulary, by merging its least-ranked neighbours until none is left.
 
     A part is known by its first byte: ends has its end (0 once it is merged into the one before), before the part in
-    front. The heap holds rank, first byte and end of what a merge would make, in one integer.
+    front. The heap holds rank, first byte and end of what a merge would make, in one integer. pairs is paired(ranks).
     """
+    pairs = paired(ranks) if pairs is None else pairs
     n, get = len(piece), ranks.get
     bits = n.bit_length()
     mask, high = (1 << bits) - 1, 2 * bits
-    ends, before = list(range(1, n + 1)), list(range(-1, n))
+    ends, before = [*range(1, n + 1)], [*range(-1, n)]
     heap = []
     for i in range(n - 1):
-        r = get(piece[i : i + 2])
-        if r is not None:
+        r = pairs[piece[i] << 8 | piece[i + 1]]
+        if r >= 0:
             heap.append(r << high | i << bits | i + 2)
     heapq.heapify(heap)
-    pop, push = heapq.heappop, heapq.heappush
+    pop, push, swap = heapq.heappop, heapq.heappush, heapq.heapreplace
     while heap:
-        x = pop(heap)
+        x = heap[0]
         i, e = x >> bits & mask, x & mask
         j = ends[i]
         if not j or j >= n or ends[j] != e:
+            pop(heap)
             continue  # one of the two has been merged meanwhile
         ends[i], ends[j] = e, 0
+        r = None
         if e < n:
             before[e] = i
             k = ends[e]
             r = get(piece[i:k])
-            if r is not None:
-                push(heap, r << high | i << bits | k)
+        if r is None:
+            pop(heap)
+        else:
+            swap(heap, r << high | i << bits | k)
         if i:
             h = before[i]
             r = get(piece[h:e])
@@ -123,14 +133,16 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Encoder(dict):
     """Pre-token -> its ids as bytes of int32; a dict so that remembered pre-tokens are found without a call.
 
-    Two generations of REMEMBERED pre-tokens are kept: when the young one is full, the old one goes.
+    Two generations of REMEMBERED bytes are kept: when the young one is full, the old one goes. So long pre-tokens (text
+    without spaces) can't fill the memory.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
         super().__init__()
-        self.ranks, self.find, self.old = ranks, regex.compile(pattern).findall, {}
+        self.ranks, self.find, self.old, self.size = ranks, regex.compile(pattern).findall, {}, 0
+        self.pairs = paired(ranks)
         self.table = PerfectHash(list(ranks))
         self.rank_of = [pack("=i", ranks[k]) for k in self.table.slots]
 
@@ -142,12 +154,15 @@ class Encoder(dict):
             if at >= 0:
                 ids = self.rank_of[at]
             else:
-                found = merged(piece, self.ranks)
+                found = merged(piece, self.ranks, self.pairs)
                 ids = pack(f"={len(found)}i", *found)
-        if len(self) >= REMEMBERED:
-            self.old = dict(self)
+        size = ENTRY + 4 * len(token) + len(ids)
+        if self.size + size > REMEMBERED:
+            self.old, self.size = dict(self), 0
             self.clear()
-        self[token] = ids
+        if size <= REMEMBERED:
+            self[token] = ids
+            self.size += size
         return ids
 
     def encode(self, text: str) -> np.ndarray:
@@ -155,12 +170,9 @@ class Encoder(dict):
 
 
 class Decoder:
-    """The bytes of ids, gathered from one flat array of the vocabulary's bytes."""
+    """What ids stand for, gathered from one flat array: the vocabulary's bytes, or another piece for each id."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        pieces = [b""] * (max(ranks.values(), default=-1) + 1)
-        for piece, i in ranks.items():
-            pieces[i] = piece
+    def __init__(self, pieces: list[bytes]):
         self.sizes = np.array(list(map(len, pieces)), np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.flat = np.frombuffer(b"".join(pieces), np.uint8)
@@ -174,6 +186,14 @@ class Decoder:
         return self.flat[at].tobytes()
 
 
+def pieces_of(ranks: dict[bytes, int]) -> list[bytes]:
+    """The bytes of each id."""
+    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+    for piece, i in ranks.items():
+        pieces[i] = piece
+    return pieces
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     """Ranks of a tiktoken vocabulary file."""
     with open(path, "rb") as f:
@@ -218,7 +238,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     field = pa.field("data", pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Decoder(shared.value)
+        table = Decoder(pieces_of(shared.value))
         for b in batches:
             for s in range(0, b.num_rows, 200):
                 part = b.slice(s, 200)
@@ -247,12 +267,13 @@ def digests(docs: DataFrame, *more: str, path: str | None = None, pattern: str |
     fields = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, table = Encoder(shared.value, pattern), Decoder(shared.value)
+        encoder, table = Encoder(shared.value, pattern), Decoder(pieces_of(shared.value))
+        written = Decoder([b" %d" % i for i in range(len(table.sizes))])  # ids as decimal numbers
         for b in C.slices(batches, "text"):
             found = []
             for text in C.texts(b.column("text")):
                 ids = encoder.encode(text.decode("utf-8", "replace"))
-                found.append((len(ids), _sha256(" ".join(map(str, ids.tolist())).encode()), _sha256(table.decode(ids))))
+                found.append((len(ids), _sha256(written.decode(ids)[1:]), _sha256(table.decode(ids))))
             cols = [pa.array(x, f.type) for x, f in zip(zip(*found), fields)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *cols], schema=pa.schema([b.schema.field(c) for c in kept] + fields))
 
