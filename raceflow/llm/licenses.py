@@ -106,8 +106,8 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
     ("https://", "http://"),
 )
 
-#: Lines that name a holder or reserve rights, not terms: with (c) or ©, a place for a name, a name after "by", or a year.
-_COPYRIGHT = r"(?m)^[ \t]*(copyright[ \t]*(\(c\)|©|<|[0-9]|by )|\(c\)|©|copyright[ \t:,][^\n]*(19|20)[0-9][0-9])[^\n]*$|^[ \t]*all rights reserved[ \t.]*$"
+#: Lines that name a holder, not terms: with (c) or ©, a place for a name, a name after "by", or a year; and reserved rights on a line below.
+_COPYRIGHT = r"(?m)^[ \t]*(copyright[ \t]*(\(c\)|©|<|[0-9]|by )|\(c\)|©|copyright[ \t:,][^\n]*(19|20)[0-9][0-9])[^\n]*(\n[ \t]*all rights reserved[ \t.]*)?$"
 _OTHER = r"[^a-z0-9À-ɏ]+"
 #: A line can only be a notice if it names a license or rights.
 _NOTICE = r"(?i)licen[sc]|rights"
@@ -155,15 +155,15 @@ def op9_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plain_digest(text: str) -> str:
     """The digest of a known text in plain Python, for the SQL: line by line and letter by letter instead of by the patterns above."""
-    lines = []
+    lines, holder = [], False
     for line in text.lower().replace("\r\n", "\n").replace("\r", "\n").split("\n"):
         word = line.lstrip(" \t")
         after = word[9:].lstrip(" \t")
         digits = "0123456789"
         year = any(word[i : i + 2] in ("19", "20") and word[i + 2 : i + 3] in digits and word[i + 3 : i + 4] in digits and len(word) >= i + 4 for i in range(10, len(word)))
+        below = holder and word.startswith("all rights reserved") and not word[19:].strip(" \t.")
         holder = word.startswith(("(c)", "©")) or (word.startswith("copyright") and (after.startswith(("(c)", "©", "<", "by ")) or after[:1] in tuple(digits) or word[9:10] in (" ", "\t", ":", ",") and year))
-        holder = holder or (word.startswith("all rights reserved") and not word[19:].strip(" \t."))
-        lines.append("" if holder else line)
+        lines.append("" if holder or below else line)
     out = "\n".join(lines)
     for variant, kept in SPELLINGS:
         out = out.replace(variant, kept)
@@ -172,7 +172,7 @@ def plain_digest(text: str) -> str:
 
 
 def _canonical_sql(x: str) -> str:
-    x = f"regexp_replace(regexp_replace(lower(coalesce({x}, '')), '\\r\\n?', chr(10), 'g'), '(?m)^[ \\t]*(copyright[ \\t]*(\\(c\\)|©|<|[0-9]|by )|\\(c\\)|©|copyright[ \\t:,][^\\n]*(19|20)[0-9][0-9])[^\\n]*$|^[ \\t]*all rights reserved[ \\t.]*$', '', 'g')"
+    x = f"regexp_replace(regexp_replace(lower(coalesce({x}, '')), '\\r\\n?', chr(10), 'g'), '(?m)^[ \\t]*(copyright[ \\t]*(\\(c\\)|©|<|[0-9]|by )|\\(c\\)|©|copyright[ \\t:,][^\\n]*(19|20)[0-9][0-9])[^\\n]*(\\n[ \\t]*all rights reserved[ \\t.]*)?$', '', 'g')"
     for variant, kept in SPELLINGS:
         x = f"replace({x}, '{variant}', '{kept}')"
     return f"trim(regexp_replace({x}, '[^a-z0-9À-ɏ]+', ' ', 'g'))"

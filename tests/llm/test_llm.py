@@ -641,6 +641,24 @@ def test_whole_licenses(spark):
     assert (got[100].license_id, got[100].notices, got[101].license_id, got[102].license_id) == (None, "MIT", "BSD-2-Clause", "Apache-2.0")
 
 
+def test_license_lines_and_titles(spark):
+    """Copyright lines in their usual forms, with reserved rights on a line below, and every usual title, hide no licence."""
+    body = {n: (licenses.TEXTS / f"{n}.txt").read_text() for n in ("BSD-3-Clause", "ISC", "BSD-2-Clause")}
+    mit = next(t for k, t in licenses.KNOWN if k == "MIT" and len(t) > 500)
+    holders = ["Copyright (c) 2020, Jane\nAll rights reserved.", "Copyright Jane Doe 2020", "Copyright 2020 Jane Doe", "copyright: Jane, 1999-2020\n  ALL RIGHTS RESERVED", "(c) Jane", "© 2020 Jane"]
+    bare = {n: re.sub(licenses._COPYRIGHT, "", licenses._TITLE.sub("", t), flags=re.I) for n, t in (*body.items(), ("MIT", mit))}
+    rows, want = [], {}
+    for n, text in bare.items():
+        for title in (None, *licenses.TITLES[n]):
+            for holder in holders:
+                want[len(rows)] = n
+                rows.append((len(rows), f"{title}\n\n{holder}\n{text}" if title else f"{holder}\n{text}"))
+    rows += [(1000, "Copyright law of 2020 binds us.\nAll rights reserved for the rest."), (1001, "All rights reserved.")]
+    got = by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.registry(spark)))
+    assert {i: got[i].license_id for i in want} == want and got[1000].license_id is None
+    assert {i: got[i].digest for i, _ in rows} == {i: licenses.plain_digest(t) for i, t in rows}
+
+
 def test_licenses(spark):
     mit = next(t for k, t in licenses.KNOWN if k == "MIT" and len(t) > 500)
     noisy = mit.replace("Copyright (c) <year> <copyright holders>", "Copyright (c) 2019 Someone, Inc.").upper().replace("\n", "  \r\n")
@@ -701,6 +719,24 @@ def test_language_distance():
 
 # --- edge rows for every operator ------------------------------------------------------------------
 
+def test_head_without_an_end():
+    text = lambda page: [b.text for b in html_extract.blocks(page)]
+    assert text("<html><head><title>x</title><body><article><p>hi there</article></body>") == ["hi there"]
+    assert text("<head><meta charset=x><link y><style>p{}</style><p>one<p>two") == ["one", "two"]
+    assert text("<html><head><title>x</title><script>if (a < b) c</script>\n<!-- d --></head><body><header>h</header><p>t</p>") == ["h", "t"]
+    assert text("<head>words<p>y") == ["words", "y"] and text("<head><title>never closed <p>x") == [] and text("<header>a</header>") == ["a"]
+
+
+def test_html_edges(spark):
+    page = "<html><body><article><p>" + "A long enough sentence about the matter, and one more. " * 5 + "</p></article></body></html>"
+    rows = [(1, "u", page, "x", "y"), (1, "u", page, "x", "y"), (2, None, None, None, None), (3, "v", "", "x", "y"), (None, "w", page, "x", "y")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars string")
+    got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in html_extract.main_text(df).collect()), key=str)
+    assert len(got) == 5 and [r for r in got if r[0] == 2] == [(2, None, "", 0)] and [r for r in got if r[0] == 3] == [(3, "v", "", 0)]
+    assert len({r[2] for r in got if r[1] in ("u", "w")}) == 1 and all(r[3] == len(r[2]) for r in got)
+    assert html_extract.main_text(df.limit(0)).count() == 0
+
+
 OPERATORS = {
     "quality": line_quality.assessed, "clean": line_quality.cleaned, "mix": curriculum.mixed, "order": curriculum.training_order, "near": jaccard_join.joined, "heads": jaccard_join.representatives,
     "bpe": byte_bpe.digests, "pii": pii.found_spans, "sane": pii.sanitised, "suffix": suffix_dedup.removed, "exact": exact_dedup.groups, "unique": exact_dedup.deduplicated,
