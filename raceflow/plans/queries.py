@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from raceflow import shared
+from raceflow.config import Config
 from raceflow.functions import decoding
 from raceflow.functions import geometry as G
 from raceflow.functions import text as T
@@ -23,6 +24,7 @@ from raceflow.operators import registry as REG
 from raceflow.operators import review as RV
 from raceflow.operators import tracking as TR
 from raceflow.operators import voting as V
+from raceflow.plans import pipeline
 from raceflow.plans import views as W
 from raceflow.sources import readers, sinks
 from raceflow.streaming import buffers
@@ -1321,6 +1323,22 @@ def st_clear(s, d):
     return V.or_empty(r, left).select("track_id", "votes", "needs_review")
 
 
+# --- the whole run --------------------------------------------------------------------------------
+
+
+@query("SELECT c_mktsegment AS run_id, p + 1 AS sequence, 20 * p + 33 AS frame_idx, CAST(c_custkey + 1000 AS VARCHAR) AS bib, 600 + 12.0::DOUBLE * 33 AS x, 'pose' AS source FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS p FROM customer)")
+def run_line(s, d):
+    """Crossings of whole races, from detections, reads and persons to numbered events: all customers, in order, with their numbers."""
+    out = pipeline.run(*W.race(s, d), Config())
+    return out.crossings.select("run_id", "sequence", "frame_idx", "bib", "x", "source")
+
+
+@query("SELECT c_mktsegment AS run_id, p + 1 AS sequence, CAST(c_custkey + 1000 AS VARCHAR) AS bib FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS p FROM customer)")
+def run_zone(s, d):
+    """The same races in zone mode."""
+    return pipeline.run(*W.race(s, d), Config(mode="zone")).crossings.select("run_id", "sequence", "bib")
+
+
 # --- streams with state of their own --------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from raceflow.config import Line
@@ -43,6 +43,18 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select(F.col("event_type").alias("run_id"), F.col("user_id").alias("track_id"), F.col("event_id").alias("frame_idx"), (F.col("value") / 100.0).alias("x"), (F.col("k").cast("double") / 100.0).alias("y"))
 
 
+def race(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """detections, reads, people and registry of races in which every customer of a market segment runs across the line, 20 frames after the one before, in one of three lanes, with a readable number."""
+    place = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("c_custkey")) - 1
+    runners = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("run_id"), place.alias("place"), (F.col("c_custkey") + 1000).cast("string").alias("raw"))
+    t = F.col("t").cast("double")
+    rows = runners.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(59)))).select("run_id", (F.col("place") * 20 + F.col("t")).cast("long").alias("frame_idx"), "raw", (t * 12 + 600).alias("x"), (F.col("place") % 3 * 250 + 250).cast("double").alias("y"))
+    box = lambda left, top, right, bottom: [(F.col("x") - left).alias("x1"), (F.col("y") - top).alias("y1"), (F.col("x") + right).alias("x2"), (F.col("y") + bottom).alias("y2")]
+    plates = rows.select("run_id", "frame_idx", *box(30, 20, 30, 20), "raw", F.lit(0.9).alias("conf"))
+    people = rows.select("run_id", "frame_idx", *box(60, 100, 60, 140), F.col("x").alias("cx"), F.col("y").alias("cy"))
+    return plates.drop("raw").withColumnRenamed("conf", "confidence"), plates, people, runners.select(F.col("raw").alias("bib"))
+
+
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("bib"))
 
