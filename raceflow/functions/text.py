@@ -93,3 +93,20 @@ def clock(seconds: Column, hundredths: bool = False) -> Column:
     whole = F.floor(seconds).cast("long")
     base = F.format_string("%02d:%02d:%02d", F.floor(whole / 3600).cast("long"), F.floor(whole / 60).cast("long") % 60, whole % 60)
     return F.concat(base, F.format_string(".%02d", F.floor((seconds - whole) * 100 + 1e-6).cast("long"))) if hundredths else base
+
+
+def line_of(text: Column) -> Column:
+    """`x1,y1,x2,y2` as a struct of numbers, or null unless there are four."""
+    parts = F.split(text, ",")
+    at = [F.get(parts, F.lit(k)).try_cast("double") for k in range(4)]
+    whole = F.size(parts) == 4
+    for x in at:
+        whole = whole & x.isNotNull()
+    return F.when(whole, F.struct(*[x.alias(n) for x, n in zip(at, ("x1", "y1", "x2", "y2"))]))
+
+
+def range_of(text: Column) -> Column:
+    """`a-b` as a struct of two whole numbers, or null."""
+    cut = F.instr(text, "-")
+    a, b = F.substring(text, F.lit(1), cut - 1).try_cast("long"), F.substring(text, cut + 1, F.length(text)).try_cast("long")
+    return F.when((cut > 0) & a.isNotNull() & b.isNotNull(), F.struct(a.alias("first"), b.alias("last")))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from raceflow.operators import images
+
 #: Padding (left, right, top, bottom) as shares of the box for each placement of the camera.
 PADDING = {"center": (0.15, 0.15, 0.10, 0.10), "left": (0.10, 0.25, 0.10, 0.10), "right": (0.25, 0.10, 0.10, 0.10)}
 
@@ -37,6 +39,21 @@ def reason(w: Column, h: Column, blur: Column, contrast: Column, extent: Column,
     )
 
 
+def accepts(why: Column) -> Column:
+    """Whether a crop passes: no gate fails (why is null)."""
+    return why.isNull()
+
+
+def cascade_totals(results: DataFrame, resets: DataFrame, run: str = "run_id") -> DataFrame:
+    """run, total, fast_only, used_slow, fast_only_pct, used_slow_pct of the cascade's results (run, frame_idx, model) since the run's last reset (run, frame_idx); a run that was reset and then idle has zeros."""
+    last = resets.groupBy(F.col(run).alias("__run")).agg(F.max("frame_idx").alias("__last"))
+    since = F.col("__last").isNull() | (F.col("frame_idx") > F.col("__last"))
+    rows = results.join(last, F.col(run).eqNullSafe(F.col("__run")), "left")
+    out = rows.groupBy(run).agg(F.count_if(since).alias("total"), F.count_if(since & (F.col("model") == "fast")).alias("fast_only"), F.count_if(since & (F.col("model") == "slow")).alias("used_slow"))
+    share = lambda c: (100 * F.col(c) / F.greatest(F.col("total"), F.lit(1))).alias(f"{c}_pct")
+    return out.select("*", share("fast_only"), share("used_slow"))
+
+
 def bucket(why: Column) -> Column:
     return F.when(why.isNull(), "accepted").when(F.contains(F.lower(why), F.lit("partial")), "partial").otherwise("quality")
 
@@ -51,11 +68,21 @@ def shrink(boxes: DataFrame, least: float = 0.7) -> DataFrame:
 def pixel_stats(gray: np.ndarray) -> tuple[float, float]:
     """Variance of the Laplacian (0 for less than 3 x 3) and standard deviation."""
     g = np.asarray(gray, dtype=float)
-    if min(g.shape) < 3:
-        return 0.0, float(g.std()) if g.size else 0.0
-    g2 = np.pad(g, 1, mode="reflect")
-    lap = g2[:-2, 1:-1] + g2[2:, 1:-1] + g2[1:-1, :-2] + g2[1:-1, 2:] - 4 * g
-    return float(lap.var()), float(g.std())
+    if not g.size:
+        return 0.0, 0.0
+    blur, contrast = stack_stats(g[None])
+    return float(blur[0]), float(contrast[0])
+
+
+def stack_stats(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """pixel_stats() of each crop of a stack."""
+    g = np.asarray(stack, dtype=float)
+    contrast = g.std(axis=(1, 2))
+    if min(g.shape[1:]) < 3:
+        return np.zeros(len(g)), contrast
+    wide = np.pad(g, [(0, 0), (1, 1), (1, 1)], mode="reflect")
+    lap = wide[:, :-2, 1:-1] + wide[:, 2:, 1:-1] + wide[:, 1:-1, :-2] + wide[:, 1:-1, 2:] - 4 * g
+    return lap.var(axis=(1, 2)), contrast
 
 
 #: Window and offset of the local threshold; shares of height and width that make a column or row content;
@@ -65,47 +92,52 @@ COLUMN_SHARE, ROW_SHARE = 0.15, 0.1
 SUBSCORES = (0.35, 0.2, 0.15, 0.2, 0.1)
 
 
-def dark_marks(gray: np.ndarray) -> np.ndarray:
-    """Pixels that are darker than the Gaussian mean of their surroundings by more than OFFSET."""
+def dark_marks(stack: np.ndarray) -> np.ndarray:
+    """Pixels that are darker than the Gaussian mean of their surroundings by more than OFFSET, for a stack of crops."""
     half = LOCAL // 2
     sigma = 0.3 * ((LOCAL - 1) * 0.5 - 1) + 0.8
     kernel = np.exp(-((np.arange(LOCAL) - half) ** 2) / (2 * sigma * sigma))
     kernel /= kernel.sum()
-    out = np.asarray(gray, dtype=float)
-    for axis in (0, 1):
-        wide = np.pad(out, [(half, half) if k == axis else (0, 0) for k in (0, 1)], mode="edge")
-        out = np.lib.stride_tricks.sliding_window_view(wide, LOCAL, axis=axis) @ kernel
-    return np.asarray(gray, dtype=float) <= np.rint(out) - OFFSET
-
-
-def _margins(left: float, right: float) -> float:
-    if min(left, right) > 0.02:
-        return min(left, right) / max(left, right)
-    return 0.3 if min(left, right) < 0.02 else 0.5
-
-
-def _density(filled: float) -> float:
-    return filled / 0.3 if filled < 0.3 else 0.8 if filled > 0.85 else 1.0
+    mean = np.asarray(stack, dtype=float)
+    for axis in (1, 2):
+        n = mean.shape[axis]
+        wide = np.pad(mean, [(half, half) if k == axis else (0, 0) for k in range(3)], mode="edge")
+        mean = sum(kernel[k] * wide.take(np.arange(k, k + n), axis) for k in range(LOCAL))
+    return stack <= np.rint(mean) - OFFSET
+
+
+def _ends(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last marked place of each line."""
+    return marked.argmax(axis=1), marked.shape[1] - 1 - marked[:, ::-1].argmax(axis=1)
+
+
+def completeness_of(stack: np.ndarray, least_extent: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """For each crop of a stack how complete its digits look (0 to 1), and the share of its width that they span; (.2, 0) where there is hardly anything."""
+    marks = dark_marks(stack)
+    n, h, w = marks.shape
+    column, line = marks.sum(axis=1) > COLUMN_SHARE * h, marks.sum(axis=2) > ROW_SHARE * w
+    (first, last), (top, bottom) = _ends(column), _ends(line)
+    span = last - first + 1
+    extent = span / w
+    sides = np.stack([first, w - 1 - last]) / w
+    near, far = sides.min(axis=0), sides.max(axis=0)
+    even = np.where(near > 0.02, near / np.maximum(far, 1e-9), np.where(near < 0.02, 0.3, 0.5))
+    filled = column.sum(axis=1) / span
+    dense = np.select([filled < 0.3, filled > 0.85], [filled / 0.3, 0.8], 1.0)
+    quarter = w // 4
+    spread = column[:, : 4 * quarter].reshape(n, 4, quarter).any(axis=2).mean(axis=1) if quarter else np.zeros(n)
+    tall = np.minimum(1.0, 2 * (bottom - top + 1) / h)
+    parts = np.stack([np.minimum(1.0, extent / least_extent), even, dense, spread, tall], axis=1)
+    weights = np.array(SUBSCORES) * np.where(line.any(axis=1)[:, None], 1.0, [1.0, 1.0, 1.0, 1.0, 0.0])  # without a line the other weights count alone
+    score = (parts * weights).sum(axis=1) / weights.sum(axis=1)
+    little = column.sum(axis=1) < 3
+    return np.where(little, 0.2, score), np.where(little, 0.0, extent)
 
 
 def completeness(gray: np.ndarray, least_extent: float = 0.5) -> tuple[float, float]:
-    """How complete the digits of a crop look (0 to 1), and the share of its width that they span; (.2, 0) if there is hardly anything."""
-    marks = dark_marks(gray)
-    h, w = marks.shape
-    column = marks.sum(axis=0) > COLUMN_SHARE * h
-    at = np.flatnonzero(column)
-    if len(at) < 3:
-        return 0.2, 0.0
-    first, last = int(at[0]), int(at[-1])
-    extent = (last - first + 1) / w
-    quarter = w // 4
-    spread = sum(bool(column[k * quarter : (k + 1) * quarter].any()) for k in range(4)) / 4
-    parts = [min(1.0, extent / least_extent), _margins(first / w, (w - last - 1) / w), _density(float(column[first : last + 1].mean())), spread]
-    rows = np.flatnonzero(marks.sum(axis=1) > ROW_SHARE * w)
-    if len(rows):  # without it the other weights count alone
-        parts.append(min(1.0, 2 * (rows[-1] - rows[0] + 1) / h))
-    weights = np.array(SUBSCORES[: len(parts)])
-    return float(np.dot(parts, weights) / weights.sum()), float(extent)
+    """completeness_of() of one crop."""
+    score, extent = completeness_of(np.asarray(gray)[None], least_extent)
+    return float(score[0]), float(extent[0])
 
 
 STATS = ("blur", "contrast", "extent", "completeness")
@@ -113,17 +145,12 @@ STATS = ("blur", "contrast", "extent", "completeness")
 
 @F.pandas_udf(StructType([StructField(c, DoubleType()) for c in STATS]))
 def crop_stats(pixels: pd.Series, width: pd.Series) -> pd.DataFrame:
-    """blur, contrast, extent and completeness of grey crops given as bytes, row by row."""
-    rows = []
-    for p, w in zip(pixels, width):
-        g = np.frombuffer(p, np.uint8) if p is not None and w else np.zeros(0, np.uint8)
-        if len(g) < max(w or 1, 1):
-            rows.append((0.0, 0.0, 0.0, 0.0))
-            continue
-        g = g[: len(g) // w * w].reshape(-1, w)
-        score, extent = completeness(g)
-        rows.append((*pixel_stats(g), extent, score))
-    return pd.DataFrame(rows, columns=STATS)
+    """blur, contrast, extent and completeness of grey crops given as bytes, crops of one size at a time; 0 for crops without a row."""
+    out = np.zeros((len(pixels), len(STATS)))
+    for places, stack in images.stacks(pixels, width):
+        score, extent = completeness_of(stack)
+        out[places] = np.stack([*stack_stats(stack), extent, score], axis=1)
+    return pd.DataFrame(out, columns=STATS)
 
 
 def ocr_best(reads: DataFrame, key: str, bonus: float = 0.1) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from raceflow.functions import text as T
+
 
 def queue(items: DataFrame, keep: int = 100) -> DataFrame:
     """The newest `keep` items (bib, confidence, frame_number, ...), with ids review_1, review_2, ... by frame."""
@@ -14,6 +16,17 @@ def queue(items: DataFrame, keep: int = 100) -> DataFrame:
     return last.join(F.broadcast(total)).withColumn("id", F.concat(F.lit("review_"), place)).drop("total")
 
 
+def added(items: DataFrame, keep: int = 100) -> DataFrame:
+    """The queue of items (bib, conf, frame_number, level, is_valid, is_corrected, original, is_stable, alternatives, reason): id, bib, conf, frame_number, alternatives, reason.
+
+    An item without a reason of its own gets the one that its reading gives; without alternatives it has none (an empty list).
+    """
+    why = T.review_reason(F.col("level"), F.col("is_valid"), F.col("is_corrected"), F.col("original"), F.col("bib"), F.col("is_stable"))
+    rows = items.withColumn("reason", F.when(F.coalesce("reason", F.lit("")) != "", F.col("reason")).otherwise(why))
+    rows = rows.withColumn("alternatives", F.coalesce("alternatives", F.array().cast("array<string>")))
+    return queue(rows.select("bib", "conf", "frame_number", "alternatives", "reason"), keep)
+
+
 def resolved(items: DataFrame, done: DataFrame) -> DataFrame:
     """The items without those whose id is resolved."""
     return items.join(done.select("id").distinct(), "id", "left_anti")

@@ -17,6 +17,7 @@ from raceflow.operators import association as A
 from raceflow.operators import crossing as X
 from raceflow.operators import dataset as DS
 from raceflow.operators import dedup as D
+from raceflow.operators import images as IM
 from raceflow.operators import kalman as K
 from raceflow.operators import quality as Q
 from raceflow.operators import recovery as R
@@ -35,6 +36,10 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+#: SQL of the registered numbers that are a prediction with a digit more, the three best.
+_ALTERNATIVES = """SELECT pred, list_slice(list(bib ORDER BY score DESC, bib), 1, 3) AS a FROM (SELECT pred, bib, max(score) AS score FROM (SELECT pred, d || pred AS bib, 2 AS score FROM preds JOIN (SELECT CAST(range AS VARCHAR) AS d FROM range(1, 10)) ON true UNION ALL SELECT pred, pred || d, 1 FROM preds JOIN (SELECT CAST(range AS VARCHAR) AS d FROM range(0, 10)) ON true) WHERE bib IN (SELECT bib FROM registry) GROUP BY 1, 2) GROUP BY 1"""
+
+
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
     """Registers a query under its function's name; sql reads the views of WITH."""
 
@@ -1151,10 +1156,7 @@ def flt_label(s, d):
 @query()
 def flt_completeness(s, d):
     """Completeness of crops: the bytes of each whole document as grey pixels, 40 wide, the last row filled up with spaces."""
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    pixels = F.rpad(text, (F.ceil(F.length(text) / 40) * 40).cast("int"), F.lit(" ").cast("binary"))
-    docs = W.table(s, d, "documents").select("doc_id", pixels.alias("pixels"))
-    return docs.select("doc_id", Q.crop_stats("pixels", F.lit(40)).alias("s")).select("doc_id", *[F.round(f"s.{c}", 6).alias(c) for c in Q.STATS])
+    return _crops(s, d).select("doc_id", Q.crop_stats("pixels", F.lit(40)).alias("s")).select("doc_id", *[F.round(f"s.{c}", 6).alias(c) for c in Q.STATS])
 
 
 @query("SELECT 'review_' || (row_number() OVER (ORDER BY frame_idx, bib) + greatest((SELECT count(*) FROM emissions) - 100, 0)) AS id, bib, frame_idx AS frame_number FROM (SELECT * FROM emissions ORDER BY frame_idx DESC, bib DESC LIMIT 100)")
@@ -1323,6 +1325,94 @@ def st_clear(s, d):
     return V.or_empty(r, left).select("track_id", "votes", "needs_review")
 
 
+# --- review queue, gates and parsing ---------------------------------------------------------------
+
+
+@query(
+    """WITH alt AS (ALT),
+    i AS (SELECT p.pred AS bib, CAST(p.pred AS BIGINT) AS n, CAST(30 + CAST(p.pred AS BIGINT) % 70 AS DOUBLE) / 100.0::DOUBLE AS conf, p.pred IN (SELECT bib FROM registry) AS valid, alt.a FROM preds p LEFT JOIN alt ON alt.pred = p.pred),
+    r AS (SELECT *, concat_ws('; ', CASE WHEN conf < 0.5 THEN 'Very low confidence' WHEN conf < 0.7 THEN 'Low confidence' END, CASE WHEN NOT valid THEN 'Not in bib set' END, CASE WHEN n % 5 = 0 THEN 'Auto-corrected x' || bib || '->' || bib END, CASE WHEN n % 2 = 0 THEN 'Unstable across frames' END) AS why FROM i),
+    k AS (SELECT * FROM r ORDER BY n DESC, bib DESC LIMIT 100)
+    SELECT 'review_' || (row_number() OVER (ORDER BY n, bib) + greatest((SELECT count(*) FROM r) - 100, 0)) AS id, bib, conf, n AS frame_number, coalesce(list_aggregate(a, 'string_agg', ','), '') AS alternatives,
+    CASE WHEN n % 4 = 0 THEN 'asked for' WHEN why = '' THEN 'Needs verification' ELSE why END AS reason FROM k""".replace("ALT", _ALTERNATIVES)
+)
+def rq_add(s, d):
+    """The newest hundred predictions in the queue, with the registered numbers that are one digit longer and a reason."""
+    p, r = W.predictions(s, d), W.registry(s, d)
+    best = REG.leading(p, r).unionByName(REG.trailing(p, r)).groupBy("pred", "bib").agg(F.max("score").alias("score"))
+    others = best.groupBy(F.col("pred").alias("p")).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "bib")))["bib"], 1, 3).alias("alternatives"))
+    rows = REG.flagged(p, r, "pred").join(others, F.col("pred") == F.col("p"), "left")
+    n, conf = F.col("pred").cast("long"), (F.lit(30) + F.col("pred").cast("long") % 70).cast("double") / 100.0
+    items = rows.select(F.col("pred").alias("bib"), conf.alias("conf"), n.alias("frame_number"), T.level(conf).alias("level"), "is_valid", (n % 5 == 0).alias("is_corrected"), F.concat(F.lit("x"), "pred").alias("original"), (n % 2 == 1).alias("is_stable"), "alternatives", F.when(n % 4 == 0, "asked for").alias("reason"))
+    return RV.added(items).withColumn("alternatives", F.array_join("alternatives", ","))
+
+
+@query("SELECT det_id % 2 = 0 AS big, (x1 + w - x1) >= 40 AND h >= 15 AND w / h BETWEEN 1 AND 6 AND det_id % 200 >= 50 AND det_id % 90 >= 20 AND (det_id % 10) / 10.0 >= 0.5 AND (det_id % 9) / 10.0 >= 0.3 AS ok, count(*) AS n FROM det GROUP BY 1, 2")
+def quality_bool(s, d):
+    """How many crops pass all gates."""
+    n, as_double = F.col("det_id"), lambda c: c.cast("double")
+    why = Q.reason(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), as_double(n % 200), as_double(n % 90), as_double(n % 10) / 10, as_double(n % 9) / 10)
+    return W.detections(s, d).groupBy((n % 2 == 0).alias("big"), Q.accepts(why).alias("ok")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH r AS (SELECT run_id, frame_idx, conf, frame_idx > coalesce(max(CASE WHEN frame_idx % 1000 = 0 THEN frame_idx END) OVER (PARTITION BY run_id), -1) AS since FROM reads)
+    SELECT run_id, count(*) FILTER (since) AS total, count(*) FILTER (since AND conf >= 0.85) AS fast_only, count(*) FILTER (since AND conf < 0.85) AS used_slow,
+    round(100.0::DOUBLE * count(*) FILTER (since AND conf >= 0.85) / greatest(count(*) FILTER (since), 1), 6) AS fast_only_pct, round(100.0::DOUBLE * count(*) FILTER (since AND conf < 0.85) / greatest(count(*) FILTER (since), 1), 6) AS used_slow_pct FROM r GROUP BY 1"""
+)
+def stats_reset(s, d):
+    """The cascade's counts of each run since its last reset, at a frame that is a multiple of 1000."""
+    r = W.reads(s, d)
+    out = Q.cascade_totals(r.withColumn("model", F.when(F.col("conf") < 0.85, "slow").otherwise("fast")), r.where("frame_idx % 1000 = 0"))
+    return out.withColumns({c: F.round(c, 6) for c in ("fast_only_pct", "used_slow_pct")})
+
+
+@query(
+    """WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey || ',x,1,2' WHEN o_orderkey % 7 = 0 THEN '1,2,3' ELSE o_custkey || ',0.5,' || o_orderkey || ',-1' END AS a, CASE o_orderkey % 3 WHEN 0 THEN o_custkey || '-' || o_orderkey WHEN 1 THEN CAST(o_custkey AS VARCHAR) ELSE o_custkey || '-x' END AS b FROM orders)
+    SELECT o_orderkey, TRY_CAST(split_part(a, ',', 1) AS DOUBLE) AS x1, TRY_CAST(split_part(a, ',', 3) AS DOUBLE) AS x2, CASE WHEN o_orderkey % 3 = 0 THEN TRY_CAST(split_part(b, '-', 1) AS BIGINT) END AS first, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS last FROM t WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0
+    UNION ALL SELECT o_orderkey, NULL, NULL, CASE WHEN o_orderkey % 3 = 0 THEN TRY_CAST(split_part(b, '-', 1) AS BIGINT) END, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END FROM t WHERE o_orderkey % 5 = 0 OR o_orderkey % 7 = 0"""
+)
+def fn_parse(s, d):
+    """Lines and ranges of numbers from texts, null where the text isn't one."""
+    k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    a = F.when(F.col("o_orderkey") % 5 == 0, F.concat(k, F.lit(",x,1,2"))).when(F.col("o_orderkey") % 7 == 0, "1,2,3").otherwise(F.concat(c, F.lit(",0.5,"), k, F.lit(",-1")))
+    b = F.when(F.col("o_orderkey") % 3 == 0, F.concat(c, F.lit("-"), k)).when(F.col("o_orderkey") % 3 == 1, c).otherwise(F.concat(c, F.lit("-x")))
+    rows = W.table(s, d, "orders").select("o_orderkey", T.line_of(a).alias("line"), T.range_of(b).alias("range"))
+    return rows.select("o_orderkey", "line.x1", "line.x2", "range.first", "range.last")
+
+
+# --- crops ----------------------------------------------------------------------------------------
+
+
+def _crops(s, d):
+    """doc_id, pixels: the bytes of each whole document as a grey crop, 40 wide, the last row filled up with spaces."""
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    pixels = F.rpad(text, (F.ceil(F.length(text) / 40) * 40).cast("int"), F.lit(" ").cast("binary"))
+    return W.table(s, d, "documents").select("doc_id", pixels.alias("pixels"))
+
+
+@query()
+def fn_equalise(s, d):
+    """Local contrast of every document as a crop, by its digest and statistics."""
+    out = _crops(s, d).select("doc_id", IM.mapped("pixels", F.lit(40), IM.equalised).alias("c"))
+    return out.select("doc_id", F.sha2("c.pixels", 256).alias("sha256"), Q.crop_stats("c.pixels", "c.width").alias("s")).select("doc_id", "sha256", F.round("s.contrast", 6).alias("contrast"))
+
+
+@query()
+def fn_upscale(s, d):
+    """Crops of small documents made 64 pixels high, larger ones as they are."""
+    out = _crops(s, d).select("doc_id", IM.mapped("pixels", F.lit(40), IM.upscaled).alias("c"))
+    return out.select("doc_id", "c.width", (F.length("c.pixels") / F.col("c.width")).cast("long").alias("height"), F.sha2("c.pixels", 256).alias("sha256"))
+
+
+@query()
+def ds_synth(s, d):
+    """A made crop of every customer's number, with its digest and the statistics that the quality gates read."""
+    made = W.table(s, d, "customer").select("c_custkey", IM.synthetic(F.col("c_custkey").cast("string"), "c_custkey").alias("c"))
+    out = made.select("c_custkey", F.sha2("c.pixels", 256).alias("sha256"), Q.crop_stats("c.pixels", "c.width").alias("s"))
+    return out.select("c_custkey", "sha256", *[F.round(f"s.{c}", 6).alias(c) for c in Q.STATS])
+
+
 # --- the whole run --------------------------------------------------------------------------------
 
 
