@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,15 +53,54 @@ def trailing(preds: DataFrame, registry: DataFrame) -> DataFrame:
     return _expanded(preds, sized(registry), False)
 
 
+#: Cells (characters by characters) that are compared at a time, and the length from which the standard matcher leaves out frequent characters.
+CELLS, POPULAR = 1 << 21, 200
+
+
+def matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Characters in matching blocks of each pair of texts (rows of code points of a and of b): the longest block, first of equals, and so on left and right of it."""
+    (k, n), m = a.shape, b.shape[1]
+    runs = np.zeros((k, n + 1, m + 1), np.int16)  # of equal characters, from each place on
+    for i in range(n - 1, -1, -1):
+        runs[:, i, :m] = np.where(a[:, i, None] == b, runs[:, i + 1, 1:] + 1, 0)
+    runs = runs[:, :n, :m]
+    total, at_a, at_b = np.zeros(k, np.int64), np.arange(n)[None, :, None], np.arange(m)[None, None, :]
+    who = np.arange(k)
+    box = np.tile([0, n, 0, m], (k, 1))  # the part of a and of b in question
+    while len(who):
+        i0, i1, j0, j1 = (x[:, None, None] for x in box.T)
+        here = np.where((at_a >= i0) & (at_b >= j0), np.minimum(runs[who], np.minimum(i1 - at_a, j1 - at_b)), 0).reshape(len(who), -1)
+        best = here.argmax(axis=1)
+        long = here[np.arange(len(who)), best]
+        found = long > 0
+        who, box, best, long = who[found], box[found], best[found], long[found].astype(np.int64)
+        np.add.at(total, who, long)
+        i, j = best // m, best % m
+        box = np.concatenate([np.stack([box[:, 0], i, box[:, 2], j], axis=1), np.stack([i + long, box[:, 1], j + long, box[:, 3]], axis=1)])
+        open_ = (box[:, 0] < box[:, 1]) & (box[:, 2] < box[:, 3])
+        who, box = np.concatenate([who, who])[open_], box[open_]
+    return total
+
+
 @F.pandas_udf(DoubleType())
 def ratio(pred: pd.Series, bib: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity; the order of the arguments matters."""
-    matcher = SequenceMatcher(None)
-    out = []
-    for a, b in zip(pred, bib):
-        matcher.set_seqs(a, b)
-        out.append(matcher.ratio())
-    return pd.Series(out, dtype="float64")
+    """Ratcliff-Obershelp similarity, pairs of equal lengths at a time; the order of the arguments matters."""
+    n, m = pred.str.len().to_numpy(), bib.str.len().to_numpy()
+    out = np.ones(len(pred))  # two empty texts are equal
+    for (p, q), places in pd.DataFrame({"n": n, "m": m}).groupby(["n", "m"]).indices.items():
+        if q >= POPULAR:
+            matcher = SequenceMatcher(None)
+            for k in places:
+                matcher.set_seqs(pred.iat[k], bib.iat[k])
+                out[k] = matcher.ratio()
+        elif not p or not q:
+            out[places] = 0.0 if p or q else 1.0
+        else:
+            step = max(1, CELLS // (p * q))
+            for some in (places[k : k + step] for k in range(0, len(places), step)):
+                codes = lambda texts, size: np.frombuffer("".join(texts.iloc[some]).encode("utf-32-le"), np.uint32).reshape(-1, size)  # noqa: B023, E731
+                out[some] = 2.0 * matches(codes(pred, p), codes(bib, q)) / (p + q)
+    return pd.Series(out)
 
 
 def _counts(text: Column) -> Column:

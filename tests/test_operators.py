@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import itertools
+from difflib import SequenceMatcher
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,6 +211,14 @@ def last(df):
     return df.orderBy(F.desc("frame_idx")).first()
 
 
+def test_ratio_equals_the_standard_matcher():
+    rng = np.random.default_rng(2)
+    text = lambda: "".join(rng.choice(list("0123ä🏁"[: rng.integers(1, 7)]), rng.integers(0, 9)))
+    pairs = [(text(), text()) for _ in range(3000)] + [("", ""), ("1", ""), ("a" * 250, "ab" * 130), ("ab" * 130, "a" * 150)]
+    got = REG.ratio.func(pd.Series([a for a, _ in pairs]), pd.Series([b for _, b in pairs]))
+    assert got.tolist() == [SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+
+
 def test_voting(spark):
     opts = {"window": 10, "min_votes": 3, "stable": 5}
     assert last(V.consensus(votes(spark, ("1234", 0.9), ("1234", 0.9)), **opts)).winner is None
