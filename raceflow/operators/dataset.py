@@ -44,7 +44,12 @@ def oversampled(samples: DataFrame, copies: dict[int, int] | None = None) -> Dat
 
 def numbers(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
     """id, digits, label: n synthetic labels of one to four digits, evenly by length; the same on any cluster."""
-    rows = spark.range(n).withColumn("digits", (F.col("id") % 4 + 1).cast("int"))
+    return numbers_for(spark.range(n), seed)
+
+
+def numbers_for(rows: DataFrame, seed: int = 42) -> DataFrame:
+    """id, digits, label: a synthetic label for each row (id), its digits by the id."""
+    rows = rows.withColumn("digits", (F.col("id") % 4 + 1).cast("int"))
     least = F.element_at(F.array(*[F.lit(10**k) for k in range(4)]), F.col("digits")).cast("long")
     draw = F.conv(F.substring(_shuffled("id", seed), 1, 12), 16, 10).cast("long")
     return rows.select("id", "digits", (least + draw % (9 * least)).cast("string").alias("label"))

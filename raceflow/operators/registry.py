@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from raceflow.functions import text as T
+
 #: Rows up to which a registry is broadcast after counting.
 BROADCAST_ROWS = 1_000_000
 
@@ -19,6 +21,12 @@ def from_range(spark: SparkSession, start: int, end: int) -> DataFrame:
     return spark.range(start, end + 1).select(F.col("id").cast("string").alias("bib"))
 
 
+def of_ranges(texts: Column, rows: DataFrame) -> DataFrame:
+    """The distinct bibs of all ranges `a-b` (both ends count) among the rows' texts; other texts and empty ranges give none."""
+    ranges = rows.select(T.range_of(texts).alias("r")).where("r.first <= r.last")
+    return ranges.select(F.explode(F.sequence("r.first", "r.last")).alias("n")).select(F.col("n").cast("string").alias("bib")).distinct()
+
+
 def sized(registry: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """The registry with a broadcast hint if it has few rows."""
     return F.broadcast(registry) if registry.limit(limit + 1).count() <= limit else registry

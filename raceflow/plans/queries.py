@@ -73,9 +73,11 @@ def src_seek(s, d):
     return readers.strided(W.reads(s, d), 1, 2000).select("run_id", "frame_idx", "track_id")
 
 
-@query("SELECT CAST(range AS VARCHAR) AS bib FROM range(100, 1201)")
+@query("SELECT DISTINCT CAST(unnest(range(s_suppkey * 40, s_suppkey * 40 + s_nationkey)) AS VARCHAR) AS bib FROM supplier")
 def src_bibrange(s, d):
-    return REG.from_range(s, 100, 1200)
+    """The numbers of ranges given as texts, one for each supplier; some are empty."""
+    k = F.col("s_suppkey") * 40
+    return REG.of_ranges(F.concat(k.cast("string"), F.lit("-"), (k + F.col("s_nationkey") - 1).cast("string")), W.table(s, d, "supplier"))
 
 
 @query("SELECT DISTINCT trim(p_brand) AS bib FROM part WHERE trim(p_brand) <> ''")
@@ -1095,10 +1097,10 @@ def smp_oversample(s, d):
     return DS.oversampled(W.samples(s, d)).select("doc_id", "copy")
 
 
-@query("SELECT id, CAST(id % 4 + 1 AS INT) AS digits, CAST(CAST(pow(10, id % 4) AS BIGINT) + CAST('0x' || substr(md5('7#' || id), 1, 12) AS BIGINT) % (9 * CAST(pow(10, id % 4) AS BIGINT)) AS VARCHAR) AS label FROM (SELECT range AS id FROM range(2000))")
+@query("SELECT id, CAST(id % 4 + 1 AS INT) AS digits, CAST(CAST(pow(10, id % 4) AS BIGINT) + CAST('0x' || substr(md5('7#' || id), 1, 12) AS BIGINT) % (9 * CAST(pow(10, id % 4) AS BIGINT)) AS VARCHAR) AS label FROM (SELECT o_orderkey AS id FROM orders)")
 def gen_numbers(s, d):
-    """Synthetic labels of one to four digits, evenly by length, from a seed."""
-    return DS.numbers(s, 2000, 7)
+    """A synthetic label of one to four digits for every order, evenly by length, from a seed."""
+    return DS.numbers_for(W.table(s, d, "orders").select(F.col("o_orderkey").alias("id")), 7)
 
 
 @query("SELECT id, status FROM (SELECT 'review_' || sequence AS id, status FROM items) WHERE id NOT IN (SELECT 'review_' || sequence FROM items WHERE status IS NOT NULL)")
@@ -1127,10 +1129,12 @@ def ds_compare(s, d):
 # --- the rest of the inventory --------------------------------------------------------------------
 
 
-@query("SELECT 'run0' AS run_id, range AS frame_idx FROM range(1, 101)")
+@query("SELECT 'run0' AS run_id, range AS frame_idx FROM range(1, (SELECT count(*) + 1 FROM orders))")
 def src_iter(s, d):
+    """As many frames of the frame source as there are orders."""
     s.dataSource.register(readers.FrameSource)
-    return s.read.format("frames").option("frames", 100).load().select("run_id", "frame_idx")
+    frames = s.read.format("frames").options(frames=W.table(s, d, "orders").count(), width=8, height=8)
+    return frames.load().select("run_id", "frame_idx")
 
 
 @query("SELECT 'run0' AS run_id, row_number() OVER (ORDER BY r_regionkey) AS frame_idx, 5::INT AS width, 2::INT AS height, upper(hex(substr(r_name || '          ', 1, 10))) AS pixels FROM region")
