@@ -28,7 +28,7 @@ from raceflow.operators import voting as V
 from raceflow.plans import pipeline
 from raceflow.plans import views as W
 from raceflow.sources import readers, sinks
-from raceflow.streaming import buffers
+from raceflow.streaming import buffers, jobs
 from raceflow.streaming import state as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1479,3 +1479,30 @@ def st_consensus_ttl_stream(s, d):
     rows = W.reads(s, d).select("run_id", "track_id", "frame_idx", "number")
     out, _ = ST.replayed(ST.slices(rows, 3), lambda r: ST.remembered(ST.timed(r, "0 seconds", 1.0), 300, 1.0), "run_id string, track_id bigint, number string, last_frame bigint, live boolean")
     return ST.all_time(out)
+
+
+@query()
+def st_crossing_stream(s, d):
+    """Crossings of a stream of all observations, with each track's side and last firing as state."""
+    o = W.observations(s, d).select("track_id", "frame_idx", "x", "y")
+    return ST.replayed(ST.slices(o, 3), lambda r: jobs.crossings(r, W.LINE, 3, 1500), "track_id bigint, frame_idx bigint")[0]
+
+
+SQL["st_crossing_stream"] = SQL["win_debounce"]
+
+
+@query(f"WITH {_CONS} SELECT track_id, frame_idx, winner, round(confidence, 6) AS confidence, is_stable FROM consensus")
+def st_vote_stream(s, d):
+    """The consensus after each read of a stream, with a track's last fifteen votes as state."""
+    r = W.reads(s, d).select("track_id", "frame_idx", "number", "conf")
+    out, _ = ST.replayed(ST.slices(r, 3), lambda b: jobs.votes(b, stable=2), "track_id bigint, frame_idx bigint, winner string, confidence double, is_stable boolean")
+    return out.withColumn("confidence", F.round("confidence", 6))
+
+
+@query()
+def st_dedup_stream(s, d):
+    """The emissions of a stream that are new, with each number's emissions so far as state."""
+    return ST.replayed(ST.slices(W.emissions(s, d), 3), lambda r: jobs.deduplicated(r, 300, 5.0), "bib string, frame_idx bigint, conf double, track_id bigint")[0]
+
+
+SQL["st_dedup_stream"] = f"SELECT bib, frame_idx, conf, track_id FROM ({SQL['st_dedup']}) WHERE emitted"

@@ -14,6 +14,7 @@ from raceflow.operators import images as I
 from raceflow.operators import ordering as O
 from raceflow.operators import quality as Q
 from raceflow.operators import recovery as R
+from raceflow.operators import registry as REG
 from raceflow.operators import review as RV
 
 
@@ -173,6 +174,11 @@ def test_queue_reasons_and_parsing(spark):
     assert {t: v for t, v in got.items() if v != (None, None)} == {"0,0.5,1,-1": ((0.0, 0.5, 1.0, -1.0), None), "5-9": (None, (5, 9))}
 
 
+def test_ranges_of_texts(spark):
+    df = spark.createDataFrame([("3-5",), ("5-6",), ("9-8",), ("x",), (None,)], "t string")
+    assert sorted(r.bib for r in REG.of_ranges(F.col("t"), df).collect()) == ["3", "4", "5", "6"]
+
+
 def test_cascade_totals(spark):
     rows = spark.createDataFrame([("a", 1, "fast"), ("a", 5, "slow"), ("a", 7, "fast"), ("b", 1, "slow"), ("c", 3, "fast")], "run_id string, frame_idx long, model string")
     resets = spark.createDataFrame([("a", 1), ("a", 5), ("c", 9)], "run_id string, frame_idx long")
