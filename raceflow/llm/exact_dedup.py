@@ -77,7 +77,7 @@ def chunks(data: bytes, powers: dict[str, np.ndarray] | None = None) -> list[byt
     return out
 
 
-_RECIPES = pa.schema([(C.ROW, pa.int64()), ("doc_id", pa.int64()), ("text_sha256", pa.string()), ("recipe", pa.list_(pa.binary()))])
+_RECIPES = pa.schema([(C.ROW, pa.int64()), ("doc_id", pa.int64()), ("text_sha256", pa.string()), ("recipe", pa.list_(pa.binary())), ("key", pa.binary())])
 _CHUNKS = pa.schema([("digest", pa.binary()), ("chunk", pa.binary())])
 
 
@@ -86,12 +86,14 @@ def _recipes(digest: Callable[[bytes], bytes]):
         powers: dict[str, np.ndarray] = {}
         for b in C.slices(batches, "text"):
             data = C.texts(b.column("text"))
+            made = [[digest(c) for c in chunks(x, powers)] for x in data]
             yield C.batch_of(
                 _RECIPES,
                 **{C.ROW: b.column(C.ROW)},
                 doc_id=b.column("doc_id"),
                 text_sha256=[hashlib.sha256(x).hexdigest() for x in data],
-                recipe=[[digest(c) for c in chunks(x, powers)] for x in data],
+                recipe=made,
+                key=[hashlib.sha256(b"".join(x)).digest() for x in made],
             )
 
     return run
@@ -108,12 +110,12 @@ def _contents(digest: Callable[[bytes], bytes]):
 
 
 def recipes(rows: DataFrame, digests=DIGESTS) -> DataFrame:
-    """The key, doc_id, text_sha256, recipe (ordered verified chunk identifiers) of every row (key, doc_id, text)."""
+    """The key, doc_id, text_sha256, recipe (ordered verified chunk identifiers), key (a digest of the recipe: groups are found by lists and looked up by it, so no list is broadcast) of every row (its key, doc_id, text)."""
     for k, digest in enumerate(digests):
-        made = C.written(rows.mapInArrow(C.tidy(_recipes(digest)), f"{C.ROW} long, doc_id long, text_sha256 string, recipe array<binary>"), "recipes")
-        shared = made.groupBy("recipe").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and size(recipe) > 0")
+        made = C.written(rows.mapInArrow(C.tidy(_recipes(digest)), f"{C.ROW} long, doc_id long, text_sha256 string, recipe array<binary>, key binary"), "recipes")
+        shared = made.groupBy("recipe").agg(F.count(F.lit(1)).alias("n"), F.first("key").alias("key")).where("n > 1 and size(recipe) > 0").select("key", "n")
         total = made.count()
-        again = C.written(C.with_groups(made.where("size(recipe) > 0"), shared, ["recipe"], "n", total).select(C.ROW), "shared")
+        again = C.written(C.with_groups(made.where("size(recipe) > 0"), shared, ["key"], "n", total).select(C.ROW), "shared")
         bytes_of = rows.join(C.small(again, 16), C.ROW, "left_semi").select("text").mapInArrow(C.tidy(_contents(digest)), "digest binary, chunk binary")
         clash = bytes_of.groupBy("digest").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).where("a <> b")
         if clash.isEmpty():
@@ -125,8 +127,8 @@ def _grouped(rows: DataFrame, digests=DIGESTS) -> DataFrame:
     """The recipes with keep_id, keep_row (the one row that stays of each text) and group_size."""
     made = recipes(rows, digests)
     best = F.max(F.struct("doc_id", C.ROW))
-    heads = made.groupBy("recipe").agg(best["doc_id"].alias("keep_id"), best[C.ROW].alias("keep_row"), F.count(F.lit(1)).alias("group_size"))
-    return C.with_groups(made, C.written(heads, "heads"), ["recipe"], "group_size", made.count())
+    heads = made.groupBy("recipe").agg(best["doc_id"].alias("keep_id"), best[C.ROW].alias("keep_row"), F.count(F.lit(1)).alias("group_size"), F.first("key").alias("key")).drop("recipe")
+    return C.with_groups(made, C.written(heads, "heads"), ["key"], "group_size", made.count())
 
 
 def groups(docs: DataFrame, digests=DIGESTS) -> DataFrame:
