@@ -320,6 +320,17 @@ _RUNS = pa.schema([("bucket", pa.int64()), ("run", pa.binary()), *_HOT])
 _RUNS_DDL = f"bucket long, run binary, {_HOT_DDL}"
 
 
+def _merged_ranges(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The same windows in as few ranges (row, first, last, kind): those of neighbouring anchors of a row become one."""
+    out: list[tuple[int, int, int, int]] = []
+    for row, first, last, kind in sorted(found, key=lambda x: (x[0], x[3], x[1])):
+        if out and out[-1][0] == row and out[-1][3] == kind and first <= out[-1][2] + 1:
+            out[-1] = (row, out[-1][1], max(last, out[-1][2]), kind)
+        else:
+            out.append((row, first, last, kind))
+    return out
+
+
 def _batch(schema: pa.Schema, **cols: list) -> pa.RecordBatch:
     """A batch of these columns, all others null."""
     n = len(next(iter(cols.values())))
@@ -334,7 +345,7 @@ def sorted_runs(entries: list[Entry], hot: list[Entry], buckets: int) -> Iterato
         by.setdefault(int.from_bytes(e[0][:8], "big") % buckets, []).append(e)
     yield _batch(_RUNS, bucket=list(by), run=[*map(pack, by.values())])
     kept, more = _settle(hot, gather=False)
-    found += more + [x for e in kept if e[6] for x in _ranges(e)]
+    found = _merged_ranges(found + more + [x for e in kept if e[6] for x in _ranges(e)])
     names = ("row", "first", "last", "kind")
     yield _batch(_RUNS, bucket=[x[0] % buckets for x in found], **{c: [x[k] for x in found] for k, c in enumerate(names)})
     plain = {"row": [e[2] for e in kept], "at": [e[3] for e in kept], "low": [e[4] for e in kept], "high": [e[5] for e in kept], "left": [e[1] for e in kept], "right": [e[0][8:] for e in kept], "settled": [e[6] for e in kept]}
