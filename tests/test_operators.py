@@ -232,6 +232,11 @@ def test_voting(spark):
     assert V.early(V.consensus(votes(spark, *[("1234", 0.95)] * 4), **opts)).count() == 2
 
 
+def test_equal_means_with_bonus_go_to_the_least_number(spark):
+    reads = votes(spark, ("1000", 0.6), *[("1001", 0.44)] * 5, ("1002", 0.5))  # 0.6 * 1.1 = 0.44 * 1.5
+    assert [tuple(r) for r in V.vote_mean_bonus(reads).collect()] == [(1, "1000", 0.6)]
+
+
 def test_confidence(spark):
     one = spark.createDataFrame([(0.95,), (0.75,), (0.55,), (0.30,)], "c double")
     assert [r.l for r in one.select(T.level(F.col("c")).alias("l")).collect()] == ["high", "medium", "low", "reject"]
