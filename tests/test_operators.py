@@ -237,6 +237,11 @@ def test_equal_means_with_bonus_go_to_the_least_number(spark):
     assert [tuple(r) for r in V.vote_mean_bonus(reads).collect()] == [(1, "1000", 0.6)]
 
 
+def test_equal_sums_go_to_the_least_number(spark):
+    reads = votes(spark, ("1000", 0.6), ("1001", 0.1), ("1001", 0.2), ("1001", 0.3)).coalesce(1)  # 0.1 + 0.2 + 0.3 > 0.6 as doubles
+    assert [tuple(r) for r in V.vote_sum(reads).collect()] == [(1, "1000", 0.6)]
+
+
 def test_confidence(spark):
     one = spark.createDataFrame([(0.95,), (0.75,), (0.55,), (0.30,)], "c double")
     assert [r.l for r in one.select(T.level(F.col("c")).alias("l")).collect()] == ["high", "medium", "low", "reject"]
