@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from raceflow.config import Line
 from raceflow.operators import dedup as D
+from raceflow.operators.voting import SCORE
 
 
 def side(x: float, y: float, line: Line) -> int:
@@ -107,7 +108,7 @@ def votes(reads: DataFrame, window: int = 15, decay: float = 0.9, stable: int =
             score: dict[str, float] = {}
             for i, (number, conf) in enumerate(held):
                 score[number] = score.get(number, 0.0) + decay ** (len(held) - 1 - i) * conf
-            best = max(score, key=score.__getitem__)
+            best = max(score, key=lambda n: round(score[n], SCORE))  # of equals the first in the window
             own = [c for n, c in held if n == best]
             out.append((key[0], int(r.frame_idx), best, 0.5 * len(own) / len(held) + 0.5 * sum(own) / len(own), run[0] == best and run[1] >= stable))
         state.update((json.dumps([held, run]),))

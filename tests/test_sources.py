@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 
 import pytest
@@ -100,6 +101,12 @@ def test_streams_equal_batches(spark, tmp_path):
     assert got == {(r.bib, r.frame_idx) for r in D.deduplicated(em, 20, 5.0).where("emitted").collect()}
 
 
+def test_equal_votes_of_a_stream_go_to_the_first(spark, tmp_path):
+    reads = spark.createDataFrame([(1, 0, "a", 0.011), (1, 1, "b", 0.0099), (2, 0, "a", 0.022), (2, 1, "b", 0.0198)], "track_id long, frame_idx long, number string, conf double")  # 0.9 * 0.011 < 0.0099 as doubles
+    got = {(r.track_id, r.frame_idx): r.winner for r in collected(spark, jobs.votes(stream(spark, reads, tmp_path, "t")), "ties")}
+    assert got == {(r.track_id, r.frame_idx): r.winner for r in V.consensus(reads).collect()} == dict.fromkeys(itertools.product((1, 2), (0, 1)), "a")
+
+
 def test_manager(spark, tmp_path):
     df = spark.range(5).withColumn("sequence", F.col("id"))
     m, seen = jobs.Manager(), []
