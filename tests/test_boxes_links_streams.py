@@ -14,6 +14,7 @@ from raceflow.operators import association as A
 from raceflow.operators import crossing as X
 from raceflow.operators import dataset as DS
 from raceflow.operators import dedup as D
+from raceflow.operators import folds as FO
 from raceflow.operators import kalman as K
 from raceflow.operators import ordering as O
 from raceflow.operators import recovery as R
@@ -411,3 +412,41 @@ def test_stream_remembers_for_a_while(spark):
     assert sorted(map(tuple, ST.all_time(got).collect())) == want
     kept = spark.read.format("statestore").option("stateVarName", "machine").load(check).count()
     assert kept == sum(r[4] for r in want) < 10
+
+
+# --- folds in chunks -------------------------------------------------------------------------------
+
+
+def _moving(seed, frames=120):
+    """Rows of boxes that come, go and cross, in two runs, with frames left out."""
+    rng, rows = random.Random(seed), []
+    for run in "ab":
+        for f in range(frames):
+            if rng.random() < 0.1:
+                continue
+            seen = [(run, 3 * f, x, y, x + 40.0, y + 60.0, rng.random()) for x, y in ((100.0 + 7 * (f % 45), 200.0), (600.0 - 7 * (f % 50), 220.0), (rng.randrange(800), rng.randrange(500))) if rng.random() < 0.8]
+            rows += seen or [(run, 3 * f, None, None, None, None, None)]
+    return [tuple(v if v is None or isinstance(v, (str, int)) and k < 2 else float(v) for k, v in enumerate(r)) for r in rows]
+
+
+@pytest.mark.parametrize(("chunk", "before"), [(16, 8), (16, 0), (7, 2), (4096, 512)])
+def test_chunks_equal_one_walk(spark, monkeypatch, chunk, before):
+    """Right and wrong guesses, mended in rounds or in order, give the tracks of one walk, numbers included."""
+    monkeypatch.setattr(FO, "CHUNK", chunk)
+    monkeypatch.setattr(FO, "BEFORE", before)
+    rows = _moving(chunk)
+    got = TR.tracked(spark.createDataFrame(rows, f"run_id string, frame_idx long, {BOX}, confidence double"), 5, 60.0)
+    want = set()
+    for run in "ab":
+        plain = TR.Tracker(5, 60.0)
+        for f, own in itertools.groupby((r for r in rows if r[0] == run), key=lambda r: r[1]):
+            found = plain.update(sorted(r[2:6] for r in own if r[2] is not None))
+            want |= {(run, f, i, *p, *b, m) for i, (p, b, m) in found.items()}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_one_run_goes_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(FO, "CHUNK", 16)
+    rows = [r for r in _moving(1) if r[0] == "a"]
+    got = TR.tracked(spark.createDataFrame(rows, f"run_id string, frame_idx long, {BOX}, confidence double"), 5, 60.0)
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
