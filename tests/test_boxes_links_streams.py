@@ -450,3 +450,16 @@ def test_one_run_goes_to_many_tasks(spark, monkeypatch):
     rows = [r for r in _moving(1) if r[0] == "a"]
     got = TR.tracked(spark.createDataFrame(rows, f"run_id string, frame_idx long, {BOX}, confidence double"), 5, 60.0)
     assert got.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def _sorted_sides(df):
+    """The aggregations of a plan that sort what they are given."""
+    return df._jdf.queryExecution().executedPlan().toString().count("SortAggregate")
+
+
+def test_pairs_are_hashed_not_sorted(spark):
+    """Of equally near numbers the least, and no sort of all pairs of a frame."""
+    pairs = [(1, 1, 7, True, 5.0), (1, 1, 6, True, 5.0), (1, 1, 9, True, 4.0), (1, 1, 8, True, 4.0), (1, 2, 5, False, 3.0), (1, 2, 9, True, 2.0), (1, 2, 8, True, 2.0), (2, 1, 4, False, 3.0), (2, 1, 3, False, 200.0)]
+    got = A.best_bib(spark.createDataFrame(pairs, "frame_idx long, person long, bib long, inside boolean, dist double"), 150.0)
+    assert {tuple(r) for r in got.collect()} == {(1, 1, 8, 4.0), (1, 2, 8, 2.0), (2, 1, 4, 3.0)}
+    assert _sorted_sides(got) == 0
