@@ -463,3 +463,13 @@ def test_pairs_are_hashed_not_sorted(spark):
     got = A.best_bib(spark.createDataFrame(pairs, "frame_idx long, person long, bib long, inside boolean, dist double"), 150.0)
     assert {tuple(r) for r in got.collect()} == {(1, 1, 8, 4.0), (1, 2, 8, 2.0), (2, 1, 4, 3.0)}
     assert _sorted_sides(got) == 0
+
+
+def test_numbers_in_a_box_are_hashed_not_sorted(spark):
+    """The surest number, of equals the least; the pairs of a frame are hashed, only the winners' texts are sorted."""
+    events = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 10.0), (2, 1, 20.0, 0.0, 30.0, 10.0), (3, 2, 0.0, 0.0, 10.0, 10.0)], f"event long, frame_idx long, {BOX}")
+    seen = [(1, 5.0, 5.0, "12", 0.9, "high"), (1, 6.0, 5.0, "11", 0.9, "high"), (1, 6.0, 5.0, "10", 0.8, "high"), (1, 25.0, 5.0, "13", 0.7, "medium"), (2, 50.0, 5.0, "14", 0.9, "high"), (2, 5.0, 5.0, "15", 0.9, "low")]
+    got = R.contained(events, spark.createDataFrame(seen, "frame_idx long, bx double, by double, number string, conf double, level string"))
+    assert {tuple(r) for r in got.collect()} == {(1, "11"), (2, "13")}
+    per = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Aggregate" in line]
+    assert any("HashAggregate" in line and "min(place" in line for line in per)
