@@ -5,7 +5,9 @@ then hands all of its key's rows up to there, in order, to the same state machin
 both give the same rows. Rows that come after their time are counted and dropped. What the watermark hasn't passed when a
 stream ends stays held for the next run; nothing is flushed early.
 
-State is kept by key in the state store (RocksDB): held rows, the machine, and how many rows were late.
+State is kept by key in the state store (RocksDB): held rows, the machine, and how many rows were late. Where keys are many
+and have little state, a group of keys is one key of the state store (Dealt), as a call for each key costs more than its rows.
+Rows go to the state and come out of it in portions, so a worker never holds all rows of a key.
 """
 
 from __future__ import annotations
@@ -38,11 +40,17 @@ def _plain(x):
 
 #: Frames whose held rows are one entry of the state.
 BLOCK = 64
+#: Rows that are taken in before they go to the state, and that are given out at a time.
+PORTION = 8192
+#: Groups to which keys are dealt, where a group of keys has one state.
+GROUPS = 128
 
 
 class Held(StatefulProcessor):
     """Holds a key's rows and takes them in order of frame; `take` is given all rows of a frame, `value` is the machine's state."""
 
+    block = BLOCK
+
     def __init__(self, columns: list[str], names: list[str], fps: float):
         self.columns, self.names, self.fps = columns, names, fps
 
@@ -50,54 +58,85 @@ class Held(StatefulProcessor):
         self.handle = handle
         self.held = handle.getMapState("held", "block long", "rows string")
         self.late = handle.getValueState("late", "n long")
-        self.machine = handle.getValueState("machine", "json string")
+        if not isinstance(self, Dealt):
+            self.machine = handle.getValueState("machine", "json string")
 
     def at(self, frame: int) -> int:
         """A frame's time in milliseconds, as timed() has it."""
         return int((frame + 1) * 1000.0 / self.fps)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        passed, late = timerValues.getCurrentWatermarkInMs(), 0
+        passed, late, first, n = timerValues.getCurrentWatermarkInMs(), 0, None, 0
         new: dict[int, dict[str, list]] = {}
         for part in rows:
             for frame, *row in part[["frame_idx", *self.columns]].itertuples(index=False):
-                if self.at(int(frame)) <= passed:
+                frame = int(frame)
+                if self.at(frame) <= passed:
                     late += 1
-                else:
-                    new.setdefault(int(frame) // BLOCK, {}).setdefault(str(int(frame)), []).append([_plain(x) for x in row])
-        for block, own in new.items():
-            if self.held.containsKey((block,)):
-                for frame, before in json.loads(self.held.getValue((block,))[0]).items():
-                    own[frame] = before + own.get(frame, [])
-            self.held.updateValue((block,), (json.dumps(own),))
-        if new:
-            self.handle.registerTimer(self.at(min(int(f) for own in new.values() for f in own)))
+                    continue
+                new.setdefault(frame // self.block, {}).setdefault(str(frame), []).append([_plain(x) for x in row])
+                first, n = frame if first is None else min(first, frame), n + 1
+                if n >= PORTION:
+                    self.hold(new)
+                    new, n = {}, 0
+        self.hold(new)
+        if first is not None:
+            self.handle.registerTimer(self.at(first))
         if late:
             self.late.update(((self.late.get()[0] if self.late.exists() else 0) + late,))
         yield from ()
 
+    def hold(self, new: dict[int, dict[str, list]]) -> None:
+        """Puts rows (block -> frame -> rows) to those in the state."""
+        for block, own in new.items():
+            before = self.held.getValue((block,))
+            if before is not None:
+                for frame, rows in json.loads(before[0]).items():
+                    own[frame] = rows + own.get(frame, [])
+            self.held.updateValue((block,), (json.dumps(own),))
+
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        upto, out, left = timerValues.getCurrentWatermarkInMs(), [], []  # all that is due now; other timers that are due find nothing
+        upto, out, left = timerValues.getCurrentWatermarkInMs(), [], None  # all that is due now; other timers that are due find nothing
         self.load()
-        for (block,), (text,) in sorted(self.held.iterator()):
-            own = {int(f): rows for f, rows in json.loads(text).items()}
+        for block in sorted(b for (b,) in self.held.keys()):
+            if self.at(block * self.block) > upto:
+                left = block * self.block if left is None else left
+                break
+            own = {int(f): rows for f, rows in json.loads(self.held.getValue((block,))[0]).items()}
             rest = {f: rows for f, rows in own.items() if self.at(f) > upto}
-            for frame in sorted(own.keys() - rest.keys()):
-                out.extend(self.passed(key, self.at(frame)))
-                out.extend(self.take(key, frame, own[frame]))
-            left += rest
+            for row in self.walked(key, [(f, own[f]) for f in sorted(own.keys() - rest.keys())]):
+                out.append(row)
+                if len(out) >= PORTION:
+                    yield pd.DataFrame(out, columns=self.names)
+                    out = []
             if not rest:
                 self.held.removeKey((block,))
             elif len(rest) < len(own):
                 self.held.updateValue((block,), (json.dumps(rest),))
-        out.extend(self.passed(key, upto))
+            if rest:
+                left = min(rest)
+        out.extend(self.over(key, upto))
         self.save()
-        for frame in (min(left, default=None), self.due()):
+        for frame in (left, self.asked()):
             if frame is not None and self.at(frame) > upto:
                 self.handle.registerTimer(self.at(frame))
         if out:
             yield pd.DataFrame(out, columns=self.names)
 
+    def walked(self, key: tuple, due: list[tuple[int, list[list]]]) -> Iterator[tuple]:
+        """What the rows (frame and its rows, in order) give."""
+        for frame, rows in due:
+            yield from self.passed(key, self.at(frame))
+            yield from self.take(key, frame, rows)
+
+    def over(self, key: tuple, upto: int) -> list[tuple]:
+        """What is due after all rows up to this time."""
+        return self.passed(key, upto)
+
+    def asked(self) -> int | None:
+        """The frame by which the state store should ask again."""
+        return self.due()
+
     def load(self) -> None:
         self.value = json.loads(self.machine.get()[0]) if self.machine.exists() else None
 
@@ -119,6 +158,64 @@ class Held(StatefulProcessor):
         return None
 
 
+class Dealt(Held):
+    """A group of keys: each key's rows are taken on their own, with a value of its own that goes when it is None. A row begins with its key as JSON."""
+
+    block = BLOCK * GROUPS
+
+    def init(self, handle):
+        super().init(handle)
+        self.machine = handle.getMapState("machine", "name string", "json string")
+
+    def load(self):
+        self.before = {name: text for (name,), (text,) in self.machine.iterator()}
+        self.values = {name: json.loads(text) for name, text in self.before.items()}
+        self.most = 2 * len(self.values) + PORTION
+
+    def save(self):
+        """Only values that have changed are written."""
+        for name in self.before.keys() - self.values.keys():
+            self.machine.removeKey((name,))
+        for name, value in self.values.items():
+            if self.before.get(name) != (text := json.dumps(value)):
+                self.machine.updateValue((name,), (text,))
+
+    def _with(self, name: str, make: Callable[[tuple], Iterator[tuple]]) -> Iterator[tuple]:
+        self.value = self.values.get(name)
+        yield from make(tuple(json.loads(name).values()))
+        if self.value is not None:
+            self.values[name] = self.value
+        else:
+            self.values.pop(name, None)
+
+    def walked(self, key, due):
+        own: dict[str, dict[int, list]] = {}
+        for frame, rows in due:
+            for name, *row in rows:
+                own.setdefault(name, {}).setdefault(frame, []).append(row)
+        for name, frames in own.items():
+            yield from self._with(name, lambda k: Held.walked(self, k, list(frames.items())))  # noqa: B023
+        if len(self.values) > self.most:  # keys that are over go, so that only living ones are held
+            yield from self.over(key, self.at(due[-1][0]))
+            self.most = 2 * len(self.values) + PORTION
+
+    def over(self, key, upto):
+        return [row for name in list(self.values) for row in self._with(name, lambda k: self.passed(k, upto))]
+
+    def asked(self):
+        frames = []
+        for self.value in self.values.values():
+            frames.append(self.due())
+        return min(frames, default=None)
+
+
+def _dealt(rows: DataFrame, keys: list[str], make, columns: list[str], schema: str, fps: float) -> DataFrame:
+    """_run() for many keys with little state each (numbers and texts), with `make` of a Dealt."""
+    name = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    rows = rows.withColumns({"key_json": name, "key_group": F.pmod(F.xxhash64(*keys), F.lit(GROUPS))})
+    return _run(rows, ["key_group"], make, ["key_json", *columns], schema, fps)
+
+
 def _run(rows: DataFrame, keys: list[str], make, columns: list[str], schema: str, fps: float) -> DataFrame:
     names = [x.strip().split()[0] for x in schema.split(",")]
     package = sys.modules[__name__.partition(".")[0]]
@@ -163,7 +260,7 @@ def tracked(detections: DataFrame, gone: int = 30, far: float = 100.0, fps: floa
     return _run(rows, ["run_id"], make, columns, TRACKED, fps)
 
 
-class _Zone(Held):
+class _Zone(Dealt):
     """A track in zone mode: how often it was seen, whether it was emitted, and its last row."""
 
     ready, gone = 5, 20
@@ -203,7 +300,7 @@ def zone(seen: DataFrame, ready: int = 5, gone: int = 20, fps: float = 30.0, key
 
     kinds = dict(seen.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "frame_idx bigint, bib string, x double, y double"])
-    return _run(seen.select(*keys, "frame_idx", "ts", "bib", "x", "y"), list(keys), make, ["bib", "x", "y"], schema, fps)
+    return _dealt(seen.select(*keys, "frame_idx", "ts", "bib", "x", "y"), list(keys), make, ["bib", "x", "y"], schema, fps)
 
 
 class _Votes(Held):
@@ -260,7 +357,7 @@ def associated(seen: DataFrame, far: float = 350.0, memory: int = 900, typical:
     return _run(seen.select("run_id", "frame_idx", "ts", *columns), ["run_id"], make, columns, "run_id string, frame_idx bigint, person bigint, number string, confidence double", fps)
 
 
-class _Last(Held):
+class _Last(Dealt):
     """A track's last number, until it has been silent for `memory` frames."""
 
     memory = 300
@@ -292,7 +389,7 @@ def remembered(reads: DataFrame, memory: int, fps: float = 30.0) -> DataFrame:
 
     kind = dict(reads.dtypes)["track_id"]
     rows = reads.select("run_id", "track_id", "frame_idx", "ts", "number")
-    return _run(rows, ["run_id", "track_id"], make, ["number"], f"run_id string, track_id {kind}, number string, last_frame bigint, live boolean", fps)
+    return _dealt(rows, ["run_id", "track_id"], make, ["number"], f"run_id string, track_id {kind}, number string, last_frame bigint, live boolean", fps)
 
 
 def all_time(log: DataFrame) -> DataFrame:
@@ -302,7 +399,8 @@ def all_time(log: DataFrame) -> DataFrame:
 
 
 def slices(rows: DataFrame, parts: int) -> list[DataFrame]:
-    """rows in `parts` slices of time."""
+    """rows in `parts` slices of time; they are made once, by as many tasks as make them, and written."""
+    rows = shared.written(rows, "slices")
     low, high = rows.agg(F.min("frame_idx"), F.max("frame_idx")).first()
     if low is None:
         return [rows]

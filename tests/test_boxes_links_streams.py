@@ -473,3 +473,27 @@ def test_numbers_in_a_box_are_hashed_not_sorted(spark):
     assert {tuple(r) for r in got.collect()} == {(1, "11"), (2, "13")}
     per = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Aggregate" in line]
     assert any("HashAggregate" in line and "min(place" in line for line in per)
+
+
+def test_stream_calls_for_groups_of_keys(spark):
+    """Many tracks are dealt to few keys of the state store, and keys of any kind come back as they were."""
+    rows = [(None if t == 7 else f"r{t % 3}", 9_007_199_254_740_993 + t, 10 * t + k, "5" if k == 4 and t % 2 else None, float(t), 1.0) for t in range(300) for k in range(6)]
+    z = spark.createDataFrame(rows, "run_id string, track_id long, frame_idx long, bib string, x double, y double")
+    out = "run_id string, track_id bigint, frame_idx bigint, bib string, x double, y double"
+    got, check = ST.replayed(ST.slices(z, 2), lambda s: ST.zone(ST.timed(s, "5 seconds", 1.0), 5, 20, 1.0, ("run_id", "track_id")), out)
+    assert ST.late_rows(spark, check) == 0
+    first = {t: next(f for _, u, f, *_ in rows if u == t) for _, t, *_ in rows}
+    end = max(f for _, _, f, *_ in rows) - 5  # as far as the watermark comes
+    want = [(r, t, f, "5", x, y) for r, t, f, b, x, y in rows if b and f <= end]
+    want += [(r, t, f + 21, "UNKNOWN", x, y) for r, t, f, b, x, y in rows if f == first[t] + 5 and (t - 9_007_199_254_740_993) % 2 == 0 and f + 21 <= end]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    held = spark.read.format("statestore").option("stateVarName", "held").load(check)
+    assert held.schema["key"].dataType.names == ["key_group"]  # not a key for each track
+
+
+def test_stream_gives_rows_in_portions(spark, monkeypatch):
+    """What comes in and goes out in several portions is what came in one."""
+    df, end = detections(spark)
+    monkeypatch.setattr(ST, "PORTION", 7)
+    got, _ = ST.replayed([df, end], lambda s: ST.tracked(ST.timed(s, LATE, 1.0), 5, 60.0, 1.0), TR.TRACKED)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, TR.tracked(df, 5, 60.0).collect()))
