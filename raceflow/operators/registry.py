@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from raceflow import shared
 from raceflow.functions import text as T
 
 #: Rows up to which a registry is broadcast after counting.
@@ -62,7 +63,7 @@ def trailing(preds: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 #: Cells (characters by characters) that are compared at a time, and the length from which the standard matcher leaves out frequent characters.
-CELLS, POPULAR = 1 << 21, 200
+CELLS, POPULAR = 1 << 18, 200
 
 
 def matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -126,15 +127,14 @@ def _could_reach(threshold: float) -> Column:
 
 
 def _scored(both: DataFrame, threshold: float) -> DataFrame:
-    """pred, bib, score of the pairs that are similar enough; the Python ratio sees only pairs that could be."""
-    return both.where(_could_reach(threshold)).select("pred", "bib", ratio("pred", "bib").alias("score")).where(F.col("score") >= threshold)
-
+    """pred, bib, score of the distinct pairs that are similar enough; the Python ratio sees only pairs that could be.
 
-def same_prefix(preds: DataFrame, registry: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """pred, bib, score: registry numbers with the prediction's first two characters that are similar enough."""
-    p = preds.where(F.length("pred") >= 2).select("pred", F.substring("pred", 1, 2).alias("key"), _counts(F.col("pred")).alias("pc"))
-    r = sized(registry.where(F.length("bib") >= 2).select("bib", F.substring("bib", 1, 2).alias("key"), _counts(F.col("bib")).alias("bc")))
-    return _scored(p.join(r, "key"), threshold)
+    Pairs are few bytes and much work, so they are dealt to all partitions, however small these are.
+    """
+    parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.select("pred", "bib").repartition(parts, "pred", "bib").distinct()
+    both = both.withColumn("pc", _counts(F.col("pred"))).withColumn("bc", _counts(F.col("bib")))
+    return both.where(_could_reach(threshold)).select("pred", "bib", ratio("pred", "bib").alias("score")).where(F.col("score") >= threshold)
 
 
 #: Characters that a text may lose to make its keys; texts that must lose more meet by length.
@@ -170,23 +170,74 @@ def _keys(text: str, own: str, other: str, threshold: float) -> DataFrame | Colu
     return F.flatten(F.array(*sets))
 
 
+def _least(n: Column, m: Column, threshold: float) -> Column:
+    """The least number of matches that makes texts of these lengths similar enough."""
+    return F.ceil(F.lit(threshold) * (n + m) / 2 - 1e-9).cast("int")
+
+
+#: Least threshold by which same_prefix() has keys; under it, texts of very different lengths are similar.
+KEYED = 0.25
+
+
+def _prefix_keys(rows: DataFrame, text: str, threshold: float, first: int = 2) -> DataFrame:
+    """rows (a text), once for each key by which it meets similar texts with its first characters: these, its length n, the other one's m, and what is left.
+
+    Texts that begin alike have these characters among their matches, so only what follows them loses characters. Keys are
+    made for each length that a similar text can have.
+    """
+    n, behind = F.length(text), F.substring(F.col(text), F.lit(first + 1), F.length(text))
+    lost = [F.array(behind)]
+    for _ in range(MOST_LOST):
+        lost.append(_shorter(lost[-1]))
+
+    def of_length(m: Column) -> Column:
+        least = F.greatest(_least(n, m, threshold), F.lit(first))
+        some = F.array().cast("array<string>")
+        for k, texts in enumerate(lost):
+            some = F.when(n - least == k, texts).otherwise(some)
+        some = F.when(F.greatest(n, m) - least > MOST_LOST, F.array(F.lit("#"))).otherwise(some)
+        return F.transform(some, lambda s: F.struct(n.alias("n"), m.alias("m"), s.alias("left")))
+
+    part = (2 - threshold) / threshold
+    sizes = F.sequence(F.greatest(F.lit(first), F.ceil(n / part - 1e-9).cast("int")), F.floor(n * part + 1e-9).cast("int"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work for each
+    keyed = rows.where(n >= first).repartition(parts, F.xxhash64(text)).select(text, F.substring(text, 1, first).alias("key"), F.explode(F.flatten(F.transform(sizes, of_length))).alias("k"))
+    return keyed.select(text, "key", "k.n", "k.m", "k.left")
+
+
+def same_prefix(preds: DataFrame, registry: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """pred, bib, score: registry numbers with the prediction's first two characters that are similar enough.
+
+    An equi-join on these characters, both lengths, and what both texts have left when they lose the characters that may differ.
+    """
+    if threshold < KEYED:
+        cut = lambda rows, c: rows.where(F.length(c) >= 2).select(c, F.substring(c, 1, 2).alias("key"))
+        both = cut(preds, "pred").join(cut(registry, "bib"), "key").select("pred", "bib")
+    else:
+        p = _prefix_keys(preds, "pred", threshold)
+        r = _prefix_keys(registry, "bib", threshold).select("bib", "key", F.col("m").alias("n"), F.col("n").alias("m"), "left")
+        both = p.join(r, ["key", "n", "m", "left"])
+    return _scored(both, threshold)
+
+
 def length_band(preds: DataFrame, registry: DataFrame, threshold: float = 0.75) -> DataFrame:
     """pred, bib, score: registry numbers at most one character longer or shorter that are similar enough.
 
     An equi-join on what both texts have left when they lose the characters that may differ.
     """
-    p = preds.where(F.length("pred") > 0).select("pred", F.explode(_keys("pred", "a", "b", threshold)).alias("k")).select("pred", "k.*")
-    r = registry.where(F.length("bib") > 0).select("bib", F.explode(_keys("bib", "b", "a", threshold)).alias("k")).select("bib", "k.*")
+    parts = int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work for each
+    p = preds.where(F.length("pred") > 0).repartition(parts, F.xxhash64("pred")).select("pred", F.explode(_keys("pred", "a", "b", threshold)).alias("k")).select("pred", "k.*")
+    r = registry.where(F.length("bib") > 0).repartition(parts, F.xxhash64("bib")).select("bib", F.explode(_keys("bib", "b", "a", threshold)).alias("k")).select("bib", "k.*")
     # a pair of lengths of which one side has too many characters to lose meets by these lengths alone
     long = lambda n, m: F.greatest(F.col(n), F.col(m)) - F.ceil(F.lit(threshold) * (F.col(n) + F.col(m)) / 2 - 1e-9) > MOST_LOST
     p, r = (t.withColumn("left", F.when(long("a", "b"), "#").otherwise(F.col("left"))).distinct() for t in (p, r))
-    both = p.join(sized(r), ["a", "b", "left"]).select("pred", "bib").distinct()
-    return _scored(both.withColumn("pc", _counts(F.col("pred"))).withColumn("bc", _counts(F.col("bib"))), threshold)
+    return _scored(p.join(r, ["a", "b", "left"]), threshold)
 
 
 def candidates(preds: DataFrame, registry: DataFrame, threshold: float = 0.75) -> DataFrame:
     """pred, bib, score: the best score of each candidate; the length band is searched only for predictions without any other."""
     first = leading(preds, registry).unionByName(trailing(preds, registry)).unionByName(same_prefix(preds, registry, threshold))
+    first = shared.written(first, "candidates")
     rest = preds.join(first.select("pred").distinct(), "pred", "left_anti")
     return first.unionByName(length_band(rest, registry, threshold)).groupBy("pred", "bib").agg(F.max("score").alias("score"))
 

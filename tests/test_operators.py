@@ -389,3 +389,20 @@ def test_length_band_against_all_pairs(spark):
         want = {(a, b) for a in preds for b in bibs if a and abs(len(a) - len(b)) <= 1 and SequenceMatcher(None, a, b).ratio() >= threshold}
         got = REG.length_band(spark.createDataFrame([(x,) for x in preds], "pred string"), spark.createDataFrame([(x,) for x in bibs], "bib string"), threshold)
         assert {(r.pred, r.bib) for r in got.collect()} == want and len(want) > 100
+
+
+def test_same_prefix_against_all_pairs(spark):
+    """Pairs meet by what is left of them, not by their first characters alone, and none is lost."""
+    from difflib import SequenceMatcher
+
+    rng = np.random.default_rng(7)
+    word = lambda n: "".join(rng.choice(list("012"), n))
+    texts = sorted({word(int(n)) for n in rng.integers(1, 9, 300)} | {word(int(n)) for n in rng.integers(11, 24, 40)})
+    near = [t[:k] + t[k + 1 :] for t in texts for k in (len(t) // 2,)] + [t + "101" for t in texts]
+    preds, bibs = [(x,) for x in sorted({*texts[::2], *near[::3], ""})], [(x,) for x in texts]
+    for threshold in (0.75, 0.5, 0.2):
+        want = {(a, b) for (a,) in preds for (b,) in bibs if len(a) > 1 and a[:2] == b[:2] and SequenceMatcher(None, a, b).ratio() >= threshold}
+        got = REG.same_prefix(spark.createDataFrame(preds, "pred string"), spark.createDataFrame(bibs, "bib string"), threshold).collect()
+        assert {(r.pred, r.bib) for r in got} == want and len(want) == len(got) > 100
+    keys = lambda rows, c: {tuple(r)[1:] for r in REG._prefix_keys(spark.createDataFrame(rows, f"{c} string"), c, 0.75).collect()}
+    assert {k for k, n, m, left in keys([("123456",)], "p")} == {"12"} and not {(k, m, n, x) for k, n, m, x in keys([("129874",)], "b")} & keys([("123456",)], "p")
