@@ -406,3 +406,12 @@ def test_same_prefix_against_all_pairs(spark):
         assert {(r.pred, r.bib) for r in got} == want and len(want) == len(got) > 100
     keys = lambda rows, c: {tuple(r)[1:] for r in REG._prefix_keys(spark.createDataFrame(rows, f"{c} string"), c, 0.75).collect()}
     assert {k for k, n, m, left in keys([("123456",)], "p")} == {"12"} and not {(k, m, n, x) for k, n, m, x in keys([("129874",)], "b")} & keys([("123456",)], "p")
+
+
+def test_consensus_keeps_rows_as_they_are(spark):
+    """No read is multiplied by the window, and numbers or confidences that are null count as they do in sums."""
+    rows = [(1, 0, "a", 0.5), (1, 1, None, 0.9), (1, 2, "b", None), (1, 3, "b", 0.3), (1, 4, "a", 0.2), (2, 0, "c", None)]
+    out = V.consensus(spark.createDataFrame(rows, "track_id long, frame_idx long, number string, conf double"), window=3, stable=1)
+    got = {(r.track_id, r.frame_idx): (r.winner, r.votes, r.total) for r in out.collect()}
+    assert got == {(1, 0): ("a", 1, 1), (1, 1): (None, 1, 2), (1, 2): (None, 1, 3), (1, 3): (None, 1, 3), (1, 4): ("b", 2, 3), (2, 0): ("c", 1, 1)}
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
