@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 #: Pixels of a stack at most, but for a single crop.
 STACK = 1 << 20
+#: Pixels that are changed at a time, counted before or after the change, but for a single crop.
+PIECE = 1 << 18
+#: Bytes of crops that a Python worker gets at a time.
+BATCH = 2 << 20
+
+
+def _small_batches() -> None:
+    """A Python worker gets crops by their bytes, not by their number."""
+    spark, key = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.match(r"(\d+)b?$", spark.conf.get(key)) if spark else None
+    if spark and (not now or not 0 < int(now[1]) <= BATCH):
+        spark.conf.set(key, str(BATCH))
 
 
 def stacks(pixels: pd.Series, width: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -38,7 +51,11 @@ def resized(stack: np.ndarray, height: int, width: int) -> np.ndarray:
         part = (at - low).reshape([-1 if k == axis else 1 for k in range(3)])
         return x.take(low, axis) * (1 - part) + x.take(np.minimum(low + 1, n - 1), axis) * part
 
-    return np.rint(along(along(stack.astype(float), 1, height), 2, width)).astype(np.uint8)
+    out = np.empty((len(stack), height, width), np.uint8)
+    step = max(1, PIECE // (max(stack.shape[1], height) * max(stack.shape[2], width)))  # numbers of 8 bytes, at the larger size
+    for k in range(0, len(stack), step):
+        out[k : k + step] = np.rint(along(along(stack[k : k + step].astype(float), 1, height), 2, width))
+    return out
 
 
 def upscaled(stack: np.ndarray, least: int = 64) -> np.ndarray:
@@ -94,17 +111,27 @@ def equalised(stack: np.ndarray, tiles: int = 8, clip: float = 2.0) -> np.ndarra
 _CROP = StructType([StructField("pixels", BinaryType()), StructField("width", IntegerType())])
 
 
+def changed(pixels: pd.Series, width: pd.Series, change: Callable[[np.ndarray], np.ndarray]) -> pd.DataFrame:
+    """pixels and width of the crops after change, made in pieces that are small before and after it."""
+    out: list[tuple] = [(None, None)] * len(pixels)
+    for places, stack in stacks(pixels, width):
+        at, step = 0, 1  # the first crop shows how large they become
+        while at < len(stack):
+            done = change(stack[at : at + step])
+            for i, crop in zip(places[at : at + step].tolist(), done):
+                out[i] = (crop.tobytes(), done.shape[2])
+            at, step = at + step, max(1, PIECE // max(done[0].size, stack[0].size))
+    return pd.DataFrame({"pixels": pd.Series([x for x, _ in out], dtype=object), "width": pd.Series([x for _, x in out], dtype="Int32")})
+
+
 def mapped(pixels: Column | str, width: Column | str, change: Callable[[np.ndarray], np.ndarray]) -> Column:
     """struct<pixels, width> of the crops after change (a function of stacks); null for crops without a row."""
 
+    _small_batches()
+
     @F.pandas_udf(_CROP)
     def run(p: pd.Series, w: pd.Series) -> pd.DataFrame:
-        out: list[tuple] = [(None, None)] * len(p)
-        for places, stack in stacks(p, w):
-            done = change(stack)
-            for i, crop in zip(places.tolist(), done):
-                out[i] = (crop.tobytes(), done.shape[2])
-        return pd.DataFrame({"pixels": pd.Series([x for x, _ in out], dtype=object), "width": pd.Series([x for _, x in out], dtype="Int32")})
+        return changed(p, w, change)
 
     return run(pixels, width)
 

@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,3 +185,19 @@ def test_cascade_totals(spark):
     resets = spark.createDataFrame([("a", 1), ("a", 5), ("c", 9)], "run_id string, frame_idx long")
     got = {r.run_id: tuple(r)[1:] for r in Q.cascade_totals(rows, resets).collect()}
     assert got == {"a": (1, 1, 0, 100.0, 0.0), "b": (1, 0, 1, 0.0, 100.0), "c": (0, 0, 0, 0.0, 0.0)}
+
+
+def test_small_crops_that_become_large_are_made_in_pieces():
+    """What a change makes is bounded by the size it makes, not by the size it gets."""
+    sizes = []
+
+    def change(stack):
+        out = I.upscaled(stack)
+        sizes.append(out.size)
+        return out
+
+    pixels = pd.Series([bytes([k % 250] * 40) for k in range(300)] + [None, b"x" * 4000])
+    got = I.changed(pixels, pd.Series([40] * 302), change)
+    assert max(sizes) <= I.PIECE and got["pixels"].map(lambda p: 0 if p is None else len(p)).tolist() == [64 * 2560] * 300 + [0, 4000]
+    one = np.arange(40, dtype=np.uint8)[None, None]
+    assert got["pixels"][0] == bytes(64 * 2560) and (I.resized(np.repeat(one, 9, 0), 64, 2560) == I.resized(one, 64, 2560)).all()
