@@ -415,3 +415,10 @@ def test_consensus_keeps_rows_as_they_are(spark):
     got = {(r.track_id, r.frame_idx): (r.winner, r.votes, r.total) for r in out.collect()}
     assert got == {(1, 0): ("a", 1, 1), (1, 1): (None, 1, 2), (1, 2): (None, 1, 3), (1, 3): (None, 1, 3), (1, 4): ("b", 2, 3), (2, 0): ("c", 1, 1)}
     assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_long_lifetimes_are_few_spans(spark):
+    """A lifetime's spans hold each of its slots once, and are few."""
+    for a, b in ((3, 3), (-5, 9), (7, 100_003)):
+        got = spark.range(1).select(R._spans(F.lit(a), F.lit(b)).alias("s")).first().s
+        assert sorted(x for r in got for x in range(r.slot << r.level, (r.slot + 1) << r.level)) == list(range(a, b + 1)) and len(got) <= 2 * R.LEVELS
