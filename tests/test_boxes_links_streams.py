@@ -497,3 +497,29 @@ def test_stream_gives_rows_in_portions(spark, monkeypatch):
     monkeypatch.setattr(ST, "PORTION", 7)
     got, _ = ST.replayed([df, end], lambda s: ST.tracked(ST.timed(s, LATE, 1.0), 5, 60.0, 1.0), TR.TRACKED)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, TR.tracked(df, 5, 60.0).collect()))
+
+
+@pytest.mark.parametrize(("chunk", "before"), [(16, 8), (16, 0), (4096, 512)])
+def test_box_chunks_equal_one_walk(spark, monkeypatch, chunk, before):
+    """The box tracker's chunks give the tracks of the plain one, numbers included, and one run goes to many tasks."""
+    monkeypatch.setattr(FO, "CHUNK", chunk)
+    monkeypatch.setattr(FO, "BEFORE", before)
+    rows = _moving(chunk + before)
+    got = K.tracked(spark.createDataFrame(rows, f"run_id string, frame_idx long, {BOX}, confidence double"), 5)
+    want = set()
+    for run in "ab":
+        plain = PlainTracker(gone=5)
+        for f, own in itertools.groupby((r for r in rows if r[0] == run), key=lambda r: r[1]):
+            found = sorted(r[2:] for r in own if r[2] is not None)
+            want |= {(run, f, i, *found[k]) for i, k in plain.update([b[:4] for b in found], [b[4] for b in found]).items()}
+    have = got.select("run_id", "frame_idx", "track_id", "x1", "y1", "x2", "y2", "confidence")
+    assert {tuple(r) for r in have.collect()} == want and have.count() == len(want)
+    assert chunk > 100 or got.where("run_id = 'a'").select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_box_overlaps_as_arrays_equal_single_ones():
+    rng = np.random.default_rng(2)
+    a, b = ([(x, y, x + w, y + h) for x, y, w, h in (rng.random((n, 4)) * [90, 90, 40, 40]).tolist()] for n in (9, 11))
+    assert K.overlaps(np.array(a), np.array(b)).tolist() == [[K.overlap(x, y) for y in b] for x in a]
+    near = K.overlaps(np.array(a), np.array(b))
+    assert sorted(K.matched(near, 0.1)) == sorted(K.matched(near.tolist(), 0.1)) != []
