@@ -22,6 +22,7 @@ from raceflow.operators import spacing as SP
 from raceflow.operators import tracking as TR
 from raceflow.operators import voting as V
 from raceflow.plans import pipeline
+from raceflow.plans import pipeline as PL
 from raceflow.streaming import state as ST
 
 BOX = "x1 double, y1 double, x2 double, y2 double"
@@ -523,3 +524,12 @@ def test_box_overlaps_as_arrays_equal_single_ones():
     assert K.overlaps(np.array(a), np.array(b)).tolist() == [[K.overlap(x, y) for y in b] for x in a]
     near = K.overlaps(np.array(a), np.array(b))
     assert sorted(K.matched(near, 0.1)) == sorted(K.matched(near.tolist(), 0.1)) != []
+
+
+def test_run_does_not_broadcast_what_it_wrote(spark):
+    """Files of many equal rows are small; what is joined with them must not become a table in the driver."""
+    a = PL._cut(spark.range(1000).select((F.col("id") % 7).alias("k"), F.lit(1).alias("v")), "a")
+    b = PL._cut(spark.range(1000).select((F.col("id") % 7).alias("k"), F.lit(2).alias("w")), "b").where("w > 1").groupBy("k").agg(F.max("w").alias("w"))
+    for how in ("inner", "left", "left_semi"):
+        plan = a.select("k", "v").join(b, "k", how)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
