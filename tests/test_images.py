@@ -201,3 +201,10 @@ def test_small_crops_that_become_large_are_made_in_pieces():
     assert max(sizes) <= I.PIECE and got["pixels"].map(lambda p: 0 if p is None else len(p)).tolist() == [64 * 2560] * 300 + [0, 4000]
     one = np.arange(40, dtype=np.uint8)[None, None]
     assert got["pixels"][0] == bytes(64 * 2560) and (I.resized(np.repeat(one, 9, 0), 64, 2560) == I.resized(one, 64, 2560)).all()
+
+
+def test_made_crops_of_a_small_file_go_to_many_tasks(spark, tmp_path):
+    from raceflow.plans import queries as PQ
+
+    spark.range(40).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    assert PQ.ds_synth(spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count() > 1
