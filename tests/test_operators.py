@@ -422,3 +422,23 @@ def test_long_lifetimes_are_few_spans(spark):
     for a, b in ((3, 3), (-5, 9), (7, 100_003)):
         got = spark.range(1).select(R._spans(F.lit(a), F.lit(b)).alias("s")).first().s
         assert sorted(x for r in got for x in range(r.slot << r.level, (r.slot + 1) << r.level)) == list(range(a, b + 1)) and len(got) <= 2 * R.LEVELS
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_claims_and_lost_places_equal_all_looked_at(seed):
+    """Searched claims and nearest lost places are those of looking at everybody, ties included, and few bibs are looked at."""
+    rng = np.random.default_rng(seed)
+    place = lambda: tuple(float(v) for v in rng.integers(0, 30, 2) * 20)
+    box = lambda at, by: (at[0] - by, at[1] - by, at[0] + by, at[1] + by)
+    bibs = {int(i): (at, box(at, 15.0 + int(i) % 3)) for i in rng.permutation(400) for at in [place()]}
+    found = A.Boxes(bibs)
+    for at in [place() for _ in range(150)] + [(-5000.0, 0.0), (640.0, 640.0)]:
+        assert found.claim(at, box(at, 20.0), 45.0) == A.claim(at, box(at, 20.0), bibs, 45.0)
+    assert A.Boxes({}).claim((0.0, 0.0), (0.0, 0.0, 1.0, 1.0), 9.0) is None
+    lost = [place() for _ in range(200)]
+    free, places = dict(enumerate(lost)), A.Places(lost)
+    for at in [place() for _ in range(260)]:
+        near = min(((A._dist(at, v), k) for k, v in free.items()), default=None)
+        want = near[1] if near and near[0] < 50.0 else None
+        assert places.taken(at, 50.0) == want
+        free.pop(want, None)
