@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -299,6 +300,46 @@ def test_proximity_against_all_pairs(spark):
     assert got == {k: n for k, n in want.items() if n}
 
 
+@pytest.mark.parametrize(("few", "group"), [(0, 1 << 17), (0, 40), (30, 40), (1 << 40, 1 << 17)])
+def test_crowded_proximity_against_all_pairs(spark, monkeypatch, few, group):
+    """Joined or counted in arrays, whole or in parts, with equal rows, equal places and pairs just at the radius: the same counts."""
+    monkeypatch.setattr(D, "FEW", few)
+    monkeypatch.setattr(D, "GROUP", group)
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), rng.randrange(150), rng.choice([-7.0, 0.0, 8.0, 15.0, rng.uniform(-40, 40)]), rng.choice([0.0, 9.0, 12.0, rng.uniform(-20, 20)])) for _ in range(300)] * 2
+    odd = [("a", 200, None, 0.0), ("a", 201, math.nan, 0.0), ("a", 202, math.inf, 0.0), ("a", 203, 1e300, 0.0), (None, 204, 0.0, 0.0), ("a", None, 0.0, 0.0)]
+    want = {}
+    for (b, f, x, y), (c, g, u, v) in itertools.product(rows, rows):
+        if b == c and g < f and math.sqrt((x - u) * (x - u) + (y - v) * (y - v)) < 15:
+            want[b, f] = want.get((b, f), 0) + 1
+    got = D.near_earlier(spark.createDataFrame(rows + odd, "bib string, frame_idx long, x double, y double"), 15.0).collect()
+    assert {(r.bib, r.frame_idx): r.earlier for r in got} == want and len(got) == len(want)
+
+
+def test_counts_within_equal_all_pairs():
+    """Also where a cell is much smaller than the radius, and for distances an ulp from it."""
+    rng = np.random.default_rng(3)
+    for radius, size in ((15.0, 64), (0.3, 4), (1 / 3, 2)):
+        f, n = rng.integers(0, 300, 900), rng.integers(1, 4, 900)
+        x, y = (rng.choice(np.concatenate([rng.uniform(-2, 2, 50), [0.0, 1.0, math.nextafter(1.0, 0), 0.6, 0.8]]), 900) * radius for _ in "xy")
+        near = np.sqrt((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2) < radius
+        got = D.within((f, x, y), (f, x, y, n), D._square(radius), size)
+        assert got.tolist() == ((near & (f < f[:, None])) * n).sum(axis=1).tolist()
+
+
+def test_proximity_makes_no_row_for_each_crowded_pair(spark, monkeypatch):
+    made, plain = [], D.candidates
+
+    def watched(*a):
+        made.append(plain(*a))
+        return made[-1]
+
+    monkeypatch.setattr(D, "candidates", watched)
+    df = spark.range(3000).select(F.lit("1").alias("bib"), F.col("id").alias("frame_idx"), (F.col("id") % 7).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    assert sorted(r.earlier for r in D.near_earlier(df, 15.0).collect()) == list(range(1, 3000))
+    assert sum(m.count() for m in made) <= 256 * 3000
+
+
 # --- phantoms --------------------------------------------------------------------------------------
 
 
