@@ -78,7 +78,7 @@ class Held(StatefulProcessor):
                 first, n = frame if first is None else min(first, frame), n + 1
                 if n >= PORTION:
                     self.hold(new)
-                    new, n = {}, 0
+                    n = 0
         self.hold(new)
         if first is not None:
             self.handle.registerTimer(self.at(first))
@@ -87,8 +87,9 @@ class Held(StatefulProcessor):
         yield from ()
 
     def hold(self, new: dict[int, dict[str, list]]) -> None:
-        """Puts rows (block -> frame -> rows) to those in the state."""
-        for block, own in new.items():
+        """Puts rows (block -> frame -> rows) to those in the state; new is emptied, so that only one block's held rows are here at a time."""
+        while new:
+            block, own = new.popitem()
             before = self.held.getValue((block,))
             if before is not None:
                 for frame, rows in json.loads(before[0]).items():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import math
 import random
 
@@ -541,6 +542,27 @@ def test_stream_gives_rows_in_portions(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, TR.tracked(df, 5, 60.0).collect()))
 
 
+def test_held_rows_are_not_gathered():
+    """Rows that come in no order meet each block's held rows on their own, however many blocks there are."""
+    new, here, state = {}, [], {}
+
+    class Blocks:
+        def getValue(self, block):
+            here.append(sum(len(rows) for own in new.values() for rows in own.values()))
+            return state.get(block)
+
+        def updateValue(self, block, value):
+            state[block] = value
+
+    machine = ST._Tracks([], [], 1.0)
+    machine.held = Blocks()
+    for first in (0, 1):
+        new.update({b: {str(64 * b + k): [[first]] for k in range(1 if first else 64)} for b in range(50)})
+        machine.hold(new)
+    assert max(here[50:]) <= 50 and not new
+    assert all(json.loads(state[b,][0]) == {str(64 * b + k): [[0], [1]] if k == 0 else [[0]] for k in range(64)} for b in range(50))
+
+
 @pytest.mark.parametrize(("chunk", "before"), [(16, 8), (16, 0), (4096, 512)])
 def test_box_chunks_equal_one_walk(spark, monkeypatch, chunk, before):
     """The box tracker's chunks give the tracks of the plain one, numbers included, and one run goes to many tasks."""
