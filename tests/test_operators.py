@@ -442,3 +442,37 @@ def test_claims_and_lost_places_equal_all_looked_at(seed):
         want = near[1] if near and near[0] < 50.0 else None
         assert places.taken(at, 50.0) == want
         free.pop(want, None)
+
+
+@pytest.mark.parametrize("few", [0, 100, 1 << 40])
+def test_crowded_lifetimes_equal_all_looked_at(spark, monkeypatch, few):
+    """Lifetimes in cells of time and space give what all pairs give, ties included, whether cells are joined or counted in arrays in several parts."""
+    monkeypatch.setattr(R, "FEW", few)
+    monkeypatch.setattr(R, "GROUP", 64)
+    rng = np.random.default_rng(3)
+
+    def lives(n, numbers):
+        first = rng.integers(-2000, 2000, n)
+        last = first + np.where(rng.random(n) < 0.2, 0, rng.integers(0, 3000, n))
+        at = rng.integers(0, 12, (n, 4)) * 1.5
+        run, conf = rng.choice(["a", "b"], n), rng.integers(0, 4, n) / 4
+        rows = [(run[k], k, int(first[k]), int(last[k]), *map(float, at[k]), str(k % numbers), None if k % 17 == 0 else float(conf[k])) for k in range(n)]
+        return [r if r[1] % 23 else (*r[:4], None, *r[5:]) for r in rows]
+
+    schema = "run_id string, event long, first_frame long, last_frame long, first_x double, first_y double, last_x double, last_y double, number string, conf double"
+    for numbers in (3, 150):
+        events, tracks = lives(200, 1), lives(150, numbers)
+        want = {}
+        for e in events:
+            per = {}
+            for t in tracks:
+                if e[0] == t[0] and t[2] <= e[3] + 150 and t[3] >= e[2] - 150:
+                    gaps = [((e[i] - t[j]) ** 2 + (e[i + 1] - t[j + 1]) ** 2) ** 0.5 for i in (4, 6) for j in (4, 6) if e[i] is not None and t[j] is not None]
+                    if min(gaps) < 3.5:
+                        here = min(gaps), -np.inf if t[9] is None else -t[9]
+                        per[t[8]] = min(per.get(t[8], here), here)
+            if per:
+                want[e[1]] = min((c, d, n) for n, (d, c) in per.items())[2]
+        df = [spark.createDataFrame(rows, schema) for rows in (events, tracks)]
+        got = R.in_lifetime(df[0].drop("number", "conf"), df[1].drop("event"), 150, 3.5, 300, ("run_id",)).collect()
+        assert {r.event: r.bib for r in got} == want and len(got) == len(want) > 100
