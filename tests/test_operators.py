@@ -476,3 +476,11 @@ def test_crowded_lifetimes_equal_all_looked_at(spark, monkeypatch, few):
         df = [spark.createDataFrame(rows, schema) for rows in (events, tracks)]
         got = R.in_lifetime(df[0].drop("number", "conf"), df[1].drop("event"), 150, 3.5, 300, ("run_id",)).collect()
         assert {r.event: r.bib for r in got} == want and len(got) == len(want) > 100
+
+
+def test_large_registries_stay_out_of_the_driver(spark):
+    """A registry of hundreds of thousands of numbers is joined by shuffles, as its table would be made in the driver for each join; a small one is broadcast."""
+    hinted = lambda n: "broadcast" in REG.sized(REG.from_range(spark, 1, n))._jdf.queryExecution().analyzed().toString().lower()
+    assert hinted(1000) and not hinted(300_000)
+    reads = spark.createDataFrame([("299999",), ("300001",)], "number string")
+    assert {r.number: r.is_valid for r in REG.flagged(reads, REG.from_range(spark, 1, 300_000)).collect()} == {"299999": True, "300001": False}
