@@ -8,6 +8,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -596,3 +597,35 @@ def test_run_does_not_broadcast_what_it_wrote(spark):
     for how in ("inner", "left", "left_semi"):
         plan = a.select("k", "v").join(b, "k", how)._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_wrong_guesses_are_walked_in_stretches(spark, monkeypatch):
+    """What guesses get wrong round after round is walked in stretches that grow, not as one task for the rest of a run, with the rows of one walk."""
+
+    class _Sum(FO.Machine):
+        """Its state is a sum of all rows, so no guess is ever right."""
+
+        def __init__(self):
+            self.sum = 0
+
+        def step(self, row):
+            self.sum += int(row.n)
+            return [(row.run_id, row.frame_idx, self.sum)]
+
+        def dump(self):
+            return str(self.sum).encode()
+
+        def load(self, state):
+            self.sum = int(state)
+
+    for name, value in (("CHUNK", 4), ("BEFORE", 2), ("ROUNDS", 1), ("STRETCH", 2)):
+        monkeypatch.setattr(FO, name, value)
+    rows = [(run, k, (k * 7 + 3) % 5 + (run == "b")) for run, many in (("a", 70), ("b", 9), ("c", 1)) for k in range(many)]
+    df = spark.createDataFrame(rows, "run_id string, frame_idx long, n long")
+    table = lambda found: pd.DataFrame(found, columns=["run_id", "frame_idx", "total"])
+    got = FO.spliced(df, ["run_id"], ["frame_idx"], _Sum, table, "run_id string, frame_idx bigint, total bigint").collect()
+    want, total = [], {}
+    for run, k, n in rows:
+        total[run] = total.get(run, 0) + n
+        want.append((run, k, total[run]))
+    assert sorted(map(tuple, got)) == want
