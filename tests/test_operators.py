@@ -484,3 +484,14 @@ def test_large_registries_stay_out_of_the_driver(spark):
     assert hinted(1000) and not hinted(300_000)
     reads = spark.createDataFrame([("299999",), ("300001",)], "number string")
     assert {r.number: r.is_valid for r in REG.flagged(reads, REG.from_range(spark, 1, 300_000)).collect()} == {"299999": True, "300001": False}
+
+
+def test_the_python_ratio_runs_once_on_distinct_pairs(spark):
+    """It isn't pushed below the distinct pairs, where it would see a pair for each key; and keys are made only for lengths that occur."""
+    preds, bibs = (spark.createDataFrame([(x,) for x in rows], f"{c} string") for c, rows in (("pred", ["123456", "125456", "98765"]), ("bib", ["123456", "12456"])))
+    for out in (REG.same_prefix(preds, bibs), REG.length_band(preds, bibs)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("Aggregate")
+        assert {(r.pred, r.bib) for r in out.collect()} == {("123456", "123456"), ("123456", "12456"), ("125456", "123456"), ("125456", "12456")}
+    assert REG._lengths(bibs, "bib") == [5, 6]
+    assert {r.m for r in REG._prefix_keys(preds, "pred", 0.75, others=[5, 6]).collect()} == {5, 6}
